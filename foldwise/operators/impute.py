@@ -42,11 +42,12 @@ def fit_imputer(
 def apply_imputer(df: DataFrame, model: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill missing values from a fitted model, on any table.
 
-    The model row enters as scalar subqueries: no join, no shuffle.
+    The model row enters as a scalar subquery: no join, no shuffle.
     """
     require_columns(df, columns)
+    fitted = model.select(F.struct(*columns).alias("m")).scalar()
     filled = {
-        c: F.when(is_missing(df, c), model.select(c).scalar()).otherwise(F.col(c)) for c in columns
+        c: F.when(is_missing(df, c), fitted.getField(c)).otherwise(F.col(c)) for c in columns
     }
     return df.withColumns(filled)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.numeric import present
 from foldwise.plans.ordering import running_totals
+from foldwise.plans.small import attach, settle
 
 
 def value_counts_long(
@@ -29,6 +30,22 @@ def value_counts_long(
     return rows.groupBy(*groups, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def present_counts(
+    df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()
+) -> DataFrame:
+    """(groups, column, __total) from one aggregate over the columns themselves."""
+    counted = df.groupBy(*groups).agg(
+        *[F.count(present(df, c)).alias(f"__n_{i}") for i, c in enumerate(columns)]
+    )
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.col(f"__n_{i}").alias("__total"))
+            for i, c in enumerate(columns)
+        ]
+    )
+    return counted.select(*groups, F.inline(pairs))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -46,15 +63,11 @@ def exact_quantiles(
     counts = value_counts_long(df, columns, groups)
     keys = [*groups, "column"]
     placed = running_totals(counts, keys, ["value"], {"__before": F.col("n")})
-    totals = placed.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    # Groups x columns rows; joined on the grouping keys themselves.
-    right = totals.select(
-        *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], "__total"
-    )
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__key_{i}"))
-    ranked = placed.join(right, same).drop(*[f"__key_{i}" for i in range(len(keys))])
+    # Groups x columns rows, so that the join does not gather a column's values
+    # by its name.
+    totals = present_counts(df, columns, groups)
+    totals = settle(totals) if groups else F.broadcast(totals)
+    ranked = attach(placed, totals, keys, ["__total"])
 
     def value_at(rank: Column) -> Column:
         holds = (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("n"))

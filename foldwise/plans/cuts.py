@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldwise.functions.hashing import hash_bucket
 from foldwise.plans.small import all_equal, settle
-from foldwise.session import cut_lineage
 
 
 def cut_points(
@@ -30,55 +29,41 @@ def cut_points(
     """
     strata = list(strata)
     rows = df.select(*strata, order.alias("__h")).withColumn("__b", hash_bucket(F.col("__h")))
-    counts = cut_lineage(rows.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__c")))
-    totals = counts.groupBy(*strata).agg(F.sum("__c").alias("n"))
+    counts = rows.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__c"))
 
     # At most 16**4 bucket rows per stratum.
     by_bucket = W.partitionBy(*strata).orderBy("__b")
-    whole = W.partitionBy(*strata)
     placed = counts.select(
-        *strata,
-        "__b",
+        *[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)],
+        F.col("__b").alias("__at"),
         "__c",
         F.coalesce(
             F.sum("__c").over(by_bucket.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
         ).alias("__before"),
-        F.sum("__c").over(whole).alias("__n"),
+        F.sum("__c").over(W.partitionBy(*strata)).alias("__n"),
     )
     wanted = F.array(*[r(F.col("__n")).cast("long") for r in ranks])
-    located = placed.where(
-        F.exists(
-            wanted,
-            lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c")),
-        )
-    ).select(
-        *[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)],
-        F.col("__b").alias("__at"),
-        "__before",
-        "__n",
+    holds_rank = F.exists(
+        wanted, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c"))
     )
+    # The first bucket stays too, so that every stratum reports its size.
+    located = placed.where(holds_rank | (F.col("__before") == 0)).drop("__c")
+    # Without strata there are at most len(ranks) + 1 such buckets.
+    located = settle(located) if strata else F.broadcast(located)
     pairs = [(s, f"__s{i}") for i, s in enumerate(strata)] + [("__b", "__at")]
-    ranked = rows.join(settle(located), all_equal(pairs)).withColumn(
+    ranked = rows.join(located, all_equal(pairs)).withColumn(
         "__rank",
         F.col("__before")
         - 1
         + F.row_number().over(W.partitionBy(*strata, "__b").orderBy("__h")),
     )
-    cuts = ranked.groupBy(*strata).agg(
+    return ranked.groupBy(*strata).agg(
+        F.max("__n").alias("n"),
         *[
             F.max(F.when(F.col("__rank") == r(F.col("__n")), F.col("__h"))).alias(f"cut_{i}")
             for i, r in enumerate(ranks)
-        ]
-    )
-    if not strata:
-        return totals.select("n", *[cuts.select(c).scalar().alias(c) for c in cuts.columns])
-    renamed = cuts.select(
-        *[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)],
-        *[f"cut_{i}" for i in range(len(ranks))],
+        ],
     )
-    return totals.join(
-        renamed, all_equal([(s, f"__s{i}") for i, s in enumerate(strata)]), "left"
-    ).drop(*[f"__s{i}" for i in range(len(strata))])
 
 
 def even_cut_ranks(parts: int) -> list[Callable[[Column], Column]]:

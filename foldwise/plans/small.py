@@ -19,7 +19,12 @@ def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     does not repeat the fit, and its true row count decides the join.
     """
     fixed = cut_lineage(df)
-    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
+    return broadcast_within(fixed, fixed.count(), max_rows)
+
+
+def broadcast_within(df: DataFrame, rows: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table of known row count for broadcast if it is small."""
+    return F.broadcast(df) if rows <= max_rows else df
 
 
 def all_equal(pairs: Sequence[tuple[str, str]]) -> Column:
