@@ -27,6 +27,23 @@ class CrossValidation:
     importance: DataFrame
 
 
+def categorical_codes(
+    df: DataFrame, columns: Sequence[str], suffix: str = "__index"
+) -> DataFrame:
+    """Numeric codes of the listed features that are present.
+
+    The commonest category is 0, ties by value; a category unseen in fitting
+    gets a code of its own.
+    """
+    active = [c for c in columns if c in df.columns]
+    if not active:
+        return df
+    indexer = StringIndexer(
+        inputCols=active, outputCols=[c + suffix for c in active], handleInvalid="keep"
+    )
+    return indexer.fit(df).transform(df)
+
+
 def tree_pipeline(
     features: Sequence[str],
     target_col: str,
@@ -50,12 +67,11 @@ def tree_pipeline(
     booster = GBTClassifier(
         featuresCol="__features",
         labelCol=target_col,
-        rawPredictionCol="__raw",
-        probabilityCol="__probability",
         predictionCol="__label",
         seed=seed,
         **dict(params or {}),
     )
+    booster = booster.setRawPredictionCol("__raw").setProbabilityCol("__probability")
     if weight_col:
         booster = booster.setWeightCol(weight_col)
     if validation_col:

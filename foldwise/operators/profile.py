@@ -208,7 +208,7 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = DEFAULT_BINS)
         df.sparkSession.range(1)
         .select(F.inline(F.array(*frame)))
         .where(F.col("lo").isNotNull())
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     )
     width = (F.col("hi") - F.col("lo")) / bins
     return grid.join(counts, ["column", "bin"], "left").select(

@@ -16,6 +16,7 @@ def local_session(app: str = "foldwise", cores: str = "*", **conf: str) -> Spark
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
