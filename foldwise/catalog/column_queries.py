@@ -16,7 +16,7 @@ from foldwise.operators.impute import apply_imputer, fill_na, fit_imputer
 from foldwise.operators.joins import join_tables, members, stack_predictions
 from foldwise.operators.learn import categorical_codes
 from foldwise.operators.sample import duplicated
-from foldwise.operators.split import kfold, test_rows, train_rows
+from foldwise.operators.split import kfold, held_out_rows, training_rows
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_SQL = ", ".join(LINE)
@@ -255,7 +255,7 @@ def _fold_rows(spark, d):
             F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price")
         ).select(F.lit(name).alias("side"), "n", "price")
 
-    return side(train_rows(folds, 3), "train").unionByName(side(test_rows(folds, 3), "test"))
+    return side(training_rows(folds, 3), "train").unionByName(side(held_out_rows(folds, 3), "test"))
 
 
 @query(
@@ -319,6 +319,6 @@ _fill("constant", "CAST(-999.0 AS DOUBLE)")
 )
 def _train_to_test(spark, d):
     folds = kfold(_gaps(spark, d), "l_orderkey", 4, exact=False)
-    model = fit_imputer(train_rows(folds, 0), ["l_quantity"], "mean")
-    filled = apply_imputer(test_rows(folds, 0), model, ["l_quantity"])
+    model = fit_imputer(training_rows(folds, 0), ["l_quantity"], "mean")
+    filled = apply_imputer(held_out_rows(folds, 0), model, ["l_quantity"])
     return rounded(filled.select(*LINE, "l_quantity"), 6, "l_quantity")

@@ -11,7 +11,7 @@ from foldwise.operators.encode import (
     bayesian_target_encode, fit_bayesian_encoder, fit_target_encoder, target_encode,
     time_series_target_encode, transform_bayesian_target_encode, transform_target_encode,
 )
-from foldwise.operators.split import kfold, test_rows, train_rows
+from foldwise.operators.split import kfold, held_out_rows, training_rows
 from foldwise.plans.recipe import compose
 
 
@@ -83,8 +83,8 @@ def _te_full(spark, d):
 )
 def _te_transform(spark, d):
     folds = kfold(finished_orders(spark, d), "o_orderkey", 3)
-    model = fit_target_encoder(train_rows(folds, 0), ["o_custkey"], "finished")
-    coded = transform_target_encode(test_rows(folds, 0), model, ["o_custkey"], prefix="enc_")
+    model = fit_target_encoder(training_rows(folds, 0), ["o_custkey"], "finished")
+    coded = transform_target_encode(held_out_rows(folds, 0), model, ["o_custkey"], prefix="enc_")
     return rounded(coded.select("o_orderkey", "enc_o_custkey"), 8, "enc_o_custkey")
 
 
@@ -195,8 +195,8 @@ def _normal_full(spark, d):
 )
 def _bte_transform(spark, d):
     folds = kfold(table(spark, d, "orders"), "o_orderkey", 3)
-    model = fit_bayesian_encoder(train_rows(folds, 1), ["o_custkey"], "o_totalprice", "continuous", 2.0)
-    coded = transform_bayesian_target_encode(test_rows(folds, 1), model, ["o_custkey"])
+    model = fit_bayesian_encoder(training_rows(folds, 1), ["o_custkey"], "o_totalprice", "continuous", 2.0)
+    coded = transform_bayesian_target_encode(held_out_rows(folds, 1), model, ["o_custkey"])
     return rounded(coded.select("o_orderkey", "o_custkey_te"), 3, "o_custkey_te")
 
 

@@ -12,7 +12,7 @@ from foldwise.operators.evaluate import (
     accuracy, arg_max, binary_auc, cv_summary, fold_average, labels_out_of_range, macro_auc,
     readiness_report,
 )
-from foldwise.operators.learn import cross_validate_trees, score_folds
+from foldwise.operators.learn import cross_validate_trees, fold_scores, score_folds
 from foldwise.operators.split import kfold
 
 
@@ -178,7 +178,7 @@ def _threshold(spark, d):
 
 
 FEATURES = ["o_totalprice", "c_acctbal", "o_orderpriority", "c_mktsegment"]
-TREES = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.2, "maxBins": 32}
+TREES = {"maxIter": 3, "maxDepth": 2, "stepSize": 0.2}
 
 
 def _trained(spark, d):
@@ -196,7 +196,7 @@ def _oof(spark, d):
 
 @query("l3_gbt_fold_scores")
 def _scores(spark, d):
-    return _trained(spark, d)[1].fold_scores
+    return fold_scores(_trained(spark, d)[1], "finished")
 
 
 @query("l8_gbt_fold_scoring")

@@ -13,17 +13,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.operators.columns import require_columns
-from foldwise.operators.evaluate import binary_auc, cv_summary, fold_average
+from foldwise.operators.evaluate import binary_auc, fold_average
+from foldwise.session import cut_lineage
+
+HELD_OUT = "__validation"
 
 
 @dataclass(frozen=True)
 class CrossValidation:
-    """Models by fold and the tables they give rise to."""
+    """Models by fold, every row scored by every model, and feature gains."""
 
     models: dict[int, PipelineModel]
+    scored: DataFrame
     oof: DataFrame
-    fold_scores: DataFrame
-    summary: DataFrame
     importance: DataFrame
 
 
@@ -44,16 +46,8 @@ def categorical_codes(
     return indexer.fit(df).transform(df)
 
 
-def tree_pipeline(
-    features: Sequence[str],
-    target_col: str,
-    categorical: Sequence[str] = (),
-    weight_col: str | None = None,
-    validation_col: str | None = None,
-    seed: int = 42,
-    params: Mapping[str, object] | None = None,
-) -> Pipeline:
-    """Index the categorical features that are used, assemble, boost."""
+def feature_stages(features: Sequence[str], categorical: Sequence[str] = ()) -> list:
+    """Index the categorical features that are used, then assemble."""
     active = [c for c in categorical if c in features]
     stages: list = []
     if active:
@@ -64,19 +58,30 @@ def tree_pipeline(
         )
     inputs = [f"{c}__index" if c in active else c for c in features]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="__features", handleInvalid="keep"))
-    booster = GBTClassifier(
+    return stages
+
+
+def booster(
+    target_col: str,
+    weight_col: str | None = None,
+    validation_col: str | None = None,
+    seed: int = 42,
+    params: Mapping[str, object] | None = None,
+) -> GBTClassifier:
+    """Boosted trees over the assembled features, stopping early if asked to (L1)."""
+    trees = GBTClassifier(
         featuresCol="__features",
         labelCol=target_col,
         predictionCol="__label",
         seed=seed,
         **dict(params or {}),
     )
-    booster = booster.setRawPredictionCol("__raw").setProbabilityCol("__probability")
+    trees = trees.setRawPredictionCol("__raw").setProbabilityCol("__probability")
     if weight_col:
-        booster = booster.setWeightCol(weight_col)
+        trees = trees.setWeightCol(weight_col)
     if validation_col:
-        booster = booster.setValidationIndicatorCol(validation_col)
-    return Pipeline(stages=[*stages, booster])
+        trees = trees.setValidationIndicatorCol(validation_col)
+    return trees
 
 
 def score(model: PipelineModel, df: DataFrame, output_col: str = "predicted_proba") -> DataFrame:
@@ -112,35 +117,40 @@ def cross_validate_trees(
     """Fit one model per fold, stopping early on the fold's own rows.
 
     ``oof`` holds every row once, scored by the model that did not train on it.
-    ``fold_scores`` has the train and validation AUC of each fold.
     """
     require_columns(df, [*features, target_col, fold_col])
-    held_out = "__validation"
+    prepare = Pipeline(stages=feature_stages(features, categorical)).fit(df)
+    used = ["__features", target_col, fold_col, *([weight_col] if weight_col else [])]
+    # Boosting passes over its input many times: assemble it once for all folds.
+    assembled = cut_lineage(prepare.transform(df).select(*used))
     models, scored, importance = {}, [], []
     for fold in range(n_splits):
-        marked = df.withColumn(held_out, F.col(fold_col) == fold)
-        pipeline = tree_pipeline(
-            features, target_col, categorical, weight_col, held_out, seed, params
+        marked = F.col(fold_col) == fold
+        trees = booster(target_col, weight_col, HELD_OUT, seed, params).fit(
+            assembled.withColumn(HELD_OUT, marked)
         )
-        model = pipeline.fit(marked)
-        models[fold] = model
-        scored.append(score(model, marked).withColumn("__model", F.lit(fold)))
-        gains = model.stages[-1].featureImportances.toArray()
+        models[fold] = PipelineModel(stages=[*prepare.stages, trees])
+        scores = score(models[fold], df.withColumn(HELD_OUT, marked))
+        scored.append(scores.withColumn("__model", F.lit(fold)))
+        gains = trees.featureImportances.toArray()
         importance += [(fold, name, float(g)) for name, g in zip(features, gains)]
 
     everything = reduce(DataFrame.unionByName, scored)
-    oof = everything.where(F.col(fold_col) == F.col("__model")).drop("__model", held_out)
-    by_side = everything.withColumnRenamed(fold_col, "__own_fold").select(
-        F.col("__model").alias("fold"), held_out, target_col, "predicted_proba"
-    )
-    areas = binary_auc(by_side, target_col, "predicted_proba", ["fold", held_out])
-    fold_scores = areas.groupBy("fold").agg(
-        F.max(F.when(~F.col(held_out), F.col("auc"))).alias("train_score"),
-        F.max(F.when(F.col(held_out), F.col("auc"))).alias("valid_score"),
-    )
+    oof = everything.where(F.col(fold_col) == F.col("__model")).drop("__model", HELD_OUT)
     gains = df.sparkSession.createDataFrame(
         importance, "fold int, feature string, importance double"
     )
-    return CrossValidation(
-        models, oof, fold_scores, cv_summary(fold_scores, "valid_score"), gains
+    return CrossValidation(models, everything, oof, gains)
+
+
+def fold_scores(result: CrossValidation, target_col: str) -> DataFrame:
+    """(fold, train_score, valid_score): AUC of each fold's model on both sides (L3)."""
+    sides = result.scored.select(
+        F.col("__model").alias("__fold"), HELD_OUT, target_col, "predicted_proba"
+    )
+    areas = binary_auc(sides, target_col, "predicted_proba", ["__fold", HELD_OUT])
+    held_out = F.col(HELD_OUT)
+    return areas.groupBy(F.col("__fold").alias("fold")).agg(
+        F.max(F.when(~held_out, F.col("auc"))).alias("train_score"),
+        F.max(F.when(held_out, F.col("auc"))).alias("valid_score"),
     )

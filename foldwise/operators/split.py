@@ -225,19 +225,19 @@ def assign_folds(df: DataFrame, strategy: str = "none", **options: object) -> Da
     return strategies[strategy](df, **options)
 
 
-def train_rows(df: DataFrame, fold: int, fold_col: str = "fold") -> DataFrame:
+def training_rows(df: DataFrame, fold: int, fold_col: str = "fold") -> DataFrame:
     """Training rows of one fold."""
     return df.where(F.col(fold_col) != fold)
 
 
-def test_rows(df: DataFrame, fold: int, fold_col: str = "fold") -> DataFrame:
+def held_out_rows(df: DataFrame, fold: int, fold_col: str = "fold") -> DataFrame:
     """Test rows of one fold."""
     return df.where(F.col(fold_col) == fold)
 
 
-def time_train_rows(df: DataFrame, fold: int, block_col: str = "block") -> DataFrame:
+def time_training_rows(df: DataFrame, fold: int, block_col: str = "block") -> DataFrame:
     return df.where(F.col(block_col) <= fold)
 
 
-def time_test_rows(df: DataFrame, fold: int, block_col: str = "block") -> DataFrame:
+def time_held_out_rows(df: DataFrame, fold: int, block_col: str = "block") -> DataFrame:
     return df.where(F.col(block_col) == fold + 1)
