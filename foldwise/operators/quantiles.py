@@ -3,6 +3,8 @@
 ``percentile`` keeps a column's distinct values in one aggregation buffer.
 Here equal values are counted first, the (group, column, value) counts are
 range-partitioned, and running counts tell which value holds which rank.
+Without groups a sketch narrows this down beforehand: values that cannot hold
+a wanted rank are counted as one.
 """
 
 from __future__ import annotations
@@ -12,22 +14,37 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.numeric import present
+from foldwise.plans.brackets import Bracket, coarsen, quantile_brackets
 from foldwise.plans.ordering import running_totals
 from foldwise.plans.small import attach, settle
+from foldwise.session import cut_lineage
+
+INTERPOLATIONS = ("linear", "nearest")
 
 
 def value_counts_long(
-    df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()
+    df: DataFrame,
+    columns: Sequence[str],
+    groups: Sequence[str] = (),
+    brackets: Mapping[str, Sequence[Bracket]] | None = None,
 ) -> DataFrame:
-    """(groups, column, value, n) with one row per distinct present value."""
-    melted = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), present(df, c).cast("double").alias("value"))
-            for c in columns
-        ]
-    )
-    rows = df.select(*groups, F.inline(melted)).where(F.col("value").isNotNull())
-    return rows.groupBy(*groups, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(groups, column, value, gap, n) with one row per distinct present value.
+
+    With ``brackets`` the values between them are merged, marked by ``gap``.
+    """
+
+    def entry(c: str) -> Column:
+        x = present(df, c).cast("double")
+        if brackets and brackets[c]:
+            at = coarsen(x, brackets[c])
+        else:
+            at = F.struct(x.alias("value"), F.lit(0).alias("gap"))
+        kept = F.when(x.isNotNull(), at)
+        return F.struct(F.lit(c).alias("column"), kept.alias("at"))
+
+    rows = df.select(*groups, F.inline(F.array(*[entry(c) for c in columns])))
+    rows = rows.where(F.col("at").isNotNull()).select(*groups, "column", "at.value", "at.gap")
+    return rows.groupBy(*groups, "column", "value", "gap").agg(F.count(F.lit(1)).alias("n"))
 
 
 def present_counts(
@@ -58,30 +75,57 @@ def exact_quantiles(
     ``linear`` interpolates between the two closest ranks, ``nearest`` takes the
     closer one (halves go up).
     """
-    if interpolation not in ("linear", "nearest"):
-        raise ValueError(f"unknown interpolation {interpolation!r}")
+    if interpolation not in INTERPOLATIONS:
+        raise ValueError(f"unknown interpolation {interpolation!r}; known: {INTERPOLATIONS}")
+    if not groups:
+        brackets = quantile_brackets(
+            df, {c: present(df, c) for c in columns}, list(quantiles.values())
+        )
+        counts = value_counts_long(df, columns, (), brackets)
+        found = cut_lineage(_read_ranks(df, counts, columns, quantiles, (), interpolation))
+        # One row per column.  A rank in a gap would mean the sketch missed it.
+        if found.where("__gap > 0").count() == 0:
+            return found.drop("__gap")
     counts = value_counts_long(df, columns, groups)
+    return _read_ranks(df, counts, columns, quantiles, groups, interpolation).drop("__gap")
+
+
+def _read_ranks(
+    df: DataFrame,
+    counts: DataFrame,
+    columns: Sequence[str],
+    quantiles: Mapping[str, float],
+    groups: Sequence[str],
+    interpolation: str,
+) -> DataFrame:
     keys = [*groups, "column"]
-    placed = running_totals(counts, keys, ["value"], {"__before": F.col("n")})
+    placed = running_totals(counts, keys, ["value", "gap"], {"__before": F.col("n")})
     # Groups x columns rows, so that the join does not gather a column's values
     # by its name.
     totals = present_counts(df, columns, groups)
     totals = settle(totals) if groups else F.broadcast(totals)
     ranked = attach(placed, totals, keys, ["__total"])
 
+    def held(rank: Column) -> Column:
+        return (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("n"))
+
     def value_at(rank: Column) -> Column:
-        holds = (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("n"))
-        return F.max(F.when(holds, F.col("value")))
+        return F.max(F.when(held(rank), F.col("value")))
 
-    outputs = []
+    outputs, used = [], []
     for name, q in quantiles.items():
         position = (F.col("__total") - 1) * F.lit(float(q))
         if interpolation == "nearest":
-            outputs.append(value_at(F.floor(position + 0.5)).alias(name))
+            used.append(F.floor(position + 0.5))
+            outputs.append(value_at(used[-1]).alias(name))
             continue
-        low, high = value_at(F.floor(position)), value_at(F.ceil(position))
+        used += [F.floor(position), F.ceil(position)]
+        low, high = value_at(used[-2]), value_at(used[-1])
         share = F.max(position - F.floor(position))
         outputs.append(
             F.when(low == high, low).otherwise(low + (high - low) * share).alias(name)
         )
-    return ranked.groupBy(*keys).agg(*outputs)
+    in_gap = F.lit(False)
+    for rank in used:
+        in_gap = in_gap | (held(rank) & (F.col("gap") != 0))
+    return ranked.groupBy(*keys).agg(*outputs, F.count_if(in_gap).alias("__gap"))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldwise.functions.hashing import hash_fold, key_columns, shuffle_order
+from foldwise.plans.brackets import rows_at_ranks
 from foldwise.plans.cuts import cut_points, cuts_passed, even_cut_ranks
 from foldwise.plans.ordering import with_row_index
 from foldwise.plans.small import attach, settle
@@ -181,29 +182,19 @@ def time_series(
 ) -> DataFrame:
     """Expanding time split (F2): the last ``n_splits`` equal blocks are tests.
 
-    Only time and keys are sorted; whole rows are compared with ``n_splits``
-    thresholds in place.
+    Only times and keys near the block borders are sorted; whole rows are
+    compared with ``n_splits`` thresholds in place.
     """
     _check_splits(n_splits)
     at = key_columns(keys)
     narrow = df.select(time_col, *at)
-    indexed = with_row_index(narrow, [time_col, *at], "__place")
-    total = df.count()
+    total = narrow.count()
     size = total // (n_splits + 1)
     if size == 0:
         raise ValueError(f"cannot make {n_splits} time folds of {total} rows")
     starts = [total - (n_splits - i) * size for i in range(n_splits)]
+    thresholds = rows_at_ranks(narrow, time_col, at, starts, total)
     position = F.struct(time_col, *at)
-    thresholds = cut_lineage(
-        indexed.where(F.col("__place").isin(starts)).agg(
-            F.struct(
-                *[
-                    F.max(F.when(F.col("__place") == s, position)).alias(f"c{i}")
-                    for i, s in enumerate(starts)
-                ]
-            ).alias("cuts")
-        )
-    ).scalar()
     cuts = [thresholds.getField(f"c{i}") for i in range(n_splits)]
     return df.withColumn(block_col, cuts_passed(position, cuts).cast("int"))
 

@@ -77,7 +77,7 @@ def file_stem(path: Column) -> Column:
 
 def read_text_dir(spark: SparkSession, path: str, key_col: str = "key") -> DataFrame:
     """(key, text), one row per file, keyed by file name (O3)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(file_stem(F.col("_metadata.file_path")).alias(key_col), F.col("value").alias("text"))
 
 

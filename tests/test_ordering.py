@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import shuffle_order
 from foldwise.operators.quantiles import exact_quantiles
+from foldwise.plans.brackets import coarsen, rows_at_ranks
 from foldwise.plans.cuts import cut_points, even_cut_ranks
 from foldwise.plans.ordering import running_totals, with_row_index
 
@@ -90,3 +91,32 @@ def test_quantiles_match_numpy(skewed, interpolation):
 def test_quantiles_skip_nan_and_null(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "x double")
     assert exact_quantiles(df, ["x"], {"m": 0.5}).first().m == 2.0
+
+
+def test_brackets_hold_the_quantiles_of_a_large_column(spark):
+    df = spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, 7.0).otherwise((F.col("id") * 7919 % 200_003).cast("double")).alias("x"),
+        "id",
+    )
+    found = exact_quantiles(df, ["x"], {"a": 0.1, "b": 0.5, "c": 0.99}).first()
+    values = np.array([7.0 if i % 3 == 0 else float(i * 7919 % 200_003) for i in range(200_000)])
+    assert (found.a, found.b, found.c) == tuple(pytest.approx(np.quantile(values, q)) for q in (0.1, 0.5, 0.99))
+
+
+def test_coarsening_keeps_the_order(spark):
+    df = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    at = coarsen(F.col("v"), [(10.0, 12.0), (50.0, 50.0)])
+    rows = [(r.v, tuple(r["at"])) for r in df.select("v", at.alias("at")).orderBy("v").collect()]
+    assert [at for _, at in rows] == sorted(at for _, at in rows)
+    assert {at for v, at in rows if 10 <= v <= 12 or v == 50} == {(10.0, 0), (11.0, 0), (12.0, 0), (50.0, 0)}
+    assert {at for v, at in rows if 12 < v < 50} == {(12.0, 1)} and rows[0][1] == (10.0, -1)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_rows_at_ranks(skewed, spark, kind):
+    rows, df = skewed
+    df = df.withColumn("t", F.lpad(F.col("t").cast("string"), 3, "0")) if kind == "string" else df
+    order = sorted((r[2], r[0]) for r in rows)
+    ranks = [0, 17, 300, 599]
+    picked = spark.range(1).select(rows_at_ranks(df, "t", ["id"], ranks, 600).alias("p")).first().p
+    assert [(int(p.t), p.id) for p in picked] == [order[r] for r in ranks]
