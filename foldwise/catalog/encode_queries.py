@@ -78,12 +78,12 @@ def _te_full(spark, d):
     f"""WITH {FINISHED}, t AS (SELECT *, {kfold_sql('o_orderkey', 3)} AS fold FROM finished_orders),
         g AS (SELECT avg(finished) AS m FROM t WHERE fold <> 0),
         c AS (SELECT o_custkey, count(*) AS n, sum(finished) AS s FROM t WHERE fold <> 0 GROUP BY 1)
-        SELECT o_orderkey, round(coalesce((s + m) / (n + 1), m), 8) AS enc_o_custkey
+        SELECT o_orderkey, round(coalesce((s + 1.1 * m) / (n + 1.1), m), 8) AS enc_o_custkey
         FROM t LEFT JOIN c USING (o_custkey), g WHERE fold = 0""",
 )
 def _te_transform(spark, d):
     folds = kfold(finished_orders(spark, d), "o_orderkey", 3)
-    model = fit_target_encoder(training_rows(folds, 0), ["o_custkey"], "finished")
+    model = fit_target_encoder(training_rows(folds, 0), ["o_custkey"], "finished", 1.1)
     coded = transform_target_encode(held_out_rows(folds, 0), model, ["o_custkey"], prefix="enc_")
     return rounded(coded.select("o_orderkey", "enc_o_custkey"), 8, "enc_o_custkey")
 
@@ -190,12 +190,12 @@ def _normal_full(spark, d):
     f"""WITH t AS (SELECT *, {kfold_sql('o_orderkey', 3)} AS fold FROM orders),
         g AS (SELECT avg(o_totalprice) AS p FROM t WHERE fold <> 1),
         c AS (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS m FROM t WHERE fold <> 1 GROUP BY 1)
-        SELECT o_orderkey, round(coalesce((2 * p + n * m) / (2 + n), p), 3) AS o_custkey_te
+        SELECT o_orderkey, round(coalesce((2.1 * p + n * m) / (2.1 + n), p), 3) AS o_custkey_te
         FROM t LEFT JOIN c USING (o_custkey), g WHERE fold = 1""",
 )
 def _bte_transform(spark, d):
     folds = kfold(table(spark, d, "orders"), "o_orderkey", 3)
-    model = fit_bayesian_encoder(training_rows(folds, 1), ["o_custkey"], "o_totalprice", "continuous", 2.0)
+    model = fit_bayesian_encoder(training_rows(folds, 1), ["o_custkey"], "o_totalprice", "continuous", 2.1)
     coded = transform_bayesian_target_encode(held_out_rows(folds, 1), model, ["o_custkey"])
     return rounded(coded.select("o_orderkey", "o_custkey_te"), 3, "o_custkey_te")
 

@@ -20,7 +20,7 @@ from foldwise.operators.columns import composite_name, encoded_name, require_col
 from foldwise.operators.joins import lookup
 from foldwise.operators.split import kfold_expression
 from foldwise.plans.ordering import running_totals
-from foldwise.plans.small import attach, broadcast_within
+from foldwise.plans.small import attach, broadcast_within, total_bytes
 from foldwise.session import cut_lineage
 
 ColumnSpec = str | Sequence[str]
@@ -47,16 +47,17 @@ class Moments:
     """Count, mean and centred square sum of the target for several groupings.
 
     One scan with grouping sets, combined on the map side; the result is kept
-    in the checkpoint folder, and its row counts decide which parts are small
-    enough to broadcast.
+    in the checkpoint folder, and its true sizes decide which parts are small
+    enough to broadcast.  A grouping that is only there together with the fold
+    is merged from its folds.
     """
 
     def __init__(self, df: DataFrame, y: Column, groupings: Sequence[Sequence[str]]):
-        sets = list(dict.fromkeys(tuple(dict.fromkeys(g)) for g in groupings))
-        self._columns = list(dict.fromkeys(c for g in sets for c in g))
+        self._sets = list(dict.fromkeys(tuple(dict.fromkeys(g)) for g in groupings))
+        self._columns = list(dict.fromkeys(c for g in self._sets for c in g))
         narrow = df.select(*self._columns, y.alias("__y"))
         n = F.count("__y")
-        grouped = narrow.groupingSets([[F.col(c) for c in g] for g in sets], *self._columns)
+        grouped = narrow.groupingSets([[F.col(c) for c in g] for g in self._sets], *self._columns)
         self._table = cut_lineage(
             grouped.agg(
                 F.grouping_id().cast("long").alias("__set"),
@@ -65,21 +66,39 @@ class Moments:
                 F.coalesce(F.var_pop("__y") * n, F.lit(0.0)).alias("m2"),
             )
         )
-        counted = self._table.groupBy("__set").agg(F.count(F.lit(1)).alias("rows"))
-        self._rows = {r["__set"]: r["rows"] for r in counted.collect()}
+        sizes = self._table.groupBy("__set").agg(total_bytes(self._table).alias("size"))
+        self._sizes = {r["__set"]: r["size"] for r in sizes.collect()}
 
     def _set(self, grouping: Sequence[str]) -> int:
         bits = ["0" if c in grouping else "1" for c in self._columns]
         return int("".join(bits) or "0", 2)
 
+    def _stored(self, grouping: Sequence[str]) -> list[str]:
+        known = tuple(grouping) in self._sets
+        return list(grouping) if known else [*grouping, FOLD]
+
     def by(self, grouping: Sequence[str]) -> DataFrame:
         """(grouping columns, n, mean, m2) of one grouping."""
-        rows = self._table.where(F.col("__set") == self._set(grouping))
-        return rows.select(*grouping, "n", "mean", "m2")
+        stored = self._stored(grouping)
+        rows = self._table.where(F.col("__set") == self._set(stored)).select(
+            *stored, "n", "mean", "m2"
+        )
+        if stored == list(grouping):
+            return rows
+        # One row per fold and group: merged around the mean of the group.
+        group = W.partitionBy(*grouping)
+        total = F.nullif(F.sum("n").over(group), F.lit(0))
+        centred = rows.withColumn("__mean", F.sum(F.col("n") * F.col("mean")).over(group) / total)
+        apart = F.col("n") * F.pow(F.col("mean") - F.col("__mean"), F.lit(2.0))
+        return centred.groupBy(*grouping).agg(
+            F.sum("n").alias("n"),
+            F.max("__mean").alias("mean"),
+            F.sum(F.col("m2") + F.coalesce(apart, F.lit(0.0))).alias("m2"),
+        )
 
     def sized(self, table: DataFrame, grouping: Sequence[str]) -> DataFrame:
         """``table``, one row per group, marked for broadcast if it is small."""
-        return broadcast_within(table, self._rows.get(self._set(grouping), 0))
+        return broadcast_within(table, self._sizes.get(self._set(self._stored(grouping)), 0))
 
 
 def _target(df: DataFrame, target_col: str) -> Column:
@@ -112,7 +131,8 @@ def _other_folds(stats: DataFrame, keys: Sequence[str], squares: bool = False) -
     if not squares:
         return merged.drop("__sum")
     # Square sums are merged around the mean of the other folds.
-    add = lambda acc, p: acc + p.m2 + p.n * F.pow(p["mean"] - F.col("mean"), F.lit(2.0))
+    apart = lambda p: p.n * F.pow(p["mean"] - F.col("mean"), F.lit(2.0))
+    add = lambda acc, p: acc + p.m2 + F.coalesce(apart(p), F.lit(0.0))
     rest = F.filter("__parts", lambda p: p.fold != F.col(FOLD))
     m2 = F.coalesce(F.aggregate(rest, F.lit(0.0), add), F.lit(0.0))
     return merged.select(*keys, FOLD, "n", "mean", m2.alias("m2"))
@@ -274,9 +294,9 @@ def target_encode(
 def _fold_moments(
     df: DataFrame, y: Column, specs: Sequence[tuple[str, list[str]]]
 ) -> Moments:
-    """Moments by fold, category, and both: all that fit and out-of-fold need."""
+    """Moments by fold, and by category and fold: all that fit and out-of-fold need."""
     cats = [cat for _, cat in specs]
-    return Moments(df, y, [[], [FOLD], *cats, *[[*cat, FOLD] for cat in cats]])
+    return Moments(df, y, [[], [FOLD], *[[*cat, FOLD] for cat in cats]])
 
 
 def transform_target_encode(

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.hashing import hash_fold, key_columns, shuffle_order
 from foldwise.plans.brackets import rows_at_ranks
 from foldwise.plans.cuts import cut_points, cuts_passed, even_cut_ranks
-from foldwise.plans.ordering import with_row_index
+from foldwise.plans.ordering import running_totals, with_row_index
 from foldwise.plans.small import attach, settle
 from foldwise.session import cut_lineage
 
@@ -76,17 +76,13 @@ def stratified_kfold(
     _check_splits(n_splits)
     order = shuffle_order(keys, seed)
     classes = cut_points(df, [target_col], order, even_cut_ranks(n_splits))
-    # One row per class.
-    earlier = W.orderBy(F.col(target_col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    surplus = F.sum(F.col("n") % n_splits).over(earlier)
-    classes = settle(
-        classes.withColumn("__turn", F.coalesce(surplus, F.lit(0)) % n_splits)
-    )
+    surplus = {"__turn": F.col("n") % n_splits}
+    classes = settle(running_totals(classes, [], [target_col], surplus))
     cuts = [f"cut_{i}" for i in range(n_splits - 1)]
     joined = attach(df, classes, [target_col], ["__turn", *cuts])
     run = cuts_passed(order, [F.col(c) for c in cuts])
     return joined.withColumn(
-        fold_col, ((F.col("__turn") + run) % n_splits).cast("int")
+        fold_col, ((F.col("__turn") % n_splits + run) % n_splits).cast("int")
     ).drop("__turn", *cuts)
 
 

@@ -9,22 +9,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foldwise.session import cut_lineage
 
 # Largest fitted table that is broadcast; bigger ones take a shuffled join.
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+# A fixed-width value, with what a hash table adds to it.
+VALUE_BYTES = 24
 
 
-def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def total_bytes(df: DataFrame) -> Column:
+    """Aggregate: upper estimate of the size of all rows, long texts included."""
+    width = F.lit(VALUE_BYTES * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    return F.coalesce(F.sum(width), F.lit(0))
+
+
+def broadcast_within(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a table of known size for broadcast if it is small."""
+    return F.broadcast(df) if size <= limit else df
+
+
+def settle(df: DataFrame) -> DataFrame:
     """Compute a fitted table once; mark it for broadcast only if it is small.
 
     The table is written to the checkpoint folder, so using it several times
-    does not repeat the fit, and its true row count decides the join.
+    does not repeat the fit, and its true size decides the join.
     """
     fixed = cut_lineage(df)
-    return broadcast_within(fixed, fixed.count(), max_rows)
-
-
-def broadcast_within(df: DataFrame, rows: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table of known row count for broadcast if it is small."""
-    return F.broadcast(df) if rows <= max_rows else df
+    return broadcast_within(fixed, fixed.agg(total_bytes(fixed).alias("size")).first()["size"])
 
 
 def all_equal(pairs: Sequence[tuple[str, str]]) -> Column:

@@ -197,3 +197,33 @@ def test_expanding_with_ties_and_many_partitions(spark):
         seen = past.setdefault(c, [])
         assert found[i] == pytest.approx((2 * g + sum(seen)) / (2 + len(seen)) if seen else g)
         seen.append(y)
+
+
+def test_merged_folds_give_the_moments_of_the_whole(folded):
+    _, df = folded
+    whole, parted = (
+        fit_bayesian_encoder(df, ["c"], "y", "continuous", 2.0),
+        bayesian_target_encode(df, ["c"], "y", "continuous", fold_col="fold", prior_weight=2.0)[1],
+    )
+    columns = ("n_samples", "posterior_mean", "posterior_var", "beta_post")
+    a, b = table_of(whole, "c", *columns), table_of(parted, "c", *columns)
+    assert set(a) == set(b) and all(b[k] == pytest.approx(a[k]) for k in a)
+
+
+def test_folds_without_targets_keep_the_variance(spark):
+    rows = [(i, "a", float(i), i % 2) for i in range(8)] + [(8, "a", None, 2), (9, "a", None, 3)]
+    df = spark.createDataFrame(rows, "id int, c string, y double, fold int")
+    found, _ = bayesian_target_encode(df, ["c"], "y", "continuous", fold_col="fold")
+    codes = by_id(found, "c_te", "c_te_var")
+    # Rows of fold 2 see 0..7: mean 3.5, square sum 42, prior 3.5.
+    assert codes[8] == (pytest.approx(3.5), pytest.approx((1 + 21) / (5 * 9)))
+
+
+def test_large_encoder_takes_a_shuffled_join(folded, monkeypatch):
+    from foldwise.plans import small
+
+    _, df = folded
+    expected = by_id(target_encode(df, ["c"], "y", fold_col="fold", suffix="_te")[0], "c_te")
+    monkeypatch.setattr(small.broadcast_within, "__defaults__", (0,))
+    found, _ = target_encode(df, ["c"], "y", fold_col="fold", suffix="_te")
+    assert by_id(found, "c_te") == pytest.approx(expected)
