@@ -180,9 +180,9 @@ def _duplicated(spark, d):
 
 
 def _tables(spark, d):
-    """Orders by customer, the customers of some nations, and events by user."""
+    """Orders by customer, customers with a positive balance, and events by user."""
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.lit("o").alias("tag"))
-    customer = table(spark, d, "customer").where("c_nationkey < 15").select(
+    customer = table(spark, d, "customer").where("c_acctbal > 0").select(
         F.col("c_custkey").alias("k"), "c_name", F.lit("c").alias("tag")
     )
     users = table(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(
@@ -192,7 +192,7 @@ def _tables(spark, d):
 
 
 TABLES = """o AS (SELECT o_custkey AS k, o_orderkey, 'o' AS tag FROM orders),
-  c AS (SELECT c_custkey AS k, c_name, 'c' AS tag_right FROM customer WHERE c_nationkey < 15),
+  c AS (SELECT c_custkey AS k, c_name, 'c' AS tag_right FROM customer WHERE c_acctbal > 0),
   u AS (SELECT user_id AS k, count(*) AS n_events FROM events GROUP BY 1)"""
 
 

@@ -61,6 +61,21 @@ def _te_rare(spark, d):
     return coded.select("o_orderkey", F.round("o_custkey_te", 4).alias("te"))
 
 
+@query(
+    "p10_encoded_names",
+    """WITH g AS (SELECT avg(o_totalprice) AS m FROM orders),
+       c AS (SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1)
+       SELECT o_orderkey, round((s + 1.1 * m) / (n + 1.1), 3) AS o_orderstatus,
+              round((s + 1.1 * m) / (n + 1.1), 3) AS enc_o_orderstatus_x FROM orders JOIN c USING (o_orderstatus), g""",
+)
+def _names(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    model = fit_target_encoder(orders, ["o_orderstatus"], "o_totalprice", 1.1)
+    added = transform_target_encode(orders, model, ["o_orderstatus"], "_x", "enc_")
+    replaced = transform_target_encode(added, model, ["o_orderstatus"])
+    return rounded(replaced.drop("o_totalprice"), 3, "o_orderstatus", "enc_o_orderstatus_x")
+
+
 @query(
     "e4_te_full",
     f"""WITH {FINISHED}, g AS (SELECT avg(finished) AS m FROM finished_orders)

@@ -8,11 +8,13 @@ from foldwise.catalog.registry import (
     JUDGED, LABELLED, judged, kfold_sql, labelled, query, rounded, table,
 )
 from foldwise.operators.evaluate import binary_auc
-from foldwise.operators.profile import missing_table
+from foldwise.operators.profile import missing_table, table_profile
 from foldwise.operators.split import kfold
+from foldwise.plans.recipe import compose
 from foldwise.session import scratch_path
 from foldwise.sources.readers import (
-    latest_run, load_inputs, read_csv, read_csv_directory, read_csv_glob, read_parquet,
+    latest_run, load_inputs, read_csv, read_csv_directory, read_csv_glob, read_index_splits,
+    read_manifest, read_parquet,
 )
 from foldwise.sources.writers import (
     read_fold, record_run, write_folds, write_predictions, write_statistics, write_table,
@@ -48,6 +50,21 @@ def _directory(spark, d):
     return rows.withColumn("from_file", F.col("source_file").endswith(".csv")).drop("source_file")
 
 
+@query(
+    "s3_profile_by_file",
+    """SELECT o_orderstatus AS source, 'o_custkey' AS "column", count(*) AS n_rows, 0 AS missing_count FROM orders GROUP BY 1
+       UNION ALL SELECT o_orderstatus, 'o_orderpriority', count(*), 0 FROM orders GROUP BY 1""",
+)
+def _by_file(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus")
+    path = scratch_path(spark, "orders")
+    orders.write.partitionBy("o_orderstatus").option("header", True).csv(path)
+    schema = "o_custkey bigint, o_orderpriority string, o_orderstatus string"
+    rows = read_csv_directory(spark, path, schema).drop("source_file")
+    found = table_profile(rows.withColumnRenamed("o_orderstatus", "source"), ["source"])
+    return found.select("source", "column", "n_rows", F.col("missing_count").cast("int").alias("missing_count"))
+
+
 @query("s5_parquet_sink", "SELECT p_partkey, p_brand FROM part")
 def _sink(spark, d):
     path = write_table(table(spark, d, "part"), scratch_path(spark, "out"), "parts", ["p_partkey", "p_brand"])
@@ -149,3 +166,76 @@ def _jsonl(spark, d):
     labels.write.json(path)
     given = [{"id": "labels", "path": path, "format": "jsonl", "schema": labels.schema}]
     return load_inputs(spark, given)["labels"]
+
+
+# JSON documents hold this many items each, however large the table.
+ITEMS = 1000
+
+
+def _documents(rows, item, path):
+    """Write ``item`` of consecutive ids as JSON documents of bounded size, one per file."""
+    bucket = F.floor(F.col("doc_id") / ITEMS)
+    documents = rows.groupBy(bucket).agg(item.alias("value")).select("value")
+    documents.write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query(
+    "s11_manifest",
+    """SELECT 'docs/' || doc_id AS file_path, CAST(quality AS DOUBLE) AS first, CAST(toxic AS DOUBLE) AS second
+       FROM labels""",
+)
+def _manifest(spark, d):
+    file_path = F.concat(F.lit("docs/"), F.col("doc_id"))
+    label = F.array(F.col("quality").cast("double"), F.col("toxic").cast("double"))
+    items = F.to_json(F.collect_list(F.struct(file_path.alias("file_path"), label.alias("label"))))
+    path = _documents(table(spark, d, "labels"), items, scratch_path(spark, "manifest"))
+    rows = read_manifest(spark, path)
+    return rows.select("file_path", F.col("label")[0].alias("first"), F.col("label")[1].alias("second"))
+
+
+@query(
+    "s11_index_splits",
+    """SELECT CAST(i AS INTEGER) AS fold, CASE WHEN doc_id % 3 = i THEN 'val' ELSE 'train' END AS split,
+              doc_id AS row_index FROM documents, (SELECT unnest(range(3)) AS i)""",
+)
+def _index_splits(spark, d):
+    documents = table(spark, d, "documents")
+
+    def fold(i):
+        own = F.col("doc_id") % 3 == i
+        sides = {"train": ~own, "val": own}
+        return F.struct(*[F.collect_list(F.when(c, F.col("doc_id"))).alias(n) for n, c in sides.items()])
+
+    folds = F.to_json(F.array(*[fold(i) for i in range(3)]))
+    return read_index_splits(spark, _documents(documents, folds, scratch_path(spark, "splits")))
+
+
+@query(
+    "o5_from_job",
+    "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0",
+)
+def _from_job(spark, d):
+    supplier = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    job = scratch_path(spark, "job")
+    supplier.write.parquet(f"{job}/20260101T000000/out")
+    supplier.where("s_acctbal > 0").write.parquet(f"{job}/20260102T000000/out")
+    return load_inputs(spark, [{"id": "in", "from_job": job, "output": "out"}])["in"]
+
+
+@query(
+    "o6_o7_recipe_steps",
+    """SELECT p_partkey, 'img/' || p_partkey || '.png' AS path FROM part""",
+)
+def _steps(spark, d):
+    made = compose(
+        {"part": table(spark, d, "part")},
+        [
+            {"id": "short", "method": "select_columns", "options": {"columns": ["p_partkey", "p_name"]}},
+            {"id": "kept", "method": "checkpoint"},
+            {"id": "path", "method": "format_column",
+             "options": {"template": "img/{p_partkey}.png", "source_col": "p_partkey", "output_col": "path"}},
+            {"id": "out", "method": "drop_source", "options": {"columns": ["p_name"]}},
+        ],
+    )
+    return made.tables["out"]

@@ -16,16 +16,17 @@ def _join_two(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame
     if how in ("semi", "anti"):
         return left.join(right, on, f"left_{how}")
     taken = set(left.columns)
-    clash = [c for c in right.columns if c in taken and (c != on or how == "cross")]
+    clash = [c for c in right.columns if c in taken and (c != on or how in ("cross", "full"))]
+    twice = [c for c in clash if f"{c}_right" in taken or f"{c}_right" in right.columns]
+    if twice:
+        raise ValueError(f"columns {twice} clash more than once; rename them before the join")
     renamed = right.withColumnsRenamed({c: f"{c}_right" for c in clash})
     if how == "cross":
         return left.crossJoin(renamed)
     if how != "full":
         return left.join(renamed, on, how)
     # A full join keeps both keys; NULL marks the side that had no row.
-    key = f"{on}_right"
-    keyed = renamed.withColumnRenamed(on, key)
-    return left.join(keyed, left[on] == keyed[key], "full")
+    return left.join(renamed, F.col(on) == F.col(f"{on}_right"), "full")
 
 
 def join_tables(dfs: Sequence[DataFrame], on: str, how: str = "left") -> DataFrame:

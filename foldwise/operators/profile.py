@@ -127,27 +127,21 @@ def describe_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     )
 
 
-def missing_table(df: DataFrame) -> DataFrame:
-    """(column, missing_count, missing_pct); 0 percent for an empty table (A3)."""
-    rows = F.count(F.lit(1))
-    counted = df.agg(
-        rows.alias("n"),
-        *[(rows - F.count(present(df, c))).alias(f"m{i}") for i, c in enumerate(df.columns)],
-    )
-    entries = [
-        F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_count"))
-        for i, c in enumerate(df.columns)
-    ]
-    share = F.when(F.col("n") > 0, F.col("missing_count") / F.col("n") * 100).otherwise(0.0)
-    return counted.select("n", F.inline(F.array(*entries))).select(
-        "column", "missing_count", share.alias("missing_pct")
+def missing_table(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, column, missing_count, missing_pct); 0 percent for an empty table (A3)."""
+    share = F.when(F.col("n_rows") > 0, F.col("missing_count") / F.col("n_rows") * 100)
+    return table_profile(df, groups).select(
+        *groups, "column", "missing_count", share.otherwise(0.0).alias("missing_pct")
     )
 
 
-def table_profile(df: DataFrame) -> DataFrame:
-    """One row per column: table size, position, type and missing count (A4)."""
-    kinds = df.dtypes
-    counted = df.agg(
+def table_profile(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """One row per column: table size, position, type and missing count (A4).
+
+    Group by the source file to profile a directory of files in one pass.
+    """
+    kinds = [(c, t) for c, t in df.dtypes if c not in groups]
+    counted = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count(present(df, c)).alias(f"c{i}") for i, (c, _) in enumerate(kinds)],
     )
@@ -161,7 +155,7 @@ def table_profile(df: DataFrame) -> DataFrame:
         for i, (c, t) in enumerate(kinds)
     ]
     return counted.select(
-        "n_rows", F.lit(len(kinds)).alias("n_columns"), F.inline(F.array(*entries))
+        *groups, "n_rows", F.lit(len(kinds)).alias("n_columns"), F.inline(F.array(*entries))
     )
 
 

@@ -127,8 +127,9 @@ def test_joins_rename_clashes_and_keep_null_keys_apart(spark):
     assert join_tables([a, b], "id", "semi").columns == ["id", "v"]
     assert join_tables([a, b], "id", "anti").count() == 2
     assert join_tables([a, b], "id", "cross").count() == 9
-    with pytest.raises(ValueError):
-        join_tables([a], "id")
+    for bad in ([a], [a, b, b]):
+        with pytest.raises(ValueError):
+            join_tables(bad, "id")
     with pytest.raises(ValueError):
         join_tables([a, b], "id", "asof")
 

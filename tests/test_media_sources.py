@@ -120,6 +120,27 @@ def test_mel_of_a_sine(spark):
     assert np.allclose(silent, -100.0)
 
 
+def test_mel_against_a_plain_transform():
+    rate, n_fft, hop, bands = 64, 16, 8, 4
+    samples = np.random.default_rng(4).normal(size=40)
+    padded = np.concatenate([samples[8:0:-1], samples, samples[-2:-10:-1]])
+    bins = [int((n_fft + 1) * 700 * (10 ** (m / 2595) - 1) / rate) for m in np.linspace(0, 2595 * np.log10(1 + 32 / 700), 6)]
+    expected = np.zeros((bands, len(samples) // hop + 1))
+    for t in range(expected.shape[1]):
+        for b in range(bands):
+            low, mid, high = bins[b : b + 3]
+            for k in range(low, high):
+                weight = (k - low) / (mid - low) if k < mid else (high - k) / (high - mid)
+                wave_k = sum(
+                    padded[t * hop + i] * (0.5 - 0.5 * np.cos(2 * np.pi * i / n_fft)) * np.exp(-2j * np.pi * k * i / n_fft)
+                    for i in range(n_fft)
+                )
+                expected[b, t] += weight * abs(wave_k) ** 2
+    expected = 10 * np.log10(np.maximum(expected, 1e-10))
+    expected = np.maximum(expected, expected.max() - 80)
+    assert np.allclose(mel_decibels(samples, rate, n_fft, hop, bands), expected, atol=1e-3)
+
+
 def test_csv_sources(spark, tmp_path):
     (tmp_path / "b.csv").write_text("id,x\n1,0.5\n2,\n")
     (tmp_path / "a.csv").write_text("id,x\n3,1.5\n")
