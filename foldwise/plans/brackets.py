@@ -65,8 +65,25 @@ def coarsen(value: Column, brackets: Sequence[Bracket]) -> Column:
     return result
 
 
-# Order columns whose cast to double keeps their order.
-SKETCHED_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp")
+NUMBER_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp")
+
+
+def order_number(df: DataFrame, name: str) -> Column | None:
+    """A double that sorts like the column, or None for types without one.
+
+    Times without a zone are taken apart, since going through a zoned time
+    could fold an hour onto itself.
+    """
+    kind, column = dict(df.dtypes)[name], F.col(name)
+    if kind in NUMBER_TYPES:
+        return column.cast("double")
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    if kind == "timestamp_ntz":
+        minutes = (F.unix_date(column.cast("date")).cast("long") * 24 + F.hour(column)) * 60
+        minutes = minutes + F.minute(column)
+        return minutes * 60 + F.extract(F.lit("SECOND"), column).cast("double")
+    return None
 
 
 def rows_at_ranks(
@@ -80,10 +97,9 @@ def rows_at_ranks(
     """
     names = [order_col, *keys]
     rows = df.select(*names)
-    value = F.col(order_col).cast("double")
-    sketched = dict(df.dtypes)[order_col] in SKETCHED_TYPES
+    value = order_number(df, order_col)
     brackets: list[Bracket] = []
-    if sketched and rows.where(value.isNull() | F.isnan(value)).limit(1).count() == 0:
+    if value is not None and rows.where(value.isNull() | F.isnan(value)).limit(1).count() == 0:
         wanted = [r / max(total - 1, 1) for r in ranks]
         brackets = quantile_brackets(rows, {order_col: value}, wanted)[order_col]
     if brackets:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import shuffle_order
 from foldwise.operators.quantiles import exact_quantiles
-from foldwise.plans.brackets import coarsen, rows_at_ranks
+from foldwise.plans.brackets import coarsen, order_number, rows_at_ranks
 from foldwise.plans.cuts import cut_points, even_cut_ranks
 from foldwise.plans.ordering import running_totals, with_row_index
 
@@ -112,11 +112,21 @@ def test_coarsening_keeps_the_order(spark):
     assert {at for v, at in rows if 12 < v < 50} == {(12.0, 1)} and rows[0][1] == (10.0, -1)
 
 
-@pytest.mark.parametrize("kind", ["int", "string"])
+AS_TYPE = {
+    "int": "t",
+    "string": "lpad(CAST(t AS string), 3, '0')",
+    "date": "date_add(DATE '2024-03-01', t)",
+    "timestamp": "timestamp_micros(1000000000000000 + t * 7)",
+    "timestamp_ntz": "CAST(timestamp_micros(1000000000000000 + t * 7) AS timestamp_ntz)",
+}
+
+
+@pytest.mark.parametrize("kind", AS_TYPE)
 def test_rows_at_ranks(skewed, spark, kind):
     rows, df = skewed
-    df = df.withColumn("t", F.lpad(F.col("t").cast("string"), 3, "0")) if kind == "string" else df
-    order = sorted((r[2], r[0]) for r in rows)
+    df = df.withColumn("t", F.expr(AS_TYPE[kind]))
+    assert dict(df.dtypes)["t"] == kind and (order_number(df, "t") is None) == (kind == "string")
+    order = [i for _, i in sorted((r[2], r[0]) for r in rows)]
     ranks = [0, 17, 300, 599]
     picked = spark.range(1).select(rows_at_ranks(df, "t", ["id"], ranks, 600).alias("p")).first().p
-    assert [(int(p.t), p.id) for p in picked] == [order[r] for r in ranks]
+    assert [p.id for p in picked] == [order[r] for r in ranks]
