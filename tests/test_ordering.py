@@ -130,3 +130,19 @@ def test_rows_at_ranks(skewed, spark, kind):
     ranks = [0, 17, 300, 599]
     picked = spark.range(1).select(rows_at_ranks(df, "t", ["id"], ranks, 600).alias("p")).first().p
     assert [p.id for p in picked] == [order[r] for r in ranks]
+
+
+def test_missed_brackets_fall_back_to_the_full_count(skewed, spark, monkeypatch):
+    from foldwise.operators import quantiles
+    from foldwise.plans import brackets
+
+    rows, df = skewed
+    wrong = lambda df, columns, q: {c: [(3.0, 3.0)] for c in columns}
+    monkeypatch.setattr(quantiles, "quantile_brackets", wrong)
+    monkeypatch.setattr(brackets, "quantile_brackets", wrong)
+    found = exact_quantiles(df, ["t"], {"a": 0.1, "b": 0.8}).first()
+    values = [r[2] for r in rows]
+    assert (found.a, found.b) == tuple(pytest.approx(np.quantile(values, q)) for q in (0.1, 0.8))
+    picked = spark.range(1).select(rows_at_ranks(df, "t", ["id"], [0, 400], 600).alias("p")).first().p
+    order = sorted((r[2], r[0]) for r in rows)
+    assert [(p.t, p.id) for p in picked] == [order[0], order[400]]
