@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldwise.catalog.registry import LABELLED, labelled, query, rounded, table
 from foldwise.operators.profile import (
-    describe, describe_long, group_counts, group_describe, group_stats, histograms,
+    describe, describe_long, distributions, group_counts, group_describe, group_stats, histograms,
     missing_matrix, missing_table, table_profile, value_counts,
 )
 
@@ -133,6 +133,23 @@ def _histogram(spark, d):
     return rounded(found, 4, "bin_left", "bin_right")
 
 
+def _top_sql(column: str, source: str) -> str:
+    return f"""SELECT '{column}' AS "column", row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS place,
+        {column} AS label, CAST(NULL AS DOUBLE) AS bin_left, CAST(NULL AS DOUBLE) AS bin_right, count(*) AS count
+      FROM {source} GROUP BY {column} QUALIFY place < 20"""
+
+
+@query(
+    "a5_a6_distributions",
+    f"""SELECT "column", bin AS place, CAST(NULL AS VARCHAR) AS label, bin_left, bin_right, count
+        FROM ({_histogram_sql('p_size', 'part')} UNION ALL {_histogram_sql('p_retailprice', 'part')})
+        UNION ALL {_top_sql('p_name', 'part')} UNION ALL {_top_sql('p_brand', 'part')}""",
+)
+def _distributions(spark, d):
+    parts = table(spark, d, "part").select("p_name", "p_size", "p_brand", "p_retailprice", "p_type")
+    return rounded(distributions(parts, 4), 4, "bin_left", "bin_right")
+
+
 @query(
     "a6_value_counts",
     f"""SELECT quality, count(*) AS count FROM {LABELLED} GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 20""",

@@ -21,6 +21,9 @@ MEL_FACTOR, MEL_BREAK_HZ = 2595.0, 700.0
 POWER_FLOOR, TOP_DB = 1e-10, 80.0
 MIN_SIZE_RATIO, MAX_SIZE_RATIO = 0.25, 4.0
 
+# Decoded samples a task holds before it hands them on; long files go one by one.
+HELD_SAMPLES = 4_000_000
+
 
 def plain_path(path: Column) -> Column:
     """A local file URI as a path; other schemes stay as they are."""
@@ -77,12 +80,15 @@ def _pcm_samples(raw: bytes, width: int) -> np.ndarray:
 def load_waveforms(df: DataFrame, offset: float = 0.0, duration: float | None = None) -> DataFrame:
     """Decode (path, content) rows of PCM WAV to mono waveforms (M3).
 
-    ``offset`` and ``duration`` are seconds; channels are averaged.
+    ``offset`` and ``duration`` are seconds; channels are averaged.  For large files
+    set ``spark.sql.execution.arrow.maxBytesPerBatch`` so that a batch stays small.
     """
 
+    names = ["path", "waveform", "sample_rate", "duration_seconds"]
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for path, content in zip(batch["path"], batch["content"]):
                 with wave.open(io.BytesIO(content)) as f:
                     rate, channels = f.getframerate(), f.getnchannels()
@@ -94,7 +100,11 @@ def load_waveforms(df: DataFrame, offset: float = 0.0, duration: float | None =
                     samples = _pcm_samples(f.readframes(wanted), f.getsampwidth())
                 mono = samples.reshape(-1, channels).mean(axis=1).astype(np.float32)
                 rows.append((path, mono, rate, len(mono) / rate))
-            yield pd.DataFrame(rows, columns=["path", "waveform", "sample_rate", "duration_seconds"])
+                held += len(mono)
+                if held > HELD_SAMPLES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     schema = "path string, waveform array<float>, sample_rate int, duration_seconds double"
     return df.select("path", "content").mapInPandas(decode, schema)

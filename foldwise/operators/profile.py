@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldwise.functions.hashing import shuffle_order
 from foldwise.functions.numeric import present
-from foldwise.operators.columns import numeric_columns
+from foldwise.operators.columns import numeric_columns, plot_columns
 from foldwise.operators.quantiles import exact_quantiles
 from foldwise.operators.sample import id_transitions
 from foldwise.plans.ordering import with_row_index
@@ -17,6 +18,7 @@ from foldwise.plans.small import attach
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 DEFAULT_BINS = 30
 DEFAULT_TOP = 20
+DEFAULT_COLUMNS = 20
 
 
 def _text(column: Column, kind: str) -> Column:
@@ -223,6 +225,45 @@ def value_counts(
     return counted.orderBy(F.col("count").desc(), F.col(column).asc_nulls_first()).limit(top)
 
 
+def distributions(
+    df: DataFrame, max_cols: int = DEFAULT_COLUMNS, bins: int = DEFAULT_BINS, top: int = DEFAULT_TOP
+) -> DataFrame:
+    """What a plot of each column shows, numeric columns first.
+
+    (column, place, label, bin_left, bin_right, count): histogram bins of numeric
+    columns, the ``top`` commonest values of the others, NULL being a value.
+    """
+    chosen = plot_columns(df, max_cols)
+    numeric = [c for c in chosen if c in numeric_columns(df)]
+    other = [c for c in chosen if c not in numeric]
+    nothing = F.lit(None).cast("double")
+    parts = []
+    if numeric:
+        parts.append(
+            histograms(df, numeric, bins).select(
+                "column", F.col("bin").alias("place"), F.lit(None).cast("string").alias("label"),
+                "bin_left", "bin_right", "count",
+            )
+        )
+    if other:
+        kinds = dict(df.dtypes)
+        entries = [
+            F.struct(F.lit(c).alias("column"), _text(F.col(c), kinds[c]).alias("label")) for c in other
+        ]
+        counts = df.select(F.inline(F.array(*entries))).groupBy("column", "label").agg(
+            F.count(F.lit(1)).alias("count")
+        )
+        by_count = W.partitionBy("column").orderBy(F.col("count").desc(), F.col("label").asc_nulls_first())
+        ranked = counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= top)
+        parts.append(
+            ranked.select(
+                "column", (F.col("place") - 1).cast("long").alias("place"), "label",
+                nothing.alias("bin_left"), nothing.alias("bin_right"), "count",
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def group_stats(df: DataFrame, group_by: str) -> DataFrame:
     """Mean and sample std of every other numeric column, and count, by key."""
     names = [c for c in numeric_columns(df) if c != group_by]
@@ -278,7 +319,8 @@ def missing_matrix(
 PROFILE_STEPS: dict[str, Callable[..., DataFrame]] = {
     "basic_stats": describe,
     "missing_values": missing_table,
-    "distributions": histograms,
+    "missing_matrix": missing_matrix,
+    "distributions": distributions,
     "group_stats": group_stats,
     "id_transitions": id_transitions,
 }

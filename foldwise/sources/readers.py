@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,14 +61,19 @@ def read_csv_glob(spark: SparkSession, pattern: str, schema: Schema | None = Non
     """CSV files matching a pattern, one below the other; columns match by name (O1)."""
     if schema is not None:
         return read_csv(spark, pattern, schema)
-    listing = spark.read.format("binaryFile").load(pattern).select("path").orderBy("path")
-    tables = [read_csv(spark, row["path"]) for row in listing.collect()]
+    # One read per distinct header, not per file.
+    lines = spark.read.text(pattern).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    files = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    tables = [read_csv(spark, row["paths"]) for row in files.orderBy("paths").collect()]
     if not tables:
-        raise ValueError(f"no file matches {pattern!r}")
-    result = tables[0]
-    for table in tables[1:]:
-        result = result.unionByName(table, allowMissingColumns=True)
-    return result
+        raise ValueError(f"no rows in files matching {pattern!r}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def file_stem(path: Column) -> Column:

@@ -154,6 +154,12 @@ def test_csv_sources(spark, tmp_path):
     tagged = read_csv_directory(spark, root, "id int, x double")
     assert {(r.id, r.source_file) for r in tagged.collect()} == {(1, "b.csv"), (2, "b.csv"), (3, "a.csv")}
     assert read_csv_glob(spark, f"{root}/*.csv").count() == 3
+    (tmp_path / "z.csv").write_text("name,id\nzed,7\n")
+    mixed = read_csv_glob(spark, f"{root}/*.csv")
+    assert set(mixed.columns) == {"id", "x", "name"}
+    assert {(r.id, r.x, r.name) for r in mixed.collect()} == {
+        (1, 0.5, None), (2, None, None), (3, 1.5, None), (7, None, "zed")
+    }
 
 
 def test_inputs_and_latest(spark, tmp_path):
