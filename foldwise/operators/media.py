@@ -80,8 +80,8 @@ def _pcm_samples(raw: bytes, width: int) -> np.ndarray:
 def load_waveforms(df: DataFrame, offset: float = 0.0, duration: float | None = None) -> DataFrame:
     """Decode (path, content) rows of PCM WAV to mono waveforms (M3).
 
-    ``offset`` and ``duration`` are seconds; channels are averaged.  For large files
-    set ``spark.sql.execution.arrow.maxBytesPerBatch`` so that a batch stays small.
+    ``offset`` and ``duration`` are seconds; channels are averaged.  Batches
+    of files are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
 
     names = ["path", "waveform", "sample_rate", "duration_seconds"]
