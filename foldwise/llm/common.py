@@ -58,7 +58,7 @@ def per_text(
     kinds = fields(result)
     narrow = pick(df, [key, text], kinds)
     schema = StructType([StructField(key, narrow.schema[0].dataType), *kinds.fields])
-    target = to_arrow_schema(schema, timezone="UTC")
+    target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = start()

@@ -3,21 +3,47 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldwise.catalog.registry import Query, table
+from foldwise.llm import language, quality
 from foldwise.llm.token_counts import token_counts
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Rows no classifier learns from; a NULL key is not held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
+
+
+def quality_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> quality.BagModel | None:
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return quality.learn(documents, labels)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = quality.score(documents, quality_model(spark, documents, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.learn(documents.where(~held_out()))
+    found = language.detect(documents, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return token_counts(documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
 for _query in (
+    op6_quality_classifier,
+    op7_language_id,
     op10_token_counts,
 ):
     QUERIES[_query.__name__] = _query
