@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldwise.catalog.registry import Query, table
 from foldwise.llm import language, quality
+from foldwise.llm.decontam import leaks
+from foldwise.llm.embeddings import near_duplicates
+from foldwise.llm.licenses import scan_licenses
 from foldwise.llm.token_counts import token_counts
 
 QUERIES: dict[str, Query] = {}
@@ -18,6 +21,10 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def quality_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> quality.BagModel | None:
     labels = table(spark, sf_dir, "labels").where(~held_out())
     return quality.learn(documents, labels)
@@ -36,14 +43,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles", "n_words")
+
+
+def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return token_counts(documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
 for _query in (
+    op4_license_scan,
     op6_quality_classifier,
     op7_language_id,
+    op8_benchmark_decontamination,
+    op9_embedding_near_duplicates,
     op10_token_counts,
 ):
     QUERIES[_query.__name__] = _query
