@@ -11,6 +11,7 @@ from foldwise.llm.decontam import leaks
 from foldwise.llm.embeddings import near_duplicates
 from foldwise.llm.licenses import scan_licenses
 from foldwise.llm.token_counts import token_counts
+from foldwise.llm.token_files import read_tokens, write_tokens
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +35,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    manifest = write_tokens(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def quality_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> quality.BagModel | None:
     labels = table(spark, sf_dir, "labels").where(~held_out())
     return quality.learn(documents, labels)
@@ -69,6 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _query in (
     op2_byte_bpe,
     op4_license_scan,
+    op5_token_files,
     op6_quality_classifier,
     op7_language_id,
     op8_benchmark_decontamination,
