@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldwise.catalog.registry import Query, table
-from foldwise.llm import byte_bpe, language, quality
+from foldwise.llm import byte_bpe, language, order_minhash, quality
 from foldwise.llm.decontam import leaks
 from foldwise.llm.embeddings import near_duplicates
 from foldwise.llm.licenses import scan_licenses
@@ -22,6 +22,10 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
@@ -74,6 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _query in (
+    op1_order_minhash,
     op2_byte_bpe,
     op4_license_scan,
     op5_token_files,
