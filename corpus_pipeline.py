@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.catalog.registry import table
+from foldwise.llm import byte_bpe, decontam, line_dedup, order_minhash, quality
 from foldwise.llm.common import stored
+from foldwise.llm.queries import quality_model
 
-STAGES = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, quality_model(spark, docs, sf_dir))
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; one that loses all of its text goes."""
+    left = line_dedup.drop_repeated_lines(docs).where("n_dropped = 0 OR trim(text) != ''")
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates."""
+    return order_minhash.keep_one(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document (little-endian unsigned 32-bit), and the text they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    return found.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("line_dedup", fresh_lines),
+    ("near_dedup", distinct_documents),
+    ("decontamination", uncontaminated),
+    ("byte_bpe", token_ids),
+]
 
 # Classifiers, sketches and merges are beyond SQL.
 ORACLE_SQL = None

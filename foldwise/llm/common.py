@@ -73,6 +73,24 @@ def per_text(
     return narrow.mapInArrow(run, schema)
 
 
+def filter_texts(
+    df: DataFrame, text: str, start: Callable[[], Callable[[list[str | None]], np.ndarray]]
+) -> DataFrame:
+    """Rows of ``df``, all columns, whose text passes; nothing is shuffled.
+
+    ``start`` runs once per task and gives the function from texts to a mask.
+    """
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = start()
+        for batch in batches:
+            for part in steps(batch, at):
+                yield part.filter(pa.array(passes(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from foldwise.llm import ragged
-from foldwise.llm.common import fields, pick, require_text, steps
+from foldwise.llm.common import fields, filter_texts, pick, require_text, steps
 
 MINIMUM_MATCH = 5
 COVERAGE = 0.5
@@ -217,18 +217,18 @@ def without_leaks(
     """The rows of ``df``, all columns, that cover no benchmark item; see ``leaks``."""
     require_text(df, text)
     require_text(benchmark, item_text)
-    at = df.columns.index(text)
 
     def pass_over(rows, index):
-        def run(batches):
-            for batch in batches:
-                for part in steps(batch, at):
-                    clean = np.ones(part.num_rows, bool)
-                    for row, _, _, covered, _ in index.value.find(part.column(at).to_pylist()):
-                        clean[row] &= covered < coverage
-                    yield part.filter(pa.array(clean))
+        def start():
+            def clean(texts):
+                mask = np.ones(len(texts), bool)
+                for row, _, _, covered, _ in index.value.find(texts):
+                    mask[row] &= covered < coverage
+                return mask
+
+            return clean
 
-        return rows.mapInArrow(run, rows.schema)
+        return filter_texts(rows, text, start)
 
     for index in _blocks(benchmark, item_key, item_text, minimum, block_bytes):
         df = pass_over(df, index)

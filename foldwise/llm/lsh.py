@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.llm.common import stored
 from foldwise.llm.components import components
@@ -100,12 +100,42 @@ def groups(
         tried = tried.unionByName(fresh)
 
 
-def rows_once(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``df`` with the identity ``__k``, ``__t1``, ``__t2`` of key and text."""
-    return df.withColumns(
-        {
-            "__k": F.col(f"`{key}`"),
-            "__t1": F.xxhash64(f"`{text}`"),
-            "__t2": F.xxhash64(F.lit(1), f"`{text}`"),
-        }
-    )
+def identified(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Key and text hash (``k``, ``t1``, ``t2``) of every row, and its ``text``."""
+    return df.select(F.col(f"`{key}`").alias("k"), *_marks(text, "t1", "t2"), F.col(f"`{text}`").alias("text"))
+
+
+def _marks(text: str, first: str, second: str) -> list[Column]:
+    return [F.xxhash64(f"`{text}`").alias(first), F.xxhash64(F.lit(1), f"`{text}`").alias(second)]
+
+
+def matches(key: str) -> Column:
+    """Rows marked ``__t1``, ``__t2`` against a table of ``__k``, ``__w1``, ``__w2``."""
+    same_text = (F.col("__t1") == F.col("__w1")) & (F.col("__t2") == F.col("__w2"))
+    return F.col(f"`{key}`").eqNullSafe(F.col("__k")) & same_text
+
+
+def renamed(identities: DataFrame, *more: str) -> DataFrame:
+    names = [F.col("k").alias("__k"), F.col("t1").alias("__w1"), F.col("t2").alias("__w2")]
+    return identities.select(*names, *more)
+
+
+def once(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` marked with ``__t1``, ``__t2``, one row of those equal in key and text.
+
+    Only identities that occur several times are shuffled with their rows.
+    """
+    own = df.select("*", *_marks(text, "__t1", "__t2"))
+    repeated = own.groupBy(F.col(f"`{key}`").alias("k"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2")).count()
+    repeated = stored(renamed(repeated.where("count > 1")), "repeated-rows")
+    if repeated.isEmpty():
+        return own
+    repeated = sized(repeated)
+    several = own.join(repeated, matches(key), "left_semi").dropDuplicates([key, "__t1", "__t2"])
+    return own.join(repeated, matches(key), "left_anti").unionByName(several)
+
+
+def keep_rows(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` with a wanted (``k``, ``t1``, ``t2``), one of each."""
+    wanted = sized(stored(renamed(wanted), "kept-rows"))
+    return once(df, key, text).join(wanted, matches(key), "left_semi").drop("__t1", "__t2")

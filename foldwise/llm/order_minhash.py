@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foldwise.llm import ragged
 from foldwise.llm.common import require_text, steps, stored
-from foldwise.llm.lsh import groups, sized
+from foldwise.llm.lsh import groups, identified, keep_rows, sized
 
 WORDS = 5  # words in a k-mer
 SKETCHES = 64
@@ -206,17 +206,10 @@ def _tokens(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "h1 long, h2 long, payload binary")
 
 
-def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(
-        F.col(f"`{key}`").alias("k"), F.xxhash64(f"`{text}`").alias("t1"),
-        F.xxhash64(F.lit(1), f"`{text}`").alias("t2"), F.col(f"`{text}`").alias("text"),
-    )
-
-
 def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (``k``, ``t1``, ``t2``) with their group's least key and row."""
     require_text(df, text)
-    source = _identified(df, key, text)
+    source = identified(df, key, text)
     rows = stored(_signed(source), "order-sketches")
     first = F.struct(F.col("k").isNull().alias("none"), "k", "t1", "t2")
     classes = rows.groupBy("h1", "h2").agg(
@@ -274,24 +267,3 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     groups_ = _grouped(df, key, text).groupBy("best").agg(F.count(F.lit(1)).alias("n"))
     return keep_rows(df, key, text, groups_.select("best.k", "best.t1", "best.t2"))
-
-
-def keep_rows(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` with a wanted (``k``, ``t1``, ``t2``), one of each."""
-    wanted = stored(wanted, "kept-rows").select(
-        F.col("k").alias("__k"), F.col("t1").alias("__w1"), F.col("t2").alias("__w2")
-    )
-    own = df.withColumns({"__t1": F.xxhash64(f"`{text}`"), "__t2": F.xxhash64(F.lit(1), f"`{text}`")})
-    match = (
-        F.col(f"`{key}`").eqNullSafe(F.col("__k"))
-        & (F.col("__t1") == F.col("__w1")) & (F.col("__t2") == F.col("__w2"))
-    )
-    # Only identities that occur several times need a shuffle of whole rows.
-    repeated = own.groupBy(f"`{key}`", "__t1", "__t2").count().where("count > 1")
-    repeated = stored(repeated.select(F.col(key).alias("__k"), F.col("__t1").alias("__w1"), F.col("__t2").alias("__w2")), "repeated-rows")
-    stay = own.join(sized(wanted), match, "left_semi")
-    if repeated.isEmpty():
-        return stay.drop("__t1", "__t2")
-    single = stay.join(sized(repeated), match, "left_anti")
-    several = stay.join(sized(repeated), match, "left_semi").dropDuplicates([key, "__t1", "__t2"])
-    return single.unionByName(several).drop("__t1", "__t2")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.llm import ragged
-from foldwise.llm.common import per_text, require_text
+from foldwise.llm.common import filter_texts, per_text, require_text
 
 PASSAGE_BYTES = 512
 # Labelled rows a model is fitted on at most; the rest of a large label set is not read.
@@ -195,17 +195,30 @@ def score(
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        known = shared.value
-
         def answer(texts):
-            if known is None:
-                p = np.full(len(texts), 0.5)
-            else:
-                x, owner = passages(texts)
-                begins = np.searchsorted(owner, np.arange(len(texts)))
-                p = known.forward(x.astype(float), begins)["p"] if len(texts) else np.empty(0)
+            p = probabilities(shared.value, texts)
             return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
 
         return answer
 
     return per_text(df, key, text, "score double, predicted int", start)
+
+
+def accepted(df: DataFrame, model: BagModel | None, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``df``, all columns, that score ``threshold`` or more.
+
+    Without a model nothing is rejected.
+    """
+    require_text(df, text)
+    if model is None:
+        return df
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(df, text, lambda: lambda texts: probabilities(shared.value, texts) >= threshold)
+
+
+def probabilities(model: BagModel | None, texts: list[str | None]) -> np.ndarray:
+    """Probability of label 1 for each text."""
+    if model is None or not texts:
+        return np.full(len(texts), 0.5)
+    x, owner = passages(texts)
+    return model.forward(x.astype(float), np.searchsorted(owner, np.arange(len(texts))))["p"]

@@ -10,6 +10,7 @@ from foldwise.llm import byte_bpe, language, order_minhash, quality
 from foldwise.llm.decontam import leaks
 from foldwise.llm.embeddings import near_duplicates
 from foldwise.llm.licenses import scan_licenses
+from foldwise.llm.line_dedup import drop_repeated_lines
 from foldwise.llm.token_counts import token_counts
 from foldwise.llm.token_files import read_tokens, write_tokens
 
@@ -35,6 +36,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -80,6 +86,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _query in (
     op1_order_minhash,
     op2_byte_bpe,
+    op3_line_dedup,
     op4_license_scan,
     op5_token_files,
     op6_quality_classifier,
