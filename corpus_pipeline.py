@@ -35,7 +35,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document (little-endian unsigned 32-bit), and the text they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    found = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    found = byte_bpe.encode(docs, ranks, decoded="decoded")
     return found.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 

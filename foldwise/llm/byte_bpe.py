@@ -27,10 +27,10 @@ from foldwise.llm import ragged
 from foldwise.llm.common import fields, pick, require_text, steps, stored
 
 # Text of a chunk; its word list, codes and ids are what one task step holds.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 32 << 20
 # Tokens put together at a time when texts are reassembled.
 _STEP_TOKENS = 1 << 20
-_PLANES = 4
+_LEVEL = 9
 
 
 def read_ranks(text: str) -> dict[bytes, int]:
@@ -46,27 +46,33 @@ def _encoder(text: str) -> tiktoken.Encoding:
     )
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, all low bytes first, then the next ones."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _pack(values: np.ndarray) -> bytes:
-    """Small numbers byte plane by byte plane, compressed."""
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, _PLANES).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.compress(_planes(values), _LEVEL)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(_PLANES, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return _from_planes(zstandard.decompress(blob))
 
 
 def _pack_ragged(flat: bytes, sizes: np.ndarray) -> bytes:
-    """Byte strings: their number, lengths and bytes, compressed."""
-    head = np.uint32(len(sizes)).tobytes() + sizes.astype("<u4").tobytes()
-    return zstandard.compress(head + flat)
+    """Byte strings: their number, lengths (below 2^16 mostly) and bytes, compressed."""
+    head = np.uint32(len(sizes)).tobytes() + _planes(sizes)
+    return zstandard.compress(head + flat, _LEVEL)
 
 
 def _unpack_ragged(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = zstandard.decompress(blob)
     n = int(np.frombuffer(data, "<u4", 1)[0])
-    return np.frombuffer(data, np.uint8, offset=4 + 4 * n), np.frombuffer(data, "<u4", n, 4).astype(np.int64)
+    return np.frombuffer(data, np.uint8, offset=4 + 4 * n), _from_planes(data[4 : 4 + 4 * n]).astype(np.int64)
 
 
 class _Chunk:
@@ -102,11 +108,13 @@ class _Chunk:
 
     def row(self, buckets: int) -> dict:
         codes = np.concatenate(self.codes) if self.codes else np.empty(0, np.uint32)
-        # Frequent words get small codes, which compress best.
-        order = np.argsort(-np.bincount(codes, minlength=len(self.words)), kind="stable")
+        # Frequent words get small codes; equally frequent ones (most occur once)
+        # stand in alphabetical order.  Both compress best so.
+        counts = np.bincount(codes, minlength=len(self.words)).tolist()
+        order = sorted(range(len(counts)), key=lambda i: (-counts[i], self.words[i]))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        words = [self.words[i] for i in order.tolist()]
+        words = [self.words[i] for i in order]
         data = np.frombuffer(b"".join(words), np.uint8)
         offsets = np.zeros(len(words) + 1, np.int64)
         np.cumsum([len(w) for w in words], out=offsets[1:])
@@ -173,7 +181,8 @@ def _word_ids(words: DataFrame, ranks) -> DataFrame:
                         ids = known[word] = np.array(found, "<u4").tobytes()
                     out.append(ids)
                     start = end
-                blobs.append(_pack_ragged(b"".join(out), np.array([len(o) // 4 for o in out])))
+                ids = np.frombuffer(b"".join(out), "<u4")
+                blobs.append(_pack_ragged(_planes(ids), np.array([len(o) // 4 for o in out])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("chunk"), batch.column("bucket"), pa.array(blobs, pa.binary())],
                 names=["chunk", "bucket", "ids"],
@@ -187,7 +196,7 @@ def _dictionary(parts: list[dict], buckets: np.ndarray) -> tuple[np.ndarray, np.
     flats, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
     for part in sorted(parts, key=lambda p: p["bucket"]):
         flat, size = _unpack_ragged(part["ids"])
-        flats.append(flat.view("<u4"))
+        flats.append(_from_planes(flat.tobytes()))
         sizes.append(size)
     flat, size = np.concatenate(flats), np.concatenate(sizes)
     offsets = np.zeros(len(size) + 1, np.int64)
@@ -200,8 +209,10 @@ def _dictionary(parts: list[dict], buckets: np.ndarray) -> tuple[np.ndarray, np.
     return flat, offsets
 
 
-def _reassemble(joined: DataFrame, key: StructField) -> DataFrame:
+def _reassemble(joined: DataFrame, key: StructField, decoded: str | None, ranks) -> DataFrame:
     schema = StructType([key, *fields("n_tokens long, ids binary").fields])
+    if decoded:
+        schema = schema.add(decoded, "binary")
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,16 +236,22 @@ def _reassemble(joined: DataFrame, key: StructField) -> DataFrame:
                     stops = (4 * np.cumsum(counts)).tolist()
                     blobs = [bytes(data[s:e]) for s, e in zip([0, *stops], stops)]
                     yield pa.RecordBatch.from_arrays(
-                        [keys.slice(a, b - a).cast(target.field(0).type), pa.array(counts), pa.array(blobs, pa.binary())],
+                        [keys.slice(a, b - a).cast(target.field(0).type), pa.array(counts), pa.array(blobs, pa.binary()),
+                         *([pa.array(_bytes_of(ids, counts, ranks.value), pa.binary())] if decoded else [])],
                         schema=target,
-                    )
+                    )
 
     return joined.select("keys", "sizes", "codes", "buckets", "parts").mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    df: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "text", decoded: str | None = None
+) -> DataFrame:
     """``key``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit) of every row.
 
+    With ``decoded``, a column of that name holds the bytes that the ids decode
+    to, made in the same pass; ``decode`` does it for ids from elsewhere.
+
     Each match of ``public_tokenizers.PATTERN`` in the whole text is merged by
     the ranks of ``ranks_file``, which the driver reads; there are no special
     tokens.  NULL counts as empty (no ids).  Repeated and NULL keys
@@ -247,7 +264,7 @@ def encode(df: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "tex
     with open(ranks_file, encoding="ascii") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(32, 2 * partitions)
+    buckets = max(32, partitions)
     chunks = stored(_chunks(df, key, text, buckets), "bpe-chunks", compression="none")
     words = (
         chunks.select("chunk", F.posexplode("words").alias("bucket", "words"))
@@ -258,7 +275,7 @@ def encode(df: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "tex
         F.collect_list(F.struct("bucket", "ids")).alias("parts")  # a blob a bucket at most
     )
     joined = chunks.drop("words").join(parts, "chunk", "left")
-    return _reassemble(joined, df.schema[key])
+    return _reassemble(joined, df.schema[key], decoded, ranks)
 
 
 def decode(df: DataFrame, ranks_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -276,19 +293,12 @@ def decode(df: DataFrame, ranks_file: str, ids: str = "ids", decoded: str = "dec
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, offsets = _token_bytes(shared.value)
         for batch in batches:
             for part in steps(batch, at):
                 rows = part.column(at).to_pylist()
-                which = np.frombuffer(b"".join(r or b"" for r in rows), "<u4").astype(np.int64)
-                if len(which) and which.max() >= len(offsets) - 1:
-                    raise ValueError(f"token {which.max()} is not in the vocabulary")
-                data, each = ragged.gather(flat, offsets, which)
-                bounds = np.zeros(len(rows) + 1, np.int64)
-                np.cumsum([len(r or b"") // 4 for r in rows], out=bounds[1:])
-                stops = np.cumsum(ragged.sums_by(each, bounds)).tolist()
-                text = memoryview(data.tobytes())
-                blobs = [None if r is None else bytes(text[s:e]) for r, s, e in zip(rows, [0, *stops], stops)]
+                which = np.frombuffer(b"".join(r or b"" for r in rows), "<u4")
+                blobs = _bytes_of(which, np.array([len(r or b"") // 4 for r in rows]), shared.value)
+                blobs = [None if r is None else b for r, b in zip(rows, blobs)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(blobs, pa.binary())], schema=target)
 
     return df.mapInArrow(run, schema)
@@ -304,3 +314,16 @@ def _token_bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.zeros(len(tokens) + 1, np.int64)
     np.cumsum([len(t) for t in tokens], out=offsets[1:])
     return np.frombuffer(b"".join(tokens), np.uint8), offsets
+
+
+def _bytes_of(ids: np.ndarray, counts: np.ndarray, ranks: str) -> list[bytes]:
+    """Bytes of consecutive runs of ``counts`` ids."""
+    flat, offsets = _token_bytes(ranks)
+    if len(ids) and int(ids.max()) >= len(offsets) - 1:
+        raise ValueError(f"token {ids.max()} is not in the vocabulary")
+    data, each = ragged.gather(flat, offsets, ids.astype(np.int64))
+    bounds = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=bounds[1:])
+    stops = np.cumsum(ragged.sums_by(each, bounds)).tolist()
+    text = memoryview(data.tobytes())
+    return [bytes(text[s:e]) for s, e in zip([0, *stops], stops)]

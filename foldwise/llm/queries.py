@@ -29,8 +29,7 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
-    return byte_bpe.decode(ids, ranks).select(
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, decoded="decoded").select(
         "doc_id", "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
