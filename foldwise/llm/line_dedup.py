@@ -116,7 +116,8 @@ def _repeats(docs: DataFrame) -> DataFrame:
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
     def buckets() -> DataFrame:
-        return classes.select(F.explode("bands").alias("bucket"), "id")
+        # Sizes only order the comparisons: repeated shingles leave no bound on them.
+        return classes.select(F.explode("bands").alias("bucket"), "id", F.lit(0).alias("size"))
 
     def payloads(ids: DataFrame) -> DataFrame:
         wanted = sized(stored(classes.join(ids, "id").select("id", "h1", "h2"), "wanted-lines"))

@@ -44,60 +44,77 @@ def groups(
     buckets: Callable[[], DataFrame],
     payloads: Callable[[DataFrame], DataFrame],
     agree: Callable[[], Agree],
+    ratio: float = 0.0,
 ) -> DataFrame:
     """``id`` and ``root`` of all ids that some verified link reaches.
 
-    ``buckets`` gives (``bucket``, ``id``) rows from a written table,
-    ``payloads`` the ``payload`` of given ids.  Every id is first compared with
-    the least id of each of its buckets, so a group of near copies takes one
-    comparison an id however large it is.  Then, in rounds, ids that are still
-    in another component than their bucket's leader are compared among
-    themselves: pair by pair where ``PAIRWISE`` or fewer are left in a bucket,
-    against the next leader where there are more.  Rounds end when nothing is
-    left, or when no leader finds a link any more.
+    ``buckets`` gives (``bucket``, ``id``, ``size``) rows from a written table,
+    ``payloads`` the ``payload`` of given ids; sizes of linked ids must be within
+    ``ratio`` of each other.  Every id is first compared with the smallest id of
+    each of its buckets (the one with the least besides what the bucket shares),
+    so a group of near copies takes one comparison an id however large it is.
+    Then, in rounds, ids that are still in another component than their bucket's
+    leader are compared among themselves: pair by pair where ``PAIRWISE`` or
+    fewer are left in a bucket, against the next leader where there are more.
+    Rounds end when nothing is left, or when no leader finds a link any more.
     """
-    ends = buckets().groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
-    shared = stored(ends.where("leader < last").select("bucket", "leader"), "buckets")
+    spread = F.shiftleft(F.col("size").cast("long"), 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))
+    leader = F.min_by(F.struct("id", "size"), spread).alias("leader")
+    ends = buckets().groupBy("bucket").agg(F.min_by("id", spread).alias("leader"), F.count(F.lit(1)).alias("n"))
+    shared = stored(ends.where("n > 1").select("bucket", "leader"), "buckets")
     members = stored(
-        buckets().join(sized(shared), "bucket").where("id != leader"), "bucket-members"
+        buckets().join(sized(shared), "bucket").select("bucket", "id", "size", "leader"), "bucket-members"
+    )
+    sizes = members.where("id = leader").select("bucket", F.col("size").alias("leader_size"))
+    members = stored(
+        members.where("id != leader").join(sized(stored(sizes, "bucket-sizes")), "bucket"), "bucket-members"
     )
     ids = members.select("id").union(members.select("leader")).distinct()
     held = stored(payloads(sized(stored(ids, "bucket-ids"))), "bucket-payloads")
-    tried = stored(members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = stored(verified(tried, held, agree), "verified")
+    near = F.least("size", "leader_size") >= ratio * F.greatest("size", "leader_size")
+    star = members.where(near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    tried = stored(star.distinct(), "pairs")
+    roots = stored(components(verified(tried, held, agree)), "roots")
     while True:
-        roots = components(links)
-        mine = roots.select("id", "root")
         first = roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
         rest = (
-            members.join(mine, "id", "left").join(first, "leader", "left")
-            .select("bucket", "id", F.coalesce("root", "id").alias("root"),
+            members.join(roots, "id", "left").join(first, "leader", "left")
+            .select("bucket", "id", "size", F.coalesce("root", "id").alias("root"),
                     F.coalesce("leader_root", "leader").alias("leader_root"))
             .where("root != leader_root")
         )
-        rest = stored(rest.select("bucket", "id", "root"), "bucket-rest")
-        size = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader"))
-        size = sized(stored(size.where("n > 1"), "bucket-sizes"))
-        open_ = rest.join(size, "bucket")
-        few = open_.where(F.col("n") <= PAIRWISE).select("bucket", "id", "root")
-        other = few.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
-        pairs = (
-            few.withColumnRenamed("id", "a").join(other, "bucket")
-            .where("a < b AND root != root_b").select("a", "b")
-        )
+        rest = stored(rest.select("bucket", "id", "size", "root"), "bucket-rest")
+        left = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), leader)
+        left = sized(stored(left.where("n > 1").select("bucket", "n", "leader.*").withColumnsRenamed(
+            {"id": "leader", "size": "leader_size"}), "bucket-left"))
+        open_ = rest.join(left, "bucket")
+        few = open_.where(F.col("n") <= PAIRWISE).select("bucket", F.col("id").alias("a"), "size", "root")
+        other = few.select("bucket", F.col("a").alias("b"), F.col("size").alias("leader_size"), F.col("root").alias("root_b"))
+        pairs = few.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & near)
         many = open_.where((F.col("n") > PAIRWISE) & (F.col("id") != F.col("leader")))
-        members = stored(many.select("bucket", "id", "leader"), "bucket-members")
-        star = members.select(F.col("leader").alias("a"), F.col("id").alias("b"))
-        fresh = stored(
-            pairs.unionByName(star).distinct().join(tried, ["a", "b"], "left_anti"), "pairs"
-        )
-        more = stored(verified(fresh, held, agree), "verified")
-        found = not more.isEmpty()
-        if found:
-            links = links.unionByName(more)
-        if not found or members.isEmpty():
-            return components(links) if found else roots
-        tried = tried.unionByName(fresh)
+        members = stored(many.select("bucket", "id", "size", "leader", "leader_size"), "bucket-members")
+        star = members.where(near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        fresh = pairs.select("a", "b", F.lit(0).alias("star")).unionByName(star.withColumn("star", F.lit(1)))
+        fresh = fresh.groupBy("a", "b").agg(F.max("star").alias("star")).join(tried, ["a", "b"], "left_anti")
+        fresh = stored(fresh, "pairs")
+        links = stored(verified(fresh, held, agree), "verified")
+        roots = stored(_joined(roots, links), "roots")
+        if members.isEmpty() or links.join(fresh.where("star = 1"), ["a", "b"]).isEmpty():
+            return roots
+        tried = tried.unionByName(fresh.select("a", "b"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further links: only links between roots are contracted."""
+    left = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+    right = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+    between = links.join(left, "a", "left").join(right, "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")
+    )
+    moved = stored(components(between), "moved")
+    to = moved.select(F.col("id").alias("root"), F.col("root").alias("new"))
+    known = roots.join(to, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    return known.unionByName(moved.join(roots, "id", "left_anti"))
 
 
 def identified(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -62,18 +62,20 @@ def sketches(tokens: np.ndarray, bounds: np.ndarray, words: int = WORDS, kept: i
     kmers = ragged.span_hashes(tokens, starts, ends)
     labels = ragged.mix(kmers + _occurrences(kmers, owner).astype(np.uint64) * _SEEDS[-1])
     heads = begins[full]
-    spread = np.repeat(np.arange(len(full)), count[full])
+    # The low bits of a rank hold the place in the text, so a minimum finds it.
+    low = np.uint64((1 << int(count.max()).bit_length()) - 1)
+    place_in_text = (np.arange(len(owner)) - begins[owner]).astype(np.uint64)
     last = np.uint64(0xFFFFFFFFFFFFFFFF)
     for j in range(number):
-        rank = ragged.mix(labels * _SEEDS[j])
+        rank = labels * _SEEDS[j]
+        np.bitwise_and(rank, ~low, out=rank)
+        np.bitwise_or(rank, place_in_text, out=rank)
         places = np.empty((len(full), kept), np.int64)
         for i in range(kept):
             least = np.minimum.reduceat(rank, heads)
-            at = np.flatnonzero(rank == least[spread])
-            first = np.searchsorted(at, heads)
-            places[:, i] = at[np.minimum(first, len(at) - 1)]
-            rank[places[:, i]] = last
-        # Texts of few k-mers run out of them: the place then repeats, as in their copies.
+            found = heads + (least & low).astype(np.int64)
+            places[:, i] = np.where(least == last, places[:, 0], found)
+            rank[found[least != last]] = last
         places.sort(axis=1)
         sketch = np.full(len(full), j + 1, np.uint64)
         for i in range(kept):
@@ -218,7 +220,7 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "text-classes")
 
     def buckets() -> DataFrame:
-        return classes.where("words > 0").select(F.explode("sketch").alias("bucket"), "id")
+        return classes.where("words > 0").select(F.explode("sketch").alias("bucket"), "id", F.col("words").alias("size"))
 
     def payloads(ids: DataFrame) -> DataFrame:
         # The texts that stand for the classes are looked up by key and hash.
@@ -232,7 +234,7 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
         found = _tokens(texts.select("text")).join(wanted.select("id", "h1", "h2"), ["h1", "h2"])
         return found.groupBy("id").agg(F.first("payload").alias("payload"))
 
-    roots = groups(buckets, payloads, lambda: alike)
+    roots = groups(buckets, payloads, lambda: alike, SIMILARITY)
     state = stored(
         classes.join(roots, "id", "left").select("h1", "h2", "least", F.coalesce("root", "id").alias("root")),
         "text-groups",

@@ -61,7 +61,7 @@ def test_groups_compare_in_rounds(spark, monkeypatch):
     names = {i: f"{'abc'[i % 3] if i < 45 else i}".encode() for i in range(60)}
     table = spark.createDataFrame([(9, i, bytearray(n)) for i, n in names.items()], "bucket long, id long, payload binary")
     roots = lsh.groups(
-        lambda: table.select("bucket", "id"),
+        lambda: table.selectExpr("bucket", "id", "1 AS size"),
         lambda ids: table.join(ids, "id").select("id", "payload"),
         lambda: lambda x, y: x == y,
     )
