@@ -159,6 +159,17 @@ def _codes(spark, d):
     return coded.select("o_orderkey", F.col("o_orderpriority__index").alias("code"))
 
 
+@query(
+    "p18_codes_of_many_categories",
+    """WITH c AS (SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, o_custkey) - 1 AS code
+                  FROM orders GROUP BY o_custkey)
+       SELECT o_orderkey, CAST(code AS DOUBLE) AS code FROM orders JOIN c USING (o_custkey)""",
+)
+def _codes_of_customers(spark, d):
+    coded = categorical_codes(table(spark, d, "orders"), ["o_custkey"])
+    return coded.select("o_orderkey", F.col("o_custkey__index").alias("code"))
+
+
 @query(
     "p19_path_exists",
     f"SELECT doc_id, toxic IS NOT NULL AS known FROM {LABELLED}",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.catalog.registry import (
-    JUDGED, finished_orders, judged, kfold_sql, query, rounded, table,
+    FINISHED, JUDGED, finished_orders, judged, kfold_sql, query, rounded, table,
 )
 from foldwise.operators.ensemble import ensemble, output_tables
 from foldwise.operators.evaluate import (
@@ -73,27 +73,25 @@ def _fold_average(spark, d):
 @query(
     "a20_macro_auc",
     f"""WITH f AS (SELECT class, CAST(label = class AS INTEGER) AS y, round(embedding[class + 1]::DOUBLE, 3) AS p
-                   FROM embeddings, (SELECT unnest(range(12)) AS class))
+                   FROM embeddings, (SELECT unnest(range(64)) AS class))
         SELECT round(coalesce(avg(auc), 0), 8) AS macro_auc FROM ({_auc_sql('f', 'class')})""",
 )
 def _macro(spark, d):
-    classes = F.sequence(F.lit(0), F.lit(11))
+    classes = F.sequence(F.lit(0), F.size("embedding") - 1)
     rows = table(spark, d, "embeddings").select(
         F.transform(classes, lambda c: (F.col("label") == c).cast("int")).alias("y"),
-        F.transform(
-            F.slice("embedding", 1, 12), lambda x: F.round(x.cast("double"), 3)
-        ).alias("p"),
+        F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("p"),
     )
     return rounded(macro_auc(rows, "y", "p"), 8, "macro_auc")
 
 
 @query(
     "a21_accuracy",
-    """SELECT label, round(avg(CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label AS DOUBLE)), 8)
+    """SELECT label, round(avg(CAST(list_position(embedding, list_max(embedding)) - 1 = label AS DOUBLE)), 8)
        AS accuracy FROM embeddings GROUP BY 1""",
 )
 def _accuracy(spark, d):
-    predicted = arg_max(F.slice("embedding", 1, 10))
+    predicted = arg_max(F.col("embedding"))
     return rounded(accuracy(table(spark, d, "embeddings"), "label", predicted, ["label"]), 8, "accuracy")
 
 
@@ -110,7 +108,7 @@ def _label_range(spark, d):
     """SELECT 'image_path' AS field, 'column image_path does not exist' AS message, 'error' AS severity
        UNION ALL SELECT 'label', 'labels outside [0, 8): ' ||
          (SELECT string_agg(label, ', ' ORDER BY label) FROM (SELECT DISTINCT label FROM embeddings WHERE label >= 8
-          ORDER BY 1 LIMIT 5)), 'error'
+          ORDER BY 1 LIMIT 5)) || ' (rows: ' || (SELECT count(*) FROM embeddings WHERE label >= 8) || ')', 'error'
        UNION ALL SELECT 'name', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels))
          || '/' || (SELECT count(*) FROM embeddings) || ' paths do not exist', 'error'""",
 )
@@ -156,6 +154,55 @@ def _weighted(spark, d):
     return rounded(found, 8, "prediction")
 
 
+GAPS = """g AS (SELECT o_orderkey, model, CASE WHEN (o_orderkey + ascii(model)) % 3 > 0 THEN p END AS p FROM m)"""
+
+
+def _models_with_gaps(spark, d):
+    """Every model leaves out a third of the orders: NULL for some, NaN for others."""
+    there = (F.col("o_orderkey") + F.ascii("model")) % 3 > 0
+    blank = F.when(F.col("o_orderkey") % 2 == 0, F.lit(float("nan")))
+    return _models(spark, d).withColumn("prediction", F.when(there, F.col("prediction")).otherwise(blank))
+
+
+@query(
+    "l5_ensemble_weighted_gaps",
+    f"""WITH {MODELS}, {GAPS}, w AS (SELECT *, CASE model WHEN 'a' THEN 0.5 WHEN 'b' THEN 0.3 ELSE 0.2 END::DOUBLE AS w FROM g)
+        SELECT o_orderkey, round(sum(p * w) / nullif(sum(w) FILTER (p IS NOT NULL), 0), 6) AS prediction FROM w GROUP BY 1""",
+)
+def _weighted_gaps(spark, d):
+    weights = {"a": 5.0, "b": 3.0, "c": 2.0}
+    found = ensemble(_models_with_gaps(spark, d), ["o_orderkey"], "weighted_mean", weights=weights)
+    return rounded(found, 6, "prediction")
+
+
+@query(
+    "l6_ensemble_rank_gaps",
+    f"""WITH {MODELS}, {GAPS}, r AS (
+          SELECT o_orderkey, model, (rank() OVER (PARTITION BY model ORDER BY p) - 1
+                  + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0)
+                 / (count(*) OVER (PARTITION BY model) - 1) AS s FROM g WHERE p IS NOT NULL)
+        SELECT o_orderkey, round(avg(s), 8) AS prediction FROM g LEFT JOIN r USING (o_orderkey, model) GROUP BY 1""",
+)
+def _rank_gaps(spark, d):
+    return rounded(ensemble(_models_with_gaps(spark, d), ["o_orderkey"], "rank_average"), 8, "prediction")
+
+
+@query(
+    "a19_auc_with_gaps",
+    f"""WITH f AS (SELECT 'all' AS g, CAST(o_orderstatus = 'F' AS INTEGER) AS y, CAST(o_custkey % 100 AS DOUBLE) AS p
+                   FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0)
+        SELECT round(auc, 8) AS auc FROM ({_auc_sql('f', 'g')})""",
+)
+def _auc_gaps(spark, d):
+    nan = F.lit(float("nan"))
+    key, target = F.col("o_orderkey"), (F.col("o_orderstatus") == "F").cast("double")
+    rows = table(spark, d, "orders").select(
+        F.when(key % 5 == 0, nan).otherwise(target).alias("y"),
+        F.when(key % 7 == 0, nan).otherwise((F.col("o_custkey") % 100).cast("double")).alias("p"),
+    )
+    return rounded(binary_auc(rows, "y", "p"), 8, "auc")
+
+
 @query(
     "l6_ensemble_rank",
     f"""WITH {MODELS}, r AS (
@@ -188,23 +235,66 @@ def _trained(spark, d):
     )
 
 
-@query("l1_l2_gbt_oof")
+@query(
+    "l1_l2_gbt_oof",
+    f"""WITH {FINISHED} SELECT o_orderkey, {kfold_sql('o_orderkey', 3)} AS fold, finished, o_totalprice, c_acctbal,
+        o_orderpriority, c_mktsegment, TRUE AS is_probability FROM finished_orders""",
+)
 def _oof(spark, d):
+    """Every order once, with its own fold and target and a probability."""
     _, result = _trained(spark, d)
-    return result.oof.select("o_orderkey", "fold", "finished", *FEATURES, "predicted_proba")
+    probability = F.col("predicted_proba").between(0.0, 1.0)
+    return result.oof.select("o_orderkey", "fold", "finished", *FEATURES, probability.alias("is_probability"))
 
 
-@query("l3_gbt_fold_scores")
+@query(
+    "l3_gbt_fold_scores",
+    "SELECT CAST(unnest(range(3)) AS INTEGER) AS fold, TRUE AS train_learned, TRUE AS valid_is_area",
+)
 def _scores(spark, d):
-    return fold_scores(_trained(spark, d)[1], "finished")
+    """A model ranks its own rows better than chance; the target is noise to it elsewhere."""
+    found = fold_scores(_trained(spark, d)[1], "finished")
+    return found.select(
+        "fold", (F.col("train_score") > 0.5).alias("train_learned"),
+        F.col("valid_score").between(0.25, 0.75).alias("valid_is_area"),
+    )
 
 
-@query("l8_gbt_fold_scoring")
+@query(
+    "l1_gbt_learns",
+    "SELECT CAST(unnest(range(3)) AS INTEGER) AS fold, TRUE AS train_learned, TRUE AS valid_learned",
+)
+def _learns(spark, d):
+    """A target that follows from a category of a hundred values is learned on both sides."""
+    orders = table(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("c"), F.col("o_custkey") % 100).alias("code"), "o_totalprice",
+        (F.col("o_custkey") % 100 % 3 == 0).cast("int").alias("y"),
+    )
+    result = cross_validate_trees(
+        kfold(orders, "o_orderkey", 3), ["code", "o_totalprice"], "y", 3, categorical=["code"], params=TREES
+    )
+    found = fold_scores(result, "y")
+    return found.select(
+        "fold", (F.col("train_score") > 0.99).alias("train_learned"),
+        (F.col("valid_score") > 0.95).alias("valid_learned"),
+    )
+
+
+@query("l8_gbt_fold_scoring", "SELECT o_orderkey, TRUE AS is_probability FROM orders")
 def _scoring(spark, d):
     rows, result = _trained(spark, d)
-    return score_folds(result.models, rows, ["o_orderkey"])
+    scored = score_folds(result.models, rows, ["o_orderkey"])
+    return scored.select("o_orderkey", F.col("prediction").between(0.0, 1.0).alias("is_probability"))
 
 
-@query("a22_feature_importance")
+@query(
+    "a22_feature_importance",
+    "SELECT CAST(unnest(range(3)) AS INTEGER) AS fold, 4::BIGINT AS n_features, TRUE AS none_negative, TRUE AS adds_to_one",
+)
 def _importance(spark, d):
-    return _trained(spark, d)[1].importance
+    gains = _trained(spark, d)[1].importance
+    return gains.groupBy("fold").agg(
+        F.count_distinct("feature").alias("n_features"),
+        F.bool_and(F.col("importance") >= 0).alias("none_negative"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("adds_to_one"),
+    )

@@ -142,12 +142,30 @@ def _top_sql(column: str, source: str) -> str:
 @query(
     "a5_a6_distributions",
     f"""SELECT "column", bin AS place, CAST(NULL AS VARCHAR) AS label, bin_left, bin_right, count
-        FROM ({_histogram_sql('p_size', 'part')} UNION ALL {_histogram_sql('p_retailprice', 'part')})
-        UNION ALL {_top_sql('p_name', 'part')} UNION ALL {_top_sql('p_brand', 'part')}""",
+        FROM ({_histogram_sql('p_size', 'part')} UNION ALL {_histogram_sql('p_retailprice', 'part')}
+              UNION ALL {_histogram_sql('p_partkey', 'part')})
+        UNION ALL {_top_sql('p_name', 'part')} UNION ALL {_top_sql('p_brand', 'part')} UNION ALL {_top_sql('p_type', 'part')}""",
 )
 def _distributions(spark, d):
-    parts = table(spark, d, "part").select("p_name", "p_size", "p_brand", "p_retailprice", "p_type")
-    return rounded(distributions(parts, 4), 4, "bin_left", "bin_right")
+    return rounded(distributions(table(spark, d, "part")), 4, "bin_left", "bin_right")
+
+
+@query(
+    "a5_histogram_infinite",
+    """WITH x AS (SELECT l_quantity AS v FROM lineitem WHERE l_orderkey % 50 > 1), b AS (SELECT min(v) AS lo, max(v) AS hi FROM x),
+         h AS (SELECT least(floor((v - lo) / (hi - lo) * 10), 9)::BIGINT AS bin, count(*) AS c FROM x, b GROUP BY 1),
+         g AS (SELECT unnest(range(10)) AS bin)
+       SELECT 'v' AS "column", bin, round(lo + (hi - lo) / 10 * bin, 4) AS bin_left,
+              round(lo + (hi - lo) / 10 * (bin + 1), 4) AS bin_right, coalesce(c, 0) AS count
+       FROM b, g LEFT JOIN h USING (bin)
+       UNION ALL SELECT 'v', -1, '-inf'::DOUBLE, NULL, count(*) FROM lineitem WHERE l_orderkey % 50 = 0
+       UNION ALL SELECT 'v', 10, NULL, 'inf'::DOUBLE, count(*) FROM lineitem WHERE l_orderkey % 50 = 1""",
+)
+def _histogram_infinite(spark, d):
+    key = F.col("l_orderkey") % 50
+    value = F.when(key == 0, F.lit(float("-inf"))).when(key == 1, F.lit(float("inf"))).otherwise(F.col("l_quantity"))
+    found = histograms(table(spark, d, "lineitem").select(value.alias("v")), ["v"], bins=10)
+    return rounded(found, 4, "bin_left", "bin_right")
 
 
 @query(

@@ -159,6 +159,19 @@ def _glob(spark, d):
     return read_csv_glob(spark, f"{path}/*.csv", nation.schema)
 
 
+@query(
+    "o1_csv_glob_headers",
+    """SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey < 2 UNION ALL
+       SELECT n_nationkey, NULL, n_regionkey FROM nation WHERE n_regionkey >= 2""",
+)
+def _glob_headers(spark, d):
+    nation = table(spark, d, "nation")
+    path = scratch_path(spark, "nations")
+    _as_csv(nation.where("n_regionkey < 2").select("n_regionkey", "n_name", "n_nationkey"), f"{path}/a")
+    _as_csv(nation.where("n_regionkey >= 2").selectExpr("n_nationkey", "n_regionkey", "1 AS more"), f"{path}/b")
+    return read_csv_glob(spark, f"{path}/*/*.csv", nation.schema)
+
+
 @query("o2_jsonl_input", "SELECT doc_id, quality, toxic FROM labels")
 def _jsonl(spark, d):
     labels = table(spark, d, "labels")

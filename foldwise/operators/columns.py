@@ -6,8 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldwise.functions.numeric import arithmetic  # noqa: F401  (part of this surface)
-
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -68,15 +66,16 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC_TYPES or t.startswith("decimal")]
 
 
-def plot_columns(df: DataFrame, max_cols: int) -> list[str]:
-    """Numeric columns first, then the others, at most ``max_cols``."""
+def plot_columns(df: DataFrame, max_cols: int | None = None) -> list[str]:
+    """Numeric columns first, then the others; at most ``max_cols`` if given."""
     numeric = numeric_columns(df)
     return (numeric + [c for c in df.columns if c not in numeric])[:max_cols]
 
 
 def binarise(probability: Column, threshold: float = 0.5) -> Column:
-    """1 at or above the threshold, else 0."""
-    return (probability >= F.lit(float(threshold))).cast("int")
+    """1 at or above the threshold, else 0; NULL where the score is missing."""
+    given = F.nanvl(probability.cast("double"), F.lit(None).cast("double"))
+    return (given >= F.lit(float(threshold))).cast("int")
 
 
 def confusion_label(target: Column, label: Column) -> Column:

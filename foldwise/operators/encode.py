@@ -20,7 +20,7 @@ from foldwise.operators.columns import composite_name, encoded_name, require_col
 from foldwise.operators.joins import lookup
 from foldwise.operators.split import kfold_expression
 from foldwise.plans.ordering import running_totals
-from foldwise.plans.small import attach, broadcast_within, total_bytes
+from foldwise.plans.small import attach, broadcast_within, require_unique, total_bytes
 from foldwise.session import cut_lineage
 
 ColumnSpec = str | Sequence[str]
@@ -456,7 +456,7 @@ def time_series_target_encode(
     Rows are ordered by time, then key.  The prior is the mean of all rows, or
     with ``prior="past"`` of the earlier rows of any category (NULL where there
     is none).  Only keys, categories, time and target are moved; the codes are
-    joined back by ``keys``, which must be unique.  The posterior mean has the
+    joined back by ``keys``, which must be unique (NULL is a key like any other).  The posterior mean has the
     same form for both target types, so running counts and sums suffice.
     """
     if target_type not in TARGET_TYPES:
@@ -491,10 +491,7 @@ def time_series_target_encode(
         )
         narrow = narrow.withColumn(out, code).drop("__n", "__s")
         outputs.append(out)
-    codes = narrow.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(at)], *outputs)
-    same = F.lit(True)
-    for i, k in enumerate(at):
-        same = same & (F.col(k) == F.col(f"__key_{i}"))
-    result = df.drop(*outputs).join(codes, same, "left")
+    require_unique(df.select(*at), at)
+    result = attach(df.drop(*outputs), narrow, at, outputs)
     full = _bayesian_encoders(moments, specs, target_type, prior_weight, min_samples)
-    return result.drop(*[f"__key_{i}" for i in range(len(at))]), full
+    return result, full

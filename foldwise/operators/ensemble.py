@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from foldwise.functions.numeric import present
 from foldwise.operators.columns import binarise
 from foldwise.plans.ordering import running_totals
 from foldwise.plans.small import attach, settle
@@ -19,7 +20,10 @@ def mean_ensemble(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
 def weighted_mean_ensemble(
     predictions: DataFrame, keys: Sequence[str], weights: Mapping[str, float]
 ) -> DataFrame:
-    """Average with weights scaled to sum 1 (L5); every model needs a weight."""
+    """``sum(w * p) / sum(w)`` over the models that scored a row.
+
+    Every model needs a weight.  A row that no weighted model scored is NULL.
+    """
     models = {r["model"] for r in predictions.select("model").distinct().limit(len(weights) + 1).collect()}
     if models != set(weights):
         raise ValueError(f"weights are for {sorted(weights)} but models are {sorted(models)}")
@@ -29,19 +33,26 @@ def weighted_mean_ensemble(
     weight = F.lit(None).cast("double")
     for model, w in weights.items():
         weight = F.when(F.col("model") == model, F.lit(float(w) / total)).otherwise(weight)
-    return predictions.groupBy(*keys).agg(F.sum(F.col("prediction") * weight).alias("prediction"))
+    given = present(predictions, "prediction")
+    used = F.sum(F.when(given.isNotNull(), weight))
+    return predictions.groupBy(*keys).agg(
+        (F.sum(given * weight) / F.nullif(used, F.lit(0.0))).alias("prediction")
+    )
 
 
 def scaled_ranks(predictions: DataFrame) -> DataFrame:
     """Replace predictions by average-tie ranks per model, scaled to [0, 1].
 
     Equal predictions are counted first, so a very common value is one row in
-    the ranking; a model with a single row gets 0.
+    the ranking; a model with a single row gets 0.  Missing predictions are not
+    ranked and stay NULL.
     """
-    counts = predictions.groupBy("model", "prediction").agg(F.count(F.lit(1)).alias("__c"))
+    predictions = predictions.withColumn("prediction", present(predictions, "prediction"))
+    given = predictions.where("prediction IS NOT NULL")
+    counts = given.groupBy("model", "prediction").agg(F.count(F.lit(1)).alias("__c"))
     placed = running_totals(counts, ["model"], ["prediction"], {"__before": F.col("__c")})
     # One row per model.
-    sizes = settle(predictions.groupBy("model").agg(F.count(F.lit(1)).alias("__n")))
+    sizes = settle(given.groupBy("model").agg(F.count(F.lit(1)).alias("__n")))
     placed = attach(placed, sizes, ["model"], ["__n"])
     middle = F.col("__before") + (F.col("__c") - 1) / 2.0
     scaled = F.when(F.col("__n") > 1, middle / (F.col("__n") - 1)).otherwise(0.0)

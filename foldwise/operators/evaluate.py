@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from foldwise.functions.numeric import present
 from foldwise.operators.columns import path_exists, with_errors
 from foldwise.plans.ordering import running_totals
 
@@ -19,13 +20,15 @@ def binary_auc(
     """Exact area under the ROC curve per group, ties counting half.
 
     Equal scores are counted first; running counts of negatives then give the
-    pairs each positive wins.  A group with one class only has a NULL area.
+    pairs each positive wins.  Rows that miss target or score do not count; a
+    group with one class only has a NULL area.
     """
     groups = list(groups)
-    rows = df.where(F.col(target_col).isNotNull() & F.col(score_col).isNotNull()).select(
+    target, score = present(df, target_col), present(df, score_col)
+    rows = df.where(target.isNotNull() & score.isNotNull()).select(
         *groups,
-        F.col(score_col).cast("double").alias("__score"),
-        (F.col(target_col).cast("double") > 0).cast("long").alias("__pos"),
+        score.cast("double").alias("__score"),
+        (target.cast("double") > 0).cast("long").alias("__pos"),
     )
     counts = rows.groupBy(*groups, "__score").agg(
         F.sum("__pos").alias("__p"), F.sum(1 - F.col("__pos")).alias("__q")
@@ -86,10 +89,11 @@ def error_samples(
     """Up to ``n_samples`` rows of each confusion type.
 
     FP and FN with the largest errors, TP and TN with the smallest, ties by
-    key.  The rank limit is pushed below the shuffle, so each task sends at most
+    key; rows that miss target or score are left out.  The rank limit is pushed below the shuffle, so each task sends at most
     ``n_samples`` rows per type.
     """
-    judged = with_errors(df, target_col, proba_col, threshold)
+    scored = df.where(present(df, target_col).isNotNull() & present(df, proba_col).isNotNull())
+    judged = with_errors(scored, target_col, proba_col, threshold)
     wrong = F.col("sample_type").isin("FP", "FN")
     size = F.when(wrong, -F.col("error_magnitude")).otherwise(F.col("error_magnitude"))
     by_type = W.partitionBy("sample_type").orderBy(size, *keys)
@@ -146,9 +150,12 @@ def readiness_report(
         bad = labels_out_of_range(df, label_col, num_classes).agg(
             F.sort_array(F.collect_list(label_col)).alias("v")
         )
+        outside = (F.col(label_col) < 0) | (F.col(label_col) >= num_classes)
+        total = df.agg(F.count_if(outside).alias("n")).scalar()
         message = F.concat(
             F.lit(f"labels outside [0, {num_classes}): "),
             F.array_join(F.transform("v", lambda v: v.cast("string")), ", "),
+            F.lit(" (rows: "), total, F.lit(")"),
         )
         found.append(report(label_col, message, bad.where(F.size("v") > 0)))
     if path_col in df.columns and listing is not None:

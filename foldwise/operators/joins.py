@@ -9,20 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.plans.small import attach
 
-JOIN_TYPES = ("left", "inner", "right", "full", "semi", "anti", "cross")
+JOIN_TYPES = ("left", "inner", "right", "full", "semi", "anti")
 
 
 def _join_two(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
     if how in ("semi", "anti"):
         return left.join(right, on, f"left_{how}")
     taken = set(left.columns)
-    clash = [c for c in right.columns if c in taken and (c != on or how in ("cross", "full"))]
+    clash = [c for c in right.columns if c in taken and (c != on or how == "full")]
     twice = [c for c in clash if f"{c}_right" in taken or f"{c}_right" in right.columns]
     if twice:
         raise ValueError(f"columns {twice} clash more than once; rename them before the join")
     renamed = right.withColumnsRenamed({c: f"{c}_right" for c in clash})
-    if how == "cross":
-        return left.crossJoin(renamed)
     if how != "full":
         return left.join(renamed, on, how)
     # A full join keeps both keys; NULL marks the side that had no row.
@@ -33,12 +31,15 @@ def join_tables(dfs: Sequence[DataFrame], on: str, how: str = "left") -> DataFra
     """Fold ``dfs`` from the left over one key; NULL keys never match.
 
     Right columns whose name is taken get ``_right``.  The join algorithm is
-    left to Catalyst and the adaptive planner.
+    left to Catalyst and the adaptive planner.  A full join takes two tables:
+    with more, a row of the third has no one key to be matched on.
     """
     if len(dfs) < 2:
         raise ValueError("a join needs at least two tables")
     if how not in JOIN_TYPES:
         raise ValueError(f"unknown join type {how!r}; known: {JOIN_TYPES}")
+    if how == "full" and len(dfs) > 2:
+        raise ValueError("a full join takes two tables; coalesce the keys before joining a third")
     return reduce(lambda left, right: _join_two(left, right, on, how), dfs)
 
 

@@ -18,7 +18,6 @@ from foldwise.plans.small import attach
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 DEFAULT_BINS = 30
 DEFAULT_TOP = 20
-DEFAULT_COLUMNS = 20
 
 
 def _text(column: Column, kind: str) -> Column:
@@ -165,11 +164,14 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = DEFAULT_BINS)
     """(column, bin, bin_left, bin_right, count) with equal-width bins, empty ones too.
 
     The last bin is closed; a column with one single value gets a range of
-    width 1 around it (A5).
+    width 1 around it (A5).  The range is that of the finite values; infinite
+    ones, where there are any, are counted apart in bins -1 and ``bins``.
     """
+    infinite = F.abs("x") == float("inf")
     edges = []
     for i, c in enumerate(columns):
         x = present(df, c).cast("double")
+        x = F.when(F.abs(x) != float("inf"), x)
         edges += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     bounds = df.agg(*edges).select(F.struct("*").alias("b")).scalar()
     entries = []
@@ -187,7 +189,11 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = DEFAULT_BINS)
     rows = (
         df.select(F.inline(F.array(*entries)))
         .where(F.col("x").isNotNull())
-        .select("column", F.least(F.floor(share * bins), F.lit(bins - 1)).alias("bin"))
+        .select(
+            "column",
+            F.when(infinite, F.when(F.col("x") > 0, F.lit(bins)).otherwise(F.lit(-1)))
+            .otherwise(F.least(F.floor(share * bins), F.lit(bins - 1))).cast("long").alias("bin"),
+        )
     )
     counts = rows.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
     frame = [
@@ -207,13 +213,19 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = DEFAULT_BINS)
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     )
     width = (F.col("hi") - F.col("lo")) / bins
-    return grid.join(counts, ["column", "bin"], "left").select(
+    apart = counts.where((F.col("bin") < 0) | (F.col("bin") >= bins)).select(
+        "column", "bin",
+        F.when(F.col("bin") < 0, float("-inf")).alias("bin_left"),
+        F.when(F.col("bin") >= bins, float("inf")).alias("bin_right"), "count",
+    )
+    inside = grid.join(counts, ["column", "bin"], "left").select(
         "column",
         "bin",
         (F.col("lo") + width * F.col("bin")).alias("bin_left"),
         (F.col("lo") + width * (F.col("bin") + 1)).alias("bin_right"),
         F.coalesce("count", F.lit(0)).alias("count"),
     )
+    return inside.unionByName(apart)
 
 
 def value_counts(
@@ -226,7 +238,7 @@ def value_counts(
 
 
 def distributions(
-    df: DataFrame, max_cols: int = DEFAULT_COLUMNS, bins: int = DEFAULT_BINS, top: int = DEFAULT_TOP
+    df: DataFrame, max_cols: int | None = None, bins: int = DEFAULT_BINS, top: int = DEFAULT_TOP
 ) -> DataFrame:
     """What a plot of each column shows, numeric columns first.
 

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from foldwise.functions.hashing import key_columns, shuffle_order
 from foldwise.plans.cuts import cut_points
 from foldwise.plans.ordering import with_row_index
-from foldwise.plans.small import attach, settle
-
-# Smallest positive double: weights below it are 0.
-_TINY = 5e-324
-# Ranking the newest rows by a top-k is worth it up to this many rows.
-_TOP_ROWS = 50_000
+from foldwise.plans.small import attach, require_unique, settle
 
 
 def stratified_subsample(
@@ -40,27 +34,15 @@ def exp_weight(
 ) -> DataFrame:
     """``decay ** (rows newer than this one)``; the newest row weighs 1.0.
 
-    For a decay below 1 every row past a certain age weighs exactly 0.0 in
-    double precision.  If that age is small the newest rows are found with a
-    top-k and joined back, and no other row is moved; otherwise all rows get a
-    global index.
+    Only times and keys are ordered; weights are joined back by ``keys``, which
+    must be unique (``ValueError`` otherwise).  NULL times are the oldest.
     """
     names = key_columns(keys)
     newest_first = [F.col(c).desc_nulls_last() for c in [time_col, *names]]
-    if 0 < decay < 1:
-        living = math.ceil(math.log(_TINY) / math.log(decay)) + 1
-        if living <= _TOP_ROWS:
-            newest = (
-                df.select(time_col, *names)
-                .orderBy(*newest_first)
-                .limit(living)
-                .withColumn("__age", F.row_number().over(W.orderBy(*newest_first)) - 1)
-                .select(*names, F.pow(F.lit(decay), F.col("__age")).alias("__w"))
-            )
-            aged = attach(df, F.broadcast(newest), names, ["__w"])
-            return aged.withColumn(weight_col, F.coalesce("__w", F.lit(0.0))).drop("__w")
-    aged = with_row_index(df, newest_first, "__age")
-    return aged.withColumn(weight_col, F.pow(F.lit(float(decay)), F.col("__age"))).drop("__age")
+    aged = with_row_index(df.select(*dict.fromkeys([time_col, *names])), newest_first, "__age")
+    require_unique(aged, names)
+    weights = aged.select(*names, F.pow(F.lit(float(decay)), F.col("__age")).alias("__w"))
+    return attach(df, weights, names, ["__w"]).withColumn(weight_col, F.col("__w")).drop("__w")
 
 
 def duplicated(df: DataFrame, id_col: str) -> DataFrame:

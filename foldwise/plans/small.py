@@ -38,6 +38,13 @@ def settle(df: DataFrame) -> DataFrame:
     return broadcast_within(fixed, fixed.agg(total_bytes(fixed).alias("size")).first()["size"])
 
 
+def require_unique(table: DataFrame, keys: Sequence[str]) -> None:
+    """Raise if rows share their keys: a join back would multiply them."""
+    repeated = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"keys {list(keys)} are not unique")
+
+
 def all_equal(pairs: Sequence[tuple[str, str]]) -> Column:
     """NULL-safe equality of several column pairs."""
     condition = F.lit(True)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import posixpath
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foldwise.operators.media import list_images
 
@@ -58,9 +59,11 @@ def read_csv_directory(
 
 
 def read_csv_glob(spark: SparkSession, pattern: str, schema: Schema | None = None) -> DataFrame:
-    """CSV files matching a pattern, one below the other; columns match by name (O1)."""
-    if schema is not None:
-        return read_csv(spark, pattern, schema)
+    """CSV files matching a pattern, one below the other; columns match by name (O1).
+
+    With a schema its columns are returned, NULL where a file lacks one; columns
+    of a file that the schema does not name are left out.
+    """
     # One read per distinct header, not per file.
     lines = spark.read.text(pattern).select(
         "value",
@@ -70,12 +73,25 @@ def read_csv_glob(spark: SparkSession, pattern: str, schema: Schema | None = Non
     )
     first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
     files = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    tables = [read_csv(spark, row["paths"]) for row in files.orderBy("paths").collect()]
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    tables = [_same_header(spark, r["header"], r["paths"], schema) for r in files.orderBy("paths").collect()]
     if not tables:
         raise ValueError(f"no rows in files matching {pattern!r}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def _same_header(spark: SparkSession, header: str, paths: list[str], schema: StructType | None) -> DataFrame:
+    """Files of one header, with the schema's columns picked by name."""
+    if schema is None:
+        return read_csv(spark, paths)
+    known = {f.name: f for f in schema.fields}
+    names = next(csv.reader([header]))
+    here = StructType([known.get(n, StructField(n, StringType())) for n in names])
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in names]
+    return read_csv(spark, paths, here).select(*[n for n in names if n in known], *missing).select(*known)
+
+
 def file_stem(path: Column) -> Column:
     """File name without directory and last suffix."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
@@ -131,6 +147,8 @@ def resolve_latest(spark: SparkSession, path: str) -> str:
     at = parts.index("latest")
     parent = "/".join(parts[:at]) or "/"
     names = [s.getPath().getName() for s in _children(spark, parent) if s.isDirectory()]
+    # Spark's own folders (_temporary and the like) are no runs.
+    names = [n for n in names if not n.startswith(("_", "."))]
     if not names:
         raise ValueError(f"no run directory under {parent}")
     return "/".join([*parts[:at], max(names), *parts[at + 1 :]])

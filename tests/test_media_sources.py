@@ -291,3 +291,21 @@ def test_recipe_records_or_raises(spark):
 def test_train_model_is_one_row(spark):
     _, model = fill_na(spark.createDataFrame([(1.0,), (3.0,)], "x double"), ["x"], "mean")
     assert model.count() == 1 and model.first().x == 2.0
+
+
+def test_latest_run_skips_working_folders(spark, tmp_path):
+    from foldwise.sources.readers import resolve_latest
+
+    for name in ("20260101", "20260102", "_temporary", ".hidden"):
+        (tmp_path / name).mkdir()
+    assert resolve_latest(spark, f"{tmp_path}/latest/x") == f"{tmp_path}/20260102/x"
+
+
+def test_csv_glob_matches_columns_by_name(spark, tmp_path):
+    from foldwise.sources.readers import read_csv_glob
+
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n10,20\n")
+    (tmp_path / "c.csv").write_text("z,x\n7,30\n")
+    rows = read_csv_glob(spark, f"{tmp_path}/*.csv", "x int, y int").collect()
+    assert sorted(map(tuple, rows)) == [(1, 2), (20, 10), (30, None)]

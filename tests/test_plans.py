@@ -59,9 +59,17 @@ def test_encoding_joins_rows_by_broadcast(tables):
     assert scans == ["struct<o_orderkey:bigint,o_orderpriority:string>"]
 
 
-def test_recency_weights_use_a_top_k(tables):
-    text = plan(exp_weight(tables("events"), "ts", "event_id"))
-    assert "TakeOrderedAndProject" in text and "SortMergeJoin" not in text
+def test_recency_weights_order_times_and_keys_only(spark, tables):
+    df = spark.createDataFrame([(1, 10, "text"), (2, 11, "more")], "id int, t int, wide string")
+    kept = []
+    import foldwise.plans.ordering as ordering
+
+    cut, ordering.cut_lineage = ordering.cut_lineage, lambda rows: kept.append(rows.columns) or cut(rows)
+    try:
+        exp_weight(df, "t", "id")
+    finally:
+        ordering.cut_lineage = cut
+    assert len(kept) == 1 and "wide" not in kept[0]
 
 
 def test_error_samples_limit_before_the_shuffle(tables):

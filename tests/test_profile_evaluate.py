@@ -13,7 +13,7 @@ from foldwise.operators.evaluate import (
 )
 from foldwise.operators.learn import booster, cross_validate_trees, fold_scores, score_folds
 from foldwise.operators.profile import (
-    describe, describe_long, group_describe, group_stats, histograms, missing_matrix,
+    describe, describe_long, distributions, group_describe, group_stats, histograms, missing_matrix,
     missing_table, run_profile, table_profile, value_counts,
 )
 from foldwise.operators.split import kfold
@@ -145,7 +145,7 @@ def test_label_range_and_readiness(spark):
     messages = {r.field: r.message for r in found.collect()}
     assert messages == {
         "gone": "column gone does not exist",
-        "label": "labels outside [0, 3): -1, 7",
+        "label": "labels outside [0, 3): -1, 7 (rows: 3)",
         "path": "2/4 paths do not exist",
     }
     good = readiness_report(df.where("label = 0"), ["label"], "label", 3, path_col="path", listing=listing)
@@ -212,3 +212,33 @@ def test_cross_validated_trees(spark):
     with pytest.raises(ValueError):
         score_folds({}, df, ["id"])
     assert booster("y").getLabelCol() == "y"
+
+
+def test_trees_take_many_categories_and_score_in_one_pass(spark):
+    rows = spark.range(3000).selectExpr("id", "concat('k', id % 1000) AS k", "cast(id % 1000 < 500 AS int) AS y")
+    folds = kfold(rows, "id", 2)
+    result = cross_validate_trees(folds, ["k"], "y", 2, categorical=["k"], params={"maxIter": 1, "maxDepth": 1})
+    assert all(s.valid_score > 0.8 for s in fold_scores(result, "y").collect())
+    text = score_folds(result.models, rows, ["id"])._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert text.count("Range (") == 1
+    unseen = spark.createDataFrame([(1, "new"), (2, None)], "id long, k string")
+    assert score_folds(result.models, unseen, ["id"]).where("prediction BETWEEN 0 AND 1").count() == 2
+
+
+def test_gaps_are_no_scores(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0, None), (2, nan, 0.9), (3, 1.0, 0.2), (4, 0.0, nan)], "id int, y double, p double")
+    assert [r.id for r in error_samples(df, "y", "p", ["id"], 1).collect()] == [3]
+    both = spark.createDataFrame([(1.0, 0.9), (0.0, 0.1), (nan, 0.0), (1.0, nan)], "y double, p double")
+    assert binary_auc(both, "y", "p").first().auc == 1.0
+    long = spark.createDataFrame([(1, "a", 0.8), (1, "b", None), (2, "a", 0.4), (2, "b", nan)], "id int, model string, prediction double")
+    got = ensemble(long, ["id"], "weighted_mean", weights={"a": 1.0, "b": 1.0}).orderBy("id").collect()
+    assert [r.prediction for r in got] == [0.8, 0.4]
+    ranks = ensemble(long, ["id"], "rank_average").orderBy("id").collect()
+    assert [r.prediction for r in ranks] == [1.0, 0.0]
+
+
+def test_all_columns_unless_limited(spark):
+    df = spark.range(3).selectExpr("id", *[f"id AS c{i}" for i in range(24)])
+    names = lambda table: {r[0] for r in table.select("column").distinct().collect()}
+    assert len(names(distributions(df))) == 25 and len(names(distributions(df, 4))) == 4

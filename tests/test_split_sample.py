@@ -137,9 +137,20 @@ def test_exp_weight(df, decay):
     assert [r.w for r in newest_first] == pytest.approx([decay**i for i in range(303)], rel=1e-12, abs=0)
 
 
-def test_weights_past_the_last_double_are_zero(df):
-    long_ago = exp_weight(df, "t", "id", 0.01, "w").where("w = 0.0").count()
-    assert long_ago == sum(1 for i in range(303) if 0.01**i == 0.0) > 0
+@pytest.mark.parametrize("decay", [0.01, 0.95, 0.999])
+def test_weights_equal_the_power_on_every_row(spark, decay):
+    rows = exp_weight(spark.range(20_000).withColumn("t", -F.col("id")), "t", "id", decay, "w")
+    wrong = rows.where(F.col("w") != F.pow(F.lit(decay), F.col("id"))).count()
+    assert wrong == 0 and rows.count() == 20_000
+
+
+@pytest.mark.parametrize("decay", [0.01, 0.95, 1.0])
+def test_weights_of_repeated_keys_are_refused(spark, decay):
+    df = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "id int, t int")
+    with pytest.raises(ValueError):
+        exp_weight(df, "t", "id", decay)
+    null_key = spark.createDataFrame([(None, 5), (2, 7)], "id int, t int")
+    assert {r.id: r["__weight__"] for r in exp_weight(null_key, "t", "id", 0.5).collect()} == {None: 0.5, 2: 1.0}
 
 
 def test_duplicates_and_transitions(spark):
