@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructField, StructType
 
+from foldwise.plans.small import VALUE_BYTES, broadcast_within
 from foldwise.session import scratch_path
 
 # Bytes of text that one step of a task works on; longer texts form steps of their own.
@@ -104,6 +105,30 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast only if its measured size is small."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    size = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()["size"]
+    return broadcast_within(df, size)
+
+
+def _width(column: Column, kind: DataType) -> Column:
+    """Upper estimate of a value's bytes, with those of nested values."""
+    if isinstance(kind, StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(VALUE_BYTES))
+    more = F.lit(0)
+    if isinstance(kind, (StringType, BinaryType)):
+        more = F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, ArrayType):
+        more = F.coalesce(VALUE_BYTES * F.size(column), F.lit(0))  # numbers only here
+    return F.lit(VALUE_BYTES) + more
+
+
+def is_empty(df: DataFrame) -> bool:
+    """Whether a written table has no row, from its files' metadata."""
+    return df.count() == 0
+
+
 def require_text(df: DataFrame, text: str) -> None:
     kind = df.schema[text].dataType.simpleString()
     if kind != "string":

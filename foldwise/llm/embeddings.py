@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldwise.llm.common import stored
+from foldwise.llm.common import sized, stored
 from foldwise.llm.components import components
 
 TILE = 2048
@@ -274,7 +274,7 @@ def near_duplicates(
         counts, links = found[0]
         for more_counts, more_links in found[1:]:
             counts, links = counts.unionByName(more_counts), links.unionByName(more_links)
-        roots = components(links, "id", "root")
+        roots = sized(stored(components(links, "id", "root"), "vector-roots"))
         state = state.join(counts, "id", "left").join(roots, "id", "left")
     else:
         state = state.withColumns({"n_other": F.lit(0).cast("long"), "root": F.lit(None).cast("long")})
@@ -285,8 +285,8 @@ def near_duplicates(
         ),
         "vector-state",
     )
-    smallest = state.groupBy("root").agg(F.min("least").alias("component_id"))
-    state = state.join(smallest, "root").select("h1", "h2", "n_links", "component_id")
+    smallest = sized(stored(state.groupBy("root").agg(F.min("least").alias("component_id")), "vector-least"))
+    state = sized(stored(state.join(smallest, "root").select("h1", "h2", "n_links", "component_id"), "vector-ends"))
     linked = good.select("key", "h1", "h2").join(state, ["h1", "h2"]).drop("h1", "h2")
     alone = rows.where(~usable("v")).select(
         "key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id")

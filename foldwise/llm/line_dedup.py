@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldwise.llm import ragged
-from foldwise.llm.common import fields, require_text, steps, stored
-from foldwise.llm.lsh import groups, identified, matches, once, renamed, sized
+from foldwise.llm.common import fields, require_text, sized, steps, stored
+from foldwise.llm.lsh import groups, identified, matches, once, renamed
 
 SHINGLE = 8
 # 10 bands of 4: a pair of similarity 0.8 is found with a probability of 0.995.
@@ -120,7 +120,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
         return classes.select(F.explode("bands").alias("bucket"), "id", F.lit(0).alias("size"))
 
     def payloads(ids: DataFrame) -> DataFrame:
-        wanted = sized(stored(classes.join(ids, "id").select("id", "h1", "h2"), "wanted-lines"))
+        wanted = sized(stored(classes.join(ids, "id", "left_semi").select("id", "h1", "h2"), "wanted-lines"))
         found = _lines(docs, "payload").join(wanted, ["h1", "h2"])
         return found.groupBy("id").agg(F.first("payload").alias("payload"))
 
@@ -129,7 +129,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
     state = stored(
         state.select("h1", "h2", "least", F.coalesce("root", "id").alias("root")), "line-groups"
     )
-    best = state.groupBy("root").agg(F.min("least").alias("best"))
+    best = sized(stored(state.groupBy("root").agg(F.min("least").alias("best")), "line-best"))
     state = sized(stored(state.join(best, "root").select("h1", "h2", "best"), "line-states"))
     here = F.struct(F.col("k").isNull().alias("none"), "k", "t1", "t2", "line")
     gone = _lines(docs).join(state, ["h1", "h2"]).where(~here.eqNullSafe(F.col("best")))

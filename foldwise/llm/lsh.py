@@ -7,9 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldwise.llm.common import stored
+from foldwise.llm.common import is_empty, sized, stored
 from foldwise.llm.components import components
-from foldwise.plans.small import broadcast_within, total_bytes
 
 # Buckets of up to this many unresolved ids are compared pair by pair.
 PAIRWISE = 32
@@ -17,11 +16,6 @@ PAIRWISE = 32
 Agree = Callable[[bytes, bytes], bool]
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast only if its measured size is small."""
-    return broadcast_within(df, df.agg(total_bytes(df).alias("size")).first()["size"])
-
-
 def verified(pairs: DataFrame, payloads: DataFrame, agree: Callable[[], Agree]) -> DataFrame:
     """The pairs ``a``, ``b`` whose payloads agree."""
     left = payloads.select(F.col("id").alias("a"), F.col("payload").alias("x"))
@@ -59,22 +53,16 @@ def groups(
     Rounds end when nothing is left, or when no leader finds a link any more.
     """
     spread = F.shiftleft(F.col("size").cast("long"), 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))
-    leader = F.min_by(F.struct("id", "size"), spread).alias("leader")
-    ends = buckets().groupBy("bucket").agg(F.min_by("id", spread).alias("leader"), F.count(F.lit(1)).alias("n"))
-    shared = stored(ends.where("n > 1").select("bucket", "leader"), "buckets")
-    members = stored(
-        buckets().join(sized(shared), "bucket").select("bucket", "id", "size", "leader"), "bucket-members"
-    )
-    sizes = members.where("id = leader").select("bucket", F.col("size").alias("leader_size"))
-    members = stored(
-        members.where("id != leader").join(sized(stored(sizes, "bucket-sizes")), "bucket"), "bucket-members"
-    )
-    ids = members.select("id").union(members.select("leader")).distinct()
-    held = stored(payloads(sized(stored(ids, "bucket-ids"))), "bucket-payloads")
+    least = [F.min_by("id", spread).alias("leader"), F.shiftright(F.min(spread), 24).alias("leader_size")]
     near = F.least("size", "leader_size") >= ratio * F.greatest("size", "leader_size")
+    ends = buckets().groupBy("bucket").agg(*least, F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = sized(stored(ends.drop("n"), "buckets"))
+    members = stored(buckets().join(shared, "bucket").where("id != leader"), "bucket-members")
+    ids = members.select("id").union(members.select("leader")).distinct()
+    held = sized(stored(payloads(sized(stored(ids, "bucket-ids"))), "bucket-payloads"))
     star = members.where(near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    tried = stored(star.distinct(), "pairs")
-    roots = stored(components(verified(tried, held, agree)), "roots")
+    tried = sized(stored(star.distinct(), "pairs"))
+    roots = sized(stored(components(verified(tried, held, agree)), "roots"))
     while True:
         first = roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
         rest = (
@@ -83,25 +71,32 @@ def groups(
                     F.coalesce("leader_root", "leader").alias("leader_root"))
             .where("root != leader_root")
         )
-        rest = stored(rest.select("bucket", "id", "size", "root"), "bucket-rest")
-        left = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), leader)
-        left = sized(stored(left.where("n > 1").select("bucket", "n", "leader.*").withColumnsRenamed(
-            {"id": "leader", "size": "leader_size"}), "bucket-left"))
-        open_ = rest.join(left, "bucket")
-        few = open_.where(F.col("n") <= PAIRWISE).select("bucket", F.col("id").alias("a"), "size", "root")
-        other = few.select("bucket", F.col("a").alias("b"), F.col("size").alias("leader_size"), F.col("root").alias("root_b"))
-        pairs = few.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & near)
+        rest = stored(rest.drop("leader_root"), "bucket-rest")
+        left = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1")
+        open_ = rest.join(sized(stored(left, "bucket-left")), "bucket")
+        # Lists of at most PAIRWISE ids, and their pairs in different components.
+        listed = open_.where(F.col("n") <= PAIRWISE).groupBy("bucket").agg(
+            F.collect_list(F.struct("id", "size", "root")).alias("all")
+        )
+        pairs = (
+            listed.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("size"),
+                    F.col("y.size").alias("leader_size"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+            .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
+        )
         many = open_.where((F.col("n") > PAIRWISE) & (F.col("id") != F.col("leader")))
         members = stored(many.select("bucket", "id", "size", "leader", "leader_size"), "bucket-members")
         star = members.where(near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
         fresh = pairs.select("a", "b", F.lit(0).alias("star")).unionByName(star.withColumn("star", F.lit(1)))
         fresh = fresh.groupBy("a", "b").agg(F.max("star").alias("star")).join(tried, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "pairs")
+        fresh = sized(stored(fresh, "pairs"))
         links = stored(verified(fresh, held, agree), "verified")
-        roots = stored(_joined(roots, links), "roots")
-        if members.isEmpty() or links.join(fresh.where("star = 1"), ["a", "b"]).isEmpty():
+        if is_empty(links):
+            return roots
+        roots = sized(stored(_joined(roots, links), "roots"))
+        if is_empty(members) or is_empty(links.join(fresh.where("star = 1"), ["a", "b"], "left_semi")):
             return roots
-        tried = tried.unionByName(fresh.select("a", "b"))
+        tried = sized(stored(tried.unionByName(fresh.select("a", "b")), "pairs"))
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -111,7 +106,7 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     between = links.join(left, "a", "left").join(right, "b", "left").select(
         F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")
     )
-    moved = stored(components(between), "moved")
+    moved = sized(stored(components(between), "moved"))
     to = moved.select(F.col("id").alias("root"), F.col("root").alias("new"))
     known = roots.join(to, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
     return known.unionByName(moved.join(roots, "id", "left_anti"))

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.llm import ragged
-from foldwise.llm.common import require_text, steps, stored
-from foldwise.llm.lsh import groups, identified, keep_rows, sized
+from foldwise.llm.common import require_text, sized, steps, stored
+from foldwise.llm.lsh import groups, identified, keep_rows
 
 WORDS = 5  # words in a k-mer
 SKETCHES = 64
@@ -224,7 +224,7 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def payloads(ids: DataFrame) -> DataFrame:
         # The texts that stand for the classes are looked up by key and hash.
-        wanted = classes.join(ids, "id").select("id", "h1", "h2", "least.k", "least.t1", "least.t2")
+        wanted = classes.join(ids, "id", "left_semi").select("id", "h1", "h2", "least.k", "least.t1", "least.t2")
         wanted = sized(stored(wanted, "wanted-texts"))
         texts = source.join(
             wanted.select(F.col("k").alias("wk"), F.col("t1").alias("w1"), F.col("t2").alias("w2")),
@@ -239,8 +239,8 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
         classes.join(roots, "id", "left").select("h1", "h2", "least", F.coalesce("root", "id").alias("root")),
         "text-groups",
     )
-    best = state.groupBy("root").agg(F.min("least").alias("best"))
-    state = state.join(best, "root").select("h1", "h2", "best")
+    best = sized(stored(state.groupBy("root").agg(F.min("least").alias("best")), "text-best"))
+    state = sized(stored(state.join(best, "root").select("h1", "h2", "best"), "text-states"))
     return rows.select("k", "t1", "t2", "h1", "h2").join(state, ["h1", "h2"]).drop("h1", "h2")
 
 
