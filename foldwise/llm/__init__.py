@@ -1,5 +1,5 @@
-"""Operators for large training corpora; nothing else in the library imports them."""
+"""Operators for large training corpora; nothing else in the library imports them.
 
-from foldwise.llm.queries import QUERIES, SQL
-
-__all__ = ["QUERIES", "SQL"]
+``foldwise.llm.queries`` registers one query for each; it is not imported here,
+so that tasks load only the operator they run.
+"""

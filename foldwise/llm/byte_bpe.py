@@ -30,7 +30,7 @@ from foldwise.llm.common import fields, pick, require_text, steps, stored
 CHUNK_BYTES = 32 << 20
 # Tokens put together at a time when texts are reassembled.
 _STEP_TOKENS = 1 << 20
-_LEVEL = 9
+_LEVEL = 6
 
 
 def read_ranks(text: str) -> dict[bytes, int]:
@@ -107,17 +107,25 @@ class _Chunk:
         self.sizes.append(sizes)
 
     def row(self, buckets: int) -> dict:
+        self.known.clear()
         codes = np.concatenate(self.codes) if self.codes else np.empty(0, np.uint32)
+        self.codes.clear()
+        data = np.frombuffer(b"".join(self.words) + bytes(8), np.uint8)
+        offsets = np.zeros(len(self.words) + 1, np.int64)
+        np.cumsum([len(w) for w in self.words], out=offsets[1:])
+        self.words.clear()
         # Frequent words get small codes; equally frequent ones (most occur once)
-        # stand in alphabetical order.  Both compress best so.
-        counts = np.bincount(codes, minlength=len(self.words)).tolist()
-        order = sorted(range(len(counts)), key=lambda i: (-counts[i], self.words[i]))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        words = [self.words[i] for i in order]
-        data = np.frombuffer(b"".join(words), np.uint8)
-        offsets = np.zeros(len(words) + 1, np.int64)
-        np.cumsum([len(w) for w in words], out=offsets[1:])
+        # stand in alphabetical order of their beginnings.  Both compress best so.
+        counts = np.bincount(codes, minlength=len(offsets) - 1)
+        begin = np.zeros(len(counts), np.uint64)
+        for i in range(8):
+            begin = (begin << np.uint64(8)) | data[offsets[:-1] + i]
+        order = np.lexsort((begin, -counts))
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        codes = rank[codes]
+        data, sizes = ragged.gather(data, offsets, order)
+        np.cumsum(sizes, out=offsets[1:])
         bucket = (ragged.span_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
         blobs = []
         for k in range(buckets):
@@ -125,7 +133,7 @@ class _Chunk:
             blobs.append(_pack_ragged(flat.tobytes(), sizes) if len(sizes) else None)
         return {
             "keys": pa.concat_arrays(self.keys), "sizes": np.concatenate(self.sizes),
-            "codes": _pack(rank[codes]), "buckets": _pack(bucket), "words": blobs,
+            "codes": _pack(codes), "buckets": _pack(bucket), "words": blobs,
         }
 
 
