@@ -105,37 +105,52 @@ def _target(df: DataFrame, target_col: str) -> Column:
     return present(df, target_col).cast("double")
 
 
-def _other_folds(stats: DataFrame, keys: Sequence[str], squares: bool = False) -> DataFrame:
+# Up to this many folds a window adds them up; with more, running totals do,
+# which no single task holds.  Both give the same sums.
+_WINDOW_FOLDS = 1000
+
+
+def _other_folds(stats: DataFrame, keys: Sequence[str], squares: bool, many: bool) -> DataFrame:
     """(keys, fold, n, mean[, m2]) of all folds except the row's own.
 
     What comes before and after the own fold is added up, so nothing is
-    subtracted and nothing cancels.  A window sees one row per fold.
+    subtracted between folds and nothing cancels.  Sums are taken around the
+    group's mean c: m2 of the others is the sum of m2 + n (mean - c)^2 less
+    s^2 / n, with s the sum of n (mean - c).  Linear in the number of folds.
     """
-    by_fold = W.partitionBy(*keys).orderBy(FOLD)
-    sides = [
-        by_fold.rowsBetween(W.unboundedPreceding, -1),
-        by_fold.rowsBetween(1, W.unboundedFollowing),
-    ]
-
-    def others(value: Column) -> Column:
-        before, after = [F.coalesce(F.sum(value).over(s), F.lit(0)) for s in sides]
-        return before + after
-
-    columns = [others(F.col("n")).alias("n"), others(F.col("n") * F.col("mean")).alias("__sum")]
+    weight = F.coalesce(F.col("n"), F.lit(0))
     if squares:
-        part = F.struct(F.col(FOLD).alias("fold"), "n", "mean", "m2")
-        columns.append(F.collect_list(part).over(W.partitionBy(*keys)).alias("__parts"))
-    merged = stats.select(*keys, FOLD, *columns).select(
-        "*", (F.col("__sum") / F.nullif("n", F.lit(0))).alias("mean")
-    )
-    if not squares:
-        return merged.drop("__sum")
-    # Square sums are merged around the mean of the other folds.
-    apart = lambda p: p.n * F.pow(p["mean"] - F.col("mean"), F.lit(2.0))
-    add = lambda acc, p: acc + p.m2 + F.coalesce(apart(p), F.lit(0.0))
-    rest = F.filter("__parts", lambda p: p.fold != F.col(FOLD))
-    m2 = F.coalesce(F.aggregate(rest, F.lit(0.0), add), F.lit(0.0))
-    return merged.select(*keys, FOLD, "n", "mean", m2.alias("m2"))
+        whole = stats.groupBy(*keys).agg(
+            (F.sum(weight * F.col("mean")) / F.nullif(F.sum(weight), F.lit(0))).alias("__c")
+        )
+        stats = attach(stats, whole, keys, ["__c"]) if keys else stats.withColumn("__c", whole.scalar())
+    else:
+        stats = stats.withColumn("__c", F.lit(0.0))
+    apart = F.coalesce(F.col("mean") - F.col("__c"), F.lit(0.0))
+    parts = {"n": weight, "s": weight * apart}
+    if squares:
+        parts["q"] = F.coalesce("m2", F.lit(0.0)) + weight * apart * apart
+    rows = stats.select(*keys, FOLD, "__c", *[v.alias(f"__{k}") for k, v in parts.items()])
+    if many:
+        for side, order in (("b", F.col(FOLD).asc_nulls_first()), ("a", F.col(FOLD).desc_nulls_last())):
+            rows = running_totals(rows, keys, [order], {f"__{k}{side}": F.col(f"__{k}") for k in parts})
+    else:
+        by_fold = W.partitionBy(*keys).orderBy(FOLD)
+        for side, span in (
+            ("b", by_fold.rowsBetween(W.unboundedPreceding, -1)),
+            ("a", by_fold.rowsBetween(1, W.unboundedFollowing)),
+        ):
+            rows = rows.withColumns(
+                {f"__{k}{side}": F.coalesce(F.sum(f"__{k}").over(span), F.lit(0)) for k in parts}
+            )
+    n, s = F.col("__nb") + F.col("__na"), F.col("__sb") + F.col("__sa")
+    mean = F.col("__c") + s / F.nullif(n, F.lit(0))
+    columns = [n.alias("n"), mean.alias("mean")]
+    if squares:
+        square = F.col("__qb") + F.col("__qa")
+        m2 = F.greatest(square - s * s / F.nullif(n, F.lit(0)), F.lit(0.0))
+        columns.append(F.coalesce(m2, F.lit(0.0)).alias("m2"))
+    return rows.select(*keys, FOLD, *columns)
 
 
 def smoothed_mean(n: Column, mean: Column, prior: Column, smoothing: float) -> Column:
@@ -280,10 +295,11 @@ def target_encode(
     fold = _fold(df, keys, n_splits, seed, fold_col, exact_folds)
     result = df.withColumn(FOLD, fold)
     moments = _fold_moments(result, _target(df, target_col), specs)
-    by_fold = _other_folds(moments.by([FOLD]), []).select(FOLD, F.col("mean").alias("__prior"))
+    many = moments.by([FOLD]).count() > _WINDOW_FOLDS
+    by_fold = _other_folds(moments.by([FOLD]), [], False, many).select(FOLD, F.col("mean").alias("__prior"))
     by_fold = moments.sized(by_fold, [FOLD])
     for (name, cat), out in zip(specs, names):
-        seen = _other_folds(moments.by([*cat, FOLD]), cat).join(by_fold, FOLD)
+        seen = _other_folds(moments.by([*cat, FOLD]), cat, False, many).join(by_fold, FOLD)
         code = smoothed_mean(F.col("n"), F.col("mean"), F.col("__prior"), smoothing)
         codes = seen.select(*cat, FOLD, code.alias("__code"))
         codes = moments.sized(codes, [*cat, FOLD])
@@ -400,7 +416,8 @@ def bayesian_target_encode(
     squares = target_type == "continuous"
     n, mean, prior = F.col("n"), F.col("mean"), F.col("__prior")
     m2 = F.col("m2") if squares else F.lit(0.0)
-    by_fold = _other_folds(moments.by([FOLD]), [], squares).select(
+    many = moments.by([FOLD]).count() > _WINDOW_FOLDS
+    by_fold = _other_folds(moments.by([FOLD]), [], squares, many).select(
         FOLD,
         mean.alias("__prior"),
         posterior(target_type, n, mean, m2, mean, prior_weight).alias("__whole"),
@@ -410,7 +427,7 @@ def bayesian_target_encode(
     own = posterior(target_type, n, mean, m2, prior, prior_weight)
     post = F.when(enough, own).otherwise(F.col("__whole"))
     for (name, cat), out in zip(specs, names):
-        seen = _other_folds(moments.by([*cat, FOLD]), cat, squares).join(by_fold, FOLD)
+        seen = _other_folds(moments.by([*cat, FOLD]), cat, squares, many).join(by_fold, FOLD)
         codes = seen.select(*cat, FOLD, post.alias("__post")).select(
             *cat, FOLD, F.col("__post.mean").alias("__code"), F.col("__post.var").alias("__var")
         )

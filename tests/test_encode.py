@@ -227,3 +227,23 @@ def test_large_encoder_takes_a_shuffled_join(folded, monkeypatch):
     monkeypatch.setattr(small.broadcast_within, "__defaults__", (0,))
     found, _ = target_encode(df, ["c"], "y", fold_col="fold", suffix="_te")
     assert by_id(found, "c_te") == pytest.approx(expected)
+
+
+def test_many_folds_are_linear_and_agree_with_windows(spark, monkeypatch):
+    from foldwise.operators import encode
+
+    df = spark.range(4000).selectExpr(
+        "id", "CAST(id % 3 AS string) AS c", "sin(id) * 100 + 1e6 AS y", "IF(id % 2000 = 7, NULL, id % 2000) AS f"
+    )
+    found = {}
+    for limit in (0, 10_000):
+        monkeypatch.setattr(encode, "_WINDOW_FOLDS", limit)
+        coded, _ = encode.bayesian_target_encode(df, ["c"], "y", "continuous", fold_col="f")
+        found[limit] = {r.id: (r.c_te, r.c_te_var) for r in coded.collect()}
+        # No window over all folds, no array of folds.
+        if not limit:
+            assert "collect_list" not in coded._jdf.queryExecution().toString()
+    assert found[0].keys() == found[10_000].keys()
+    for i, (mean, var) in found[0].items():
+        assert mean == pytest.approx(found[10_000][i][0], rel=1e-12)
+        assert var == pytest.approx(found[10_000][i][1], rel=1e-6)
