@@ -299,7 +299,7 @@ def target_encode(
     by_fold = _other_folds(moments.by([FOLD]), [], False, many).select(FOLD, F.col("mean").alias("__prior"))
     by_fold = moments.sized(by_fold, [FOLD])
     for (name, cat), out in zip(specs, names):
-        seen = _other_folds(moments.by([*cat, FOLD]), cat, False, many).join(by_fold, FOLD)
+        seen = attach(_other_folds(moments.by([*cat, FOLD]), cat, False, many), by_fold, [FOLD], ["__prior"])
         code = smoothed_mean(F.col("n"), F.col("mean"), F.col("__prior"), smoothing)
         codes = seen.select(*cat, FOLD, code.alias("__code"))
         codes = moments.sized(codes, [*cat, FOLD])
@@ -427,7 +427,8 @@ def bayesian_target_encode(
     own = posterior(target_type, n, mean, m2, prior, prior_weight)
     post = F.when(enough, own).otherwise(F.col("__whole"))
     for (name, cat), out in zip(specs, names):
-        seen = _other_folds(moments.by([*cat, FOLD]), cat, squares, many).join(by_fold, FOLD)
+        others = _other_folds(moments.by([*cat, FOLD]), cat, squares, many)
+        seen = attach(others, by_fold, [FOLD], ["__prior", "__whole"])
         codes = seen.select(*cat, FOLD, post.alias("__post")).select(
             *cat, FOLD, F.col("__post.mean").alias("__code"), F.col("__post.var").alias("__var")
         )
