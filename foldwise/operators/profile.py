@@ -307,18 +307,20 @@ def missing_matrix(
     they are spread by the hash of ``keys``.
     """
     names = list(columns or df.columns)
+    # Flags only are moved, not the values.
+    flags = [present(df, c).isNull().cast("double").alias(f"__f{i}") for i, c in enumerate(names)]
     if order:
-        used = df.select(*dict.fromkeys([*order, *names]))
         total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
         size = F.ceil(total / buckets)
-        placed = with_row_index(used, order, "__row").withColumn(
+        placed = with_row_index(df.select(*dict.fromkeys(order), *flags), order, "__row").withColumn(
             "bucket", F.floor(F.col("__row") / size).cast("int")
         )
     else:
         digits = F.substring(shuffle_order(keys, 0), 1, 8)
-        placed = df.withColumn("bucket", F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(buckets)).cast("int"))
+        bucket = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(buckets)).cast("int")
+        placed = df.select(bucket.alias("bucket"), *flags)
     shares = placed.groupBy("bucket").agg(
-        *[F.avg(F.when(present(df, c).isNull(), 1.0).otherwise(0.0)).alias(f"f{i}") for i, c in enumerate(names)]
+        *[F.avg(f"__f{i}").alias(f"f{i}") for i in range(len(names))]
     )
     entries = [
         F.struct(F.lit(c).alias("column"), F.col(f"f{i}").alias("null_fraction"))

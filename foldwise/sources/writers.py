@@ -39,7 +39,8 @@ def write_folds(
     path = f"{output_dir}/{node_id}"
     rows = select_columns(df, list(dict.fromkeys([*columns, fold_col])))
     if layout == "assigned":
-        rows.write.mode("overwrite").partitionBy(fold_col).parquet(path)
+        # Rebalancing gathers a fold in few tasks, so few files, and splits a large one.
+        rows.hint("rebalance", F.col(fold_col)).write.mode("overwrite").partitionBy(fold_col).parquet(path)
         return path
     if n_splits is None:
         raise ValueError("the exploded layout needs n_splits")
@@ -50,9 +51,8 @@ def write_folds(
         F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold"),
     )
     side = F.when(F.col("fold") == F.col("__own"), "test").otherwise("train")
-    spread.withColumn("split", side).drop("__own").write.mode("overwrite").partitionBy(
-        "fold", "split"
-    ).parquet(path)
+    sides = spread.withColumn("split", side).drop("__own").hint("rebalance", F.col("fold"), F.col("split"))
+    sides.write.mode("overwrite").partitionBy("fold", "split").parquet(path)
     return path
 
 

@@ -77,9 +77,9 @@ def test_format_column(spark):
 
 
 def test_names():
-    assert encoded_name("Sex") == "Sex"
-    assert encoded_name("Sex", "enc_", "_x") == "enc_Sex_x"
-    assert encoded_name("Sex", "", "", "_te") == "Sex_te"
+    assert encoded_name("team") == "team"
+    assert encoded_name("team", "enc_", "_x") == "enc_team_x"
+    assert encoded_name("team", "", "", "_te") == "team_te"
 
 
 def test_null_helpers(sample):

@@ -17,8 +17,8 @@ def by_id(df, *names):
 
 @pytest.fixture(scope="module")
 def people(spark):
-    rows = [(1, "male", 0), (2, "male", 0), (3, "male", 1), (4, "female", 1), (5, "female", 1), (6, "female", 0)]
-    return spark.createDataFrame(rows, "id int, Sex string, Survived long")
+    rows = [(1, "red", 0), (2, "red", 0), (3, "red", 1), (4, "blue", 1), (5, "blue", 1), (6, "blue", 0)]
+    return spark.createDataFrame(rows, "id int, team string, won long")
 
 
 def table_of(encoders, name, *columns):
@@ -26,8 +26,9 @@ def table_of(encoders, name, *columns):
 
 
 def test_beta_binomial_literals(people):
-    found = table_of(fit_bayesian_encoder(people, ["Sex"], "Survived", "binary", 2.0), "Sex", "posterior_mean", "n_samples")
-    assert found == {"male": (pytest.approx(0.4), 3), "female": (pytest.approx(0.6), 3)}
+    found = table_of(fit_bayesian_encoder(people, ["team"], "won", "binary", 2.0), "team", "posterior_mean", "n_samples")
+    # Means of 1/3 and 2/3 pulled to 1/2 by a prior of weight 2.
+    assert found == {"red": (pytest.approx(0.4), 3), "blue": (pytest.approx(0.6), 3)}
 
 
 def test_normal_gamma_literals(spark):
@@ -51,11 +52,11 @@ def test_min_samples_leaf_takes_prior_but_keeps_count(spark):
 
 
 def test_smoothing_literals(spark):
-    df = spark.createDataFrame([("male", 1), ("female", 0), ("female", 0), ("female", 0)], "Sex string, Survived long")
-    raw = table_of(fit_target_encoder(df, ["Sex"], "Survived", 0.0), "Sex", "encoded")
-    assert raw == {"male": (1.0,), "female": (0.0,)}
-    pulled = table_of(fit_target_encoder(df, ["Sex"], "Survived", 1.0), "Sex", "encoded")
-    assert pulled == {"male": (pytest.approx(0.625),), "female": (pytest.approx(0.0625),)}
+    df = spark.createDataFrame([("red", 1), ("blue", 0), ("blue", 0), ("blue", 0)], "team string, won long")
+    raw = table_of(fit_target_encoder(df, ["team"], "won", 0.0), "team", "encoded")
+    assert raw == {"red": (1.0,), "blue": (0.0,)}
+    pulled = table_of(fit_target_encoder(df, ["team"], "won", 1.0), "team", "encoded")
+    assert pulled == {"red": (pytest.approx(0.625),), "blue": (pytest.approx(0.0625),)}
 
 
 @pytest.fixture(scope="module")
@@ -117,16 +118,16 @@ def test_oof_does_not_see_its_own_fold(folded):
 
 
 def test_names_and_replacement(people):
-    replaced, _ = target_encode(people, ["Sex"], "Survived", "id", 3)
-    assert replaced.columns == people.columns and dict(replaced.dtypes)["Sex"] == "double"
-    kept, _ = target_encode(people, ["Sex"], "Survived", "id", 3, prefix="enc_")
-    assert dict(kept.dtypes)["Sex"] == "string" and "enc_Sex" in kept.columns
-    bayes, _ = bayesian_target_encode(people, ["Sex"], "Survived", keys="id", n_splits=3, output_variance=False)
-    assert bayes.columns == [*people.columns, "Sex_te"]
+    replaced, _ = target_encode(people, ["team"], "won", "id", 3)
+    assert replaced.columns == people.columns and dict(replaced.dtypes)["team"] == "double"
+    kept, _ = target_encode(people, ["team"], "won", "id", 3, prefix="enc_")
+    assert dict(kept.dtypes)["team"] == "string" and "enc_team" in kept.columns
+    bayes, _ = bayesian_target_encode(people, ["team"], "won", keys="id", n_splits=3, output_variance=False)
+    assert bayes.columns == [*people.columns, "team_te"]
     with pytest.raises(ValueError):
-        target_encode(people, ["Sex"], "Survived")
+        target_encode(people, ["team"], "won")
     with pytest.raises(ValueError):
-        target_encode(people, [["Sex", "id"], "Sex_id"], "Survived", "id")
+        target_encode(people, [["team", "id"], "team_id"], "won", "id")
 
 
 def test_several_columns_at_once(folded):
@@ -137,11 +138,11 @@ def test_several_columns_at_once(folded):
 
 
 def test_unknown_categories_get_the_prior(spark, people):
-    test = spark.createDataFrame([(1, "male"), (2, "robot"), (3, None)], "id int, Sex string")
-    smooth = transform_target_encode(test, fit_target_encoder(people, ["Sex"], "Survived"), ["Sex"], suffix="_te")
-    assert by_id(smooth, "Sex_te") == {1: pytest.approx(1.5 / 4), 2: 0.5, 3: 0.5}
-    bayes = fit_bayesian_encoder(people, ["Sex"], "Survived", "binary", 2.0)
-    assert by_id(transform_bayesian_target_encode(test, bayes, ["Sex"]), "Sex_te") == {
+    test = spark.createDataFrame([(1, "red"), (2, "green"), (3, None)], "id int, team string")
+    smooth = transform_target_encode(test, fit_target_encoder(people, ["team"], "won"), ["team"], suffix="_te")
+    assert by_id(smooth, "team_te") == {1: pytest.approx(1.5 / 4), 2: 0.5, 3: 0.5}
+    bayes = fit_bayesian_encoder(people, ["team"], "won", "binary", 2.0)
+    assert by_id(transform_bayesian_target_encode(test, bayes, ["team"]), "team_te") == {
         1: pytest.approx(0.4), 2: pytest.approx(0.5), 3: pytest.approx(0.5)
     }
 

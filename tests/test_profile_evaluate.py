@@ -20,48 +20,49 @@ from foldwise.operators.split import kfold
 
 
 @pytest.fixture(scope="module")
-def passengers(spark):
+def parcels(spark):
+    """Seven parcels; one was not weighed, one has no driver."""
     rows = [
-        (1, 0, 3, "Ann", 22.0, 7.25), (2, 1, 1, "Bob", 38.0, 71.28), (3, 1, 3, "Cat", None, 7.92),
-        (4, 1, 1, "Ann", 35.0, 53.1), (5, 0, 3, "Eve", 35.0, 8.05),
-    ]
-    return spark.createDataFrame(
-        rows, "PassengerId long, Survived long, Pclass long, Name string, Age double, Fare double"
-    )
-
-
-def test_describe(passengers):
-    found = {r["column"]: r for r in describe(passengers).collect()}
-    age, name = found["Age"], found["Name"]
-    assert (age["count"], age.null_count, age.min, age.max) == (4, 1, 22.0, 38.0)
-    assert (age.q25, age.q50, age.q75) == (31.75, 35.0, 35.75)
-    assert age.mean == 32.5 and age.std == pytest.approx(7.1414, abs=1e-4)
-    assert (name["count"], name.uniq, name.top, name.freq) == (5, 4, "Ann", 2)
-    assert name.mean is None and age.top is None
-
-
-def test_describe_long_takes_nearest_values(passengers):
-    found = {r.statistic: r for r in describe_long(passengers).collect()}
-    assert len(found) == 9 and found["null_count"].Age == 1.0
-    # (n - 1) * q is 0.75, 1.5, 2.25: places 1, 2, 2 of 22, 35, 35, 38.
-    assert [found[s].Age for s in ("25%", "50%", "75%")] == [35.0, 35.0, 35.0]
-
-
-def test_group_profiles(passengers):
-    stats = {r.Pclass: r for r in group_stats(passengers, "Pclass").collect()}
-    assert stats[1].Age_mean == 36.5 and stats[1]["count"] == 2 and "Pclass_mean" not in stats[1]
-    full = {(r.Pclass, r["column"]): r for r in group_describe(passengers, "Pclass").collect()}
-    assert full[(3, "Age")].null_count == 1 and full[(3, "Age")].q50 == 28.5
-    assert full[(1, "Name")].uniq == 2
-
-
-def test_missing_tables(passengers):
-    found = {r["column"]: r for r in missing_table(passengers).collect()}
-    assert (found["Age"].missing_count, found["Age"].missing_pct) == (1, 20.0)
-    empty = missing_table(passengers.where("PassengerId < 0"))
+        (10, "north", 2.0, "Kim"), (11, "south", 4.0, "Lee"), (12, "north", None, "Kim"), (13, "south", 6.0, "Moe"),
+        (14, "north", 9.0, "Kim"), (15, "north", 5.0, None), (16, "south", 4.0, "Lee"),
+    ]
+    return spark.createDataFrame(rows, "parcel long, zone string, weight double, driver string")
+
+
+def test_describe(parcels):
+    found = {r["column"]: r for r in describe(parcels).collect()}
+    weight, driver = found["weight"], found["driver"]
+    assert (weight["count"], weight.null_count, weight.min, weight.max) == (6, 1, 2.0, 9.0)
+    assert (weight.q25, weight.q50, weight.q75) == (4.0, 4.5, 5.75)
+    assert weight.mean == 5.0 and weight.std == pytest.approx(math.sqrt(28 / 5))
+    assert (driver["count"], driver.uniq, driver.top, driver.freq) == (6, 3, "Kim", 3)
+    assert driver.mean is None and weight.top is None
+
+
+def test_describe_long_takes_nearest_values(parcels):
+    found = {r.statistic: r for r in describe_long(parcels).collect()}
+    assert found["null_count"].weight == 1.0
+    # (n - 1) * q is 1.25, 2.5, 3.75: places 1, 3, 4 of 2, 4, 4, 5, 6, 9.
+    assert [found[s].weight for s in ("25%", "50%", "75%")] == [4.0, 5.0, 6.0]
+
+
+def test_group_profiles(parcels):
+    stats = {r.zone: r for r in group_stats(parcels, "zone").collect()}
+    assert stats["south"].weight_mean == pytest.approx(14 / 3) and stats["north"]["count"] == 4
+    assert "zone_mean" not in stats["north"]
+    full = {(r.zone, r["column"]): r for r in group_describe(parcels, "zone").collect()}
+    assert full["north", "weight"].null_count == 1 and full["north", "weight"].q50 == 5.0
+    assert full["south", "driver"].uniq == 2
+
+
+def test_missing_tables(parcels):
+    found = {r["column"]: r for r in missing_table(parcels).collect()}
+    assert found["driver"].missing_count == 1 and found["zone"].missing_pct == 0.0
+    assert found["weight"].missing_pct == pytest.approx(100 / 7, abs=0.01)
+    empty = missing_table(parcels.where("parcel < 0"))
     assert {r.missing_pct for r in empty.collect()} == {0.0}
-    profile = {r["column"]: r for r in table_profile(passengers).collect()}
-    assert profile["Fare"].n_rows == 5 and profile["Fare"].n_columns == 6 and profile["Fare"].dtype == "double"
+    profile = {r["column"]: r for r in table_profile(parcels).collect()}
+    assert (profile["weight"].n_rows, profile["weight"].n_columns, profile["weight"].dtype) == (7, 4, "double")
 
 
 def test_histogram_edges(spark):
@@ -79,18 +80,18 @@ def test_value_counts_and_nulls(spark):
     assert [tuple(r) for r in value_counts(df, "c", 1, keep_null=False).collect()] == [("b", 2)]
 
 
-def test_missing_matrix(passengers):
-    ordered = missing_matrix(passengers, "PassengerId", 5, ["PassengerId"], ["Age"])
-    assert {r.bucket: r.null_fraction for r in ordered.collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0}
-    hashed = missing_matrix(passengers, "PassengerId", 1, columns=["Age"])
-    assert hashed.first().null_fraction == 0.2
+def test_missing_matrix(parcels):
+    ordered = missing_matrix(parcels, "parcel", 7, ["parcel"], ["weight"])
+    assert {r.bucket: r.null_fraction for r in ordered.collect()} == {i: float(i == 2) for i in range(7)}
+    hashed = missing_matrix(parcels, "parcel", 1, columns=["weight"])
+    assert hashed.first().null_fraction == pytest.approx(1 / 7)
 
 
-def test_profile_steps(passengers):
-    steps = {"missing_values": {}, "group_stats": {"group_by": "Pclass"}, "mine": {}}
-    assert set(run_profile(passengers, steps, {"mine": lambda df: df})) == set(steps)
+def test_profile_steps(parcels):
+    steps = {"missing_values": {}, "group_stats": {"group_by": "zone"}, "mine": {}}
+    assert set(run_profile(parcels, steps, {"mine": lambda df: df})) == set(steps)
     with pytest.raises(ValueError):
-        run_profile(passengers, {"mystery": {}})
+        run_profile(parcels, {"mystery": {}})
 
 
 def brute_auc(rows):
