@@ -60,9 +60,13 @@ def _by_file(spark, d):
     path = scratch_path(spark, "orders")
     orders.write.partitionBy("o_orderstatus").option("header", True).csv(path)
     schema = "o_custkey bigint, o_orderpriority string, o_orderstatus string"
-    rows = read_csv_directory(spark, path, schema).drop("source_file")
-    found = table_profile(rows.withColumnRenamed("o_orderstatus", "source"), ["source"])
-    return found.select("source", "column", "n_rows", F.col("missing_count").cast("int").alias("missing_count"))
+    rows = read_csv_directory(spark, path, schema)
+    found = table_profile(rows.drop("o_orderstatus"), ["source_file"])
+    # Every file holds one status: profiles by file add up to those by status.
+    status = F.regexp_extract("source_file", "o_orderstatus=([A-Z])", 1).alias("source")
+    return found.groupBy(status, "column").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("missing_count").cast("int").alias("missing_count")
+    )
 
 
 @query("s5_parquet_sink", "SELECT p_partkey, p_brand FROM part")

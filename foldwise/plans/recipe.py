@@ -1,6 +1,8 @@
 """A recipe as plain function composition over named tables.
 
-Steps only build lazy DataFrames, so a branch nobody uses costs nothing.
+Steps that project, filter or join only build lazy DataFrames.  Steps that fit
+(encoders, splits, imputers, samples) write fitted tables and so run jobs while
+the recipe is built, whether or not their output is used.
 """
 
 from __future__ import annotations
@@ -61,11 +63,31 @@ class Recipe:
     steps: list[dict[str, object]] = field(default_factory=list)
 
 
+def _ancestors(
+    steps: Sequence[Mapping[str, object]], outputs: Sequence[str], first: str
+) -> set[str]:
+    """Ids of the steps that ``outputs`` are made from, their own included."""
+    made_from, previous = {}, first
+    for step in steps:
+        sources = step.get("from", previous)
+        sources = [sources] if isinstance(sources, str) else list(sources)
+        previous = str(step["id"])
+        made_from[previous] = [*sources, *([str(step["model"])] if "model" in step else [])]
+    wanted, open_ = set(), list(outputs)
+    while open_:
+        name = open_.pop()
+        if name not in wanted:
+            wanted.add(name)
+            open_ += made_from.get(name, [])
+    return wanted
+
+
 def compose(
     inputs: Mapping[str, DataFrame],
     steps: Sequence[Mapping[str, object]],
     methods: Mapping[str, Callable] | None = None,
     on_error: str = "raise",
+    outputs: Sequence[str] | None = None,
 ) -> Recipe:
     """Apply ``steps`` in order and return every named table.
 
@@ -74,7 +96,8 @@ def compose(
     ``model`` (id of the step whose fitted model is passed as second argument)
     and ``options``.  With ``on_error="record"`` an unknown method is skipped
     and a step that fails while it is built passes its input on; errors of the
-    data itself surface at the action.
+    data itself surface at the action.  With ``outputs`` only those steps and
+    the ones they are made from are built.
     """
     if on_error not in ("raise", "record"):
         raise ValueError(f"unknown on_error {on_error!r}")
@@ -83,8 +106,12 @@ def compose(
     known = {**METHODS, **(methods or {})}
     recipe = Recipe(dict(inputs))
     previous = next(iter(inputs))
+    wanted = None if outputs is None else _ancestors(steps, outputs, previous)
     for step in steps:
         name, method = str(step["id"]), step["method"]
+        if wanted is not None and name not in wanted:
+            previous = name
+            continue
         if name in recipe.tables:
             raise ValueError(f"step id {name!r} is used twice")
         sources = step.get("from", previous)

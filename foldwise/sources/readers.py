@@ -52,10 +52,10 @@ def csv_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 def read_csv_directory(
     spark: SparkSession, path: str, schema: Schema | None = None, file_col: str = "source_file"
 ) -> DataFrame:
-    """All CSV files of one schema at once, each row tagged with its file (S3)."""
+    """All CSV files of one schema at once, each row tagged with its file's path (S3)."""
     reader = spark.read.option("header", True).option("pathGlobFilter", "*.csv")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path).select("*", F.col("_metadata.file_name").alias(file_col))
+    return reader.csv(path).select("*", F.col("_metadata.file_path").alias(file_col))
 
 
 def read_csv_glob(spark: SparkSession, pattern: str, schema: Schema | None = None) -> DataFrame:
