@@ -27,12 +27,16 @@ SIMILARITY = 0.8
 # Shorter lines (headings, bullets, blanks) repeat by chance and always stay.
 SHORTEST = 20
 
-_SEEDS = ragged.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+_SEEDS = (ragged.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)).astype(np.uint32)
 
 
 def normal(line: str) -> str:
     """What of a line is compared: lower case, single spaces."""
-    return " ".join(line.lower().split())
+    line = line.lower()
+    # A printable line has no white space but blanks.
+    if line.isprintable() and "  " not in line:
+        return line.strip(" ")
+    return " ".join(line.split())
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -42,12 +46,12 @@ def signatures(lines: list[str]) -> np.ndarray:
     count = np.diff(offsets) - SHINGLE + 1
     begins = np.cumsum(count) - count
     starts = np.arange(int(count.sum())) + np.repeat(offsets[:-1] - begins, count)
-    shingles = ragged.span_hashes(points, starts, starts + SHINGLE)
+    shingles = (ragged.span_hashes(points, starts, starts + SHINGLE) >> np.uint64(32)).astype(np.uint32)
     for band in range(BANDS):
         bucket = np.full(len(lines), band + 1, np.uint64)
         for row in range(ROWS):
             least = np.minimum.reduceat(shingles * _SEEDS[band * ROWS + row], begins)
-            bucket = ragged.mix(bucket * np.uint64(0x9E3779B97F4A7C15) + least)
+            bucket = ragged.mix(bucket * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
         out[:, band] = bucket
     return out
 
@@ -63,9 +67,10 @@ def alike(x: bytes, y: bytes) -> bool:
     return both >= SIMILARITY * (small + large - both)
 
 
-def _digest(line: str) -> tuple[int, int]:
-    d = hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _digests(lines: list[str]) -> np.ndarray:
+    """128 bits of every line as two whole numbers."""
+    found = [hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=16).digest() for line in lines]
+    return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
 
 
 def _lines(docs: DataFrame, also: str = "") -> DataFrame:
@@ -90,7 +95,7 @@ def _lines(docs: DataFrame, also: str = "") -> DataFrame:
                             lines.append(line)
                 place: dict[str, int] = {}
                 which = [place.setdefault(line, len(place)) for line in lines]
-                digests = np.array([_digest(line) for line in place], np.int64).reshape(-1, 2)[which]
+                digests = _digests(list(place))[which]
                 taken = pa.array(rows, pa.int64())
                 columns = [part.column(i).take(taken) for i in range(3)]
                 columns += [pa.array(numbers, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])]

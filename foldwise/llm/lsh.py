@@ -17,10 +17,14 @@ Agree = Callable[[bytes, bytes], bool]
 
 
 def verified(pairs: DataFrame, payloads: DataFrame, agree: Callable[[], Agree]) -> DataFrame:
-    """The pairs ``a``, ``b`` whose payloads agree."""
-    left = payloads.select(F.col("id").alias("a"), F.col("payload").alias("x"))
-    right = payloads.select(F.col("id").alias("b"), F.col("payload").alias("y"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    """The pairs ``a``, ``b`` (a table marked by its size) whose payloads agree.
+
+    Both payloads of a pair meet by the pair, so an id with very many pairs
+    makes no large partition, and payloads without a pair are not moved.
+    """
+    left = payloads.select(F.col("id").alias("a"), F.col("payload").alias("x")).join(pairs, "a")
+    right = payloads.select(F.col("id").alias("b"), F.col("payload").alias("y")).join(pairs, "b")
+    rows = left.select("a", "b", "x").join(right.select("a", "b", "y"), ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = agree()
@@ -59,7 +63,7 @@ def groups(
     shared = sized(stored(ends.drop("n"), "buckets"))
     members = stored(buckets().join(shared, "bucket").where("id != leader"), "bucket-members")
     ids = members.select("id").union(members.select("leader")).distinct()
-    held = sized(stored(payloads(sized(stored(ids, "bucket-ids"))), "bucket-payloads"))
+    held = stored(payloads(sized(stored(ids, "bucket-ids"))), "bucket-payloads")
     star = members.where(near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
     tried = sized(stored(star.distinct(), "pairs"))
     roots = sized(stored(components(verified(tried, held, agree)), "roots"))
