@@ -221,7 +221,7 @@ def write_tokens(
 
     One row per file: ``shard``, ``file``, ``n_docs``, ``n_tokens`` and ``start``
     (ids in all files before it).  ``end_id`` closes every document; a NULL text
-    counts as empty.  Equal keys are ordered by text and NULL keys come first.
+    counts as empty.  Equal keys are ordered by hashes of their texts and NULL keys come first.
     Keys must be whole numbers.  ``path`` is a folder that all executors reach
     (default: a new one in the shared folder).  A file is named by the attempt
     that wrote it and counts once the manifest lists it, so repeated and lost
@@ -241,7 +241,8 @@ def write_tokens(
     bits = width(vocabulary)
     folder = path or scratch_path(spark, "tokens")
     narrow = pick(df, [key, text], fields("shard int, file string, n_docs long, n_tokens long"))
-    order = [F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first()]
+    # By hashes, not by texts: samples for the ranges go to the driver.
+    order = [F.col(f"`{key}`").asc_nulls_first(), F.xxhash64(f"`{text}`"), F.xxhash64(F.lit(1), f"`{text}`")]
     ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
