@@ -24,6 +24,8 @@ SHINGLE = 8
 # 10 bands of 4: a pair of similarity 0.8 is found with a probability of 0.995.
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
+# Unresolved lines of a band that are compared pair by pair; more of them take rounds.
+PAIRWISE = 128
 # Shorter lines (headings, bullets, blanks) repeat by chance and always stay.
 SHORTEST = 20
 
@@ -129,7 +131,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
         found = _lines(docs, "payload").join(wanted, ["h1", "h2"])
         return found.groupBy("id").agg(F.first("payload").alias("payload"))
 
-    roots = stored(groups(buckets, payloads, lambda: alike), "line-roots")
+    roots = stored(groups(buckets, payloads, lambda: alike, pairwise=PAIRWISE), "line-roots")
     state = classes.join(sized(roots), "id", "left").where("n > 1 OR root IS NOT NULL")
     state = stored(
         state.select("h1", "h2", "least", F.coalesce("root", "id").alias("root")), "line-groups"

@@ -43,6 +43,7 @@ def groups(
     payloads: Callable[[DataFrame], DataFrame],
     agree: Callable[[], Agree],
     ratio: float = 0.0,
+    pairwise: int | None = None,
 ) -> DataFrame:
     """``id`` and ``root`` of all ids that some verified link reaches.
 
@@ -52,10 +53,11 @@ def groups(
     each of its buckets (the one with the least besides what the bucket shares),
     so a group of near copies takes one comparison an id however large it is.
     Then, in rounds, ids that are still in another component than their bucket's
-    leader are compared among themselves: pair by pair where ``PAIRWISE`` or
+    leader are compared among themselves: pair by pair where ``pairwise`` (``PAIRWISE``) or
     fewer are left in a bucket, against the next leader where there are more.
     Rounds end when nothing is left, or when no leader finds a link any more.
     """
+    pairwise = pairwise or PAIRWISE
     spread = F.shiftleft(F.col("size").cast("long"), 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))
     least = [F.min_by("id", spread).alias("leader"), F.shiftright(F.min(spread), 24).alias("leader_size")]
     near = F.least("size", "leader_size") >= ratio * F.greatest("size", "leader_size")
@@ -78,8 +80,8 @@ def groups(
         rest = stored(rest.drop("leader_root"), "bucket-rest")
         left = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1")
         open_ = rest.join(sized(stored(left, "bucket-left")), "bucket")
-        # Lists of at most PAIRWISE ids, and their pairs in different components.
-        listed = open_.where(F.col("n") <= PAIRWISE).groupBy("bucket").agg(
+        # Lists of at most pairwise ids, and their pairs in different components.
+        listed = open_.where(F.col("n") <= pairwise).groupBy("bucket").agg(
             F.collect_list(F.struct("id", "size", "root")).alias("all")
         )
         pairs = (
@@ -88,7 +90,7 @@ def groups(
                     F.col("y.size").alias("leader_size"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
             .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
         )
-        many = open_.where((F.col("n") > PAIRWISE) & (F.col("id") != F.col("leader")))
+        many = open_.where((F.col("n") > pairwise) & (F.col("id") != F.col("leader")))
         members = stored(many.select("bucket", "id", "size", "leader", "leader_size"), "bucket-members")
         star = members.where(near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
         fresh = pairs.select("a", "b", F.lit(0).alias("star")).unionByName(star.withColumn("star", F.lit(1)))
