@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ SHINGLE = 8
 # 10 bands of 4: a pair of similarity 0.8 is found with a probability of 0.995.
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
-# Unresolved lines of a band that are compared pair by pair; more of them take rounds.
+# Unresolved lines of a band that are listed as pairs; more of them are compared in blocks.
 PAIRWISE = 128
 # Shorter lines (headings, bullets, blanks) repeat by chance and always stay.
 SHORTEST = 20
@@ -58,10 +59,15 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
+@lru_cache(1 << 12)
+def _shingles(payload: bytes) -> frozenset[str]:
+    line = payload.decode()
+    return frozenset(line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1))
+
+
 def alike(x: bytes, y: bytes) -> bool:
     """Whether two lines' shingle sets have a Jaccard similarity of ``SIMILARITY``."""
-    a, b = x.decode(), y.decode()
-    sets = [{s[i : i + SHINGLE] for i in range(len(s) - SHINGLE + 1)} for s in (a, b)]
+    sets = [_shingles(x), _shingles(y)]
     small, large = sorted(map(len, sets))
     if small < SIMILARITY * large:
         return False

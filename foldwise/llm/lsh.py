@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foldwise.llm.common import is_empty, sized, stored
 from foldwise.llm.components import components
 
-# Buckets of up to this many unresolved ids are compared pair by pair.
+# Buckets of up to this many unresolved ids are listed as pairs; larger ones are
+# compared block against block, in blocks of about so many ids and bytes of payload.
 PAIRWISE = 32
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 
 Agree = Callable[[bytes, bytes], bool]
 
@@ -52,10 +54,9 @@ def groups(
     ``ratio`` of each other.  Every id is first compared with the smallest id of
     each of its buckets (the one with the least besides what the bucket shares),
     so a group of near copies takes one comparison an id however large it is.
-    Then, in rounds, ids that are still in another component than their bucket's
-    leader are compared among themselves: pair by pair where ``pairwise`` (``PAIRWISE``) or
-    fewer are left in a bucket, against the next leader where there are more.
-    Rounds end when nothing is left, or when no leader finds a link any more.
+    Then all ids that are still in another component than their bucket's leader
+    are compared with each other: by listed pairs in buckets with ``pairwise``
+    (``PAIRWISE``) or fewer of them, block against block in larger ones.
     """
     pairwise = pairwise or PAIRWISE
     spread = F.shiftleft(F.col("size").cast("long"), 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))
@@ -63,46 +64,86 @@ def groups(
     near = F.least("size", "leader_size") >= ratio * F.greatest("size", "leader_size")
     ends = buckets().groupBy("bucket").agg(*least, F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = sized(stored(ends.drop("n"), "buckets"))
-    members = stored(buckets().join(shared, "bucket").where("id != leader"), "bucket-members")
-    ids = members.select("id").union(members.select("leader")).distinct()
-    held = stored(payloads(sized(stored(ids, "bucket-ids"))), "bucket-payloads")
-    star = members.where(near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    tried = sized(stored(star.distinct(), "pairs"))
+    members = stored(buckets().join(shared, "bucket"), "bucket-members")
+    held = stored(payloads(sized(stored(members.select("id").distinct(), "bucket-ids"))), "bucket-payloads")
+    star = members.where(near & (F.col("id") != F.col("leader")))
+    tried = sized(stored(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs"))
     roots = sized(stored(components(verified(tried, held, agree)), "roots"))
-    while True:
-        first = roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
-        rest = (
-            members.join(roots, "id", "left").join(first, "leader", "left")
-            .select("bucket", "id", "size", F.coalesce("root", "id").alias("root"),
-                    F.coalesce("leader_root", "leader").alias("leader_root"))
-            .where("root != leader_root")
-        )
-        rest = stored(rest.drop("leader_root"), "bucket-rest")
-        left = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1")
-        open_ = rest.join(sized(stored(left, "bucket-left")), "bucket")
-        # Lists of at most pairwise ids, and their pairs in different components.
-        listed = open_.where(F.col("n") <= pairwise).groupBy("bucket").agg(
-            F.collect_list(F.struct("id", "size", "root")).alias("all")
-        )
-        pairs = (
-            listed.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("size"),
-                    F.col("y.size").alias("leader_size"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
-            .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
-        )
-        many = open_.where((F.col("n") > pairwise) & (F.col("id") != F.col("leader")))
-        members = stored(many.select("bucket", "id", "size", "leader", "leader_size"), "bucket-members")
-        star = members.where(near).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-        fresh = pairs.select("a", "b", F.lit(0).alias("star")).unionByName(star.withColumn("star", F.lit(1)))
-        fresh = fresh.groupBy("a", "b").agg(F.max("star").alias("star")).join(tried, ["a", "b"], "left_anti")
-        fresh = sized(stored(fresh, "pairs"))
-        links = stored(verified(fresh, held, agree), "verified")
-        if is_empty(links):
-            return roots
-        roots = sized(stored(_joined(roots, links), "roots"))
-        if is_empty(members) or is_empty(links.join(fresh.where("star = 1"), ["a", "b"], "left_semi")):
-            return roots
-        tried = sized(stored(tried.unionByName(fresh.select("a", "b")), "pairs"))
+    first = roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
+    known = (
+        members.join(roots, "id", "left").join(first, "leader", "left")
+        .select("bucket", "id", "size", F.coalesce("root", "id").alias("root"),
+                F.coalesce("leader_root", "leader").alias("leader_root"))
+        .where("root != leader_root").drop("leader_root")
+    )
+    # Buckets with ids in several components.
+    counts = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    left = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    open_ = stored(known.join(sized(stored(left.drop("roots"), "bucket-left")), "bucket"), "bucket-open")
+    listed = open_.where(F.col("n") <= pairwise).groupBy("bucket").agg(
+        F.collect_list(F.struct("id", "size", "root")).alias("all")
+    )
+    pairs = (
+        listed.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("size"),
+                F.col("y.size").alias("leader_size"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+        .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
+    )
+    fresh = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links = verified(sized(stored(fresh, "pairs")), held, agree)
+    large = open_.where(F.col("n") > pairwise)
+    if not is_empty(large):
+        links = links.unionByName(_blocks(large, held, agree, ratio))
+    links = stored(links, "verified")
+    return roots if is_empty(links) else sized(stored(_joined(roots, links), "roots"))
+
+
+def _blocks(large: DataFrame, held: DataFrame, agree: Callable[[], Agree], ratio: float) -> DataFrame:
+    """Links ``a``, ``b`` that join all components of each bucket which have a similar pair.
+
+    Every block of a bucket meets every other and itself in a group of its own,
+    which holds two blocks however large the bucket is.  Pairs that links of the
+    same group have joined before are not compared.
+    """
+    rows = large.drop("n").join(held, "id")
+    parts = F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("payload").cast("long")) / BLOCK_BYTES)
+    )
+    parts = sized(stored(rows.groupBy("bucket").agg(parts.alias("parts")), "bucket-parts"))
+    own = rows.join(parts, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = other.select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "id", "size", "root", "payload",
+    )
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        test = agree()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "id", "size", "root", "payload"))))
+        i, j = key[1].as_py(), key[2].as_py()
+        left = [r for r in rows if r[0] == i]
+        right = left if i == j else [r for r in rows if r[0] == j]
+        up = {r[3]: r[3] for r in rows}
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        found = []
+        for at, (_, a, size, root, payload) in enumerate(left):
+            mine = find(root)
+            for _, b, other_size, other_root, other_payload in right[at + 1 :] if i == j else right:
+                theirs = find(other_root)
+                if mine == theirs or min(size, other_size) < ratio * max(size, other_size):
+                    continue
+                if test(payload, other_payload):
+                    found.append((a, b))
+                    up[theirs] = mine
+        ends = [pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)]
+        return pa.Table.from_arrays(ends, names=["a", "b"])
+
+    return met.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:

@@ -71,6 +71,27 @@ def test_groups_compare_in_rounds(spark, monkeypatch):
     assert len({found.get(i, i) for i in range(60)}) == 18
 
 
+def grouped(spark, rows):
+    """Roots of (bucket, id, size, name) rows; names are alike that differ by one at most."""
+    table = spark.createDataFrame(rows, "bucket long, id long, size int, name int")
+    roots = lsh.groups(
+        lambda: table.select("bucket", "id", "size"),
+        lambda ids: table.join(ids, "id").selectExpr("id", "CAST(CAST(name AS STRING) AS BINARY) AS payload").distinct(),
+        lambda: lambda x, y: abs(int(x) - int(y)) <= 1,
+    )
+    return {r["id"]: r["root"] for r in roots.collect()}
+
+
+def test_groups_of_a_hot_bucket_behind_loners(spark, monkeypatch):
+    # The smallest 30 ids are alone; 20 true pairs follow, spread over several blocks.
+    monkeypatch.setattr(lsh, "PAIRWISE", 4)
+    monkeypatch.setattr(lsh, "BLOCK", 16)
+    rows = [(9, i, 1, 10 * i) for i in range(30)] + [(9, i, 2, 10 * (i // 2) + 1000) for i in range(30, 70)]
+    found = grouped(spark, rows)
+    assert all(found[i] == found[i + 1] for i in range(30, 70, 2))
+    assert len({found.get(i, i) for i in range(70)}) == 50
+
+
 # Near-duplicate documents
 
 
