@@ -25,7 +25,7 @@ SHINGLE = 8
 # 10 bands of 4: a pair of similarity 0.8 is found with a probability of 0.995.
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
-# Unresolved lines of a band that are listed as pairs; more of them are compared in blocks.
+# Lines of a band, in several components, that are listed as pairs; more of them are compared in blocks.
 PAIRWISE = 128
 # Shorter lines (headings, bullets, blanks) repeat by chance and always stay.
 SHORTEST = 20

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foldwise.llm.common import is_empty, sized, stored
 from foldwise.llm.components import components
 
-# Buckets of up to this many unresolved ids are listed as pairs; larger ones are
+# Buckets in several components of up to this many ids are listed as pairs; larger ones are
 # compared block against block, in blocks of about so many ids and bytes of payload.
 PAIRWISE = 32
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
@@ -54,9 +54,10 @@ def groups(
     ``ratio`` of each other.  Every id is first compared with the smallest id of
     each of its buckets (the one with the least besides what the bucket shares),
     so a group of near copies takes one comparison an id however large it is.
-    Then all ids that are still in another component than their bucket's leader
-    are compared with each other: by listed pairs in buckets with ``pairwise``
-    (``PAIRWISE``) or fewer of them, block against block in larger ones.
+    Then all pairs of a bucket that are still in different components are compared,
+    those with ids of the leader's component as well (likeness is not transitive):
+    by listed pairs in buckets of up to ``pairwise`` (``PAIRWISE``) ids, block
+    against block in larger ones.
     """
     pairwise = pairwise or PAIRWISE
     spread = F.shiftleft(F.col("size").cast("long"), 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))
@@ -69,13 +70,7 @@ def groups(
     star = members.where(near & (F.col("id") != F.col("leader")))
     tried = sized(stored(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs"))
     roots = sized(stored(components(verified(tried, held, agree)), "roots"))
-    first = roots.select(F.col("id").alias("leader"), F.col("root").alias("leader_root"))
-    known = (
-        members.join(roots, "id", "left").join(first, "leader", "left")
-        .select("bucket", "id", "size", F.coalesce("root", "id").alias("root"),
-                F.coalesce("leader_root", "leader").alias("leader_root"))
-        .where("root != leader_root").drop("leader_root")
-    )
+    known = members.join(roots, "id", "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
     # Buckets with ids in several components.
     counts = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     left = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")

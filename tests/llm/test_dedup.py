@@ -92,6 +92,14 @@ def test_groups_of_a_hot_bucket_behind_loners(spark, monkeypatch):
     assert len({found.get(i, i) for i in range(70)}) == 50
 
 
+@pytest.mark.parametrize("pairwise", [32, 2])
+def test_groups_of_a_chain_in_one_bucket(spark, monkeypatch, pairwise):
+    # The leader is like the second id only, which is like the third.
+    monkeypatch.setattr(lsh, "PAIRWISE", pairwise)
+    found = grouped(spark, [(9, 1, 1, 100), (9, 2, 2, 101), (9, 3, 3, 102), (9, 4, 4, 500)])
+    assert found[1] == found[2] == found[3] and 4 not in found
+
+
 # Near-duplicate documents
 
 
