@@ -59,21 +59,24 @@ class Scanner:
     def __init__(self, ordered: list[Rule]):
         self.rules = [(r, re.compile(f"(?<= )(?:{r.pattern})(?= )")) for r in ordered]
         self.wanted = [frozenset(r.keywords) for r in ordered]
+        self.choices = {k: frozenset(k.split("|")) for k in frozenset().union(*self.wanted)}
         self.automaton = ahocorasick.Automaton()
-        for word in frozenset().union(*self.wanted):
+        for word in frozenset().union(*self.choices.values()):
             self.automaton.add_word(word, word)
         self.automaton.make_automaton()
         # Every rule needs one of these; a text without any needs no automaton.
         self.gates = self._gates()
 
     def _gates(self) -> list[bytes]:
-        """Longest keyword of each rule: one of them occurs where the rule can match."""
-        return sorted({max(w, key=len).encode() for w in self.wanted})
+        """Longest keyword of each rule, all its alternatives: one occurs where the rule can match."""
+        shortest = lambda k: (min(map(len, self.choices[k])), len(k))
+        return sorted({word.encode() for w in self.wanted for word in self.choices[max(w, key=shortest)]})
 
     def all_matches(self, text: str, keywords: set[str]) -> list[Detection]:
         found = []
+        met = {k for k, words in self.choices.items() if not words.isdisjoint(keywords)}
         for (rule, pattern), wanted in zip(self.rules, self.wanted):
-            if wanted <= keywords:
+            if wanted <= met:
                 found += [Detection(m.start(), m.end(), rule) for m in pattern.finditer(text)]
         return found
 

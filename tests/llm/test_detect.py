@@ -85,6 +85,63 @@ def test_labels_of_known_phrasings():
     assert labels("an ordinary sentence under the sun") == set()
 
 
+def samples(pattern):
+    """Texts that match a rule's expression: one at least for each of its alternatives."""
+
+    def of(tokens):
+        parts = [part(kind, value) for kind, value in tokens]
+        out = ["".join(p[0] for p in parts)]
+        for i, p in enumerate(parts):
+            out += ["".join(q[0] if j != i else other for j, q in enumerate(parts)) for other in p[1:]]
+        return out
+
+    def part(kind, value):
+        kind = str(kind)
+        if kind == "LITERAL":
+            return [chr(value)]
+        if kind == "BRANCH":
+            return [s for branch in value[1] for s in of(branch)]
+        if kind == "SUBPATTERN":
+            return of(value[3])
+        if kind == "MAX_REPEAT":
+            return [""] + of(value[2]) if value[0] == 0 else of(value[2])
+        if kind == "IN":
+            name, first = str(value[0][0]), value[0][1]
+            return ["1"] if name == "CATEGORY" else [chr(first[0] if name == "RANGE" else first)]
+        return {"ANY": ["x"], "ASSERT_NOT": [""]}[kind]
+
+    return of(re._parser.parse(pattern))
+
+
+def test_keywords_keep_every_alternative():
+    # Each sample is cut off from other text, which could hold a keyword by chance.
+    scan = scanner()
+    for rule, (_, pattern) in zip(rules(), scan.rules):
+        texts = [f" {s} " for s in samples(rule.pattern)]
+        assert any(pattern.search(t) for t in texts), rule.name
+        for text in texts:
+            if pattern.search(text):
+                keywords = {word for _, word in scan.automaton.iter(text)}
+                assert any(g in text.encode() for g in scan.gates), text
+                assert rule.name in {d.rule.name for d in scan.all_matches(text, keywords)}, text
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("Released under the Python Software Foundation License", "psf-2.0"),
+        ("distributed via the MIT license", "mit"),
+        ("released by zlib", "zlib"),
+        ("released under expat", "mit"),
+        ("All advertising materials mentioning features or use of this software must display the following acknowledgement:", "bsd-4-clause"),
+    ],
+)
+def test_labels_do_not_depend_on_other_words(text, label):
+    kept = scanner().detect(words(text))
+    assert label in {d.rule.label for d in kept}
+    assert max(d.rule.confidence for d in kept) >= 0.9
+
+
 # Classifiers
 
 
