@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldwise.catalog.registry import Query, table
-from foldwise.llm import byte_bpe, language, order_minhash, quality
+from foldwise.llm import byte_bpe, language, order_minhash, piece_bpe, quality
 from foldwise.llm.decontam import leaks
 from foldwise.llm.embeddings import near_duplicates
 from foldwise.llm.licenses import scan_licenses
@@ -82,6 +82,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = piece_bpe.encode(table(spark, sf_dir, "documents"), model, decoded="decoded")
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 for _query in (
     op1_order_minhash,
     op2_byte_bpe,
@@ -93,5 +102,6 @@ for _query in (
     op8_benchmark_decontamination,
     op9_embedding_near_duplicates,
     op10_token_counts,
+    op11_piece_bpe,
 ):
     QUERIES[_query.__name__] = _query
