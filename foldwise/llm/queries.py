@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldwise.catalog.registry import Query, table
-from foldwise.llm import byte_bpe, language, order_minhash, piece_bpe, quality
+from foldwise.llm import byte_bpe, language, merkle, order_minhash, piece_bpe, quality
 from foldwise.llm.decontam import leaks
 from foldwise.llm.embeddings import near_duplicates
 from foldwise.llm.licenses import scan_licenses
@@ -91,6 +91,64 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one_more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = merkle.row_digest([F.col("doc_id"), F.col("source"), F.col("lang"), one_more, F.col("text")])
+    touched = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), checked=F.when(touched, tampered))
+
+
+def _field(expression: str) -> str:
+    text = f"CAST({expression} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+# The tree of pairs in two recursions, partitions and then their roots; two more climb them.
+_LEVELS_SQL = """
+  UNION ALL
+  SELECT tree, level + 1, place // 2,
+    sha256(concat(max(hash) FILTER (place % 2 = 0), max(hash) FILTER (place % 2 = 1))), (max(n) + 1) // 2
+  FROM {0} WHERE n > 1 GROUP BY tree, level, place // 2"""
+_CLIMB_SQL = """
+  UNION ALL
+  SELECT c.id, c.tree, c.level + 1, c.place // 2, (c.n + 1) // 2, c.proof || coalesce(s.hash, ''),
+    sha256(CASE WHEN c.place % 2 = 1 THEN s.hash || c.folded ELSE c.folded || coalesce(s.hash, '') END)
+  FROM {0} c LEFT JOIN {1} s ON s.tree = c.tree AND s.level = c.level AND s.place = xor(c.place, 1)
+  WHERE c.n > 1"""
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf_sql("n_chars")} AS leaf,
+    CASE WHEN xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)),
+        lambda c, b: list_reduce([xor(c, b)] || range(8),
+          lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 7 = 0
+      THEN {_leaf_sql("n_chars + 1")} END AS tampered
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER () AS id,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves),
+trees AS (SELECT tree, 0 AS level, place, leaf AS hash, n FROM placed{_LEVELS_SQL.format("trees")}),
+subroots AS (
+  SELECT tree AS name, hash, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n
+  FROM trees WHERE n = 1),
+top AS (SELECT '' AS tree, 0 AS level, place, hash, n FROM subroots{_LEVELS_SQL.format("top")}),
+inside AS (
+  SELECT id, tree, 0 AS level, place, n, '' AS proof, coalesce(tampered, leaf) AS folded
+  FROM placed{_CLIMB_SQL.format("inside", "trees")}),
+above AS (
+  SELECT i.id, '' AS tree, 0 AS level, s.place, s.n, i.proof, i.folded
+  FROM inside i JOIN subroots s ON s.name = i.tree WHERE i.n = 1{_CLIMB_SQL.format("above", "top")})
+SELECT p.doc_id, p.leaf, s.hash AS subroot, t.hash AS root, sha256(a.proof) AS proof_sha256,
+  a.folded AS folded_root, a.folded = t.hash AS verified
+FROM placed p JOIN subroots s ON s.name = p.tree JOIN above a ON a.id = p.id AND a.n = 1
+  JOIN top t ON t.n = 1"""
+
+
 for _query in (
     op1_order_minhash,
     op2_byte_bpe,
@@ -103,5 +161,6 @@ for _query in (
     op9_embedding_near_duplicates,
     op10_token_counts,
     op11_piece_bpe,
+    op13_merkle_manifest,
 ):
     QUERIES[_query.__name__] = _query
