@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldwise.catalog.registry import Query, table
-from foldwise.llm import byte_bpe, language, merkle, order_minhash, piece_bpe, quality
+from foldwise.llm import byte_bpe, conversations, language, merkle, order_minhash, piece_bpe, quality
 from foldwise.llm.decontam import leaks
 from foldwise.llm.embeddings import near_duplicates
 from foldwise.llm.licenses import scan_licenses
@@ -91,6 +91,30 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults at places that depend on ``conv_id:turn`` only; NULLs as one space."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *shown)) % 20
+    text = F.coalesce("text", F.lit(" "))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    left = rows.where(kind != 0)
+    return left.select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    rows = damaged(original)
+    report = conversations.repair(rows, conversations=original)
+    found = conversations.with_digest(rows, report)
+    return found.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     one_more = F.col("n_chars").cast("decimal(20,0)") + 1
     tampered = merkle.row_digest([F.col("doc_id"), F.col("source"), F.col("lang"), one_more, F.col("text")])
@@ -161,6 +185,7 @@ for _query in (
     op9_embedding_near_duplicates,
     op10_token_counts,
     op11_piece_bpe,
+    op12_conversation_repair,
     op13_merkle_manifest,
 ):
     QUERIES[_query.__name__] = _query
