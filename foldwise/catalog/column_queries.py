@@ -191,26 +191,27 @@ def _duplicated(spark, d):
 
 
 def _tables(spark, d):
-    """Orders by customer, customers with a positive balance, and events by user."""
+    """Orders by customer, customers, suppliers of the same numbers, and events by user."""
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.lit("o").alias("tag"))
-    customer = table(spark, d, "customer").where("c_acctbal > 0").select(
-        F.col("c_custkey").alias("k"), "c_name", F.lit("c").alias("tag")
-    )
+    customer = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name", F.lit("c").alias("tag"))
+    supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
     users = table(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(
         F.count(F.lit(1)).alias("n_events")
     )
-    return [orders, customer, users]
+    return orders, customer, supplier, users
 
 
 TABLES = """o AS (SELECT o_custkey AS k, o_orderkey, 'o' AS tag FROM orders),
-  c AS (SELECT c_custkey AS k, c_name, 'c' AS tag_right FROM customer WHERE c_acctbal > 0),
+  c AS (SELECT c_custkey AS k, c_name, 'c' AS tag_right FROM customer),
+  s AS (SELECT s_suppkey AS k, s_name FROM supplier),
   u AS (SELECT user_id AS k, count(*) AS n_events FROM events GROUP BY 1)"""
 
 
 def _multi_join(how, joins):
     @query(f"j1_join_{how}", f"WITH {TABLES} SELECT k, o_orderkey, tag, c_name, tag_right, n_events FROM {joins}")
     def run(spark, d):
-        return join_tables(_tables(spark, d), "k", how)
+        orders, customer, _, users = _tables(spark, d)
+        return join_tables([orders, customer, users], "k", how)
 
 
 _multi_join("left", "o LEFT JOIN c USING (k) LEFT JOIN u USING (k)")
@@ -220,27 +221,30 @@ _multi_join("right", "o RIGHT JOIN c USING (k) RIGHT JOIN u USING (k)")
 
 @query(
     "j1_join_full",
-    f"""WITH {TABLES} SELECT o.k, o_orderkey, tag, c.k AS k_right, c_name, tag_right
-        FROM o FULL JOIN c ON o.k = c.k""",
+    f"""WITH {TABLES} SELECT o.k, o_orderkey, tag, s.k AS k_right, s_name, n_events
+        FROM o FULL JOIN (s LEFT JOIN u ON s.k = u.k) ON o.k = s.k""",
 )
 def _full(spark, d):
-    return join_tables(_tables(spark, d)[:2], "k", "full")
+    orders, _, supplier, users = _tables(spark, d)
+    return join_tables([orders, join_tables([supplier, users], "k", "left")], "k", "full")
 
 
 @query(
     "j1_join_semi",
-    f"WITH {TABLES} SELECT * FROM o WHERE k IN (SELECT k FROM c) AND k IN (SELECT k FROM u)",
+    f"WITH {TABLES} SELECT * FROM o WHERE k IN (SELECT k FROM s) AND k IN (SELECT k FROM u)",
 )
 def _semi(spark, d):
-    return join_tables(_tables(spark, d), "k", "semi")
+    orders, _, supplier, users = _tables(spark, d)
+    return join_tables([orders, supplier, users], "k", "semi")
 
 
 @query(
     "j1_join_anti",
-    f"WITH {TABLES} SELECT * FROM o WHERE k NOT IN (SELECT k FROM c) AND k NOT IN (SELECT k FROM u)",
+    f"WITH {TABLES} SELECT * FROM o WHERE k NOT IN (SELECT k FROM s) AND k NOT IN (SELECT k FROM u)",
 )
 def _anti(spark, d):
-    return join_tables(_tables(spark, d), "k", "anti")
+    orders, _, supplier, users = _tables(spark, d)
+    return join_tables([orders, supplier, users], "k", "anti")
 
 
 @query(

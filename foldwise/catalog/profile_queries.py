@@ -23,37 +23,46 @@ def _numeric_sql(column: str, source: str, group: str = "") -> str:
         round(max({column})::DOUBLE, 4) AS max FROM {source} {'GROUP BY ' + group if group else ''}"""
 
 
-def _text_sql(column: str, source: str) -> str:
+def _text_sql(column: str, source: str, group: str = "") -> str:
     empty = ", ".join(f"CAST(NULL AS DOUBLE) AS {s}" for s in STATS)
-    return f"""SELECT '{column}' AS "column", (SELECT count({column}) FROM {source}) AS count,
-        (SELECT count(*) - count({column}) FROM {source}) AS null_count,
-        (SELECT count(DISTINCT {column}) FROM {source}) AS uniq, top, freq, {empty}
-      FROM (SELECT {column} AS top, count(*) AS freq FROM {source} WHERE {column} IS NOT NULL
-            GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"""
+    by, lead = group or "CAST(0 AS INTEGER)", f"a.g AS {group}, " if group else ""
+    return f"""SELECT {lead}'{column}' AS "column", a.count, a.null_count, a.uniq, t.top, t.freq, {empty}
+      FROM (SELECT {by} AS g, count({column}) AS count, count(*) - count({column}) AS null_count,
+              count(DISTINCT {column}) AS uniq FROM {source} GROUP BY 1) a
+      LEFT JOIN (SELECT {by} AS g, CAST({column} AS VARCHAR) AS top, count(*) AS freq,
+              row_number() OVER (PARTITION BY {by} ORDER BY count(*) DESC, CAST({column} AS VARCHAR)) AS k
+            FROM {source} WHERE {column} IS NOT NULL GROUP BY {by}, {column}) t
+        ON t.g IS NOT DISTINCT FROM a.g AND t.k = 1"""
+
+
+def _describe_sql(source: str, numeric: list[str], texts: list[str], group: str = "") -> str:
+    parts = [_numeric_sql(c, source, group) for c in numeric] + [_text_sql(c, source, group) for c in texts]
+    return " UNION ALL ".join(parts)
 
 
 @query(
     "a1_describe",
-    " UNION ALL ".join(
-        [_numeric_sql(c, "orders") for c in ("o_orderkey", "o_custkey", "o_totalprice")]
-        + [_text_sql(c, "orders") for c in ("o_orderstatus", "o_orderpriority")]
-    ),
+    _describe_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority", "o_orderdate"]),
 )
 def _describe(spark, d):
-    orders = table(spark, d, "orders").drop("o_orderdate")
-    return rounded(describe(orders), 4, *STATS)
+    return rounded(describe(table(spark, d, "orders")), 4, *STATS)
+
+
+@query("a1_describe_documents", _describe_sql("documents", ["doc_id", "n_chars"], ["text", "lang", "source"]))
+def _describe_documents(spark, d):
+    return rounded(describe(table(spark, d, "documents")), 4, *STATS)
 
 
 @query(
     "a1_describe_lineitem",
-    " UNION ALL ".join(
-        _numeric_sql(c, "lineitem")
-        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+    _describe_sql(
+        "lineitem",
+        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+        ["l_returnflag", "l_linestatus", "l_shipdate"],
     ),
 )
 def _describe_lines(spark, d):
-    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
-    return rounded(describe(table(spark, d, "lineitem"), columns=names), 4, *STATS)
+    return rounded(describe(table(spark, d, "lineitem")), 4, *STATS)
 
 
 def _nearest(column: str, q: float) -> str:
@@ -203,11 +212,19 @@ def _group_stats(spark, d):
 
 @query(
     "a8_group_describe",
-    " UNION ALL ".join(_numeric_sql(c, "events", "event_type") for c in ("value", "user_id")),
+    _describe_sql("events", ["event_id", "user_id", "value"], ["ts", "props"], "event_type"),
 )
 def _group_describe(spark, d):
-    found = group_describe(table(spark, d, "events"), "event_type", ["value", "user_id"])
-    return rounded(found, 4, *STATS)
+    return rounded(group_describe(table(spark, d, "events"), "event_type"), 4, *STATS)
+
+
+@query(
+    "a8_group_describe_many_groups",
+    _describe_sql("lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], ["l_returnflag"], "l_partkey"),
+)
+def _many_groups(spark, d):
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    return rounded(group_describe(table(spark, d, "lineitem"), "l_partkey", names), 4, *STATS)
 
 
 @query("a9_group_counts", "SELECT lang, count(*) AS count FROM documents GROUP BY 1")
@@ -219,7 +236,7 @@ def _matrix_sql(bucket: str) -> str:
     return " UNION ALL ".join(
         f"""SELECT bucket, '{c}' AS "column", round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 8) AS null_fraction
             FROM (SELECT *, CAST({bucket} AS INTEGER) AS bucket FROM {LABELLED}) GROUP BY 1"""
-        for c in ("lang", "quality")
+        for c in ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")
     )
 
 
@@ -228,7 +245,7 @@ def _matrix_sql(bucket: str) -> str:
     _matrix_sql("CAST('0x' || substr(md5(concat_ws('|', '0', doc_id)), 1, 8) AS BIGINT) % 50"),
 )
 def _matrix(spark, d):
-    found = missing_matrix(labelled(spark, d), "doc_id", 50, columns=["lang", "quality"])
+    found = missing_matrix(labelled(spark, d), "doc_id", 50)
     return rounded(found, 8, "null_fraction")
 
 
@@ -237,7 +254,5 @@ def _matrix(spark, d):
     _matrix_sql("(row_number() OVER (ORDER BY doc_id) - 1) // CAST(ceil(count(*) OVER () / 50.0) AS BIGINT)"),
 )
 def _matrix_ordered(spark, d):
-    found = missing_matrix(
-        labelled(spark, d), "doc_id", 50, order=["doc_id"], columns=["lang", "quality"]
-    )
+    found = missing_matrix(labelled(spark, d), "doc_id", 50, order=["doc_id"])
     return rounded(found, 8, "null_fraction")

@@ -13,7 +13,8 @@ from foldwise.operators.columns import numeric_columns, plot_columns
 from foldwise.operators.quantiles import exact_quantiles
 from foldwise.operators.sample import id_transitions
 from foldwise.plans.ordering import with_row_index
-from foldwise.plans.small import attach
+from foldwise.plans.small import all_equal, attach, settle
+from foldwise.session import cut_lineage
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 DEFAULT_BINS = 30
@@ -24,28 +25,54 @@ def _text(column: Column, kind: str) -> Column:
     return column.cast("string") if kind != "string" else column
 
 
+# Texts of up to so many characters are counted as they are, longer ones by a digest.
+_SHORT = 16
+
+
 def top_values(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """(groups, column, uniq, top, freq) of non-numeric columns.
 
-    ``top`` is the commonest value, the smallest one on ties.
+    ``top`` is the commonest value, the smallest one on ties.  Long texts are not
+    shuffled: they are counted by their first characters and a 128-bit digest, and
+    only the texts of winners that are long are looked up, each task sending its least.
     """
     kinds = dict(df.dtypes)
-    melted = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), _text(F.col(c), kinds[c]).alias("value"))
-            for c in columns
+
+    def melted(*more: Column) -> DataFrame:
+        entries = [
+            F.struct(F.lit(c).alias("column"), _text(F.col(c), kinds[c]).alias("value")) for c in columns
         ]
-    )
-    rows = df.select(*groups, F.inline(melted)).where(F.col("value").isNotNull())
-    counts = rows.groupBy(*groups, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct(-F.col("n"), F.col("value")))
-    return (
-        counts.groupBy(*groups, "column")
-        .agg(F.count(F.lit(1)).alias("uniq"), best.alias("best"))
-        .select(
-            *groups, "column", "uniq", F.col("best.value").alias("top"),
-            (-F.col("best.col1")).alias("freq"),
+        rows = df.select(*groups, F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+        start = F.left("value", F.lit(_SHORT))
+        digest = F.when(F.char_length("value") > _SHORT, F.unhex(F.md5("value")))
+        return rows.select(*groups, "column", start.alias("start"), digest.alias("digest"), *more)
+
+    keys = [*groups, "column"]
+    counts = melted().groupBy(*keys, "start", "digest").agg(F.count(F.lit(1)).alias("n"))
+    # A text that is its own beginning is less than the longer ones.
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("start"), F.col("digest").isNotNull().alias("long")))
+    if not any(kinds[c] == "string" for c in columns):
+        return counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("uniq"), best.alias("best")).select(
+            *keys, "uniq", F.col("best.start").alias("top"), (-F.col("best.n")).alias("freq")
         )
+    counts = cut_lineage(counts)
+    summary = settle(
+        counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("uniq"), best.alias("best")).select(
+            *keys, "uniq", F.col("best.start").alias("top"), (-F.col("best.n")).alias("freq"), "best.long"
+        )
+    )
+    open_ = summary.where("long")
+    if open_.isEmpty():
+        return summary.drop("long")
+    tied = attach(counts, open_.withColumnRenamed("top", "least"), keys, ["least", "freq"])
+    tied = settle(tied.where((F.col("n") == F.col("freq")) & (F.col("start") == F.col("least"))).select(*keys, "digest"))
+    texts = melted("value").join(
+        tied.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("digest").alias("__d")),
+        all_equal([(k, f"__k{i}") for i, k in enumerate(keys)]) & (F.col("digest") == F.col("__d")), "left_semi",
+    )
+    least = cut_lineage(texts.groupBy(*keys).agg(F.min("value").alias("__least")))
+    return attach(summary, least, keys, ["__least"]).select(
+        *keys, "uniq", F.when(F.col("long"), F.col("__least")).otherwise(F.col("top")).alias("top"), "freq"
     )
 
 

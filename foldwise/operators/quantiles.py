@@ -3,8 +3,8 @@
 ``percentile`` keeps a column's distinct values in one aggregation buffer.
 Here equal values are counted first, the (group, column, value) counts are
 range-partitioned, and running counts tell which value holds which rank.
-Without groups a sketch narrows this down beforehand: values that cannot hold
-a wanted rank are counted as one.
+A sketch, per group where there are groups, narrows this down beforehand: values
+that cannot hold a wanted rank are counted as one.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.numeric import present
-from foldwise.plans.brackets import Bracket, coarsen, quantile_brackets
+from foldwise.plans.brackets import Bracket, coarsen, coarsen_between, group_brackets, quantile_brackets
 from foldwise.plans.ordering import running_totals
-from foldwise.plans.small import attach, settle
+from foldwise.plans.small import VALUE_BYTES, attach, broadcast_within, settle, total_bytes
 from foldwise.session import cut_lineage
 
 INTERPOLATIONS = ("linear", "nearest")
@@ -26,16 +26,19 @@ def value_counts_long(
     df: DataFrame,
     columns: Sequence[str],
     groups: Sequence[str] = (),
-    brackets: Mapping[str, Sequence[Bracket]] | None = None,
+    brackets: Mapping[str, Sequence[Bracket]] | Mapping[str, str] | None = None,
 ) -> DataFrame:
     """(groups, column, value, gap, n) with one row per distinct present value.
 
-    With ``brackets`` the values between them are merged, marked by ``gap``.
+    With ``brackets``, as numbers or as the names of columns that hold them, the
+    values between them are merged before the shuffle, marked by ``gap``.
     """
 
     def entry(c: str) -> Column:
         x = present(df, c).cast("double")
-        if brackets and brackets[c]:
+        if brackets and isinstance(brackets[c], str):
+            at = coarsen_between(x, F.col(brackets[c]))
+        elif brackets and brackets[c]:
             at = coarsen(x, brackets[c])
         else:
             at = F.struct(x.alias("value"), F.lit(0).alias("gap"))
@@ -77,17 +80,29 @@ def exact_quantiles(
     """
     if interpolation not in INTERPOLATIONS:
         raise ValueError(f"unknown interpolation {interpolation!r}; known: {INTERPOLATIONS}")
-    if not groups:
-        brackets = quantile_brackets(
-            df, {c: present(df, c) for c in columns}, list(quantiles.values())
-        )
-        counts = value_counts_long(df, columns, (), brackets)
-        found = cut_lineage(_read_ranks(df, counts, columns, quantiles, (), interpolation))
-        # One row per column.  A rank in a gap would mean the sketch missed it.
-        if found.where("__gap > 0").count() == 0:
-            return found.drop("__gap")
-    counts = value_counts_long(df, columns, groups)
-    return _read_ranks(df, counts, columns, quantiles, groups, interpolation).drop("__gap")
+    wanted = list(quantiles.values())
+    values = {c: present(df, c) for c in columns}
+    if groups:
+        places = {c: f"__b{i}" for i, c in enumerate(columns)}
+        ends = group_brackets(df, {places[c]: v for c, v in values.items()}, wanted, groups)
+        located = attach(df.select(*groups, *columns), _settled(ends, places), groups, list(places.values()))
+        counts = value_counts_long(located, columns, groups, places)
+    else:
+        counts = value_counts_long(df, columns, (), quantile_brackets(df, values, wanted))
+    found = cut_lineage(_read_ranks(df, counts, columns, quantiles, groups, interpolation))
+    # One row per group and column.  A rank in a gap would mean the sketch missed it.
+    if not found.where("__gap > 0").isEmpty():
+        counts = value_counts_long(df, columns, groups)
+        found = _read_ranks(df, counts, columns, quantiles, groups, interpolation)
+    return found.drop("__gap")
+
+
+def _settled(ends: DataFrame, places: Mapping[str, str]) -> DataFrame:
+    """Brackets computed once, for broadcast if they are few."""
+    fixed = cut_lineage(ends)
+    numbers = sum((F.coalesce(2 * F.size(F.col(c)["low"]), F.lit(0)) for c in places.values()), F.lit(0))
+    size = fixed.agg((total_bytes(fixed) + F.coalesce(F.sum(numbers * VALUE_BYTES), F.lit(0))).alias("size"))
+    return broadcast_within(fixed, size.first()["size"])
 
 
 def _read_ranks(

@@ -47,6 +47,57 @@ def quantile_brackets(
     return found
 
 
+# Half widths of a group's brackets, in shares of its rows: the least one that
+# reaches past the sketch's error and two rows to either side is taken.
+REACHES = (REACH, 1 / 2048, 1 / 256, 1 / 32, 1 / 4)
+
+
+def group_brackets(
+    df: DataFrame, columns: Mapping[str, Column], quantiles: Sequence[float], groups: Sequence[str]
+) -> DataFrame:
+    """One row per group: a column per named expression with its ``low`` and ``high`` ends.
+
+    The sketches are combined before the shuffle; a group of few rows has a sketch of
+    few values.  There is one pair of ends per quantile, and pairs may overlap; NULL where a group has no value of the expression.
+    """
+    spread = [min(max(q + sign * r, 0.0), 1.0) for r in REACHES for q in sorted(quantiles) for sign in (-1, 1)]
+    names = list(columns)
+    sketched = df.groupBy(*groups).agg(
+        *[F.percentile_approx(columns[n].cast("double"), spread, ACCURACY).alias(f"__q{i}") for i, n in enumerate(names)],
+        *[F.count(columns[n]).alias(f"__c{i}") for i, n in enumerate(names)],
+    )
+
+    def chosen(i: int) -> Column:
+        ends, needed = f"__q{i}", F.lit(REACH) + 2.0 / F.col(f"__c{i}")
+        width = 2 * len(quantiles)
+        # Wider than any reach: every value is inside.
+        found = F.transform(F.slice(ends, 1, width), lambda _, k: F.when(k % 2 == 0, float("-inf")).otherwise(float("inf")))
+        for r in range(len(REACHES) - 1, -1, -1):
+            found = F.when(needed <= REACHES[r] + REACH, F.slice(ends, 1 + r * width, width)).otherwise(found)
+        return F.struct(
+            F.filter(found, lambda _, k: k % 2 == 0).alias("low"), F.filter(found, lambda _, k: k % 2 == 1).alias("high")
+        )
+
+    return sketched.select(
+        *groups, *[F.when(F.col(f"__c{i}") > 0, chosen(i)).alias(n) for i, n in enumerate(names)]
+    )
+
+
+def coarsen_between(value: Column, ends: Column) -> Column:
+    """``coarsen`` for brackets in a column of ``group_brackets``.
+
+    Values outside become the highest bracket end below them with gap 1, or the
+    lowest start with gap -1.
+    """
+    inside = F.exists(F.arrays_zip(ends["low"], ends["high"]), lambda b: (value >= b["low"]) & (value <= b["high"]))
+    below = F.array_max(F.filter(ends["high"], lambda h: h < value))
+    return (
+        F.when(inside, F.struct(value.alias("value"), F.lit(0).alias("gap")))
+        .when(below.isNotNull(), F.struct(below.alias("value"), F.lit(1).alias("gap")))
+        .otherwise(F.struct(F.array_min(ends["low"]).alias("value"), F.lit(-1).alias("gap")))
+    )
+
+
 def coarsen(value: Column, brackets: Sequence[Bracket]) -> Column:
     """struct(value, gap): values inside a bracket as they are with gap 0, all others
     as the nearest lower bracket end with gap 1 (below the first: its start, -1).

@@ -34,8 +34,13 @@ def settle(df: DataFrame) -> DataFrame:
     The table is written to the checkpoint folder, so using it several times
     does not repeat the fit, and its true size decides the join.
     """
+    return broadcast_within(*measured(df))
+
+
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """A table computed once and written to the checkpoint folder, and its size in bytes."""
     fixed = cut_lineage(df)
-    return broadcast_within(fixed, fixed.agg(total_bytes(fixed).alias("size")).first()["size"])
+    return fixed, fixed.agg(total_bytes(fixed).alias("size")).first()["size"]
 
 
 def require_unique(table: DataFrame, keys: Sequence[str]) -> None:

@@ -1,4 +1,4 @@
-"""Compare all queries with their SQL: python tests/run_oracle.py [sf_dir] [name part]"""
+"""Compare all queries with their SQL: python tests/run_oracle.py [sf_dir] [name parts, by comma]"""
 
 import os
 import sys
@@ -14,12 +14,12 @@ from tests.oracle import compare, connect  # noqa: E402
 
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    part = sys.argv[2] if len(sys.argv) > 2 else ""
-    spark = local_session()
+    parts = sys.argv[2].split(",") if len(sys.argv) > 2 else [""]
+    spark = local_session(**{"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     db, sql, failed = connect(sf_dir), oracle_sql(), 0
     for name, run in queries().items():
-        if part not in name:
+        if not any(p in name for p in parts):
             continue
         start = time.time()
         try:
@@ -28,7 +28,7 @@ def main() -> int:
             note = "ok" if name in sql else f"rows only: {df.count()}"
         except Exception as error:
             problems = [f"{type(error).__name__}: {str(error)[:600]}"]
-            if part:
+            if parts != [""]:
                 traceback.print_exc()
         failed += bool(problems)
         print(f"{name:32s} {time.time() - start:6.2f}s {problems or note}", flush=True)

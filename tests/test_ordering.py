@@ -1,12 +1,14 @@
 """Global positions, running totals, cuts and quantiles against brute force."""
 
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import shuffle_order
+from foldwise.operators import quantiles
 from foldwise.operators.quantiles import exact_quantiles
 from foldwise.plans.brackets import coarsen, order_number, rows_at_ranks
 from foldwise.plans.cuts import cut_points, even_cut_ranks
@@ -88,6 +90,46 @@ def test_quantiles_match_numpy(skewed, interpolation):
                 assert r[name] == values[int((len(values) - 1) * q + 0.5)]
 
 
+def test_group_quantiles_of_all_sizes(spark):
+    """Groups of 1 to 60,000 rows, a third of all in one, ties, infinities, NaN and NULL."""
+    sizes = [1, 2, 3, 5, 17, 64, 200, 1500, 6000, 20_000, 60_000]
+    parts = [
+        spark.range(n).select(
+            F.lit(None if i == 3 else i).cast("int").alias("g"),
+            (F.when(F.col("id") % 3 == 0, 7.0).otherwise((F.col("id") * 7919 % 100_003).cast("double"))).alias("x"),
+            F.when(F.col("id") % 50 == 0, float("-inf")).when(F.col("id") % 7 == 1, float("nan"))
+            .when(F.col("id") % 7 == 2, None).otherwise(F.col("id") % 11).alias("y"),
+        )
+        for i, n in enumerate(sizes)
+    ]
+    df = reduce(lambda a, b: a.unionByName(b), parts)
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    found = {(r.g, r["column"]): r for r in exact_quantiles(df, ["x", "y"], wanted, ["g"]).collect()}
+    rows = df.toPandas()
+    for i, n in enumerate(sizes):
+        part = rows[rows.g.isna()] if i == 3 else rows[rows.g == i]
+        for column in ("x", "y"):
+            values = part[column].dropna().to_numpy()
+            r = found[None if i == 3 else i, column]
+            for name, q in wanted.items():
+                at = (len(values) - 1) * q
+                low, high = np.sort(values)[[int(np.floor(at)), int(np.ceil(at))]]
+                assert r[name] == pytest.approx(low if low == high else low + (high - low) * (at - np.floor(at)), rel=1e-9, nan_ok=True)
+
+
+def test_groups_without_a_value_and_a_failed_sketch(spark, monkeypatch):
+    df = spark.createDataFrame([(1, None, 4.0), (1, None, 9.0), (2, 5.0, 1.0)], "g int, x double, y double")
+
+    def wrong(df, columns, *_):
+        place = F.struct(F.array(F.lit(1e9)).alias("low"), F.array(F.lit(2e9)).alias("high"))
+        return df.select("g").distinct().select("g", *[place.alias(n) for n in columns])
+
+    for _ in range(2):
+        found = {(r.g, r["column"]): r.m for r in exact_quantiles(df, ["x", "y"], {"m": 0.5}, ["g"]).collect()}
+        assert found == {(1, "y"): 6.5, (2, "x"): 5.0, (2, "y"): 1.0}
+        monkeypatch.setattr(quantiles, "group_brackets", wrong)
+
+
 def test_quantiles_skip_nan_and_null(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "x double")
     assert exact_quantiles(df, ["x"], {"m": 0.5}).first().m == 2.0

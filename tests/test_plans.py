@@ -1,17 +1,23 @@
 """Shapes of the physical plans that matter at scale."""
 
 import re
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.operators import profile, sample
 from foldwise.operators.columns import select_columns
 from foldwise.operators.encode import target_encode
 from foldwise.operators.evaluate import error_samples
 from foldwise.operators.impute import apply_imputer, fit_imputer
+from foldwise.operators.quantiles import value_counts_long
 from foldwise.operators.sample import exp_weight, stratified_subsample
 from foldwise.operators.split import kfold, time_series
+from foldwise.plans.brackets import group_brackets
 from foldwise.plans.ordering import running_totals
+from foldwise.plans.small import attach
+from foldwise.session import cut_lineage
 from foldwise.sources.readers import latest_run
 from foldwise.sources.writers import read_fold, write_folds
 
@@ -107,3 +113,42 @@ def test_no_cartesian_products(spark, name):
 
     text = plan(queries()[name](spark, "/root/testdata/sf0.001"))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_recency_weights_move_times_and_keys_only(tables):
+    """Old rows get 0.0 in place; the few others their weight by a broadcast."""
+    events = tables("events").withColumn("ts", F.col("ts"))
+    wide = reduce(lambda a, b: a.unionByName(b), [events.withColumn("event_id", F.col("event_id") + i * 1_000_000) for i in range(3)])
+    found = exp_weight(wide, "ts", "event_id", 0.5, "w")
+    text = plan(found)
+    assert shuffles(text) == 0 and "BroadcastHashJoin" in text
+    aged = found.select("event_id", "ts", "w").collect()
+    newest = sorted(aged, key=lambda r: (r.ts, r.event_id), reverse=True)
+    assert [r.w for r in newest] == [0.5**i for i in range(len(newest))]
+
+
+def test_recency_weights_without_a_broadcast(tables, monkeypatch):
+    monkeypatch.setattr(sample, "BROADCAST_BYTES", 0)
+    found = exp_weight(tables("events"), "ts", "event_id", 0.2, "w")
+    newest = sorted(found.collect(), key=lambda r: (r.ts, r.event_id), reverse=True)
+    assert [r.w for r in newest] == pytest.approx([0.2**i for i in range(len(newest))], rel=1e-12)
+    # What has no weight is not shuffled: the union's other branch is a filter on the scan.
+    assert "Union" in plan(found)
+
+
+def test_group_quantiles_shuffle_few_values(spark):
+    """Values far from the quantiles are merged before the exchange."""
+    rows = spark.range(0, 60_000, 1, 4).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 60_013).alias("x"))
+    columns = {"b": F.col("x")}
+    ends = group_brackets(rows, columns, [0.25, 0.5, 0.75], ["g"])
+    located = attach(rows, ends, ["g"], ["b"])
+    counts = value_counts_long(located, ["x"], ["g"], {"x": "b"})
+    assert 0 < counts.count() < 600 and counts.agg(F.sum("n")).first()[0] == 60_000
+
+
+def test_long_texts_are_counted_without_moving_them(tables, monkeypatch):
+    seen = []
+    monkeypatch.setattr(profile, "cut_lineage", lambda df: seen.append(plan(df)) or cut_lineage(df))
+    profile.top_values(tables("documents"), ["text", "lang"])
+    exchanged = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", seen[0])
+    assert exchanged and all("value" not in c and "digest" in c for c in exchanged)

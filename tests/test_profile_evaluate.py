@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from foldwise.operators.evaluate import (
 from foldwise.operators.learn import booster, cross_validate_trees, fold_scores, score_folds
 from foldwise.operators.profile import (
     describe, describe_long, distributions, group_describe, group_stats, histograms, missing_matrix,
-    missing_table, run_profile, table_profile, value_counts,
+    missing_table, run_profile, table_profile, top_values, value_counts,
 )
 from foldwise.operators.split import kfold
 
@@ -243,3 +244,22 @@ def test_all_columns_unless_limited(spark):
     df = spark.range(3).selectExpr("id", *[f"id AS c{i}" for i in range(24)])
     names = lambda table: {r[0] for r in table.select("column").distinct().collect()}
     assert len(names(distributions(df))) == 25 and len(names(distributions(df, 4))) == 4
+
+
+def test_commonest_values_of_long_texts(spark):
+    """Ties between short and long texts, equal beginnings, all texts once, and NULLs."""
+    long = ["y" * 40 + c for c in "cab"]
+    rows = (
+        [(1, t) for t in ["x" * 16, "x" * 17, *long]]  # all once: the least text
+        + [(2, t) for t in [long[0], long[1], long[2]] * 2 + ["zz", "zz", "a"]]  # four twice
+        + [(3, t) for t in ["y" * 16, "y" * 16, long[1], long[1]]]  # a short one that is the beginning
+        + [(4, None), (None, long[0]), (None, "é" * 20), (None, "é" * 20)]
+    )
+    found = {r.g: (r.uniq, r.top, r.freq) for r in top_values(spark.createDataFrame(rows, "g int, t string"), ["t"], ["g"]).collect()}
+    assert found == {
+        1: (5, "x" * 16, 1), 2: (5, long[1], 2), 3: (2, "y" * 16, 2), None: (2, "é" * 20, 2),
+    }
+    whole = top_values(spark.createDataFrame(rows, "g int, t string"), ["t"]).first()
+    texts = Counter(t for _, t in rows if t)
+    best = min(texts, key=lambda t: (-texts[t], t.encode()))
+    assert (whole.uniq, whole.top, whole.freq) == (len(texts), best, texts[best])
