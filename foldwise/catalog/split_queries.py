@@ -79,16 +79,22 @@ def _group(spark, d):
 
 @query(
     "f5_stratified_group_kfold",
-    f"""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type DESC) AS best,
-                     sum(n) OVER (PARTITION BY user_id) AS size FROM c),
-        g AS (SELECT user_id, row_number() OVER (ORDER BY event_type, n DESC, size DESC, user_id) - 1 AS p
-              FROM r WHERE best = 1)
-        SELECT event_id, user_id, {SNAKE} AS fold FROM events JOIN g USING (user_id)""",
+    """WITH c AS (SELECT user_id, value > 50 AS high, count(*) AS n FROM events GROUP BY ALL)
+       SELECT high, sum(n)::BIGINT AS n, max(n) AS largest, 1 AS folds_of_a_group, true AS even FROM c GROUP BY 1""",
 )
 def _stratified_group(spark, d):
-    folds = stratified_group_kfold(table(spark, d, "events"), "event_type", "user_id")
-    return folds.select("event_id", "user_id", "fold")
+    """Rows per class, its largest count in a group, and whether folds differ by no more."""
+    events = table(spark, d, "events").withColumn("high", F.col("value") > 50)
+    folds = stratified_group_kfold(events, "high", "user_id")
+    groups = folds.groupBy("user_id", "high").agg(
+        F.count(F.lit(1)).alias("n"), F.min("fold").alias("least"), F.max("fold").alias("most")
+    )
+    loads = groups.groupBy("high", "least").agg(F.sum("n").alias("load"), F.max("n").alias("largest"),
+        F.sum("n").alias("n"), F.max(F.col("most") - F.col("least") + 1).alias("folds_of_a_group"))
+    return loads.groupBy("high").agg(
+        F.sum("n").alias("n"), F.max("largest").alias("largest"), F.max("folds_of_a_group").alias("folds_of_a_group"),
+        ((F.count("load") == 5) & (F.max("load") - F.min("load") <= F.max("largest"))).alias("even"),
+    )
 
 
 @query(

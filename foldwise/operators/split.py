@@ -9,18 +9,22 @@ join with a small table, so recomputing it after rows changed costs little.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldwise.functions.hashing import hash_fold, key_columns, shuffle_order
 from foldwise.plans.brackets import rows_at_ranks
 from foldwise.plans.cuts import cut_points, cuts_passed, even_cut_ranks
+from foldwise.plans.dealing import deal
 from foldwise.plans.ordering import running_totals, with_row_index
 from foldwise.plans.small import attach, settle
 from foldwise.session import cut_lineage
 
 DEFAULT_SPLITS = 5
 DEFAULT_SEED = 42
+# Classes that a stratified group split balances one by one.
+CLASSES = 32
 
 
 def _check_splits(n_splits: int) -> None:
@@ -97,6 +101,20 @@ def _attach_groups(df: DataFrame, dealt: DataFrame, group_col: str, fold_col: st
     return attach(df, table, [group_col], ["__fold"]).withColumnRenamed("__fold", fold_col)
 
 
+def _groups_alone(sizes: DataFrame, group_col: str, n_splits: int) -> int:
+    """How many of the largest groups take a fold of their own; too few groups raise."""
+    facts = sizes.agg(F.sum("__size").alias("rows"), F.count(F.lit(1)).alias("groups")).first()
+    if facts["groups"] < n_splits:
+        raise ValueError(f"cannot make {n_splits} folds of {facts['groups']} groups")
+    alone, rest = 0, facts["rows"]
+    by_size = [F.col("__size").desc(), F.col(group_col).asc_nulls_first()]
+    for row in sizes.orderBy(*by_size).limit(n_splits - 1).select("__size").collect():
+        if row["__size"] * (n_splits - alone) < rest:
+            break
+        alone, rest = alone + 1, rest - row["__size"]
+    return alone
+
+
 def group_kfold(
     df: DataFrame,
     group_col: str,
@@ -112,14 +130,7 @@ def group_kfold(
     _check_splits(n_splits)
     sizes = cut_lineage(df.groupBy(group_col).agg(F.count(F.lit(1)).alias("__size")))
     by_size = [F.col("__size").desc(), F.col(group_col).asc_nulls_first()]
-    facts = sizes.agg(F.sum("__size").alias("rows"), F.count(F.lit(1)).alias("groups")).first()
-    if facts["groups"] < n_splits:
-        raise ValueError(f"cannot make {n_splits} folds of {facts['groups']} groups")
-    alone, rest = 0, facts["rows"]
-    for row in sizes.orderBy(*by_size).limit(n_splits - 1).select("__size").collect():
-        if row["__size"] * (n_splits - alone) < rest:
-            break
-        alone, rest = alone + 1, rest - row["__size"]
+    alone = _groups_alone(sizes, group_col, n_splits)
     place = F.col("__place")
     dealt = with_row_index(sizes, by_size, "__place").withColumn(
         "__fold",
@@ -135,32 +146,37 @@ def stratified_group_kfold(
     n_splits: int = DEFAULT_SPLITS,
     fold_col: str = "fold",
 ) -> DataFrame:
-    """No group is split; class shares are near even by design, not exactly.
-
-    Groups are dealt in the order of their commonest class and its count.
+    """No group is split, and every class is spread over the folds.
+
+    A group at least as large as the mean load of the folds still open takes a fold
+    of its own.  Over the other folds the commonest class differs by at most its
+    largest count in one of the groups dealt there, and so does the second; with more
+    than two classes the others are kept as even as whole groups allow, without a
+    proven bound.  The ``CLASSES`` commonest classes count one by one, all others
+    together as one class.
     """
     _check_splits(n_splits)
-    per_class = df.groupBy(group_col, target_col).agg(F.count(F.lit(1)).alias("__n"))
+    by_count = [F.col("__n").desc(), F.col(target_col).asc_nulls_first()]
+    commonest = df.groupBy(target_col).agg(F.count(F.lit(1)).alias("__n")).orderBy(*by_count)
+    classes = [F.col(target_col).eqNullSafe(F.lit(r[0])) for r in commonest.limit(CLASSES).collect()]
+    counts = [F.count_if(c) for c in classes]
+    if len(classes) == CLASSES:
+        counts.append(F.count_if(~reduce(Column.__or__, classes)))
     groups = cut_lineage(
-        per_class.groupBy(group_col)
-        .agg(
-            F.max(F.struct("__n", F.col(target_col).alias("__class"))).alias("__top"),
-            F.sum("__n").alias("__size"),
-        )
-        .select(group_col, "__top.*", "__size")
+        df.groupBy(group_col).agg(F.count(F.lit(1)).alias("__size"), F.array(*counts).alias("__counts"))
     )
-    if groups.limit(n_splits).count() < n_splits:
-        raise ValueError(f"cannot make {n_splits} folds of fewer groups")
-    order = [
-        F.col("__class").asc_nulls_first(),
-        F.col("__n").desc(),
-        F.col("__size").desc(),
-        F.col(group_col).asc_nulls_first(),
-    ]
-    dealt = with_row_index(groups, order, "__place").withColumn(
-        "__fold", _snake(F.col("__place"), n_splits)
+    alone = _groups_alone(groups, group_col, n_splits)
+    first = groups.orderBy(F.col("__size").desc(), F.col(group_col).asc_nulls_first()).limit(alone)
+    place = F.row_number().over(W.orderBy(F.col("__size").desc(), F.col(group_col).asc_nulls_first()))
+    own = settle(first.select(group_col, (place - 1).alias("__own")))  # fewer than n_splits rows
+    marked = attach(groups, own, [group_col], ["__own"])
+    order = [F.col("__counts")[0].desc(), F.col("__size").desc(), F.col(group_col).asc_nulls_first()]
+    others = marked.where("__own IS NULL").select(group_col, "__size", "__counts")
+    dealt = deal(others, "__counts", order, n_splits - alone)
+    folds = dealt.select(group_col, (F.col("__fold") + alone).alias("__fold")).unionByName(
+        marked.where("__own IS NOT NULL").select(group_col, F.col("__own").alias("__fold"))
     )
-    return _attach_groups(df, dealt, group_col, fold_col)
+    return _attach_groups(df, folds, group_col, fold_col)
 
 
 def leave_one_group_out(df: DataFrame, group_col: str, fold_col: str = "fold") -> DataFrame:

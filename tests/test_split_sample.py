@@ -1,15 +1,18 @@
 """Splits and samples: exact sizes, group integrity, hot groups, repeatability."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.operators import split
 from foldwise.operators.sample import duplicated, exp_weight, id_transitions, stratified_subsample
 from foldwise.operators.split import (
     assign_folds, group_kfold, held_out_rows, kfold, leave_one_group_out, stratified_group_kfold,
     stratified_kfold, time_held_out_rows, time_series, time_training_rows, training_rows,
 )
+from foldwise.plans import dealing
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +89,43 @@ def test_stratified_groups_stay_whole(df):
     assert set().union(*folds.values()) == {0, 1, 2}
 
 
+@pytest.mark.parametrize("fan", [2, 4096])
+def test_both_classes_differ_by_one_group_at_most(spark, monkeypatch, fan):
+    monkeypatch.setattr(dealing, "FAN", fan)
+    rng = random.Random(9)
+    rows = [(g if g else None, int(rng.random() < rng.choice([0.1, 0.5, 0.97]))) for g in range(90) for _ in range(rng.randint(1, 40))]
+    found = stratified_group_kfold(spark.createDataFrame(rows, "g int, y int"), "y", "g", 4).collect()
+    loads, counts, folds = Counter((r.y, r.fold) for r in found), Counter((r.y, r.g) for r in found), defaultdict(set)
+    for r in found:
+        folds[r.g].add(r.fold)
+    assert len(found) == len(rows) and all(len(f) == 1 for f in folds.values())
+    for y in (0, 1):
+        each = [loads[y, f] for f in range(4)]
+        assert max(each) - min(each) <= max(n for (c, _), n in counts.items() if c == y)
+
+
+def test_dominant_groups_leave_the_other_folds_even(spark):
+    rng = random.Random(3)
+    rows = [("hot", i % 3 == 0, "p") for i in range(4000)]
+    rows += [(f"g{g}", rng.random() < 0.3, rng.choice("pqrst")) for g in range(400) for _ in range(rng.randint(1, 9))]
+    df = spark.createDataFrame(rows, "g string, y boolean, c string")
+    for target in ("y", "c"):
+        found = stratified_group_kfold(df, target, "g", 5).collect()
+        assert {r.fold for r in found if r.g == "hot"} == {0}
+        loads = Counter((r[target], r.fold) for r in found if r.fold)
+        assert {r.g for r in found if r.fold == 0} == {"hot"}
+        for value in {r[target] for r in found}:
+            each = [loads[value, f] for f in range(1, 5)]
+            assert max(each) - min(each) <= 9
+
+
+def test_rare_classes_count_together(spark, monkeypatch):
+    monkeypatch.setattr(split, "CLASSES", 2)
+    df = spark.range(600).select((F.col("id") % 60).alias("g"), (F.col("id") * 7 % 13).alias("y"))
+    found = stratified_group_kfold(df, "y", "g", 3).groupBy("fold").count().collect()
+    assert {r["count"] for r in found} == {200}
+
+
 def test_leave_one_group_out(df):
     found = {(r.g, r.fold) for r in leave_one_group_out(df, "g").collect()}
     assert found == {(g, i) for i, g in enumerate(sorted({g for g, _ in found}))}
