@@ -19,7 +19,7 @@ from foldwise.functions.numeric import present
 from foldwise.operators.columns import composite_name, encoded_name, require_columns
 from foldwise.operators.joins import lookup
 from foldwise.operators.split import kfold_expression
-from foldwise.plans.ordering import running_totals
+from foldwise.plans.ordering import running_totals, running_totals_of
 from foldwise.plans.small import attach, broadcast_within, require_unique, total_bytes
 from foldwise.session import cut_lineage
 
@@ -491,24 +491,27 @@ def time_series_target_encode(
         "__n": F.when(F.col("__y").isNotNull(), 1).otherwise(0).cast("long"),
         "__s": F.coalesce("__y", F.lit(0.0)),
     }
-    order = [time_col, *at]
+    # One layout by time serves every category column, and the past of all rows.
+    sought = {str(i): cat for i, (_, cat) in enumerate(specs)}
     if prior == "past":
-        narrow = running_totals(narrow, [], order, past, num_partitions)
-        overall = F.col("__s") / F.nullif(F.col("__n"), F.lit(0))
-        narrow = narrow.withColumn("__prior", overall).drop("__n", "__s")
+        sought["all"] = []
+    narrow = running_totals_of(narrow, sought, [time_col, *at], past, num_partitions)
+    if prior == "past":
+        before = F.col("__s_all") / F.nullif(F.col("__n_all"), F.lit(0))
     else:
-        narrow = narrow.withColumn("__prior", moments.by([]).select("mean").scalar())
+        before = moments.by([]).select("mean").scalar()
+    narrow = narrow.withColumn("__prior", before)
     w = F.lit(float(prior_weight))
-    outputs = []
-    for name, cat in specs:
-        narrow = running_totals(narrow, cat, order, past, num_partitions)
-        pulled = (w * F.col("__prior") + F.col("__s")) / F.nullif(w + F.col("__n"), F.lit(0.0))
-        out = encoded_name(name, prefix, suffix, BAYES_SUFFIX)
-        code = F.when(F.col("__n") < min_samples, F.col("__prior")).otherwise(
-            F.coalesce(pulled, F.col("__prior"))
-        )
-        narrow = narrow.withColumn(out, code).drop("__n", "__s")
-        outputs.append(out)
+    codes = {}
+    for i, (name, _) in enumerate(specs):
+        n, total = F.col(f"__n_{i}"), F.col(f"__s_{i}")
+        pulled = (w * F.col("__prior") + total) / F.nullif(w + n, F.lit(0.0))
+        code = F.when(n < min_samples, F.col("__prior")).otherwise(F.coalesce(pulled, F.col("__prior")))
+        codes[encoded_name(name, prefix, suffix, BAYES_SUFFIX)] = code
+    outputs = list(codes)
+    # Outputs may have the names of category columns.
+    narrow = narrow.select(*[F.col(c).alias(f"__at_{i}") for i, c in enumerate(at)], *[c.alias(o) for o, c in codes.items()])
+    narrow = narrow.select(*[F.col(f"__at_{i}").alias(c) for i, c in enumerate(at)], *outputs)
     require_unique(df.select(*at), at)
     result = attach(df.drop(*outputs), narrow, at, outputs)
     full = _bayesian_encoders(moments, specs, target_type, prior_weight, min_samples)

@@ -1,7 +1,7 @@
 """Image metadata and audio features as Spark jobs.
 
-Spark lists, partitions and shuffles; Python only turns the samples of one row
-into an array with numpy.
+Spark lists, partitions and shuffles; Python only decodes sound files and
+transforms stacks of segments with numpy.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from foldwise.functions.images import image_size
+
 # Image suffixes, mel scale and decibel range.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "bmp", "tiff")
 MEL_FACTOR, MEL_BREAK_HZ = 2595.0, 700.0
@@ -40,19 +42,29 @@ def list_images(spark: SparkSession, directory: str) -> DataFrame:
     return files.select(plain_path(F.col("path")).alias("path")).orderBy("path")
 
 
+SIZE_COLUMNS = {"__image_width__": "width", "__image_height__": "height", "__image_channels__": "channels"}
+
+
+def image_sizes(df: DataFrame, content_col: str) -> DataFrame:
+    """Width, height and channels of image files' bytes, from their headers (M1).
+
+    Grey images have 1 channel, those with red, green, blue and alpha 4, all others 3.
+    0 where there is no image, its header is cut or broken, or the bytes are NULL.
+    """
+    found = df.withColumn("__size", image_size(F.col(content_col)))
+    sized = {out: F.coalesce(F.col("__size")[part], F.lit(0)) for out, part in SIZE_COLUMNS.items()}
+    return found.withColumns(sized).drop("__size")
+
+
 def image_metadata(df: DataFrame, path_col: str, directory: str) -> DataFrame:
-    """Width, height and channels per row; 0 for an unreadable or unknown file (M1)."""
-    images = df.sparkSession.read.format("image").load(directory)
-    known = images.select(
-        plain_path(F.col("image.origin")).alias("__path"),
-        F.col("image.width").alias("__w"),
-        F.col("image.height").alias("__h"),
-        F.col("image.nChannels").alias("__c"),
-    )
-    names = {"__image_width__": "__w", "__image_height__": "__h", "__image_channels__": "__c"}
+    """Width, height and channels per row; 0 for an unreadable or unknown file (M1).
+
+    Only headers are looked at; file contents are not shuffled.
+    """
+    files = df.sparkSession.read.format("binaryFile").load(directory)
+    known = image_sizes(files.select(plain_path(F.col("path")).alias("__path"), "content"), "content").drop("content")
     joined = df.join(known, F.col(path_col) == F.col("__path"), "left")
-    sized = {out: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for out, c in names.items()}
-    return joined.withColumns(sized).drop("__path", *names.values())
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in SIZE_COLUMNS}).drop("__path")
 
 
 def size_ratio_warnings(
@@ -111,21 +123,26 @@ def load_waveforms(df: DataFrame, offset: float = 0.0, duration: float | None =
 
 
 def resample(df: DataFrame, waveform_col: str, rate_col: str, target_rate: int) -> DataFrame:
-    """Linear resampling to ``target_rate``, sample centres aligned (M4)."""
+    """Linear resampling to ``target_rate``, sample centres aligned (M4).
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def to_rate(waves: pd.Series, rates: pd.Series) -> pd.Series:
-        def one(samples: np.ndarray, rate: int) -> np.ndarray:
-            n = len(samples)
-            size = int(n * (target_rate / rate))
-            if rate == target_rate or size == 0:
-                return samples if rate == target_rate else samples[:0]
-            centres = (np.arange(size) + 0.5) * (n / size) - 0.5
-            return np.interp(centres, np.arange(n), samples).astype(np.float32)
+    Each new sample lies between two neighbours, or is the first or last one.
+    """
+    old = F.col(waveform_col)
+    n, rate = F.array_size(old), F.col(rate_col)
+    size = F.floor(n * (F.lit(float(target_rate)) / rate)).cast("int")
 
-        return pd.Series([one(s, r) for s, r in zip(waves, rates)])
+    def sample(i: Column) -> Column:
+        centre = (i + 0.5) * (n / size) - 0.5
+        place = F.greatest(F.lit(0.0), F.least((n - 1).cast("double"), centre))
+        left = F.floor(place).cast("int")
+        low = F.get(old, left).cast("double")
+        high = F.get(old, F.least(left + 1, n - 1)).cast("double")
+        return (low + (high - low) * (place - left)).cast("float")
 
-    return df.withColumn(waveform_col, to_rate(F.col(waveform_col), F.col(rate_col)))
+    new = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), sample))
+    empty = F.array().cast("array<float>")
+    resampled = F.when(rate == target_rate, old).when(old.isNotNull(), F.coalesce(new, empty))
+    return df.withColumn(waveform_col, resampled.cast("array<float>"))
 
 
 def _padded(samples: Column, length: int) -> Column:
@@ -169,13 +186,18 @@ def mel_filters(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
 
 
 def mel_decibels(samples: np.ndarray, rate: int, n_fft: int, hop: int, n_mels: int) -> np.ndarray:
-    """Mel power spectrogram in dB of one segment, floored 80 dB below its peak."""
+    """Mel power spectrograms in dB of equally long segments, floored 80 dB below each one's peak.
+
+    ``samples`` is (..., length); one transform and one filter product serve all of them.
+    """
     window = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n_fft) / n_fft)
-    centred = np.pad(np.asarray(samples, np.float64), n_fft // 2, mode="reflect")
-    frames = np.lib.stride_tricks.sliding_window_view(centred, n_fft)[::hop]
-    power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
-    decibels = 10.0 * np.log10(np.maximum(mel_filters(rate, n_fft, n_mels) @ power.T, POWER_FLOOR))
-    return np.maximum(decibels, decibels.max() - TOP_DB).astype(np.float32)
+    edge = [(0, 0)] * (np.ndim(samples) - 1) + [(n_fft // 2, n_fft // 2)]
+    centred = np.pad(np.asarray(samples, np.float64), edge, mode="reflect")
+    frames = np.lib.stride_tricks.sliding_window_view(centred, n_fft, axis=-1)[..., ::hop, :]
+    power = np.abs(np.fft.rfft(frames * window, axis=-1)) ** 2
+    mel = np.swapaxes(power @ mel_filters(rate, n_fft, n_mels).T, -1, -2)
+    decibels = 10.0 * np.log10(np.maximum(mel, POWER_FLOOR))
+    return np.maximum(decibels, decibels.max(axis=(-2, -1), keepdims=True) - TOP_DB).astype(np.float32)
 
 
 def mel_spectrogram(
@@ -187,12 +209,24 @@ def mel_spectrogram(
     hop_length: int = 512,
     n_mels: int = 128,
 ) -> DataFrame:
-    """(n_mels x frames) decibel matrix of each segment (M6)."""
+    """(n_mels x frames) decibel matrix of each segment (M6).
+
+    Segments of one length in a batch are stacked and transformed together, as
+    many at a time as hold about ``HELD_SAMPLES`` samples of frames.  NULL stays NULL.
+    """
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
     def to_mel(waves: pd.Series) -> pd.Series:
-        return pd.Series(
-            [list(mel_decibels(w, sample_rate, n_fft, hop_length, n_mels)) for w in waves]
-        )
+        lengths = waves.map(len, na_action="ignore")
+        found: list = [None] * len(waves)
+        for length in lengths.dropna().unique():
+            which = np.flatnonzero(lengths == length)
+            step = max(1, int(HELD_SAMPLES * hop_length // (n_fft * (length + n_fft))))
+            for a in range(0, len(which), step):
+                at = which[a : a + step]
+                stacked = np.stack([waves.iloc[i] for i in at])
+                for i, matrix in zip(at, mel_decibels(stacked, sample_rate, n_fft, hop_length, n_mels)):
+                    found[i] = list(matrix)
+        return pd.Series(found)
 
     return df.withColumn(output_col, to_mel(F.col(waveform_col)))

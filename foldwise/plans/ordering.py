@@ -10,6 +10,7 @@ per-partition aggregates plus a window inside each partition.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -131,3 +132,44 @@ def running_totals(
         .where(F.col(POS) >= 0)
         .drop(PART, POS, *value_cols)
     )
+
+
+def running_totals_of(
+    df: DataFrame,
+    keys: Mapping[str, Sequence[str]],
+    order: Sequence[str | Column],
+    totals: Mapping[str, Column],
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """``running_totals`` for several keys from one layout by ``order``.
+
+    ``keys`` maps a suffix to key columns (none: all rows); outputs are named
+    ``<total>_<suffix>``.  The rows are range-partitioned, sorted and written once, by
+    ``order`` alone.  What a key has in earlier ranges is an aggregate per (key,
+    range) with a prefix over the ranges, and comes back as carry rows; one exchange
+    brings all carries to their ranges, where each further key costs a window.
+    """
+    staged = df.select("*", *[e.alias(f"__v_{name}") for name, e in totals.items()])
+    placed = lay_out(staged, order, num_partitions)
+    values = [f"__v_{name}" for name in totals]
+    parts = [placed.withColumn("__for", F.lit(None).cast("string"))]
+    for suffix, key in keys.items():
+        per_part = placed.groupBy(*key, PART).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values])
+        # A row per range that holds the key; the window of no key has one per range.
+        before = W.partitionBy(*key).orderBy(PART)
+        earlier = before.rowsBetween(W.unboundedPreceding, -1)
+        carries = per_part.select(
+            *key, PART, F.row_number().over(before).alias("__first"), *[F.sum(v).over(earlier).alias(v) for v in values]
+        )
+        carries = carries.where("__first > 1").drop("__first")
+        parts.append(carries.withColumns({POS: F.lit(-1).cast("long"), "__for": F.lit(suffix)}))
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition(PART)
+    found = []
+    for suffix, key in keys.items():
+        inside = W.partitionBy(PART, *key).orderBy(POS).rowsBetween(W.unboundedPreceding, -1)
+        own = F.col("__for").isNull() | (F.col("__for") == suffix)
+        found += [
+            F.coalesce(F.sum(F.when(own, F.col(f"__v_{name}"))).over(inside), F.lit(0)).alias(f"{name}_{suffix}")
+            for name in totals
+        ]
+    return together.select("*", *found).where(F.col(POS) >= 0).drop(PART, POS, "__for", *values)

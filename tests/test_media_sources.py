@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.impute import fill_na
 from foldwise.operators.media import (
-    first_segment, image_metadata, list_images, load_waveforms, mel_decibels, mel_filters,
+    first_segment, image_metadata, image_sizes, list_images, load_waveforms, mel_decibels, mel_filters,
     mel_spectrogram, resample, segments, size_ratio_warnings,
 )
 from foldwise.operators.split import kfold
@@ -61,6 +61,77 @@ def test_image_listing_and_metadata(spark, images):
     }
 
 
+def bmp(width, height, bits, palette=b"", header=40, compression=0, masks=b""):
+    if header == 12:
+        info = struct.pack("<IHHHH", 12, width, height, 1, bits)
+    else:
+        info = struct.pack("<IiiHHIIiiII", header, width, height, 1, bits, compression, 0, 0, 0, len(palette) // 4, 0)
+        info += masks + bytes(header - 40 - len(masks))
+    return b"BM" + bytes(12) + info + palette
+
+
+def tiff(order, width, height, samples, photometric, bits=8, extra=None):
+    tags = [(256, width), (257, height), (258, bits), (262, photometric), (277, samples)]
+    tags += [(338, extra)] if extra is not None else []
+    lead = {"<": b"II*\0", ">": b"MM\0*"}[order] + struct.pack(order + "I", 8) + struct.pack(order + "H", len(tags))
+    return lead + b"".join(struct.pack(order + "HHIHH", tag, 3, 1, value, 0) for tag, value in tags) + bytes(4)
+
+
+def jpeg(width, height, parts, before=b"", frame=0xC2):
+    sof = struct.pack(">BBHBHHB", 0xFF, frame, 8 + 3 * parts, 8, height, width, parts) + bytes(3 * parts)
+    return b"\xff\xd8" + before + sof + b"\xff\xda"
+
+
+def segment(marker, size):
+    return bytes([0xFF, marker]) + struct.pack(">H", size + 2) + bytes(size)
+
+
+def test_sizes_from_header_bytes(spark):
+    grey = b"".join(bytes([i, i, i, 0]) for i in range(256))
+    broken = bytearray(png(30, 20, 2))
+    broken[17] ^= 1
+    cases = {
+        "png": (png(70_000, 1, 2)[:40], (70_000, 1, 3)),
+        "broken png": (bytes(broken), (0, 0, 0)),
+        "cut png": (png(30, 20, 2)[:32], (0, 0, 0)),
+        "bmp": (bmp(640, 480, 24), (640, 480, 3)),
+        "bmp from the top": (bmp(640, -480, 24), (640, 480, 3)),
+        "old bmp": (bmp(5, 6, 24, header=12), (5, 6, 3)),
+        "grey bmp": (bmp(5, 6, 8, grey), (5, 6, 1)),
+        "palette bmp": (bmp(5, 6, 8, grey[::-1]), (5, 6, 3)),
+        "bmp with alpha": (bmp(5, 6, 32, b"", 124, 3, struct.pack("<IIII", 255 << 16, 255 << 8, 255, 255 << 24)), (5, 6, 4)),
+        "cut bmp": (bmp(640, 480, 24)[:24], (0, 0, 0)),
+        "tiff": (tiff("<", 300, 200, 3, 2), (300, 200, 3)),
+        "grey tiff": (tiff(">", 300, 200, 1, 1), (300, 200, 1)),
+        "deep tiff": (tiff(">", 300, 200, 1, 1, 16), (300, 200, 3)),
+        "tiff with alpha": (tiff("<", 300, 200, 4, 2, extra=2), (300, 200, 4)),
+        "tiff with a pad": (tiff("<", 300, 200, 4, 2, extra=0), (300, 200, 3)),
+        "cut tiff": (tiff("<", 300, 200, 3, 2)[:30], (0, 0, 0)),
+        "wrong tiff": (b"II*\0" + b"\xff" * 12, (0, 0, 0)),
+        "jpeg": (jpeg(800, 600, 3), (800, 600, 3)),
+        "grey jpeg": (jpeg(9, 7, 1, segment(0xE0, 14) + segment(0xC4, 30) + b"\xff\xff" + segment(0xFE, 60_000), 0xC0), (9, 7, 1)),
+        "long jpeg": (jpeg(9, 7, 4, segment(0xE1, 0) * 1000), (9, 7, 3)),
+        "cut jpeg": (jpeg(9, 7, 3, segment(0xE0, 14))[:26], (0, 0, 0)),
+        "jpeg that ends": (b"\xff\xd8" + segment(0xE0, 3) + b"\xff\xd9" + jpeg(9, 7, 3), (0, 0, 0)),
+        "jpeg gone wrong": (b"\xff\xd8\xff\xe0\x00\x03\x00\x01" + jpeg(9, 7, 3), (0, 0, 0)),
+        "huge numbers": (b"BM" + bytes(12) + struct.pack("<I", 40) + b"\xff" * 60, (0, 0, 0)),
+        "text": (b"no image", (0, 0, 0)),
+        "empty": (b"", (0, 0, 0)),
+        "null": (None, (0, 0, 0)),
+    }
+    df = spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, (c, _) in cases.items()], "name string, content binary")
+    got = {r["name"]: tuple(r)[2:] for r in image_sizes(df, "content").collect()}
+    assert got == {n: size for n, (_, size) in cases.items()}
+
+
+def test_media_without_python_workers(spark):
+    """Header sizes and resampling stay in the JVM."""
+    df = spark.createDataFrame([([1.0, 2.0], 4)], "w array<float>, r int")
+    for found in (resample(df, "w", "r", 8), image_sizes(df.select(F.lit(b"").alias("c")), "c")):
+        text = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+        assert "Python" not in text and "Arrow" not in text
+
+
 def test_size_ratio(spark):
     df = spark.createDataFrame([(1, 100, 20), (2, 900, 10), (3, 20, 20)], "id int, w int, h int")
     found = {r.id: r.size_ratio for r in size_ratio_warnings(df, "w", "h", 100).collect()}

@@ -12,7 +12,7 @@ from foldwise.operators import quantiles
 from foldwise.operators.quantiles import exact_quantiles
 from foldwise.plans.brackets import coarsen, order_number, rows_at_ranks
 from foldwise.plans.cuts import cut_points, even_cut_ranks
-from foldwise.plans.ordering import running_totals, with_row_index
+from foldwise.plans.ordering import running_totals, running_totals_of, with_row_index
 
 
 @pytest.fixture(scope="module")
@@ -188,3 +188,19 @@ def test_missed_brackets_fall_back_to_the_full_count(skewed, spark, monkeypatch)
     picked = spark.range(1).select(rows_at_ranks(df, "t", ["id"], [0, 400], 600).alias("p")).first().p
     order = sorted((r[2], r[0]) for r in rows)
     assert [(p.t, p.id) for p in picked] == [order[0], order[400]]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_running_totals_of_several_keys(skewed, parts):
+    rows, df = skewed
+    found = running_totals_of(
+        df, {"k": ["k"], "kt": ["k", "t"], "all": []}, ["t", "id"], {"n": F.lit(1), "s": F.col("v")}, parts
+    ).collect()
+    seen = {name: {} for name in ("k", "kt", "all")}
+    got = {r.id: r for r in found}
+    assert len(found) == len(rows)
+    for i, k, t, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        for name, key in (("k", k), ("kt", (k, t)), ("all", 0)):
+            n, s = seen[name].get(key, (0, 0.0))
+            assert (got[i][f"n_{name}"], got[i][f"s_{name}"]) == (n, s)
+            seen[name][key] = (n + 1, s + v)

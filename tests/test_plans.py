@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.operators import profile, sample
+from foldwise.plans import ordering
 from foldwise.operators.columns import select_columns
-from foldwise.operators.encode import target_encode
+from foldwise.operators.encode import target_encode, time_series_target_encode
 from foldwise.operators.evaluate import error_samples
 from foldwise.operators.impute import apply_imputer, fit_imputer
 from foldwise.operators.quantiles import value_counts_long
@@ -152,3 +153,15 @@ def test_long_texts_are_counted_without_moving_them(tables, monkeypatch):
     profile.top_values(tables("documents"), ["text", "lang"])
     exchanged = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", seen[0])
     assert exchanged and all("value" not in c and "digest" in c for c in exchanged)
+
+
+def test_categories_share_one_time_layout(tables, monkeypatch):
+    """Further category columns cost an aggregate and a window, no range sort or checkpoint."""
+    written = []
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: written.append(plan(df, "simple")) or cut_lineage(df))
+    rows = tables("events").withColumn("y", (F.col("value") > 50).cast("int"))
+    categories = ["event_type", "user_id", ["event_type", "user_id"]]
+    coded, _ = time_series_target_encode(rows, categories, "y", "ts", "event_id", prior="past")
+    assert len(written) == 1 and written[0].count("rangepartitioning") == 1
+    text = plan(coded, "simple")
+    assert "rangepartitioning" not in text
