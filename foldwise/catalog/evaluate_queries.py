@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from foldwise.catalog.registry import (
     FINISHED, JUDGED, finished_orders, judged, kfold_sql, query, rounded, table,
@@ -12,7 +14,7 @@ from foldwise.operators.evaluate import (
     accuracy, arg_max, binary_auc, cv_summary, fold_average, labels_out_of_range, macro_auc,
     readiness_report,
 )
-from foldwise.operators.learn import cross_validate_trees, fold_scores, score_folds
+from foldwise.operators.learn import HELD_OUT, cross_validate_trees, fold_scores, score, score_folds
 from foldwise.operators.split import kfold
 
 
@@ -249,14 +251,31 @@ def _oof(spark, d):
 
 @query(
     "l3_gbt_fold_scores",
-    "SELECT CAST(unnest(range(3)) AS INTEGER) AS fold, TRUE AS train_learned, TRUE AS valid_is_area",
+    """SELECT CAST(unnest(range(3)) AS INTEGER) AS fold, TRUE AS train_learned, TRUE AS valid_is_area,
+         TRUE AS train_matches, TRUE AS valid_matches""",
 )
 def _scores(spark, d):
-    """A model ranks its own rows better than chance; the target is noise to it elsewhere."""
-    found = fold_scores(_trained(spark, d)[1], "finished")
+    """A model ranks its own rows better than chance; the target is noise to it elsewhere.
+
+    Areas are compared with rank sums over the same scored rows, by SQL.
+    """
+    result = _trained(spark, d)[1]
+    ranked = spark.sql(
+        """WITH r AS (SELECT __model AS fold, __held_out AS held_out, finished AS y,
+             rank() OVER (PARTITION BY __model, __held_out ORDER BY predicted_proba)
+             + (count(*) OVER (PARTITION BY __model, __held_out, predicted_proba) - 1) / 2D AS r FROM {scored}),
+           a AS (SELECT fold, held_out, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2D)
+                   / (sum(y) * (count(*) - sum(y))) AS area FROM r GROUP BY ALL)
+           SELECT fold, max(CASE WHEN NOT held_out THEN area END) AS train, max(CASE WHEN held_out THEN area END) AS valid
+           FROM a GROUP BY fold""",
+        scored=result.scored.withColumnRenamed(HELD_OUT, "__held_out"),
+    )
+    found = fold_scores(result, "finished").join(ranked, "fold")
     return found.select(
-        "fold", (F.col("train_score") > 0.5).alias("train_learned"),
+        F.col("fold").cast("int").alias("fold"), (F.col("train_score") > 0.5).alias("train_learned"),
         F.col("valid_score").between(0.25, 0.75).alias("valid_is_area"),
+        (F.abs(F.col("train_score") - F.col("train")) < 1e-9).alias("train_matches"),
+        (F.abs(F.col("valid_score") - F.col("valid")) < 1e-9).alias("valid_matches"),
     )
 
 
@@ -280,11 +299,22 @@ def _learns(spark, d):
     )
 
 
-@query("l8_gbt_fold_scoring", "SELECT o_orderkey, TRUE AS is_probability FROM orders")
+@query(
+    "l8_gbt_fold_scoring",
+    "SELECT o_orderkey, 3::BIGINT AS models, TRUE AS is_probability, TRUE AS is_average FROM orders",
+)
 def _scoring(spark, d):
+    """The one-pass average against every model's own scores."""
     rows, result = _trained(spark, d)
-    scored = score_folds(result.models, rows, ["o_orderkey"])
-    return scored.select("o_orderkey", F.col("prediction").between(0.0, 1.0).alias("is_probability"))
+    each = [score(m, rows, "p").select("o_orderkey", "p") for m in result.models.values()]
+    by_model = reduce(DataFrame.unionByName, each).groupBy("o_orderkey").agg(
+        F.avg("p").alias("average"), F.count("p").alias("models")
+    )
+    scored = score_folds(result.models, rows, ["o_orderkey"]).join(by_model, "o_orderkey")
+    return scored.select(
+        "o_orderkey", "models", F.col("prediction").between(0.0, 1.0).alias("is_probability"),
+        (F.abs(F.col("prediction") - F.col("average")) < 1e-12).alias("is_average"),
+    )
 
 
 @query(

@@ -8,13 +8,14 @@ from foldwise.catalog.registry import (
     JUDGED, LABELLED, judged, kfold_sql, labelled, query, rounded, table,
 )
 from foldwise.operators.evaluate import binary_auc
+from foldwise.operators.media import list_images
 from foldwise.operators.profile import missing_table, table_profile
 from foldwise.operators.split import kfold
 from foldwise.plans.recipe import compose
 from foldwise.session import scratch_path
 from foldwise.sources.readers import (
-    latest_run, load_inputs, read_csv, read_csv_directory, read_csv_glob, read_index_splits,
-    read_manifest, read_parquet,
+    csv_files, latest_run, load_inputs, read_csv, read_csv_directory, read_csv_glob, read_index_splits,
+    read_manifest, read_parquet, run_history,
 )
 from foldwise.sources.writers import (
     read_fold, record_run, write_folds, write_predictions, write_statistics, write_table,
@@ -42,12 +43,46 @@ def _parquet(spark, d):
     return orders.where("o_totalprice > 400000").select("o_orderkey", "o_totalprice")
 
 
-@query("s3_csv_directory", "SELECT s_suppkey, s_name, s_acctbal, true AS from_file FROM supplier")
+@query(
+    "s3_csv_directory",
+    """SELECT count(*) AS n, round(sum(s_acctbal), 2) AS balance, count(DISTINCT s_suppkey % 4) AS files, true AS apart
+       FROM supplier""",
+)
 def _directory(spark, d):
+    """Files of suppliers by remainder, read together and told apart by their paths."""
     supplier = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    path = _as_csv(supplier.repartition(3, "s_suppkey"), scratch_path(spark, "supplier"))
+    ranged = supplier.repartitionByRange(4, F.col("s_suppkey") % 4)
+    path = _as_csv(ranged, scratch_path(spark, "supplier"))
     rows = read_csv_directory(spark, path, supplier.schema)
-    return rows.withColumn("from_file", F.col("source_file").endswith(".csv")).drop("source_file")
+    part = rows.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("balance"),
+        F.min(F.col("s_suppkey") % 4).alias("least"), F.max(F.col("s_suppkey") % 4).alias("most"),
+    )
+    found = part.agg(
+        F.sum("n").alias("n"), F.round(F.sum("balance"), 2).alias("balance"), F.count(F.lit(1)).alias("files"),
+        F.bool_and((F.col("least") == F.col("most")) & F.col("source_file").endswith(".csv")).alias("apart"),
+    )
+    return found
+
+
+@query(
+    "s3_csv_files",
+    """SELECT s_nationkey, count(*) AS n, round(sum(s_acctbal), 2) AS balance FROM supplier GROUP BY 1""",
+)
+def _files(spark, d):
+    """A folder of files per nation; the files inside each are found and read."""
+    supplier = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    path = scratch_path(spark, "supplier")
+    supplier.write.partitionBy("s_nationkey").option("header", True).csv(path)
+    nations = sorted(r["n_nationkey"] for r in table(spark, d, "nation").select("n_nationkey").collect())
+    status = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = {s.getPath().getName() for s in status.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(status)}
+    folders = [f"{path}/s_nationkey={k}" for k in nations if f"s_nationkey={k}" in held]
+    rows = read_csv(spark, csv_files(spark, folders), "s_suppkey bigint, s_acctbal double")
+    nation = F.regexp_extract(F.col("_metadata.file_path"), "s_nationkey=([0-9]+)", 1).cast("int")
+    return rows.groupBy(nation.alias("s_nationkey")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance")
+    )
 
 
 @query(
@@ -153,7 +188,95 @@ def _runs(spark, d):
     scores = areas.withColumn("train_score", F.lit(None).cast("double"))
     root = scratch_path(spark, "runs")
     record_run(spark, root, {"run_ts": "r1", "job_id": "auc", "kind": "train", "seed": 42}, fold_scores=scores)
-    return rounded(spark.read.parquet(f"{root}/fold_scores"), 8, "valid_score")
+    return rounded(spark.read.parquet(f"{root}/fold_scores").drop("run"), 8, "valid_score")
+
+
+STEPS = [
+    {"id": "long", "method": "arithmetic", "options": {"operation": "multiply", "col_a": "score", "col_b": "score", "output_col": "squared"}},
+    {"id": "gone", "method": "no_such_step"},
+    {"id": "torn", "method": "select_columns", "options": {"columns": ["no_such_column"]}},
+    {"id": "folds", "method": "assign_folds", "options": {"strategy": "kfold", "keys": "doc_id"}},
+]
+
+
+@query(
+    "s10_run_history",
+    f"""WITH {JUDGED}, f AS (SELECT {kfold_sql('doc_id')} AS fold, quality AS y, score AS p FROM judged),
+        r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0 AS r FROM f),
+        a AS (SELECT fold, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0)
+                     / nullif(sum(y) * (count(*) - sum(y)), 0), 8) AS valid_score FROM r GROUP BY fold),
+        s AS (SELECT * FROM (VALUES ('long', 'arithmetic', 'ok'), ('gone', 'no_such_step', 'skipped'),
+                ('torn', 'select_columns', 'failed'), ('folds', 'assign_folds', 'ok')) AS v(step_id, method, status))
+        SELECT 'r2' AS run_ts, 'train' AS kind, 42::BIGINT AS seed, step_id, method, status,
+          status <> 'ok' AS has_reason, fold, valid_score FROM s, a""",
+)
+def _history(spark, d):
+    """Two runs of a recipe with a skipped and a failed step; all that is known of the newer one."""
+    root = scratch_path(spark, "runs")
+    for run, seed in (("r1", 7), ("r2", 42)):
+        made = compose({"judged": judged(spark, d)}, STEPS, on_error="record")
+        areas = binary_auc(made.tables["folds"], "quality", "score", ["fold"], "valid_score")
+        scores = areas.withColumn("train_score", F.lit(None).cast("double"))
+        record_run(spark, root, {"run_ts": run, "job_id": "auc", "kind": "train", "seed": seed}, made.steps, scores)
+    tables = run_history(spark, root)
+    joined = tables["runs"].join(tables["run_steps"], "run_ts").join(tables["fold_scores"], "run_ts")
+    found = joined.withColumn("has_reason", F.col("reason").isNotNull())
+    return rounded(
+        found.select("run_ts", "kind", "seed", "step_id", "method", "status", "has_reason", "fold", "valid_score"),
+        8, "valid_score",
+    )
+
+
+def _one_file_each(rows, key, value, suffix):
+    """Write ``value`` of every row as ``<key><suffix>`` in a new folder.
+
+    Spark writes a folder per key; only the files' names are changed on the driver.
+    """
+    spark = rows.sparkSession
+    made, path = scratch_path(spark, "parts"), scratch_path(spark, "files")
+    rows.select(F.col(key).cast("string").alias("key"), value.alias("value")).write.partitionBy("key").text(made)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(path))
+    for folder in fs.listStatus(at(made)):
+        name = folder.getPath().getName()
+        if name.startswith("key="):
+            part = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            fs.rename(part[0], at(f"{path}/{name.removeprefix('key=')}{suffix}"))
+    return path
+
+
+@query(
+    "o3_text_dir",
+    """SELECT 'n' || n_nationkey AS key, n_name || chr(10) || n_regionkey || chr(10) AS text FROM nation""",
+)
+def _text_dir(spark, d):
+    nation = table(spark, d, "nation").withColumn("file", F.concat(F.lit("n"), F.col("n_nationkey")))
+    text = F.concat_ws("\n", "n_name", F.col("n_regionkey").cast("string"))
+    path = _one_file_each(nation, "file", text, ".txt")
+    return load_inputs(spark, [{"id": "texts", "path": path, "format": "text_dir"}])["texts"].select("key", "text")
+
+
+@query("o4_image_dir", "SELECT 'n' || n_nationkey AS key, 'n' || n_nationkey || '.png' AS file FROM nation")
+def _image_dir(spark, d):
+    nation = table(spark, d, "nation").withColumn("file", F.concat(F.lit("n"), F.col("n_nationkey")))
+    path = _one_file_each(nation, "file", F.col("n_name"), ".png")
+    found = load_inputs(spark, [{"id": "images", "path": path, "format": "image_dir"}])["images"]
+    return found.select("key", F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
+@query(
+    "s12_image_listing",
+    """SELECT name, n_nationkey % 3 <> 2 AS listed FROM (SELECT n_nationkey,
+         'n' || n_nationkey || CASE n_nationkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' ELSE '.txt' END AS name FROM nation)""",
+)
+def _image_listing(spark, d):
+    """Of files with all kinds of suffixes, which are listed as images."""
+    kind = F.when(F.col("n_nationkey") % 3 == 0, ".png").when(F.col("n_nationkey") % 3 == 1, ".jpeg").otherwise(".txt")
+    nation = table(spark, d, "nation").withColumn("name", F.concat(F.lit("n"), F.col("n_nationkey"), kind))
+    path = _one_file_each(nation, "name", F.col("n_name"), "")
+    listed = list_images(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(True).alias("listed"))
+    return nation.select("name").join(listed, "name", "left").fillna(False, ["listed"])
 
 
 @query("o1_csv_glob", "SELECT n_nationkey, n_name, n_regionkey FROM nation")

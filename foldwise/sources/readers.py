@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import csv
 import posixpath
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
+from itertools import islice
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from foldwise.operators.media import list_images
+from foldwise.session import cut_lineage
 
 Schema = StructType | str
 
@@ -58,30 +62,75 @@ def read_csv_directory(
     return reader.csv(path).select("*", F.col("_metadata.file_path").alias(file_col))
 
 
+# Larger than any file: a scan with this setting has one task per file.
+_ONE_FILE = str(1 << 50)
+# Headers that one job looks up.
+_HEADERS_A_JOB = 200
+# Files of one read; a header that more files share takes several reads.
+_FILES_A_READ = 10_000
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def csv_headers(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, header): the first line of every file that is not empty, as written tables.
+
+    A task per file takes its first line and stops, so only a file's first buffer is
+    read.  Jobs have ``_HEADERS_A_JOB`` such tasks.
+    """
+    files = spark.read.format("binaryFile").load(pattern).where("length > 0").select("path").orderBy("path")
+    listed, found = files.toLocalIterator(), []
+    with _settings(spark, spark__sql__files__maxPartitionBytes=_ONE_FILE):
+        while paths := [r["path"] for r in islice(listed, _HEADERS_A_JOB)]:
+            # Names are taken as they are, not as patterns.
+            first = [
+                spark.read.text(_escaped(p)).limit(1).select(F.lit(p).alias("path"), F.col("value").alias("header"))
+                for p in paths
+            ]
+            found.append(cut_lineage(reduce(DataFrame.unionByName, first)))
+    if not found:
+        raise ValueError(f"no rows in files matching {pattern!r}")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _escaped(path: str) -> str:
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def read_csv_glob(spark: SparkSession, pattern: str, schema: Schema | None = None) -> DataFrame:
     """CSV files matching a pattern, one below the other; columns match by name (O1).
 
     With a schema its columns are returned, NULL where a file lacks one; columns
-    of a file that the schema does not name are left out.
+    of a file that the schema does not name are left out.  Files that share a header
+    are read together: all files by the pattern if there is one header, else by
+    lists of paths.
     """
-    # One read per distinct header, not per file.
-    lines = spark.read.text(pattern).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    files = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    headers = csv_headers(spark, pattern)
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    tables = [_same_header(spark, r["header"], r["paths"], schema) for r in files.orderBy("paths").collect()]
-    if not tables:
-        raise ValueError(f"no rows in files matching {pattern!r}")
+    known = [r["header"] for r in headers.groupBy("header").agg(F.min("path").alias("path")).orderBy("path").collect()]
+    if len(known) == 1:
+        return _same_header(spark, known[0], pattern, schema)
+    tables = []
+    for header in known:
+        rows = headers.where(F.col("header") == header).select("path").orderBy("path").toLocalIterator()
+        while paths := [_escaped(r["path"]) for r in islice(rows, _FILES_A_READ)]:
+            tables.append(_same_header(spark, header, paths, schema))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def _same_header(spark: SparkSession, header: str, paths: list[str], schema: StructType | None) -> DataFrame:
+def _same_header(spark: SparkSession, header: str, paths: str | list[str], schema: StructType | None) -> DataFrame:
     """Files of one header, with the schema's columns picked by name."""
     if schema is None:
         return read_csv(spark, paths)
@@ -155,10 +204,18 @@ def resolve_latest(spark: SparkSession, path: str) -> str:
 
 
 def latest_run(df: DataFrame, run_col: str = "run_ts") -> DataFrame:
-    """Rows of the newest run; on a table partitioned by run only it is read."""
+    """Rows of the newest run; on a table partitioned by ``run_col`` only it is read."""
     return df.where(F.col(run_col) == df.agg(F.max(run_col)).scalar())
 
 
+def run_history(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The newest run's rows of the tables that ``record_run`` writes, by name."""
+    return {
+        name: latest_run(spark.read.parquet(f"{root}/{name}"), "run").drop("run")
+        for name in ("runs", "run_steps", "fold_scores")
+    }
+
+
 def read_manifest(
     spark: SparkSession,
     path: str,

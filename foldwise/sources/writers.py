@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.operators.columns import select_columns
 from foldwise.operators.ensemble import output_tables
+from foldwise.sources.readers import check_separate
 
 FOLD_LAYOUTS = ("assigned", "exploded")
 
 
-def write_table(df: DataFrame, output_dir: str, node_id: str, columns: Sequence[str]) -> str:
-    """Selected columns, not split: ``{output_dir}/{node_id}/test.parquet``."""
+def write_table(
+    df: DataFrame, output_dir: str, node_id: str, columns: Sequence[str], inputs: Sequence[str] = ()
+) -> str:
+    """Selected columns, not split: ``{output_dir}/{node_id}/test.parquet``.
+
+    This and the other writers refuse an output that overlaps with one of ``inputs`` (S4).
+    """
+    check_separate(inputs, output_dir)
     path = f"{output_dir}/{node_id}/test.parquet"
     select_columns(df, columns).write.mode("overwrite").parquet(path)
     return path
@@ -27,6 +34,7 @@ def write_folds(
     fold_col: str = "fold",
     layout: str = "assigned",
     n_splits: int | None = None,
+    inputs: Sequence[str] = (),
 ) -> str:
     """Write the table once, partitioned by fold.
 
@@ -36,6 +44,7 @@ def write_folds(
     """
     if layout not in FOLD_LAYOUTS:
         raise ValueError(f"unknown layout {layout!r}; known: {FOLD_LAYOUTS}")
+    check_separate(inputs, output_dir)
     path = f"{output_dir}/{node_id}"
     rows = select_columns(df, list(dict.fromkeys([*columns, fold_col])))
     if layout == "assigned":
@@ -75,8 +84,10 @@ def write_predictions(
     id_col: str,
     target_name: str,
     threshold: float | None = None,
+    inputs: Sequence[str] = (),
 ) -> dict[str, str]:
     """CSV of the final output; with a threshold both labels and probabilities."""
+    check_separate(inputs, output_dir)
     paths = {}
     for name, table in output_tables(predictions, id_col, target_name, threshold).items():
         paths[name] = f"{output_dir}/{name}.csv"
@@ -84,8 +95,11 @@ def write_predictions(
     return paths
 
 
-def write_statistics(df: DataFrame, path: str, output_format: str = "parquet") -> str:
+def write_statistics(
+    df: DataFrame, path: str, output_format: str = "parquet", inputs: Sequence[str] = ()
+) -> str:
     """A profile table as parquet or csv."""
+    check_separate(inputs, path)
     if output_format not in ("parquet", "csv"):
         raise ValueError(f"unknown output format {output_format!r}")
     writer = df.write.mode("overwrite")
@@ -111,10 +125,14 @@ def record_run(
     steps: Sequence[Mapping[str, object]] = (),
     fold_scores: DataFrame | None = None,
 ) -> None:
-    """Append one run, its step outcomes and fold scores to the run tables."""
+    """Append one run, its step outcomes and fold scores to the run tables.
+
+    Tables are partitioned by ``run``, a copy of ``run_ts``, so that the newest run
+    is read alone.
+    """
 
     def append(name: str, table: DataFrame) -> None:
-        table.write.mode("append").parquet(f"{root}/{name}")
+        table.withColumn("run", F.col("run_ts")).write.mode("append").partitionBy("run").parquet(f"{root}/{name}")
 
     def table(name: str, rows: Sequence[Mapping[str, object]]) -> DataFrame:
         fields = [f.split()[0] for f in RUN_TABLES[name].split(", ")]

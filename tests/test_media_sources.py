@@ -18,8 +18,8 @@ from foldwise.operators.media import (
 from foldwise.operators.split import kfold
 from foldwise.plans.recipe import compose
 from foldwise.sources.readers import (
-    check_separate, csv_files, latest_run, load_inputs, read_csv, read_csv_directory, read_csv_glob,
-    read_index_splits, read_manifest, resolve_latest, rows_of_split,
+    check_separate, csv_files, csv_headers, latest_run, load_inputs, read_csv, read_csv_directory, read_csv_glob,
+    read_index_splits, read_manifest, resolve_latest, rows_of_split, run_history,
 )
 from foldwise.sources.writers import (
     read_fold, record_run, write_folds, write_predictions, write_statistics, write_table,
@@ -392,3 +392,63 @@ def test_recipe_builds_only_what_outputs_need(spark):
     made = compose({"in": spark.range(2)}, steps, outputs=["c"])
     assert built == ["a", "c"] and set(made.tables) == {"in", "a", "c"}
     assert set(compose({"in": spark.range(2)}, steps).tables) == {"in", "a", "b", "c", "d"}
+
+
+def read_records(spark, first_stage):
+    """Records that stages from ``first_stage`` on read from files, and the next stage's number."""
+    store, total = spark.sparkContext._jsc.sc().statusStore(), 0
+    while True:
+        try:
+            total += store.lastStageAttempt(first_stage).inputRecords()
+        except Exception:
+            return total, first_stage
+        first_stage += 1
+
+
+def test_headers_are_found_without_reading_the_files(spark, tmp_path):
+    for name, head in (("a", "x,y"), ("b", "y,x"), ("c", "x,y")):
+        (tmp_path / f"{name}.csv").write_text(head + "\n" + "1,2\n" * 400_000)
+    (tmp_path / "empty.csv").write_text("")
+    _, stage = read_records(spark, 0)
+    headers = {r.path.rsplit("/", 1)[1]: r.header for r in csv_headers(spark, f"{tmp_path}/*.csv").collect()}
+    assert headers == {"a.csv": "x,y", "b.csv": "y,x", "c.csv": "x,y"}
+    assert read_records(spark, stage)[0] < 20
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = read_csv_glob(spark, f"{tmp_path}/*.csv", "x int, y int")
+    found = {(r.x, r.y): r["count"] for r in rows.groupBy("x", "y").count().collect()}
+    assert found == {(1, 2): 800_000, (2, 1): 400_000}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_many_files_of_a_header_are_read_in_parts(spark, tmp_path, monkeypatch):
+    from foldwise.sources import readers
+
+    monkeypatch.setattr(readers, "_FILES_A_READ", 2)
+    monkeypatch.setattr(readers, "_HEADERS_A_JOB", 3)
+    for i in range(5):
+        (tmp_path / f"{i}.csv").write_text(f"x\n{i}\n")
+    (tmp_path / "z{1}.csv").write_text("y,x\n0,9\n")
+    assert sorted(r.x for r in read_csv_glob(spark, f"{tmp_path}/*.csv", "x int").collect()) == [0, 1, 2, 3, 4, 9]
+
+
+def test_newest_run_is_read_alone(spark, tmp_path):
+    for ts in ("20260101", "20260102"):
+        scores = spark.createDataFrame([(0, 0.5, 0.75)], "fold int, train_score double, valid_score double")
+        record_run(spark, str(tmp_path), {"run_ts": ts, "job_id": ts}, [{"step_id": "a", "status": "ok"}], scores)
+    found = run_history(spark, str(tmp_path))
+    assert {n: [r.run_ts for r in t.collect()] for n, t in found.items()} == dict.fromkeys(found, ["20260102"])
+    text = found["runs"]._sc._jvm.PythonSQLUtils.explainString(found["runs"]._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(run" in text
+
+
+def test_writers_refuse_their_inputs(spark, tmp_path):
+    df, root = spark.range(3).withColumn("fold", F.lit(0)), str(tmp_path)
+    for write in (
+        lambda: write_table(df, f"{root}/in/out", "n", ["id"], inputs=[f"{root}/in"]),
+        lambda: write_folds(df, root, "n", ["id"], inputs=[f"{root}/in"]),
+        lambda: write_statistics(df, f"{root}/in/stats", inputs=[f"{root}/in"]),
+        lambda: write_predictions(df.withColumn("prediction", F.lit(0.5)), f"{root}/in", "id", "y", inputs=[f"{root}/in"]),
+    ):
+        with pytest.raises(ValueError):
+            write()
+    assert spark.read.parquet(write_table(df, f"{root}/out", "n", ["id"], inputs=[f"{root}/in"])).count() == 3
