@@ -9,8 +9,7 @@ component in the corpus stays.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldwise.llm import ragged
 from foldwise.llm.common import fields, require_text, sized, steps, stored
-from foldwise.llm.lsh import groups, identified, matches, once, renamed
+from foldwise.llm.lsh import Likeness, groups, identified, matches, once, renamed
 
 SHINGLE = 8
 # 10 bands of 4: a pair of similarity 0.8 is found with a probability of 0.995.
@@ -27,8 +26,10 @@ BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
 # Lines of a band, in several components, that are listed as pairs; more of them are compared in blocks.
 PAIRWISE = 128
-# Shorter lines (headings, bullets, blanks) repeat by chance and always stay.
-SHORTEST = 20
+# Compared lines are of so many characters at least; blank ones never are.
+SHORTEST = 1
+# Characters whose signatures are computed together: what fits a processor's cache.
+_CACHED = 1 << 15
 
 _SEEDS = (ragged.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)).astype(np.uint32)
 
@@ -42,37 +43,69 @@ def normal(line: str) -> str:
     return " ".join(line.split())
 
 
+def _grams(points: np.ndarray, kind: type, base: int) -> np.ndarray:
+    """Polynomial hash of the ``SHINGLE`` characters from each place on."""
+    n = len(points) - SHINGLE + 1
+    h = points[:n].astype(kind)
+    for i in range(1, SHINGLE):
+        h *= kind(base)
+        h += points[i : n + i].astype(kind)
+    return h
+
+
 def signatures(lines: list[str]) -> np.ndarray:
-    """Bucket of every band, lines x ``BANDS``; lines are ``SHINGLE`` long at least."""
+    """Bucket of every band, lines x ``BANDS``; a line below ``SHINGLE`` characters is one shingle."""
     out = np.empty((len(lines), BANDS), np.uint64)
-    _, points, offsets = ragged.code_points(lines)
-    count = np.diff(offsets) - SHINGLE + 1
-    begins = np.cumsum(count) - count
-    starts = np.arange(int(count.sum())) + np.repeat(offsets[:-1] - begins, count)
-    shingles = (ragged.span_hashes(points, starts, starts + SHINGLE) >> np.uint64(32)).astype(np.uint32)
-    for band in range(BANDS):
-        bucket = np.full(len(lines), band + 1, np.uint64)
-        for row in range(ROWS):
-            least = np.minimum.reduceat(shingles * _SEEDS[band * ROWS + row], begins)
-            bucket = ragged.mix(bucket * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
-        out[:, band] = bucket
+    padded = [line.ljust(SHINGLE, "\0") for line in lines]
+    ends = np.cumsum([len(line) for line in padded])
+    start = 0
+    while start < len(lines):
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + _CACHED)))
+        _, points, offsets = ragged.code_points(padded[start:stop])
+        # Shingles over the end of a line are not counted: the last one of a line is repeated there.
+        grams = _grams(points, np.uint32, 0x9E3779B1)
+        grams ^= grams >> np.uint32(15)
+        place = np.arange(len(grams))
+        last = np.repeat(offsets[1:] - SHINGLE, np.diff(offsets))[: len(grams)]
+        grams = grams[np.minimum(place, last)]
+        begins = offsets[:-1]
+        hashed = np.empty_like(grams)
+        for band in range(BANDS):
+            bucket = np.full(stop - start, band + 1, np.uint64)
+            for row in range(ROWS):
+                np.multiply(grams, _SEEDS[band * ROWS + row], out=hashed)
+                least = np.minimum.reduceat(hashed, begins)
+                bucket = ragged.mix(bucket * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
+            out[start:stop, band] = bucket
+        start = stop
     return out
 
 
-@lru_cache(1 << 12)
-def _shingles(payload: bytes) -> frozenset[str]:
-    line = payload.decode()
-    return frozenset(line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1))
+class ShingleSets(Likeness):
+    """Lines as sets of ``SHINGLE`` characters, 64 bits each; Jaccard similarity decides."""
+
+    def elements(self, payloads: Sequence[bytes]) -> list[np.ndarray]:
+        found = []
+        for payload in payloads:
+            line = payload.decode().ljust(SHINGLE, "\0")
+            points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+            found.append(np.unique(ragged.mix(_grams(points, np.uint64, 0x9E3779B97F4A7C15))))
+        return found
+
+    def needed(self, size: int, sizes: np.ndarray) -> np.ndarray:
+        return np.ceil(SIMILARITY / (1 + SIMILARITY) * (size + sizes) - 1e-6).astype(np.int64)
+
+    def same(self, x: np.ndarray, y: np.ndarray) -> bool:
+        small, large = (x, y) if len(x) <= len(y) else (y, x)
+        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        both = int((large[place] == small).sum())
+        return both >= SIMILARITY * (len(x) + len(y) - both)
 
 
 def alike(x: bytes, y: bytes) -> bool:
     """Whether two lines' shingle sets have a Jaccard similarity of ``SIMILARITY``."""
-    sets = [_shingles(x), _shingles(y)]
-    small, large = sorted(map(len, sets))
-    if small < SIMILARITY * large:
-        return False
-    both = len(sets[0] & sets[1])
-    return both >= SIMILARITY * (small + large - both)
+    return ShingleSets().same(*ShingleSets().elements([x, y]))
 
 
 def _digests(lines: list[str]) -> np.ndarray:
@@ -81,7 +114,7 @@ def _digests(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
 
 
-def _lines(docs: DataFrame, also: str = "") -> DataFrame:
+def _lines(docs: DataFrame, shortest: int, also: str = "") -> DataFrame:
     """Document, number and digest of every line that is compared.
 
     ``also`` adds its ``bands`` or its ``payload`` (the compared form).
@@ -97,7 +130,7 @@ def _lines(docs: DataFrame, also: str = "") -> DataFrame:
                 rows, numbers, lines = [], [], []
                 for row, text in enumerate(part.column(3).to_pylist()):
                     for number, line in enumerate((text or "").split("\n")):
-                        if len(line) >= SHORTEST and len(line := normal(line)) >= SHORTEST:
+                        if len(line) >= shortest and len(line := normal(line)) >= shortest:
                             rows.append(row)
                             numbers.append(number)
                             lines.append(line)
@@ -120,10 +153,10 @@ def _lines(docs: DataFrame, also: str = "") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _repeats(docs: DataFrame) -> DataFrame:
+def _repeats(docs: DataFrame, shortest: int) -> DataFrame:
     """``k``, ``t1``, ``t2`` of documents with lines to drop, and their numbers ``gone``."""
     place = F.struct(F.col("k").isNull().alias("none"), "k", "t1", "t2", "line")
-    classes = _lines(docs, "bands").groupBy("h1", "h2").agg(
+    classes = _lines(docs, shortest, "bands").groupBy("h1", "h2").agg(
         F.min(place).alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")
     )
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
@@ -134,10 +167,10 @@ def _repeats(docs: DataFrame) -> DataFrame:
 
     def payloads(ids: DataFrame) -> DataFrame:
         wanted = sized(stored(classes.join(ids, "id", "left_semi").select("id", "h1", "h2"), "wanted-lines"))
-        found = _lines(docs, "payload").join(wanted, ["h1", "h2"])
+        found = _lines(docs, shortest, "payload").join(wanted, ["h1", "h2"])
         return found.groupBy("id").agg(F.first("payload").alias("payload"))
 
-    roots = stored(groups(buckets, payloads, lambda: alike, pairwise=PAIRWISE), "line-roots")
+    roots = stored(groups(buckets, payloads, ShingleSets, pairwise=PAIRWISE), "line-roots")
     state = classes.join(sized(roots), "id", "left").where("n > 1 OR root IS NOT NULL")
     state = stored(
         state.select("h1", "h2", "least", F.coalesce("root", "id").alias("root")), "line-groups"
@@ -145,19 +178,22 @@ def _repeats(docs: DataFrame) -> DataFrame:
     best = sized(stored(state.groupBy("root").agg(F.min("least").alias("best")), "line-best"))
     state = sized(stored(state.join(best, "root").select("h1", "h2", "best"), "line-states"))
     here = F.struct(F.col("k").isNull().alias("none"), "k", "t1", "t2", "line")
-    gone = _lines(docs).join(state, ["h1", "h2"]).where(~here.eqNullSafe(F.col("best")))
+    gone = _lines(docs, shortest).join(state, ["h1", "h2"]).where(~here.eqNullSafe(F.col("best")))
     # At most the lines of one document.
     return gone.groupBy("k", "t1", "t2").agg(F.collect_set("line").alias("gone"))
 
 
-def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(
+    df: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = SHORTEST
+) -> DataFrame:
     """``df`` with repeated lines taken out of ``text``, and ``n_lines``, ``n_dropped``.
 
     Of all lines of the corpus whose compared forms are linked (Jaccard
     similarity of 8-character shingles >= ``SIMILARITY``), directly or over
     others, the one in the first document by key (NULL last, then by text hash)
-    and first place stays.  Lines of fewer than ``SHORTEST`` characters always
-    stay.  Of rows equal in key and text one stays; rows that repeat a key with
+    and first place stays.  Lines whose compared form has fewer than ``shortest``
+    characters (1 at least: blank ones) always stay; one below 8 characters is a single
+    shingle, so it is linked with its equals only.  Of rows equal in key and text one stays; rows that repeat a key with
     another text are documents of their own.  A document may end up empty; NULL
     texts stay NULL and count no lines, empty ones count one.  An empty table
     gives an empty one; all other columns are carried along, and columns named
@@ -167,7 +203,7 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text")
     clash = {"n_lines", "n_dropped"} & {c.lower() for c in df.columns}
     if clash:
         raise ValueError(f"input columns {sorted(clash)} have the names of results; rename them")
-    gone = sized(stored(renamed(_repeats(identified(df, key, text)), "gone"), "lines-gone"))
+    gone = sized(stored(renamed(_repeats(identified(df, key, text), max(1, shortest)), "gone"), "lines-gone"))
     marked = once(df, key, text).join(gone.withColumnRenamed("gone", "__gone"), matches(key), "left")
     marked = marked.drop("__k", "__w1", "__w2", "__t1", "__t2")
     schema = fields(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

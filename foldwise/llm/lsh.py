@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.llm.common import is_empty, sized, stored
@@ -14,11 +16,47 @@ from foldwise.llm.components import components
 # compared block against block, in blocks of about so many ids and bytes of payload.
 PAIRWISE = 32
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
+# Counts of a profile; more of them prune better and take longer.
+BINS = 64
 
-Agree = Callable[[bytes, bytes], bool]
 
+class Likeness:
+    """How payloads are compared: as bags of elements first, then exactly."""
 
-def verified(pairs: DataFrame, payloads: DataFrame, agree: Callable[[], Agree]) -> DataFrame:
+    def elements(self, payloads: Sequence[bytes]) -> list[np.ndarray]:
+        """What each payload consists of, as whole numbers (hashes)."""
+        raise NotImplementedError
+
+    def needed(self, size: int, sizes: np.ndarray) -> np.ndarray:
+        """How many elements a like payload of each of ``sizes`` must at least share."""
+        raise NotImplementedError
+
+    def same(self, x: np.ndarray, y: np.ndarray) -> bool:
+        """The exact decision, from elements."""
+        raise NotImplementedError
+
+
+def profiles(items: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of elements of each item, and how many fall into each of ``BINS`` bins.
+
+    Two items share at most the sum of the bins' lesser counts.
+    """
+    sizes = np.array([len(x) for x in items], np.int64)
+    if not len(items):
+        return sizes, np.zeros((0, BINS), np.uint8)
+    owner = np.repeat(np.arange(len(items)), sizes)
+    bins = (np.concatenate(items) % np.array(BINS, items[0].dtype)).astype(np.int64)
+    counts = np.bincount(owner * BINS + bins, minlength=len(items) * BINS).reshape(-1, BINS)
+    kind = np.uint8 if counts.max(initial=0) < 256 else np.uint16 if counts.max() < 1 << 16 else np.int64
+    return sizes, counts.astype(kind)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bound of what profiles share."""
+    return np.minimum(x, y).sum(axis=1, dtype=np.int64)
+
+
+def verified(pairs: DataFrame, payloads: DataFrame, agree: Callable[[], Likeness]) -> DataFrame:
     """The pairs ``a``, ``b`` (a table marked by its size) whose payloads agree.
 
     Both payloads of a pair meet by the pair, so an id with very many pairs
@@ -29,21 +67,43 @@ def verified(pairs: DataFrame, payloads: DataFrame, agree: Callable[[], Agree])
     rows = left.select("a", "b", "x").join(right.select("a", "b", "y"), ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = agree()
+        likeness = agree()
         for batch in batches:
-            same = [
-                test(x.as_py(), y.as_py())
-                for x, y in zip(batch.column("x"), batch.column("y"))
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+            for part in _parts(batch):
+                place: dict[bytes, int] = {}
+                sides = [
+                    np.array([place.setdefault(v, len(place)) for v in part.column(c).to_pylist()], np.int64)
+                    for c in ("x", "y")
+                ]
+                items = likeness.elements(list(place))
+                sizes, bins = profiles(items)
+                x, y = sides
+                bound = _shared(bins[x], bins[y])
+                least = np.array([likeness.needed(int(sizes[i]), sizes[j : j + 1])[0] for i, j in zip(x, y)], np.int64)
+                same = [
+                    bool(ok) and likeness.same(items[i], items[j])
+                    for ok, i, j in zip(bound >= least, x.tolist(), y.tolist())
+                ]
+                yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of pairs whose payloads hold about ``BLOCK_BYTES`` bytes."""
+    if not batch.num_rows:
+        return
+    sizes = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x", "y"))
+    marks = np.cumsum(sizes) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def groups(
     buckets: Callable[[], DataFrame],
     payloads: Callable[[DataFrame], DataFrame],
-    agree: Callable[[], Agree],
+    agree: Callable[[], Likeness],
     ratio: float = 0.0,
     pairwise: int | None = None,
 ) -> DataFrame:
@@ -93,14 +153,17 @@ def groups(
     return roots if is_empty(links) else sized(stored(_joined(roots, links), "roots"))
 
 
-def _blocks(large: DataFrame, held: DataFrame, agree: Callable[[], Agree], ratio: float) -> DataFrame:
+def _blocks(large: DataFrame, held: DataFrame, agree: Callable[[], Likeness], ratio: float) -> DataFrame:
     """Links ``a``, ``b`` that join all components of each bucket which have a similar pair.
 
     Every block of a bucket meets every other and itself in a group of its own,
-    which holds two blocks however large the bucket is.  Pairs that links of the
-    same group have joined before are not compared.
+    which holds two blocks however large the bucket is.  Of the pairs in different
+    components those are compared exactly whose profiles allow it, each in the
+    first of the large buckets that it shares; pairs that links of the same group
+    have joined before are passed over.
     """
-    rows = large.drop("n").join(held, "id")
+    shared = large.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # one per sketch at most
+    rows = large.drop("n").join(held, "id").join(shared, "id")
     parts = F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("payload").cast("long")) / BLOCK_BYTES)
     )
@@ -109,38 +172,47 @@ def _blocks(large: DataFrame, held: DataFrame, agree: Callable[[], Agree], ratio
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = other.select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "id", "size", "root", "payload",
+        "block", "id", "size", "root", "buckets", "payload",
     )
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        test = agree()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "id", "size", "root", "payload"))))
-        i, j = key[1].as_py(), key[2].as_py()
-        left = [r for r in rows if r[0] == i]
-        right = left if i == j else [r for r in rows if r[0] == j]
-        up = {r[3]: r[3] for r in rows}
-
-        def find(x: int) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        found = []
-        for at, (_, a, size, root, payload) in enumerate(left):
-            mine = find(root)
-            for _, b, other_size, other_root, other_payload in right[at + 1 :] if i == j else right:
-                theirs = find(other_root)
-                if mine == theirs or min(size, other_size) < ratio * max(size, other_size):
-                    continue
-                if test(payload, other_payload):
-                    found.append((a, b))
-                    up[theirs] = mine
+        bucket, i, j = (k.as_py() for k in key)
+        found = _met(agree(), table, bucket, i, j, ratio)
         ends = [pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)]
         return pa.Table.from_arrays(ends, names=["a", "b"])
 
     return met.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _met(likeness: Likeness, table: pa.Table, bucket: int, i: int, j: int, ratio: float) -> list[tuple[int, int]]:
+    """Links between block ``i`` and block ``j`` of a bucket."""
+    numbers = {c: table.column(c).to_numpy() for c in ("block", "id", "size", "root")}
+    items = likeness.elements(table.column("payload").to_pylist())
+    counts, bins = profiles(items)
+    buckets = table.column("buckets").to_pylist()
+    size, root = numbers["size"], numbers["root"].copy()
+    left = np.flatnonzero(numbers["block"] == i)
+    right = left if i == j else np.flatnonzero(numbers["block"] == j)
+    found = []
+    for at, a in enumerate(left.tolist()):
+        others = right[at + 1 :] if i == j else right
+        others = others[root[others] != root[a]]
+        if ratio:
+            few, many = np.minimum(size[others], size[a]), np.maximum(size[others], size[a])
+            others = others[few >= ratio * many]
+        if not len(others):
+            continue
+        bound = _shared(bins[others], bins[a])
+        others = others[bound >= likeness.needed(int(counts[a]), counts[others])]
+        for b in others.tolist():
+            if root[a] == root[b] or min(set(buckets[a]).intersection(buckets[b])) != bucket:
+                continue
+            if likeness.same(items[a], items[b]):
+                found.append((int(numbers["id"][a]), int(numbers["id"][b])))
+                root[root == root[b]] = root[a]
+    return found
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` after further links: only links between roots are contracted."""
     left = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))

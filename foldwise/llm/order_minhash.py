@@ -10,7 +10,7 @@ compared by an alignment inside a band, which proves an edit similarity.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from foldwise.llm import ragged
 from foldwise.llm.common import require_text, sized, steps, stored
-from foldwise.llm.lsh import groups, identified, keep_rows
+from foldwise.llm.lsh import Likeness, groups, identified, keep_rows
 
 WORDS = 5  # words in a k-mer
 SKETCHES = 64
 KEPT = 2  # k-mers in a sketch
 SIMILARITY = 0.8
+# Up to so many words one edit is the most that SIMILARITY allows; such pairs are found exactly.
+EXACT = 9
 
 _SEEDS = ragged.mix(np.arange(1, 4 * SKETCHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -143,24 +145,66 @@ def band_distance(a: list, b: list, most: int) -> int | None:
     return distance if distance <= most else None
 
 
-def alike(x: bytes, y: bytes, similarity: float = SIMILARITY) -> bool:
-    """Whether 1 - distance / longer length reaches ``similarity``."""
-    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-    longer = max(len(a), len(b))
-    most = int((1 - similarity) * longer + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    # An edit changes one word of either text: the words themselves must agree first.
-    values, counts = np.unique(np.concatenate([a, b]), return_inverse=True)
-    in_a = np.bincount(counts[: len(a)], minlength=len(values))
-    in_b = np.bincount(counts[len(a) :], minlength=len(values))
-    if np.minimum(in_a, in_b).sum() < longer - most:
-        return False
-    left, right = a.tolist(), b.tolist()
-    for band in (16, 128):
-        if band < most and band_distance(left, right, band) is not None:
-            return True
-    return band_distance(left, right, most) is not None
+def most_edits(longer: np.ndarray | int, similarity: float = SIMILARITY) -> np.ndarray | int:
+    """Edits that leave ``similarity`` to texts of which the longer one has so many words."""
+    return np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
+
+
+class EditLikeness(Likeness):
+    """Texts as word sequences; 1 - distance / longer length decides."""
+
+    def elements(self, payloads: Sequence[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(p, np.uint32) for p in payloads]
+
+    def needed(self, size: int, sizes: np.ndarray) -> np.ndarray:
+        # An edit changes one word of either text: all others are shared.
+        longer = np.maximum(size, sizes)
+        return longer - most_edits(longer)
+
+    def same(self, x: np.ndarray, y: np.ndarray) -> bool:
+        longer = max(len(x), len(y))
+        most = int(most_edits(longer))
+        if abs(len(x) - len(y)) > most:
+            return False
+        values, counts = np.unique(np.concatenate([x, y]), return_inverse=True)
+        in_x = np.bincount(counts[: len(x)], minlength=len(values))
+        in_y = np.bincount(counts[len(x) :], minlength=len(values))
+        if np.minimum(in_x, in_y).sum() < longer - most:
+            return False
+        left, right = x.tolist(), y.tolist()
+        for band in (16, 128):
+            if band < most and band_distance(left, right, band) is not None:
+                return True
+        return band_distance(left, right, most) is not None
+
+
+def alike(x: bytes, y: bytes) -> bool:
+    """Whether two word sequences, 32 bits a word, have an edit similarity of ``SIMILARITY``."""
+    return EditLikeness().same(*EditLikeness().elements([x, y]))
+
+
+def deletions(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Hashes of a short text's word sequence and of those with one word left out, else none.
+
+    Texts of up to ``EXACT`` words that one edit makes equal share one of them.
+    """
+    sizes = np.diff(bounds)
+    found = [np.empty(0, np.uint64)] * len(sizes)
+    for n in range(1, EXACT + 1):
+        rows = np.flatnonzero(sizes == n)
+        if not len(rows):
+            continue
+        words = tokens[bounds[rows][:, None] + np.arange(n)]
+        variants = [words, *[np.delete(words, i, axis=1) for i in range(n)]]
+        hashes = []
+        for variant in variants:
+            h = np.full(len(rows), 0xD1B54A32D192ED03, np.uint64)
+            for column in variant.T:
+                h = ragged.mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
+            hashes.append(h)
+        for row, own in zip(rows, np.stack(hashes, axis=1)):
+            found[row] = np.unique(own)
+    return found
 
 
 def _digest(values: np.ndarray) -> tuple[int, int]:
@@ -175,10 +219,10 @@ def _signed(df: DataFrame) -> DataFrame:
         for batch in batches:
             for part in steps(batch, 3):
                 tokens, bounds = word_tokens(part.column(3).to_pylist())
-                found = sketches(tokens, bounds).view(np.int64)
+                found = [np.concatenate(both) for both in zip(sketches(tokens, bounds), deletions(tokens, bounds))]
                 digests = [_digest(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
-                flat = pa.array(found.ravel())
-                offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * SKETCHES)
+                flat = pa.array(np.concatenate(found).view(np.int64))
+                offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:3], pa.array([d[0] for d in digests], pa.int64()),
                      pa.array([d[1] for d in digests], pa.int64()),
@@ -234,7 +278,7 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
         found = _tokens(texts.select("text")).join(wanted.select("id", "h1", "h2"), ["h1", "h2"])
         return found.groupBy("id").agg(F.first("payload").alias("payload"))
 
-    roots = groups(buckets, payloads, lambda: alike, SIMILARITY)
+    roots = groups(buckets, payloads, EditLikeness, SIMILARITY)
     state = stored(
         classes.join(roots, "id", "left").select("h1", "h2", "least", F.coalesce("root", "id").alias("root")),
         "text-groups",
@@ -249,7 +293,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Texts are compared as sequences of lower-case words.  Two of them are linked
     when their edit similarity is ``SIMILARITY`` or more and an order sketch
-    brings them together; equal word sequences are one class from the start.
+    brings them together, or, up to ``EXACT`` words, an equal rest after leaving out a
+    word; equal word sequences are one class from the start.
     ``component_id`` is the least key a row reaches over links (NULL if all are
     NULL); ``kept`` marks the row with it, by text hash where keys repeat, and
     rows equal in key and text alike.  Texts without any word are one class.  An

@@ -2,12 +2,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foldwise.llm import embeddings, lsh
 from foldwise.llm.components import components
-from foldwise.llm.line_dedup import SHORTEST, drop_repeated_lines, normal
-from foldwise.llm.order_minhash import alike, band_distance, keep_one, near_duplicates, sketches, word_tokens
+from foldwise.llm.line_dedup import SHORTEST, ShingleSets, drop_repeated_lines, normal
+from foldwise.llm.order_minhash import EditLikeness, alike, band_distance, keep_one, near_duplicates, sketches, word_tokens
 from foldwise.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +30,25 @@ class Sets:
         self.up[max(a, b)] = min(a, b)
 
 
+class Names(lsh.Likeness):
+    """Payloads are numbers, alike if they differ by ``most`` at best; counts exact comparisons."""
+
+    compared = 0
+
+    def __init__(self, most=1):
+        self.most = most
+
+    def elements(self, payloads):
+        return [np.array([int(p)], np.uint64) for p in payloads]
+
+    def needed(self, size, sizes):
+        return np.zeros(len(sizes), np.int64)
+
+    def same(self, x, y):
+        Names.compared += 1
+        return abs(int(x[0]) - int(y[0])) <= self.most
+
+
 # Components
 
 
@@ -58,12 +78,12 @@ def test_components_of_nothing(spark):
 def test_groups_compare_in_rounds(spark, monkeypatch):
     # One bucket of 60: three families and loners; leaders only see their own.
     monkeypatch.setattr(lsh, "PAIRWISE", 4)
-    names = {i: f"{'abc'[i % 3] if i < 45 else i}".encode() for i in range(60)}
+    names = {i: f"{i % 3 if i < 45 else i}".encode() for i in range(60)}
     table = spark.createDataFrame([(9, i, bytearray(n)) for i, n in names.items()], "bucket long, id long, payload binary")
     roots = lsh.groups(
         lambda: table.selectExpr("bucket", "id", "1 AS size"),
         lambda ids: table.join(ids, "id").select("id", "payload"),
-        lambda: lambda x, y: x == y,
+        lambda: Names(0),
     )
     found = {r["id"]: r["root"] for r in roots.collect()}
     for i in range(3):
@@ -77,7 +97,7 @@ def grouped(spark, rows):
     roots = lsh.groups(
         lambda: table.select("bucket", "id", "size"),
         lambda ids: table.join(ids, "id").selectExpr("id", "CAST(CAST(name AS STRING) AS BINARY) AS payload").distinct(),
-        lambda: lambda x, y: abs(int(x) - int(y)) <= 1,
+        Names,
     )
     return {r["id"]: r["root"] for r in roots.collect()}
 
@@ -100,6 +120,57 @@ def test_groups_of_a_chain_in_one_bucket(spark, monkeypatch, pairwise):
     assert found[1] == found[2] == found[3] and 4 not in found
 
 
+def test_pairs_of_hot_buckets_are_compared_once():
+    """1,000 copies of one component and 50 loners in 10 buckets: only what can still join, once."""
+    ids = np.arange(1050)
+    names = [str(7 if i < 1000 else 100 * i).encode() for i in ids]
+    table = pa.table({
+        "block": np.zeros(1050, np.int64), "id": ids, "size": np.ones(1050, np.int64),
+        "root": np.where(ids < 1000, 0, ids), "buckets": [list(range(10))] * 1050, "payload": names,
+    })
+    Names.compared = 0
+    found = [lsh._met(Names(), table, bucket, 0, 0, 0.0) for bucket in range(10)]
+    # Copies with each loner, and loners with each other, in the first bucket alone.
+    assert Names.compared == 1000 * 50 + 50 * 49 // 2 and not any(found)
+
+    class Pruned(Names):
+        def needed(self, size, sizes):
+            return np.full(len(sizes), 1)
+
+    Names.compared = 0
+    lsh._met(Pruned(), table, 0, 0, 0, 0.0)
+    assert Names.compared < 5000  # one bin in 64 agrees by chance
+
+
+@pytest.mark.parametrize("likeness", [ShingleSets(), EditLikeness()])
+def test_bounds_never_exclude_a_like_pair(likeness):
+    rng = random.Random(6)
+    payloads = []
+    for _ in range(120):
+        words = [rng.choice(["alpha", "beta", "gamma", "de", "e"]) for _ in range(rng.randint(1, 30))]
+        for _ in range(2):
+            changed = list(words)
+            changed[rng.randrange(len(words))] = rng.choice(["zeta", "de"])
+            line = " ".join(changed)
+            tokens = word_tokens([line])[0].astype(np.uint32).tobytes()
+            payloads.append(line.encode() if isinstance(likeness, ShingleSets) else tokens)
+    items = likeness.elements(payloads)
+    sizes, bins = lsh.profiles(items)
+    alike_ = 0
+    for i in range(len(items)):
+        bound, needed = lsh._shared(bins, bins[i]), likeness.needed(int(sizes[i]), sizes)
+        for j in range(len(items)):
+            if likeness.same(items[i], items[j]):
+                alike_ += 1
+                assert bound[j] >= needed[j]
+    assert alike_ > len(items)
+
+
+def test_profiles_of_large_counts():
+    _, bins = lsh.profiles([np.zeros(70_000, np.uint32), np.zeros(300, np.uint32), np.empty(0, np.uint32)])
+    assert bins[:, 0].tolist() == [70_000, 300, 0]
+
+
 # Near-duplicate documents
 
 
@@ -198,7 +269,7 @@ def brute_lines(rows):
         for n, line in enumerate(text.split("\n")):
             if len(normal(line)) >= SHORTEST:
                 first.setdefault(normal(line), (key, n))
-    shingles = {line: {line[i : i + 8] for i in range(len(line) - 7)} for line in first}
+    shingles = {line: {line[i : i + 8] for i in range(max(1, len(line) - 7))} for line in first}
     lines, sets = list(shingles), Sets(shingles)
     for x, a in enumerate(lines):
         for b in lines[x + 1 :]:
@@ -229,7 +300,7 @@ def test_line_edges(documents, odd_rows):
     line = "this is the line that returns again and again"
     rows = [*odd_rows, (700, f"{line}\nshort\n{line.upper()}"), (701, f"short\n  {line}!"), (None, line), (702, line), (702, line)]
     docs = documents(rows, ["1 AS line", "2 AS gone", "'x' AS h1"])
-    got = drop_repeated_lines(docs)
+    got = drop_repeated_lines(docs, shortest=20)
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     found = got.collect()
     text = {r["doc_id"]: r["text"] for r in found if (r["doc_id"] or 0) >= 700}
@@ -241,6 +312,37 @@ def test_line_edges(documents, odd_rows):
         drop_repeated_lines(documents([], ["1 AS n_lines"]))
 
 
+def test_short_lines(documents):
+    """By default every line that is not blank is compared; below a shingle's length exactly."""
+    rows = [(1, "ab\n\nok\nabcdefghi"), (2, "ab \nOK\n  \nabcdefghj"), (3, "abc\nok then\nok\nabcdefghi")]
+    got = {r["doc_id"]: r["text"] for r in drop_repeated_lines(documents(rows)).collect()}
+    assert got == {1: "ab\n\nok\nabcdefghi", 2: "  \nabcdefghj", 3: "abc\nok then"}
+    got = {r["doc_id"]: r["text"] for r in drop_repeated_lines(documents(rows), shortest=3).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "abc\nok then\nok"}
+
+
+def test_very_long_lines(documents):
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    rows = [(i, base[: 199_000 + 100 * i]) for i in range(8)] + [(9, base[:100_000])]
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_repeated_lines(documents(rows)).collect()}
+    assert got == {0: 0, 9: 0} | {i: 1 for i in range(1, 8)}
+
+
+@pytest.mark.parametrize("size", [5, 6, 7, 9])
+def test_short_texts_with_one_edit_are_found(documents, size):
+    """One word changed, left out or added leaves 0.8; every such pair is found."""
+    rng, rows = random.Random(size), []
+    for i in range(60):
+        words = [f"w{rng.random()}" for _ in range(size)]
+        edited, at = list(words), rng.randrange(size)
+        edited[at : at + rng.choice([1, 1, 0])] = rng.choice([["new"], ["new"], []]) or []
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(rows)).collect()}
+    want = brute_groups(dict(rows))
+    assert got == want and len(set(want.values())) <= 60
+
+
 # Vectors
 
 
