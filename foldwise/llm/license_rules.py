@@ -8,6 +8,7 @@ overlapping detections, and a confidence.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -115,24 +116,69 @@ SENTENCES = [
     ("cc", r"this work is licensed under (?:a|the) creative commons", ("creative", "commons")),
     ("cc0-1.0", r"to the extent possible under law .{0,80} waived all copyright", ("waived", "copyright")),
     ("ofl-1.1", r"this font software is licensed under the sil open font license", ("font", "sil")),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("substantial", "notice")),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", ("liable", "holders")),
+    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies", ("appear", "notice")),
+    ("bsd", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions", "retain")),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", ("redistributions", "reproduce")),
+    ("bsd", r"in no event shall the (?:copyright (?:holder|owner)s?|regents) or contributors be liable for any direct indirect incidental special exemplary or consequential damages", ("liable", "exemplary")),
+    ("bsd-3-clause", r"may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse", "promote")),
+    ("gpl", r"this program is distributed in the hope that it will be useful but without any warranty", ("hope", "useful")),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", ("verbatim", "changing")),
+    ("gpl-2.0", r"either version 2 of the license or (?:at your option )?any later version", ("either", "later")),
+    ("gpl-3.0", r"either version 3 of the license or (?:at your option )?any later version", ("either", "later")),
+    ("lgpl", r"this library is distributed in the hope that it will be useful but without any warranty", ("hope", "library")),
+    ("lgpl-2.1", r"either version 2 1 of the license or (?:at your option )?any later version", ("either", "later")),
+    ("agpl-3.0", r"remote network interaction use with the gnu general public license", ("remote", "gnu")),
+    ("apache-2", r"licensed to the apache software foundation (?:asf )?under one or more contributor license agreements", ("contributor", "apache")),
+    ("apache-2", r"subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide", ("perpetual", "contributor")),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file you can obtain one at", ("mpl", "obtain")),
+    ("zlib", r"altered source versions must be plainly marked as such", ("altered", "plainly")),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", ("anyone", "compile")),
+    ("bsl-1.0", r"this license grant this restriction and the following disclaimer must be included in all copies of the software", ("restriction", "disclaimer")),
+    ("cc", r"you are free to share copy and redistribute the material in any medium or format", ("redistribute", "medium")),
+    ("cc", r"no additional restrictions you may not apply legal terms or technological measures", ("technological", "restrictions")),
+    ("cc-by", r"you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made", ("credit", "indicate")),
+    ("cc-by-sa", r"if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e", ("remix", "contributions")),
+    ("cc-by-nd", r"if you remix transform or build upon the material you may not distribute the modified material", ("remix", "modified")),
+    ("cc-by-nc", r"you may not use the material for commercial purposes", ("material", "commercial")),
+    ("eula", r"by (?:installing|downloading|copying|using) (?:or otherwise using )?(?:this|the) (?:software|product) you (?:agree|accept|acknowledge)", ("agree|accept|acknowledge", "software|product")),
+    ("eula", r"(?:this|the) (?:software|product) is licensed not sold", ("licensed", "sold")),
+    ("eula", r"end user licen[cs]e agreement", ("end", "agreement")),
+    ("proprietary", r"you may not (?:modify )?(?:reverse engineer decompile|decompile reverse engineer|decompile disassemble)", ("decompile",)),
+    ("proprietary", r"contains (?:confidential and proprietary|proprietary and confidential|trade secrets?) information", ("contains", "proprietary|trade")),
+    ("all-rights-reserved", r"may be reproduced (?:stored in a retrieval system |distributed )?or transmitted in any form or by any means", ("transmitted", "means")),
 ]
 
-_GRANT = (
-    r"(?:(?:re)?licen[cs]ed|released|distributed|available|published|provided|offered|shared|covered|governed)"
-    r" (?:under|by|via) (?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?"
-)
-_TAIL = r"(?: (?:public )?licen[cs]es?)?(?: (?:v|version )?\d(?: \d)?)?"
+_VERB = r"(?:(?:re)?licen[cs]ed|released|distributed|available|published|provided|offered|shared|covered|governed)"
+_LEAD = r"(?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?"
+_VERSION = r"(?:v|version )?\d(?: \d)?"
+_TAIL = rf"(?: (?:public )?licen[cs]es?)?(?: {_VERSION})?"
+# After "by" and "via" a bare name may be that of an institute, a person or a product.
+_STRICT_TAIL = rf"(?: (?:public )?licen[cs]es?(?: {_VERSION})?| {_VERSION}|(?<=[ v]\d))"
+
+
+def _says_licence(name: str) -> bool:
+    """Whether every form of a name holds the word."""
+    bare = re.sub(r"\(\?:[^()]*\)\?", "", name)
+    return all("licen" in part for part in re.sub(r"[()?:]", "", bare).split("|"))
+
+
+def _grant(name: str) -> str:
+    named = rf"(?:{name})"
+    tail = _TAIL if _says_licence(name) else _STRICT_TAIL
+    return rf"{_VERB} (?:under {_LEAD}{named}{_TAIL}|(?:by|via) {_LEAD}{named}{tail})"
 
 
 def rules() -> list[Rule]:
-    """Five phrasings of every family, and the sentences."""
+    """Six phrasings of every family, and the sentences."""
     out = []
     for label, name, keyword, spdx, place in FAMILIES:
         named = rf"(?:{name})"
         phrasings = [
             ("spdx", rf"spdx licen[cs]e identifier {spdx}", ("spdx",), 100, 1.0),
             ("address", place, (place.split()[0].replace("?", "").split("(")[0],), 90, 0.9),
-            ("grant", _GRANT + named + _TAIL, (keyword, "under|by|via"), 80, 0.95),
+            ("grant", _grant(name), (keyword, "under|by|via"), 80, 0.95),
             ("terms", rf"(?:terms|copy|text) (?:and conditions )?of the {named} licen[cs]e", (keyword, "licen"), 70, 0.8),
             ("title", rf"(?:the )?{named} licen[cs]es?", (keyword, "licen"), 40, 0.6),
             ("field", rf"licen[cs]e (?:is )?{named}", (keyword, "licen"), 50, 0.7),

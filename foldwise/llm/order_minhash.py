@@ -26,6 +26,9 @@ KEPT = 2  # k-mers in a sketch
 SIMILARITY = 0.8
 # Up to so many words one edit is the most that SIMILARITY allows; such pairs are found exactly.
 EXACT = 9
+# Texts of up to so many words have few k-mers, and scattered edits spoil most of them:
+# they get further sketches, of k-mers of two words.
+SHORT, SHORT_WORDS, SHORT_SKETCHES = 80, 2, 24
 
 _SEEDS = ragged.mix(np.arange(1, 4 * SKETCHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -207,6 +210,18 @@ def deletions(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return found
 
 
+def buckets_of(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """All that brings a text together with others: sketches, and the further ones of short texts."""
+    sizes = np.diff(bounds)
+    short = np.flatnonzero(sizes <= SHORT)
+    own, _ = ragged.gather(tokens, bounds, short)
+    more = sketches(own, np.r_[0, np.cumsum(sizes[short])], SHORT_WORDS, KEPT, SHORT_SKETCHES)
+    found = list(sketches(tokens, bounds))
+    for row, further in zip(short.tolist(), more):
+        found[row] = np.concatenate([found[row], further])
+    return [np.concatenate(both) for both in zip(found, deletions(tokens, bounds))]
+
+
 def _digest(values: np.ndarray) -> tuple[int, int]:
     d = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -219,7 +234,7 @@ def _signed(df: DataFrame) -> DataFrame:
         for batch in batches:
             for part in steps(batch, 3):
                 tokens, bounds = word_tokens(part.column(3).to_pylist())
-                found = [np.concatenate(both) for both in zip(sketches(tokens, bounds), deletions(tokens, bounds))]
+                found = buckets_of(tokens, bounds)
                 digests = [_digest(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
                 flat = pa.array(np.concatenate(found).view(np.int64))
                 offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32))
@@ -293,8 +308,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Texts are compared as sequences of lower-case words.  Two of them are linked
     when their edit similarity is ``SIMILARITY`` or more and an order sketch
-    brings them together, or, up to ``EXACT`` words, an equal rest after leaving out a
-    word; equal word sequences are one class from the start.
+    brings them together (texts of up to ``SHORT`` words have more of those, of
+    shorter k-mers), or, up to ``EXACT`` words, an equal rest after leaving out a word; equal word sequences are one class from the start.
     ``component_id`` is the least key a row reaches over links (NULL if all are
     NULL); ``kept`` marks the row with it, by text hash where keys repeat, and
     rows equal in key and text alike.  Texts without any word are one class.  An

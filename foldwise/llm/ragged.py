@@ -125,11 +125,16 @@ def byte_level_spans(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def word_spans(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of letter runs, single numbers, other runs and contractions; no white space."""
+def word_spans(
+    cp: np.ndarray, offsets: np.ndarray, classes: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of letter runs, single numbers, other runs and contractions; no white space.
+
+    ``classes`` takes the place of ``char_classes()``.
+    """
     if not len(cp):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    kinds = char_classes()[cp]
+    kinds = (char_classes() if classes is None else classes)[cp]
     begins = _run_starts(kinds, offsets) | (kinds == NUMBER)
     first = np.zeros(len(cp), bool)
     first[offsets[:-1][offsets[:-1] < len(cp)]] = True

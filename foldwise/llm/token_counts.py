@@ -11,11 +11,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from foldwise.llm import ragged
 from foldwise.llm.common import per_text, require_text
@@ -110,6 +112,37 @@ def count_symbols(table: MergeTable, words: list[bytes]) -> np.ndarray:
     return counts
 
 
+@lru_cache(1)
+def unassigned() -> np.ndarray:
+    """Code points that Python's Unicode tables do not know; the library's may be newer."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
+def newer_classes(library: Tokenizer) -> list[tuple[int, int]]:
+    """(code point, class) of unassigned ones that the library takes for letters or numbers.
+
+    One of each stands behind a letter and behind a mark: a letter makes one word
+    with the former, a number with neither.
+    """
+    found = []
+    known = unassigned().copy()
+    # Planes 4 to 13 hold no characters in any version of Unicode, 15 and 16 are private.
+    known[0x40000:0xE0000] = known[0xE1000:] = False
+    points = np.flatnonzero(known).tolist()
+    for a in range(0, len(points), 1 << 16):
+        part = points[a : a + (1 << 16)]
+        apart = {}
+        for lead in "x!":
+            pieces = library.pre_tokenizer.pre_tokenize_str(" ".join(lead + chr(c) for c in part))
+            apart[lead] = {begin // 3 for _, (begin, _) in pieces if begin % 3 == 1}
+        for i, c in enumerate(part):
+            if i not in apart["x"]:
+                found.append((c, ragged.LETTER))
+            elif i in apart["!"]:
+                found.append((c, ragged.NUMBER))
+    return found
+
+
 def _clean(text: str) -> str:
     """Normal form C in lower case, letter by letter as the library does it."""
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -118,8 +151,12 @@ def _clean(text: str) -> str:
 class Counter:
     """Counts tokens of texts; remembers counts of words it has seen."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, newer: Sequence[tuple[int, int]] = ()):
         self.table = MergeTable.read(vocabulary)
+        self.classes = ragged.char_classes().copy()
+        for point, kind in newer:
+            self.classes[point] = kind
+        self.library = Tokenizer.from_str(vocabulary)
         special = [t["content"] for t in json.loads(vocabulary)["added_tokens"] if t["special"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[int, int] = {}
@@ -133,16 +170,24 @@ class Counter:
                 continue
             parts = self.special.split(text) if self.special else [text]
             found[i] += len(parts) - 1
-            pieces += [_clean(p) for p in parts]
+            pieces += [self._normal(p) for p in parts]
             owners += [i] * len(parts)
         for rows, parts in ragged.slices(pieces):
             counts, bounds = self._slice(parts)
             np.add.at(found, np.array(owners)[rows], ragged.sums_by(counts, bounds))
         return found
 
+    def _normal(self, text: str) -> str:
+        """``text`` as it is merged; characters new to Python are left to the library's tables."""
+        if not text.isascii():
+            points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+            if unassigned()[points].any():
+                return self.library.normalizer.normalize_str(text)
+        return _clean(text)
+
     def _slice(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined, points, offsets = ragged.code_points(parts)
-        starts, ends = ragged.word_spans(points, offsets)
+        starts, ends = ragged.word_spans(points, offsets, self.classes)
         codes, hashes, where = ragged.distinct(ragged.span_hashes(points, starts, ends))
         keys = hashes.tolist()
         if len(self.known) + len(keys) > _REMEMBERED:
@@ -174,10 +219,12 @@ def token_counts(
     """
     require_text(df, text)
     with open(vocabulary_file, encoding="utf-8") as f:
-        vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
+        text_of_file = f.read()
+    newer = newer_classes(Tokenizer.from_str(text_of_file))
+    vocabulary = df.sparkSession.sparkContext.broadcast((text_of_file, tuple(newer)))
 
     def start():
-        count = _counter(vocabulary.value)
+        count = _counter(*vocabulary.value)
 
         def answer(texts):
             tokens = count(texts)
@@ -193,6 +240,6 @@ def token_counts(
 
 
 @lru_cache(2)
-def _counter(vocabulary: str) -> Counter:
+def _counter(vocabulary: str, newer: tuple[tuple[int, int], ...]) -> Counter:
     """One counter per worker process and vocabulary."""
-    return Counter(vocabulary)
+    return Counter(vocabulary, newer)

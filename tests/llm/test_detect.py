@@ -308,3 +308,25 @@ def test_index_of_repeated_tokens():
     index = Index.build([1], ["the the the the the the"], 5)
     (row,) = index.find(["the " * 4000])
     assert row[3] == 1.0
+
+
+@pytest.mark.parametrize("text", [
+    "published by the MIT Press", "offered by MIT", "shared by Ruby", "provided by Vim maintainers",
+    "available via OpenSSL", "provided by FreeBSD", "distributed by PostgreSQL Global", "published by X Consortium",
+    "provided by X11", "offered by the Python Software Foundation",
+])
+def test_names_of_people_and_products_grant_nothing(text):
+    assert scanner().detect(words(text)) == []
+
+
+@pytest.mark.parametrize("text, label", [
+    ("distributed via the MIT license", "mit"), ("released under MIT", "mit"), ("available via GPL 3", "gpl-3.0"),
+    ("shared by the Mozilla Public License 2.0", "mpl-2.0"), ("licensed by the Apache License, Version 2.0", "apache-2"),
+    ("offered via BSD 3-clause licence", "bsd-3-clause"),
+    ("Redistributions in binary form must reproduce the above copyright notice", "bsd"),
+    ("either version 3 of the License, or (at your option) any later version", "gpl-3.0"),
+    ("You must give appropriate credit, provide a link to the license, and indicate if changes were made.", "cc-by"),
+    ("By installing this software you agree to these terms", "eula"),
+])
+def test_grants_and_bodies(text, label):
+    assert label in {d.rule.label for d in scanner().detect(words(text))}

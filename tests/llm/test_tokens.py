@@ -9,7 +9,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from foldwise.llm import byte_bpe
-from foldwise.llm.token_counts import MergeTable, count_symbols, token_counts
+from foldwise.llm.token_counts import Counter, MergeTable, count_symbols, newer_classes, token_counts
 from foldwise.llm.token_files import TokenFile, TokenWriter, pack, read_tokens, unpack, width, write_tokens
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,30 @@ def test_counts_as_the_library(documents, odd_rows):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_counts_of_all_code_points():
+    """Letters that are newer than Python's Unicode tables count as the library has them."""
+    with open(WORD_BPE, encoding="utf-8") as f:
+        vocabulary = f.read()
+    library = Tokenizer.from_str(vocabulary)
+    count = Counter(vocabulary, newer_classes(library))
+    points = map(chr, [*range(1, 0xD800), *range(0xE000, 0x32400), *range(0xE0000, 0xE0200), *range(0xF0000, 0xF0100)])
+    texts = [f"a{c} {c}b 1{c}!{c} {c}" for c in points]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert count(texts).tolist() == want
+
+
+def test_ids_of_all_code_points(documents, encoding):
+    points = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x32400), *range(0xE0000, 0xE0200)]]
+    texts = ["\n".join(f"a{c} {c}b 1{c}!{c} {c}" for c in points[i : i + 200]) for i in range(0, len(points), 200)]
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: bytes(r["ids"]) for r in byte_bpe.encode(documents(rows), RANKS).collect()}
+    assert found == {k: np.array(encoding.encode_ordinary(t), "<u4").tobytes() for k, t in rows}
+    library = Tokenizer.from_file(FILE_BPE)
+    read = {r["doc_id"]: bytes(r["ids"]) for r in read_tokens(write_tokens(documents(rows), FILE_BPE, end_id=2)).collect()}
+    want = {k: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for k, t in rows}
+    assert read == want
+
+
 def test_counts_of_an_empty_table_and_clashing_key(documents):
     assert token_counts(documents([]), WORD_BPE).count() == 0
     with pytest.raises(ValueError):
