@@ -25,6 +25,8 @@ MINIMUM_MATCH = 5
 COVERAGE = 0.5
 # Text of benchmark items that one pass over the documents carries along.
 BLOCK_BYTES = 16 << 20
+# Pairs of agreeing windows that are looked at together.
+HELD = 1 << 20
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,27 +46,46 @@ def _free(marked: np.ndarray, size: int) -> np.ndarray:
     return used[size:] == used[:-size]
 
 
-def _matches(doc, item, doc_used, item_used, size) -> list[tuple[int, int, int]]:
-    """Maximal common runs of at least ``size`` unmarked tokens: (length, doc, item)."""
+def _matches(doc, item, doc_used, item_used, size) -> np.ndarray:
+    """Maximal common runs of windows of ``size`` unmarked tokens: rows (length, doc, item).
+
+    Windows that agree are taken for so many places of the document at a time as make
+    ``HELD`` pairs; runs along a diagonal that reach the end of a part go on in the
+    next.  So memory grows with the two lengths, however often the same words return.
+    """
     if min(len(doc), len(item)) < size:
-        return []
+        return np.empty((0, 3), np.int64)
     ours, theirs = windows(doc, size), windows(item, size)
-    free = _free(doc_used, size) & np.isin(ours, theirs)
-    places: dict[int, list[int]] = {}
-    for j in np.flatnonzero(_free(item_used, size)).tolist():
-        places.setdefault(int(theirs[j]), []).append(j)
-    hits = {(i, j) for i in np.flatnonzero(free).tolist() for j in places.get(int(ours[i]), ())}
-    found = []
-    for i, j in hits:
-        if (i - 1, j - 1) in hits:
-            continue  # continues a run that is followed from its start
-        n = 1
-        while (i + n, j + n) in hits:
-            n += 1
-        n += size - 1
-        if np.array_equal(doc[i : i + n], item[j : j + n]):
-            found.append((n, i, j))
-    return found
+    places = np.flatnonzero(_free(item_used, size))
+    places = places[np.argsort(theirs[places], kind="stable")]
+    known = theirs[places]
+    mine = np.flatnonzero(_free(doc_used, size) & np.isin(ours, known))
+    low, high = (np.searchsorted(known, ours[mine], side) for side in ("left", "right"))
+    counts = high - low
+    marks = np.cumsum(counts) // HELD
+    cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(mine)] if len(mine) else [0]
+    ended: list[np.ndarray] = []
+    open_ = np.empty((0, 3), np.int64)  # diagonal, first and last place in the document
+    for x, y in zip(cuts, cuts[1:]):
+        i = np.repeat(mine[x:y], counts[x:y])
+        j = places[np.arange(len(i)) - np.repeat(np.cumsum(counts[x:y]) - counts[x:y], counts[x:y]) + np.repeat(low[x:y], counts[x:y])]
+        order = np.lexsort((i, i - j))
+        i, diagonal = i[order], (i - j)[order]
+        heads = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (i[1:] != i[:-1] + 1)])
+        runs = np.stack([diagonal[heads], i[heads], i[np.r_[heads[1:], len(i)] - 1]], axis=1)
+        if len(open_):
+            # The first run of a diagonal may go on from the part before.
+            at = np.minimum(np.searchsorted(open_[:, 0], runs[:, 0]), len(open_) - 1)
+            goes_on = (open_[at, 0] == runs[:, 0]) & (open_[at, 2] + 1 == runs[:, 1])
+            runs[goes_on, 1] = open_[at[goes_on], 1]
+            stopped = np.ones(len(open_), bool)
+            stopped[at[goes_on]] = False
+            ended.append(open_[stopped])
+        last = runs[:, 2] == mine[y - 1]
+        ended.append(runs[~last])
+        open_ = runs[last]
+    runs = np.concatenate([*ended, open_])
+    return np.stack([runs[:, 2] - runs[:, 1] + size, runs[:, 1], runs[:, 1] - runs[:, 0]], axis=1)
 
 
 def tile(doc: np.ndarray, item: np.ndarray, minimum: int = MINIMUM_MATCH) -> list[tuple[int, int, int]]:
@@ -74,12 +95,17 @@ def tile(doc: np.ndarray, item: np.ndarray, minimum: int = MINIMUM_MATCH) -> lis
     size = max(minimum, min(len(doc), len(item)) // 2)
     while True:
         again = False
-        for n, i, j in sorted(_matches(doc, item, doc_used, item_used, size), key=lambda m: (-m[0], m[1], m[2])):
+        runs = _matches(doc, item, doc_used, item_used, size)
+        runs = runs[np.lexsort((runs[:, 2], runs[:, 1], -runs[:, 0]))]
+        for n, i, j in runs.tolist():
             if doc_used[i : i + n].any() or item_used[j : j + n].any():
                 again = True  # an earlier tile took a part; look at what is left
                 continue
-            doc_used[i : i + n] = item_used[j : j + n] = True
-            tiles.append((i, j, n))
+            if np.array_equal(doc[i : i + n], item[j : j + n]):  # and not only by hash
+                doc_used[i : i + n] = item_used[j : j + n] = True
+                tiles.append((i, j, n))
+                if item_used.all() or doc_used.all():
+                    return tiles
         if again:
             continue
         if size == minimum:
