@@ -28,7 +28,7 @@ SIMILARITY = 0.8
 PAIRWISE = 128
 # Compared lines are of so many characters at least; blank ones never are.
 SHORTEST = 1
-# Characters whose signatures are computed together: what fits a processor's cache.
+# Characters whose shingles are hashed or sorted together: what fits a processor's cache.
 _CACHED = 1 << 15
 
 _SEEDS = (ragged.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)).astype(np.uint32)
@@ -83,17 +83,31 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 class ShingleSets(Likeness):
-    """Lines as sets of ``SHINGLE`` characters, 64 bits each; Jaccard similarity decides."""
+    """Lines as sets of ``SHINGLE`` characters, 48 bits of a hash each; Jaccard similarity decides."""
 
     def elements(self, payloads: Sequence[bytes]) -> list[np.ndarray]:
-        found = []
+        found: list[np.ndarray] = []
+        held, size = [], 0
         for payload in payloads:
-            line = payload.decode().ljust(SHINGLE, "\0")
-            points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-            found.append(np.unique(ragged.mix(_grams(points, np.uint64, 0x9E3779B97F4A7C15))))
-        return found
-
-    def needed(self, size: int, sizes: np.ndarray) -> np.ndarray:
+            held.append(payload.decode().ljust(SHINGLE, "\0"))
+            size += len(held[-1])
+            if size >= _CACHED:
+                found += self._sets(held)
+                held, size = [], 0
+        return found + self._sets(held) if held else found
+
+    def _sets(self, lines: list[str]) -> list[np.ndarray]:
+        """Ascending shingles of each line; all are sorted together, by line (fewer than 2^16) and shingle."""
+        _, points, offsets = ragged.code_points(lines)
+        grams = ragged.mix(_grams(points, np.uint64, 0x9E3779B97F4A7C15)) >> np.uint64(16)
+        owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(offsets))[: len(grams)]
+        inside = np.arange(len(grams)) <= np.repeat(offsets[1:] - SHINGLE, np.diff(offsets))[: len(grams)]
+        keys = np.sort((owner[inside] << np.uint64(48)) | grams[inside])
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+        begins = np.searchsorted(keys, np.arange(len(lines), dtype=np.uint64) << np.uint64(48))
+        return np.split(keys & np.uint64((1 << 48) - 1), begins[1:])
+
+    def needed(self, size: int | np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return np.ceil(SIMILARITY / (1 + SIMILARITY) * (size + sizes) - 1e-6).astype(np.int64)
 
     def same(self, x: np.ndarray, y: np.ndarray) -> bool:

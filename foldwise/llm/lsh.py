@@ -27,8 +27,8 @@ class Likeness:
         """What each payload consists of, as whole numbers (hashes)."""
         raise NotImplementedError
 
-    def needed(self, size: int, sizes: np.ndarray) -> np.ndarray:
-        """How many elements a like payload of each of ``sizes`` must at least share."""
+    def needed(self, size: int | np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """How many elements like payloads of these sizes must at least share."""
         raise NotImplementedError
 
     def same(self, x: np.ndarray, y: np.ndarray) -> bool:
@@ -79,7 +79,7 @@ def verified(pairs: DataFrame, payloads: DataFrame, agree: Callable[[], Likeness
                 sizes, bins = profiles(items)
                 x, y = sides
                 bound = _shared(bins[x], bins[y])
-                least = np.array([likeness.needed(int(sizes[i]), sizes[j : j + 1])[0] for i, j in zip(x, y)], np.int64)
+                least = likeness.needed(sizes[x], sizes[y])
                 same = [
                     bool(ok) and likeness.same(items[i], items[j])
                     for ok, i, j in zip(bound >= least, x.tolist(), y.tolist())
@@ -187,6 +187,8 @@ def _blocks(large: DataFrame, held: DataFrame, agree: Callable[[], Likeness], ra
 def _met(likeness: Likeness, table: pa.Table, bucket: int, i: int, j: int, ratio: float) -> list[tuple[int, int]]:
     """Links between block ``i`` and block ``j`` of a bucket."""
     numbers = {c: table.column(c).to_numpy() for c in ("block", "id", "size", "root")}
+    if (numbers["root"] == numbers["root"][0]).all():
+        return []
     items = likeness.elements(table.column("payload").to_pylist())
     counts, bins = profiles(items)
     buckets = table.column("buckets").to_pylist()

@@ -159,7 +159,7 @@ class EditLikeness(Likeness):
     def elements(self, payloads: Sequence[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(p, np.uint32) for p in payloads]
 
-    def needed(self, size: int, sizes: np.ndarray) -> np.ndarray:
+    def needed(self, size: int | np.ndarray, sizes: np.ndarray) -> np.ndarray:
         # An edit changes one word of either text: all others are shared.
         longer = np.maximum(size, sizes)
         return longer - most_edits(longer)
