@@ -8,7 +8,6 @@ overlapping detections, and a confidence.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 
@@ -158,15 +157,13 @@ _TAIL = rf"(?: (?:public )?licen[cs]es?)?(?: {_VERSION})?"
 _STRICT_TAIL = rf"(?: (?:public )?licen[cs]es?(?: {_VERSION})?| {_VERSION}|(?<=[ v]\d))"
 
 
-def _says_licence(name: str) -> bool:
-    """Whether every form of a name holds the word."""
-    bare = re.sub(r"\(\?:[^()]*\)\?", "", name)
-    return all("licen" in part for part in re.sub(r"[()?:]", "", bare).split("|"))
+# Families whose names are those of makers, too.
+_MAKERS = {"bsd-2-clause", "isc", "mit", "ncsa", "openssl", "postgresql", "psf-2.0", "ruby", "vim", "w3c", "x11"}
 
 
-def _grant(name: str) -> str:
+def _grant(label: str, name: str) -> str:
     named = rf"(?:{name})"
-    tail = _TAIL if _says_licence(name) else _STRICT_TAIL
+    tail = _STRICT_TAIL if label in _MAKERS else _TAIL
     return rf"{_VERB} (?:under {_LEAD}{named}{_TAIL}|(?:by|via) {_LEAD}{named}{tail})"
 
 
@@ -178,7 +175,7 @@ def rules() -> list[Rule]:
         phrasings = [
             ("spdx", rf"spdx licen[cs]e identifier {spdx}", ("spdx",), 100, 1.0),
             ("address", place, (place.split()[0].replace("?", "").split("(")[0],), 90, 0.9),
-            ("grant", _grant(name), (keyword, "under|by|via"), 80, 0.95),
+            ("grant", _grant(label, name), (keyword, "under|by|via"), 80, 0.95),
             ("terms", rf"(?:terms|copy|text) (?:and conditions )?of the {named} licen[cs]e", (keyword, "licen"), 70, 0.8),
             ("title", rf"(?:the )?{named} licen[cs]es?", (keyword, "licen"), 40, 0.6),
             ("field", rf"licen[cs]e (?:is )?{named}", (keyword, "licen"), 50, 0.7),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldwise.llm.common import is_empty, sized, stored
 from foldwise.llm.components import components
@@ -162,8 +162,9 @@ def _blocks(large: DataFrame, held: DataFrame, agree: Callable[[], Likeness], ra
     first of the large buckets that it shares; pairs that links of the same group
     have joined before are passed over.
     """
-    shared = large.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # one per sketch at most
-    rows = large.drop("n").join(held, "id").join(shared, "id")
+    # An id has a bucket per sketch at most.
+    shared = F.collect_set("bucket").over(W.partitionBy("id"))
+    rows = large.drop("n").withColumn("buckets", shared).join(held, "id")
     parts = F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("payload").cast("long")) / BLOCK_BYTES)
     )

@@ -108,7 +108,7 @@ def samples(pattern):
         if kind == "IN":
             name, first = str(value[0][0]), value[0][1]
             return ["1"] if name == "CATEGORY" else [chr(first[0] if name == "RANGE" else first)]
-        return {"ANY": ["x"], "ASSERT_NOT": [""]}[kind]
+        return {"ANY": ["x"], "ASSERT_NOT": [""], "ASSERT": [""]}[kind]
 
     return of(re._parser.parse(pattern))
 

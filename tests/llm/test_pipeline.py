@@ -47,7 +47,7 @@ def test_stages_one_by_one_as_brute_force(spark, corpus):
 
 def test_run_and_registration(spark):
     assert queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in oracle_sql()
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries() if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries() if q.startswith("op")}
     found = corpus_pipeline.run(spark, SF)
     assert found.columns == ["doc_id", "n_tokens", "ids", "text"] and found.count() > 100
 
