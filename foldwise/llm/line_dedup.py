@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldwise.llm import ragged
-from foldwise.llm.common import fields, require_text, sized, steps, stored
+from foldwise.llm.common import fields, release, require_text, sized, steps, stored
 from foldwise.llm.lsh import Likeness, groups, identified, matches, once, renamed
 
 SHINGLE = 8
@@ -163,6 +163,7 @@ def _lines(docs: DataFrame, shortest: int, also: str = "") -> DataFrame:
                     offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS)
                     columns.append(pa.ListArray.from_arrays(offsets, pa.array(found.ravel())).cast(target.field("bands").type))
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -241,5 +242,6 @@ def drop_repeated_lines(
                 columns[at] = pa.array(texts, pa.string())
                 columns += [pa.array(total, pa.int32()), pa.array(dropped, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
+        release()
 
     return marked.mapInArrow(run, schema)

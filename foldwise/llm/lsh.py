@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from foldwise.llm.common import is_empty, sized, stored
+from foldwise.llm.common import is_empty, release, sized, stored
 from foldwise.llm.components import components
 
 # Buckets in several components of up to this many ids are listed as pairs; larger ones are
@@ -85,6 +85,7 @@ def verified(pairs: DataFrame, payloads: DataFrame, agree: Callable[[], Likeness
                     for ok, i, j in zip(bound >= least, x.tolist(), y.tolist())
                 ]
                 yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+        release()
 
     return rows.mapInArrow(run, "a long, b long")
 
