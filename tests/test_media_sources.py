@@ -6,10 +6,12 @@ import struct
 import wave
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from foldwise.operators.impute import fill_na
 from foldwise.operators.media import (
     first_segment, image_metadata, image_sizes, list_images, load_waveforms, mel_decibels, mel_filters,
@@ -24,6 +26,7 @@ from foldwise.sources.readers import (
 from foldwise.sources.writers import (
     read_fold, record_run, write_folds, write_predictions, write_statistics, write_table,
 )
+from tests.oracle import compare
 
 
 def png(width, height, kind):
@@ -452,3 +455,12 @@ def test_writers_refuse_their_inputs(spark, tmp_path):
         with pytest.raises(ValueError):
             write()
     assert spark.read.parquet(write_table(df, f"{root}/out", "n", ["id"], inputs=[f"{root}/in"])).count() == 3
+
+
+def test_csv_directory_has_its_own_file_for_every_remainder(spark, tmp_path):
+    """Of 6,000 suppliers a sampled range put two remainders into one file."""
+    supplier = spark.range(6000).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name", "id % 97 / 4D AS s_acctbal")
+    supplier.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert compare(db, queries()["s3_csv_directory"](spark, str(tmp_path)), oracle_sql()["s3_csv_directory"]) == []
