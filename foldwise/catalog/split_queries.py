@@ -77,24 +77,60 @@ def _group(spark, d):
     return folds.select("event_id", "user_id", "fold")
 
 
+def _dealt_sql(level: int, source: str) -> str:
+    """Deal the items of ``source`` (item, pos, v) to folds, in chunks of 4,096 items.
+
+    The folds of a chunk's first item are its positions.  Then, for a class, the fold with the
+    least of it gets the item's part with the most; of the classes but the commonest, the one
+    whose deal leaves all classes most even is followed.
+    """
+    return f"""q{level} AS MATERIALIZED (SELECT item, item // 4096 AS chunk, pos, v, c, row_number() OVER (PARTITION BY item, c ORDER BY v[c] DESC, pos) AS r
+          FROM {source}, tried),
+        d{level} AS (
+          SELECT item, item // 4096 AS chunk, pos, pos AS fold, v AS load FROM {source} WHERE item % 4096 = 0
+          UNION ALL
+          SELECT item, chunk, pos, fold, load FROM (
+            WITH s AS (SELECT d.*, c, row_number() OVER (PARTITION BY item, c ORDER BY load[c], fold) AS r FROM d{level} d, tried),
+            t AS (SELECT q.item, q.chunk, q.pos, s.fold, s.c, list_transform(list_zip(s.load, q.v), lambda x: x[1] + x[2]) AS load
+                  FROM s JOIN q{level} q ON q.item = s.item + 1 AND q.chunk = s.chunk AND q.c = s.c AND q.r = s.r),
+            e AS (SELECT item, c, (max(load[j]) - min(load[j])) * (1e0 / greatest(sum(load[j]), 1)) AS uneven FROM t, classes GROUP BY item, c, j),
+            b AS (SELECT item, c FROM e GROUP BY item, c QUALIFY row_number() OVER (PARTITION BY item ORDER BY max(uneven), c) = 1)
+            SELECT t.* FROM t JOIN b USING (item, c))),
+        m{level} AS (SELECT chunk AS item, fold AS pos, load AS v FROM d{level} QUALIFY item = max(item) OVER (PARTITION BY chunk))"""
+
+
+STRATIFIED_GROUPS = f"""c AS (SELECT event_type, least(row_number() OVER (ORDER BY count(*) DESC, event_type NULLS FIRST), 33) AS j FROM events GROUP BY 1),
+        k AS (SELECT CASE WHEN count(*) < 32 THEN count(*) ELSE 33 END AS k FROM c),
+        classes AS (SELECT unnest(range(1, k + 1)) AS j FROM k),
+        tried AS (SELECT unnest(CASE WHEN k = 1 THEN [1::BIGINT] ELSE range(2, k + 1) END) AS c FROM k),
+        n AS (SELECT user_id, j, count(*) AS n FROM events e JOIN c ON e.event_type IS NOT DISTINCT FROM c.event_type GROUP BY ALL),
+        u AS (SELECT u.user_id, sum(coalesce(n, 0))::BIGINT AS size, list(coalesce(n, 0) ORDER BY classes.j) AS v
+              FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN classes
+              LEFT JOIN n ON n.user_id IS NOT DISTINCT FROM u.user_id AND n.j = classes.j GROUP BY 1),
+        z AS (SELECT *, row_number() OVER w - 1 AS p, sum(size) OVER () - sum(size) OVER w + size AS rest FROM u
+              WINDOW w AS (ORDER BY size DESC, user_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+        a AS (SELECT least(4, coalesce(min(p) FILTER (WHERE size * (5 - p) < rest), 4)) AS alone FROM z),
+        o AS (SELECT user_id, v, 5 - alone AS folds, row_number() OVER (ORDER BY v[1] DESC, size DESC, user_id NULLS FIRST) - 1 AS p
+              FROM z, a WHERE p >= alone),
+        i AS (SELECT user_id, p // folds AS item, p % folds AS pos, v FROM o UNION ALL
+              SELECT NULL, last // folds, unnest(range(last % folds + 1, folds)), list_transform(range(k), lambda x: 0::BIGINT)
+              FROM (SELECT max(p) AS last, max(folds) AS folds FROM o), k),
+        {_dealt_sql(0, "i")},
+        {_dealt_sql(1, "m0")},
+        {_dealt_sql(2, "m1")},
+        g AS (SELECT o.user_id, alone + d2.fold AS fold FROM a, o JOIN d0 ON d0.item = o.p // o.folds AND d0.pos = o.p % o.folds
+                JOIN d1 ON d1.item = d0.chunk AND d1.pos = d0.fold JOIN d2 ON d2.item = d1.chunk AND d2.pos = d1.fold
+              UNION ALL SELECT user_id, p FROM z, a WHERE p < alone)"""
+
+
 @query(
     "f5_stratified_group_kfold",
-    """WITH c AS (SELECT user_id, value > 50 AS high, count(*) AS n FROM events GROUP BY ALL)
-       SELECT high, sum(n)::BIGINT AS n, max(n) AS largest, 1 AS folds_of_a_group, true AS even FROM c GROUP BY 1""",
+    f"""WITH RECURSIVE {STRATIFIED_GROUPS}
+        SELECT event_id, e.user_id, CAST(fold AS INTEGER) AS fold FROM events e JOIN g ON e.user_id IS NOT DISTINCT FROM g.user_id""",
 )
 def _stratified_group(spark, d):
-    """Rows per class, its largest count in a group, and whether folds differ by no more."""
-    events = table(spark, d, "events").withColumn("high", F.col("value") > 50)
-    folds = stratified_group_kfold(events, "high", "user_id")
-    groups = folds.groupBy("user_id", "high").agg(
-        F.count(F.lit(1)).alias("n"), F.min("fold").alias("least"), F.max("fold").alias("most")
-    )
-    loads = groups.groupBy("high", "least").agg(F.sum("n").alias("load"), F.max("n").alias("largest"),
-        F.sum("n").alias("n"), F.max(F.col("most") - F.col("least") + 1).alias("folds_of_a_group"))
-    return loads.groupBy("high").agg(
-        F.sum("n").alias("n"), F.max("largest").alias("largest"), F.max("folds_of_a_group").alias("folds_of_a_group"),
-        ((F.count("load") == 5) & (F.max("load") - F.min("load") <= F.max("largest"))).alias("even"),
-    )
+    folds = stratified_group_kfold(table(spark, d, "events"), "event_type", "user_id")
+    return folds.select("event_id", "user_id", "fold")
 
 
 @query(

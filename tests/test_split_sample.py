@@ -3,9 +3,11 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from foldwise.operators import split
 from foldwise.operators.sample import duplicated, exp_weight, id_transitions, stratified_subsample
 from foldwise.operators.split import (
@@ -13,6 +15,7 @@ from foldwise.operators.split import (
     stratified_kfold, time_held_out_rows, time_series, time_training_rows, training_rows,
 )
 from foldwise.plans import dealing
+from tests.oracle import compare
 
 
 @pytest.fixture(scope="module")
@@ -119,6 +122,20 @@ def test_dominant_groups_leave_the_other_folds_even(spark):
             assert max(each) - min(each) <= 9
 
 
+def test_every_event_gets_the_fold_that_sql_deals(spark, tmp_path):
+    """Rows, not totals; a user with a third of them, a NULL one, a NULL class and a last run of few groups."""
+    rng = random.Random(5)
+    rows = [(None if g == 7 else g, rng.choice(["a", "a", "b", "c", None])) for g in range(1, 44) for _ in range(rng.randint(1, 30))]
+    rows += [(0, "a")] * 400
+    events = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, event_type string")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = queries()["f5_stratified_group_kfold"](spark, str(tmp_path))
+    assert compare(db, found, oracle_sql()["f5_stratified_group_kfold"]) == []
+    assert found.count() == len(rows) and found.where("user_id = 0 AND fold = 0").count() == 400
+
+
 def test_rare_classes_count_together(spark, monkeypatch):
     monkeypatch.setattr(split, "CLASSES", 2)
     df = spark.range(600).select((F.col("id") % 60).alias("g"), (F.col("id") * 7 % 13).alias("y"))
