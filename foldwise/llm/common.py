@@ -17,6 +17,8 @@ from foldwise.session import scratch_path
 
 # Bytes of text that one step of a task works on; longer texts form steps of their own.
 STEP_BYTES = 4 << 20
+# The same where texts are only kept or left out: whole rows wait beside them.
+FILTER_BYTES = 1 << 20
 
 Columns = dict[str, object]
 
@@ -96,7 +98,7 @@ def filter_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = start()
         for batch in batches:
-            for part in steps(batch, at):
+            for part in steps(batch, at, FILTER_BYTES):
                 yield part.filter(pa.array(passes(part.column(at).to_pylist()), pa.bool_()))
         release()
 

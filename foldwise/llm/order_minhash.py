@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.llm import ragged
-from foldwise.llm.common import require_text, sized, steps, stored
+from foldwise.llm.common import release, require_text, sized, steps, stored
 from foldwise.llm.lsh import Likeness, groups, identified, keep_rows
 
 WORDS = 5  # words in a k-mer
 SKETCHES = 64
 KEPT = 2  # k-mers in a sketch
 SIMILARITY = 0.8
+# Bytes of text that are sketched together: a word's hash takes many times its bytes.
+STEP = 1 << 20
 # Up to so many words one edit is the most that SIMILARITY allows; such pairs are found exactly.
 EXACT = 9
 # Texts of up to so many words have few k-mers, and scattered edits spoil most of them:
@@ -232,7 +234,7 @@ def _signed(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, 3):
+            for part in steps(batch, 3, STEP):
                 tokens, bounds = word_tokens(part.column(3).to_pylist())
                 found = buckets_of(tokens, bounds)
                 digests = [_digest(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
@@ -244,6 +246,7 @@ def _signed(df: DataFrame) -> DataFrame:
                      pa.array(np.diff(bounds).astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)],
                     names=["k", "t1", "t2", "h1", "h2", "words", "sketch"],
                 )
+        release()
 
     kind = df.schema["k"].dataType.simpleString()
     return df.mapInArrow(run, f"k {kind}, t1 long, t2 long, h1 long, h2 long, words int, sketch array<long>")
@@ -254,7 +257,7 @@ def _tokens(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, 0):
+            for part in steps(batch, 0, STEP):
                 tokens, bounds = word_tokens(part.column(0).to_pylist())
                 digests = [_digest(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
                 short = tokens.astype(np.uint32)
@@ -263,6 +266,7 @@ def _tokens(df: DataFrame) -> DataFrame:
                      pa.array([short[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
                     names=["h1", "h2", "payload"],
                 )
+        release()
 
     return df.mapInArrow(run, "h1 long, h2 long, payload binary")
 

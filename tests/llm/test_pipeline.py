@@ -1,10 +1,12 @@
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from __spark_entry__ import oracle_sql, queries
-from foldwise.llm import byte_bpe
+from foldwise.llm import byte_bpe, order_minhash
+from foldwise.llm.common import steps
 from foldwise.llm.decontam import leaks
 from tests.llm.test_dedup import brute_groups, brute_lines
 
@@ -60,3 +62,19 @@ def test_stages_on_odd_and_empty_tables(spark, documents, odd_rows):
             rows = stage(spark, rows, SF)
             assert rows.columns == docs.columns, name
         corpus_pipeline.STAGES[4][1](spark, rows, SF).collect()
+
+
+def test_sketching_takes_little_memory():
+    """A worker's arrays while texts are sketched: 4 MB of words at a time took over 200 MB."""
+    import tracemalloc
+
+    words = [f"w{i * 7919 % 5003}" for i in range(800_000)]
+    texts = [" ".join(words[i : i + 400]) for i in range(0, len(words), 400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert batch.nbytes > 4 << 20
+    tracemalloc.start()
+    for part in steps(batch, 0, order_minhash.STEP):
+        order_minhash.buckets_of(*order_minhash.word_tokens(part.column(0).to_pylist()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6
