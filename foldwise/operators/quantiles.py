@@ -20,6 +20,8 @@ from foldwise.plans.small import VALUE_BYTES, attach, broadcast_within, settle,
 from foldwise.session import cut_lineage
 
 INTERPOLATIONS = ("linear", "nearest")
+# Groups of up to so many rows are sorted as arrays.
+SMALL_GROUP = 4096
 
 
 def value_counts_long(
@@ -66,6 +68,37 @@ def present_counts(
     return counted.select(*groups, F.inline(pairs))
 
 
+def _place(position: Column, interpolation: str) -> list[Column]:
+    """The 0-based ranks around a position; one, the closer one, for ``nearest``."""
+    if interpolation == "nearest":
+        return [F.floor(position + 0.5)]
+    return [F.floor(position), F.ceil(position)]
+
+
+def _small_groups(
+    df: DataFrame, columns: Sequence[str], quantiles: Mapping[str, float], groups: Sequence[str], interpolation: str
+) -> DataFrame:
+    """Exact quantiles of groups of ``SMALL_GROUP`` rows at most, from one shuffle by group."""
+    listed = df.groupBy(*groups).agg(
+        *[F.sort_array(F.collect_list(present(df, c).cast("double"))).alias(f"__v{i}") for i, c in enumerate(columns)]
+    )
+
+    def entry(i: int, c: str) -> Column:
+        found = []
+        for name, q in quantiles.items():
+            position = (F.size(f"__v{i}").cast("long") - 1) * F.lit(float(q))
+            ends = [F.get(f"__v{i}", r.cast("int")) for r in _place(position, interpolation)]
+            value = ends[0]
+            if len(ends) > 1:
+                share = position - F.floor(position)
+                value = F.when(ends[0] == ends[1], ends[0]).otherwise(ends[0] + (ends[1] - ends[0]) * share)
+            found.append(value.alias(name))
+        return F.struct(F.lit(c).alias("column"), F.size(f"__v{i}").alias("__count"), *found)
+
+    rows = listed.select(*groups, F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
+    return rows.where("__count > 0").drop("__count")
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -76,10 +109,28 @@ def exact_quantiles(
     """(groups, column, one column per quantile) over present values.
 
     ``linear`` interpolates between the two closest ranks, ``nearest`` takes the
-    closer one (halves go up).
+    closer one (halves go up).  Groups of few rows need no sketch: each is sorted
+    by itself, and only those of more than ``SMALL_GROUP`` rows take brackets.
     """
     if interpolation not in INTERPOLATIONS:
         raise ValueError(f"unknown interpolation {interpolation!r}; known: {INTERPOLATIONS}")
+    if not groups:
+        return _bracketed(df, columns, quantiles, groups, interpolation)
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__rows"))
+    # One row per SMALL_GROUP rows of the table at most.
+    large = settle(sizes.where(F.col("__rows") > SMALL_GROUP))
+    if large.isEmpty():
+        return _small_groups(df, columns, quantiles, groups, interpolation)
+    marked = attach(df.select(*groups, *columns), large, groups, ["__rows"])
+    small = _small_groups(marked.where("__rows IS NULL"), columns, quantiles, groups, interpolation)
+    rest = marked.where("__rows IS NOT NULL").drop("__rows")
+    return small.unionByName(_bracketed(rest, columns, quantiles, groups, interpolation))
+
+
+def _bracketed(
+    df: DataFrame, columns: Sequence[str], quantiles: Mapping[str, float], groups: Sequence[str], interpolation: str
+) -> DataFrame:
+    """Exact quantiles of groups of any size, or of the whole table, behind a sketch."""
     wanted = list(quantiles.values())
     values = {c: present(df, c) for c in columns}
     if groups:

@@ -263,3 +263,42 @@ def test_commonest_values_of_long_texts(spark):
     texts = Counter(t for _, t in rows if t)
     best = min(texts, key=lambda t: (-texts[t], t.encode()))
     assert (whole.uniq, whole.top, whole.freq) == (len(texts), best, texts[best])
+
+
+def test_rank_areas_count_ties_before_they_rank(spark):
+    """No window over a side's rows: what is ranked are its distinct scores."""
+    from foldwise.catalog.evaluate_queries import rank_areas
+
+    rows = [(i % 2, i % 3 == 0, int(i * 7 % 5 > 1), (i * 13 % 4) / 4) for i in range(400)]
+    scored = spark.createDataFrame(rows, "fold int, held_out boolean, y int, p double")
+    found = rank_areas(scored)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "windowspecdefinition" in line and "__part" not in line]
+    for r in found.collect():
+        for held_out, area in ((False, r.train), (True, r.valid)):
+            own = [(y, p) for f, h, y, p in rows if f == r.fold and h == held_out]
+            wins = [(a > b) + (a == b) / 2 for x, a in own if x for y, b in own if not y]
+            assert abs(area - sum(wins) / len(wins)) < 1e-12
+
+
+def test_quantiles_of_small_and_large_groups(spark, monkeypatch):
+    """Small groups are sorted as arrays, large ones by brackets; NULL, NaN and a NULL group included."""
+    from foldwise.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", 50)
+    rows = [(None if i % 11 == 0 else "big" if i % 2 else f"g{i % 7}", float(i * 37 % 101), None if i % 5 == 0 else float("nan") if i % 13 == 0 else float(i % 17))
+            for i in range(500)] + [("none", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    for way in ("linear", "nearest"):
+        found = {(r.g, r.column): (r.low, r.mid) for r in quantiles.exact_quantiles(df, ["x", "y"], {"low": 0.1, "mid": 0.5}, ["g"], way).collect()}
+        for g in {r[0] for r in rows}:
+            for at, name in ((1, "x"), (2, "y")):
+                values = sorted(r[at] for r in rows if r[0] == g and r[at] is not None and r[at] == r[at])
+                if not values:
+                    assert (g, name) not in found
+                    continue
+                for q, v in zip((0.1, 0.5), found[g, name]):
+                    place = (len(values) - 1) * q
+                    low, high = values[int(place)], values[min(int(place) + 1, len(values) - 1)]
+                    exact = values[int(place + 0.5)] if way == "nearest" else low + (high - low) * (place - int(place))
+                    assert abs(v - exact) < 1e-9
