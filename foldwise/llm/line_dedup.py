@@ -30,6 +30,8 @@ PAIRWISE = 128
 SHORTEST = 1
 # Characters whose shingles are hashed or sorted together: what fits a processor's cache.
 _CACHED = 1 << 15
+# Lines whose bands are mixed together.
+_MIXED = 4096
 
 _SEEDS = (ragged.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)).astype(np.uint32)
 
@@ -58,27 +60,31 @@ def signatures(lines: list[str]) -> np.ndarray:
     out = np.empty((len(lines), BANDS), np.uint64)
     padded = [line.ljust(SHINGLE, "\0") for line in lines]
     ends = np.cumsum([len(line) for line in padded])
-    start = 0
-    while start < len(lines):
-        held = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, held + _CACHED)))
-        _, points, offsets = ragged.code_points(padded[start:stop])
-        # Shingles over the end of a line are not counted: the last one of a line is repeated there.
-        grams = _grams(points, np.uint32, 0x9E3779B1)
-        grams ^= grams >> np.uint32(15)
-        place = np.arange(len(grams))
-        last = np.repeat(offsets[1:] - SHINGLE, np.diff(offsets))[: len(grams)]
-        grams = grams[np.minimum(place, last)]
-        begins = offsets[:-1]
-        hashed = np.empty_like(grams)
+    for first in range(0, len(lines), _MIXED):
+        end = min(first + _MIXED, len(lines))
+        least = np.empty((BANDS * ROWS, end - first), np.uint32)
+        start = first
+        while start < end:
+            held = ends[start - 1] if start else 0
+            stop = min(end, max(start + 1, int(np.searchsorted(ends, held + _CACHED))))
+            _, points, offsets = ragged.code_points(padded[start:stop])
+            # Shingles over the end of a line are not counted: the last one of a line is repeated there.
+            grams = _grams(points, np.uint32, 0x9E3779B1)
+            grams ^= grams >> np.uint32(15)
+            for i in range(1, SHINGLE):
+                grams[offsets[1:-1] - i] = grams[offsets[1:-1] - SHINGLE]
+            begins = offsets[:-1]
+            hashed = np.empty_like(grams)
+            for row, seed in enumerate(_SEEDS):
+                np.multiply(grams, seed, out=hashed)
+                np.minimum.reduceat(hashed, begins, out=least[row, start - first : stop - first])
+            start = stop
+        # Bands of all these lines together: mixing a few at a time costs more than their hashes.
         for band in range(BANDS):
-            bucket = np.full(stop - start, band + 1, np.uint64)
+            bucket = np.full(end - first, band + 1, np.uint64)
             for row in range(ROWS):
-                np.multiply(grams, _SEEDS[band * ROWS + row], out=hashed)
-                least = np.minimum.reduceat(hashed, begins)
-                bucket = ragged.mix(bucket * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
-            out[start:stop, band] = bucket
-        start = stop
+                bucket = ragged.mix(bucket * np.uint64(0x9E3779B97F4A7C15) + least[band * ROWS + row].astype(np.uint64))
+            out[first:end, band] = bucket
     return out
 
 
@@ -128,34 +134,52 @@ def _digests(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
 
 
-def _lines(docs: DataFrame, shortest: int, also: str = "") -> DataFrame:
-    """Document, number and digest of every line that is compared.
+def _compared(texts: list[str | None], shortest: int) -> tuple[list[int], list[int], list[str]]:
+    """Text, number and compared form of every line that is compared."""
+    rows, numbers, lines = [], [], []
+    for row, text in enumerate(texts):
+        for number, line in enumerate((text or "").split("\n")):
+            if len(line) >= shortest and len(line := normal(line)) >= shortest:
+                rows.append(row)
+                numbers.append(number)
+                lines.append(line)
+    return rows, numbers, lines
 
-    ``also`` adds its ``bands`` or its ``payload`` (the compared form).
-    """
+
+def _payloads(docs: DataFrame, shortest: int) -> DataFrame:
+    """Digest and ``payload`` (the compared form) of lines, once for each step of a task that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, 0, 1 << 21):
+                lines = list(dict.fromkeys(_compared(part.column(0).to_pylist(), shortest)[2]))
+                digests = _digests(lines)
+                payload = pa.array([line.encode("utf-8", "replace") for line in lines], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests[:, 0]), pa.array(digests[:, 1]), payload], names=["h1", "h2", "payload"]
+                )
+        release()
+
+    return docs.select("text").mapInArrow(run, "h1 long, h2 long, payload binary")
+
+
+def _lines(docs: DataFrame, shortest: int, also: str = "") -> DataFrame:
+    """Document, number and digest of every line that is compared; ``also`` adds its ``bands``."""
     kind = docs.schema["k"].dataType.simpleString()
-    extra = {"": "", "bands": ", bands array<long>", "payload": ", payload binary"}[also]
+    extra = {"": "", "bands": ", bands array<long>"}[also]
     schema = fields(f"k {kind}, t1 long, t2 long, line int, h1 long, h2 long{extra}")
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, 3, 1 << 21):
-                rows, numbers, lines = [], [], []
-                for row, text in enumerate(part.column(3).to_pylist()):
-                    for number, line in enumerate((text or "").split("\n")):
-                        if len(line) >= shortest and len(line := normal(line)) >= shortest:
-                            rows.append(row)
-                            numbers.append(number)
-                            lines.append(line)
+                rows, numbers, lines = _compared(part.column(3).to_pylist(), shortest)
                 place: dict[str, int] = {}
                 which = [place.setdefault(line, len(place)) for line in lines]
                 digests = _digests(list(place))[which]
                 taken = pa.array(rows, pa.int64())
                 columns = [part.column(i).take(taken) for i in range(3)]
                 columns += [pa.array(numbers, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
-                if also == "payload":
-                    columns.append(pa.array([line.encode("utf-8", "replace") for line in lines], pa.binary()))
                 if also == "bands":
                     found = np.empty((0, BANDS), np.int64)
                     if lines:
@@ -182,7 +206,7 @@ def _repeats(docs: DataFrame, shortest: int) -> DataFrame:
 
     def payloads(ids: DataFrame) -> DataFrame:
         wanted = sized(stored(classes.join(ids, "id", "left_semi").select("id", "h1", "h2"), "wanted-lines"))
-        found = _lines(docs, shortest, "payload").join(wanted, ["h1", "h2"])
+        found = _payloads(docs, shortest).join(wanted, ["h1", "h2"])
         return found.groupBy("id").agg(F.first("payload").alias("payload"))
 
     roots = stored(groups(buckets, payloads, ShingleSets, pairwise=PAIRWISE), "line-roots")

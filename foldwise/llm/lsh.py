@@ -16,6 +16,8 @@ from foldwise.llm.components import components
 # compared block against block, in blocks of about so many ids and bytes of payload.
 PAIRWISE = 32
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
+# Bytes of payload of the pairs that are verified together.
+PAIR_BYTES = 1 << 20
 # Counts of a profile; more of them prune better and take longer.
 BINS = 64
 
@@ -91,11 +93,11 @@ def verified(pairs: DataFrame, payloads: DataFrame, agree: Callable[[], Likeness
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of pairs whose payloads hold about ``BLOCK_BYTES`` bytes."""
+    """Slices of pairs whose payloads hold about ``PAIR_BYTES`` bytes."""
     if not batch.num_rows:
         return
     sizes = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x", "y"))
-    marks = np.cumsum(sizes) // BLOCK_BYTES
+    marks = np.cumsum(sizes) // PAIR_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
@@ -197,19 +199,31 @@ def _met(likeness: Likeness, table: pa.Table, bucket: int, i: int, j: int, ratio
     size, root = numbers["size"], numbers["root"].copy()
     left = np.flatnonzero(numbers["block"] == i)
     right = left if i == j else np.flatnonzero(numbers["block"] == j)
+    # Bins of the right side as rows, of a type that holds the sums as well.
+    kind = np.uint16 if counts.max(initial=0) < 1 << 16 else np.int64
+    turned = np.ascontiguousarray(bins[right].T, kind)
+    lesser = np.empty_like(turned)
     found = []
     for at, a in enumerate(left.tolist()):
-        others = right[at + 1 :] if i == j else right
-        others = others[root[others] != root[a]]
+        open_ = root[right] != root[a]
+        if i == j:
+            open_[: at + 1] = False
         if ratio:
-            few, many = np.minimum(size[others], size[a]), np.maximum(size[others], size[a])
-            others = others[few >= ratio * many]
-        if not len(others):
+            few, many = np.minimum(size[right], size[a]), np.maximum(size[right], size[a])
+            open_ &= few >= ratio * many
+        places = np.flatnonzero(open_)
+        if not len(places):
             continue
-        bound = _shared(bins[others], bins[a])
+        others = right[places]
+        if 8 * len(places) < len(right):
+            bound = _shared(bins[others], bins[a])
+        else:
+            np.minimum(turned, bins[a].astype(kind)[:, None], out=lesser)
+            bound = lesser.sum(axis=0, dtype=kind)[places]
         others = others[bound >= likeness.needed(int(counts[a]), counts[others])]
+        own = set(buckets[a]) if len(others) else set()
         for b in others.tolist():
-            if root[a] == root[b] or min(set(buckets[a]).intersection(buckets[b])) != bucket:
+            if root[a] == root[b] or min(own.intersection(buckets[b])) != bucket:
                 continue
             if likeness.same(items[a], items[b]):
                 found.append((int(numbers["id"][a]), int(numbers["id"][b])))

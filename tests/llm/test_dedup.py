@@ -395,3 +395,18 @@ def test_vector_edges(spark, monkeypatch):
     assert embeddings.near_duplicates(df.where("vec_id BETWEEN 300 AND 305")).count() == 7
     with pytest.raises(ValueError):
         embeddings.near_duplicates(df, threshold=0)
+
+
+def test_line_signatures_and_payloads_in_steps(spark, monkeypatch):
+    """Bands do not depend on which lines are mixed together; a step sends a line's text once."""
+    from foldwise.llm import line_dedup
+    from foldwise.llm.lsh import identified
+
+    lines = [f"line {i} " * (i % 9 + 1) for i in range(40)] + ["", "a", "x" * 8]
+    whole = line_dedup.signatures(lines)
+    monkeypatch.setattr(line_dedup, "_MIXED", 7)
+    assert (line_dedup.signatures(lines) == whole).all()
+    assert all((line_dedup.signatures([x])[0] == w).all() for x, w in zip(lines, whole))
+    docs = spark.createDataFrame([(i, "the same line\nThe  same line") for i in range(50)], "doc_id long, text string").coalesce(1)
+    found = line_dedup._payloads(identified(docs, "doc_id", "text"), 1).collect()
+    assert [bytes(r.payload) for r in found] == [b"the same line"]
