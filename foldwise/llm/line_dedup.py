@@ -33,6 +33,9 @@ _CACHED = 1 << 15
 # Lines whose bands are mixed together.
 _MIXED = 4096
 
+# Columns that hold the bands.
+_BANDS = [f"b{i}" for i in range(BANDS)]
+
 _SEEDS = (ragged.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)).astype(np.uint32)
 
 
@@ -146,78 +149,77 @@ def _compared(texts: list[str | None], shortest: int) -> tuple[list[int], list[i
     return rows, numbers, lines
 
 
-def _payloads(docs: DataFrame, shortest: int) -> DataFrame:
-    """Digest and ``payload`` (the compared form) of lines, once for each step of a task that has them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, 0, 1 << 21):
-                lines = list(dict.fromkeys(_compared(part.column(0).to_pylist(), shortest)[2]))
-                digests = _digests(lines)
-                payload = pa.array([line.encode("utf-8", "replace") for line in lines], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests[:, 0]), pa.array(digests[:, 1]), payload], names=["h1", "h2", "payload"]
-                )
-        release()
-
-    return docs.select("text").mapInArrow(run, "h1 long, h2 long, payload binary")
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
+    """Document, number and digest of every line that is compared.
 
-
-def _lines(docs: DataFrame, shortest: int, also: str = "") -> DataFrame:
-    """Document, number and digest of every line that is compared; ``also`` adds its ``bands``."""
+    The first line of each compared form in a step has its bands and ``payload`` (that
+    form); the others leave them NULL, as they would say the same.
+    """
     kind = docs.schema["k"].dataType.simpleString()
-    extra = {"": "", "bands": ", bands array<long>"}[also]
-    schema = fields(f"k {kind}, t1 long, t2 long, line int, h1 long, h2 long{extra}")
+    schema = fields(
+        f"k {kind}, t1 long, t2 long, line int, h1 long, h2 long, " + ", ".join(f"{b} long" for b in _BANDS) + ", payload binary"
+    )
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, 3, 1 << 21):
                 rows, numbers, lines = _compared(part.column(3).to_pylist(), shortest)
+                if not lines:
+                    continue
                 place: dict[str, int] = {}
-                which = [place.setdefault(line, len(place)) for line in lines]
-                digests = _digests(list(place))[which]
+                which = np.array([place.setdefault(line, len(place)) for line in lines], np.int64)
+                distinct = list(place)
+                digests = _digests(distinct)[which]
+                # Forms are numbered as they come: a line is the first one if its number is a new maximum.
+                first = np.diff(np.maximum.accumulate(which), prepend=-1) > 0
+                own = pa.array(which, mask=~first)
                 taken = pa.array(rows, pa.int64())
                 columns = [part.column(i).take(taken) for i in range(3)]
                 columns += [pa.array(numbers, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
-                if also == "bands":
-                    found = np.empty((0, BANDS), np.int64)
-                    if lines:
-                        found = signatures(list(place))[which].view(np.int64)
-                    offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS)
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(found.ravel())).cast(target.field("bands").type))
+                bands = signatures(distinct).view(np.int64)
+                columns += [pa.array(np.ascontiguousarray(bands[:, i])).take(own) for i in range(BANDS)]
+                columns.append(pa.array([line.encode("utf-8", "replace") for line in distinct], pa.binary()).take(own))
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
         release()
 
     return docs.mapInArrow(run, schema)
 
 
+def _forms(lines: DataFrame) -> DataFrame:
+    """Digest and ``payload`` of lines, once for each step of a task that has them."""
+    return lines.where("payload IS NOT NULL").select("h1", "h2", "payload")
+
+
+def _payloads(docs: DataFrame, shortest: int) -> DataFrame:
+    return _forms(_lines(docs, shortest))
+
+
 def _repeats(docs: DataFrame, shortest: int) -> DataFrame:
     """``k``, ``t1``, ``t2`` of documents with lines to drop, and their numbers ``gone``."""
-    place = F.struct(F.col("k").isNull().alias("none"), "k", "t1", "t2", "line")
-    classes = _lines(docs, shortest, "bands").groupBy("h1", "h2").agg(
-        F.min(place).alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")
-    )
+    # Texts are taken apart once; all later steps read this table, each its own columns.
+    # Half of it are bands, which no codec makes smaller, so a quick one is used.
+    lines = stored(_lines(docs, shortest), "lines", compression="lz4_raw")
+    # Bands as whole numbers are combined by hash; arrays would be sorted.
+    classes = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(b).alias(b) for b in _BANDS])
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
     def buckets() -> DataFrame:
-        # Sizes only order the comparisons: repeated shingles leave no bound on them.
-        return classes.select(F.explode("bands").alias("bucket"), "id", F.lit(0).alias("size"))
+        # Repeated shingles leave no bound on sizes.
+        return classes.select(F.explode(F.array(*_BANDS)).alias("bucket"), "id", F.lit(0).alias("size"))
 
     def payloads(ids: DataFrame) -> DataFrame:
         wanted = sized(stored(classes.join(ids, "id", "left_semi").select("id", "h1", "h2"), "wanted-lines"))
-        found = _payloads(docs, shortest).join(wanted, ["h1", "h2"])
+        found = _forms(lines).join(wanted, ["h1", "h2"])
         return found.groupBy("id").agg(F.first("payload").alias("payload"))
 
     roots = stored(groups(buckets, payloads, ShingleSets, pairwise=PAIRWISE), "line-roots")
-    state = classes.join(sized(roots), "id", "left").where("n > 1 OR root IS NOT NULL")
-    state = stored(
-        state.select("h1", "h2", "least", F.coalesce("root", "id").alias("root")), "line-groups"
-    )
-    best = sized(stored(state.groupBy("root").agg(F.min("least").alias("best")), "line-best"))
-    state = sized(stored(state.join(best, "root").select("h1", "h2", "best"), "line-states"))
+    state = classes.select("h1", "h2", "id", "n").join(sized(roots), "id", "left").where("n > 1 OR root IS NOT NULL")
+    state = sized(stored(state.select("h1", "h2", F.coalesce("root", "id").alias("root")), "line-groups"))
     here = F.struct(F.col("k").isNull().alias("none"), "k", "t1", "t2", "line")
-    gone = _lines(docs, shortest).join(state, ["h1", "h2"]).where(~here.eqNullSafe(F.col("best")))
+    grouped = lines.select("k", "t1", "t2", "line", "h1", "h2").join(state, ["h1", "h2"]).select("root", "k", "t1", "t2", "line")
+    best = sized(stored(grouped.groupBy("root").agg(F.min(here).alias("best")), "line-best"))
+    gone = grouped.join(best, "root").where(~here.eqNullSafe(F.col("best")))
     # At most the lines of one document.
     return gone.groupBy("k", "t1", "t2").agg(F.collect_set("line").alias("gone"))
 
@@ -244,28 +246,17 @@ def drop_repeated_lines(
         raise ValueError(f"input columns {sorted(clash)} have the names of results; rename them")
     gone = sized(stored(renamed(_repeats(identified(df, key, text), max(1, shortest)), "gone"), "lines-gone"))
     marked = once(df, key, text).join(gone.withColumnRenamed("gone", "__gone"), matches(key), "left")
-    marked = marked.drop("__k", "__w1", "__w2", "__t1", "__t2")
-    schema = fields(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-                    + ", n_lines int, n_dropped int")
-    target = to_arrow_schema(schema)
-    at, mask = df.columns.index(text), len(df.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, at):
-                texts, total, dropped = [], [], []
-                for value, numbers in zip(part.column(at).to_pylist(), part.column(mask).to_pylist()):
-                    lines = [] if value is None else value.split("\n")
-                    total.append(len(lines))
-                    dropped.append(len(numbers or ()))
-                    if numbers:
-                        out = set(numbers)
-                        value = "\n".join(line for i, line in enumerate(lines) if i not in out)
-                    texts.append(value)
-                columns = list(part.columns[:mask])
-                columns[at] = pa.array(texts, pa.string())
-                columns += [pa.array(total, pa.int32()), pa.array(dropped, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, schema=target)
-        release()
-
-    return marked.mapInArrow(run, schema)
+    lines = F.split(f"`{text}`", "\n")
+    # The lambda names the lines, so that a text is split once and not for each line kept.
+    left = F.transform(
+        F.array(lines),
+        lambda l: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("__gone")), lambda i: F.get(l, i)), "\n"
+        ),
+    )
+    kept = F.when(F.size("__gone") > 0, F.get(left, F.lit(0))).otherwise(F.col(f"`{text}`"))
+    return marked.select(
+        *[kept.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns],
+        F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_dropped"),
+    )

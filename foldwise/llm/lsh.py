@@ -115,7 +115,7 @@ def groups(
     ``buckets`` gives (``bucket``, ``id``, ``size``) rows from a written table,
     ``payloads`` the ``payload`` of given ids; sizes of linked ids must be within
     ``ratio`` of each other.  Every id is first compared with the smallest id of
-    each of its buckets (the one with the least besides what the bucket shares),
+    each of its buckets (with a ``ratio`` the one with the least besides what the bucket shares),
     so a group of near copies takes one comparison an id however large it is.
     Then all pairs of a bucket that are still in different components are compared,
     those with ids of the leader's component as well (likeness is not transitive):
@@ -123,8 +123,12 @@ def groups(
     against block in larger ones.
     """
     pairwise = pairwise or PAIRWISE
-    spread = F.shiftleft(F.col("size").cast("long"), 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))
-    least = [F.min_by("id", spread).alias("leader"), F.shiftright(F.min(spread), 24).alias("leader_size")]
+    if ratio:
+        spread = F.shiftleft(F.col("size").cast("long"), 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))
+        least = [F.min_by("id", spread).alias("leader"), F.shiftright(F.min(spread), 24).alias("leader_size")]
+    else:
+        # Any sizes may be alike, so the leader need not be a short one.
+        least = [F.min("id").alias("leader"), F.lit(0).cast("long").alias("leader_size")]
     near = F.least("size", "leader_size") >= ratio * F.greatest("size", "leader_size")
     ends = buckets().groupBy("bucket").agg(*least, F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = sized(stored(ends.drop("n"), "buckets"))
@@ -199,10 +203,13 @@ def _met(likeness: Likeness, table: pa.Table, bucket: int, i: int, j: int, ratio
     size, root = numbers["size"], numbers["root"].copy()
     left = np.flatnonzero(numbers["block"] == i)
     right = left if i == j else np.flatnonzero(numbers["block"] == j)
-    # Bins of the right side as rows, of a type that holds the sums as well.
-    kind = np.uint16 if counts.max(initial=0) < 1 << 16 else np.int64
-    turned = np.ascontiguousarray(bins[right].T, kind)
+    # Four bins together of the right side as rows, of a type that holds the sums as well.
+    most = counts.max(initial=0)
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64
+    coarse = bins.reshape(-1, BINS // 4, 4).sum(axis=2, dtype=kind)
+    turned = np.ascontiguousarray(coarse[right].T)
     lesser = np.empty_like(turned)
+    needed: dict[int, np.ndarray] = {}
     found = []
     for at, a in enumerate(left.tolist()):
         open_ = root[right] != root[a]
@@ -215,12 +222,16 @@ def _met(likeness: Likeness, table: pa.Table, bucket: int, i: int, j: int, ratio
         if not len(places):
             continue
         others = right[places]
-        if 8 * len(places) < len(right):
-            bound = _shared(bins[others], bins[a])
-        else:
-            np.minimum(turned, bins[a].astype(kind)[:, None], out=lesser)
-            bound = lesser.sum(axis=0, dtype=kind)[places]
-        others = others[bound >= likeness.needed(int(counts[a]), counts[others])]
+        size_a = int(counts[a])
+        if size_a not in needed:
+            needed[size_a] = likeness.needed(size_a, counts[right])
+        least = needed[size_a][places]
+        if 8 * len(places) >= len(right):
+            # Fewer, wider bins bound the shared elements as well, and leave few pairs to the narrow ones.
+            np.minimum(turned, coarse[a][:, None], out=lesser)
+            near = np.flatnonzero(lesser.sum(axis=0, dtype=kind)[places] >= least)
+            others, least = others[near], least[near]
+        others = others[_shared(bins[others], bins[a]) >= least]
         own = set(buckets[a]) if len(others) else set()
         for b in others.tolist():
             if root[a] == root[b] or min(own.intersection(buckets[b])) != bucket:

@@ -410,3 +410,17 @@ def test_line_signatures_and_payloads_in_steps(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "the same line\nThe  same line") for i in range(50)], "doc_id long, text string").coalesce(1)
     found = line_dedup._payloads(identified(docs, "doc_id", "text"), 1).collect()
     assert [bytes(r.payload) for r in found] == [b"the same line"]
+
+
+def test_lines_are_taken_apart_once(documents, monkeypatch):
+    """All steps read one table of lines, and taking lines out needs no Python."""
+    from foldwise.llm import line_dedup
+
+    calls, whole = [], line_dedup._lines
+    monkeypatch.setattr(line_dedup, "_lines", lambda *a: calls.append(a) or whole(*a))
+    line = "a line that comes back in another text"
+    found = drop_repeated_lines(documents([(1, f"{line}\n\n"), (2, f"\n{line}.\nelse\n"), (3, ""), (4, None)]))
+    assert len(calls) == 1
+    assert "InArrow" not in found._jdf.queryExecution().toString()
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in found.collect()}
+    assert got == {1: (f"{line}\n\n", 3, 0), 2: ("\nelse\n", 4, 1), 3: ("", 1, 0), 4: (None, 0, 0)}
