@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.operators.columns import select_columns
 from foldwise.operators.ensemble import output_tables
+from foldwise.plans.small import total_bytes
 from foldwise.sources.readers import check_separate
 
 FOLD_LAYOUTS = ("assigned", "exploded")
+# Bytes of rows, not compressed, that one task sorts and writes into a partition.
+TASK_BYTES = 64 << 20
 
 
 def write_table(
@@ -48,8 +52,7 @@ def write_folds(
     path = f"{output_dir}/{node_id}"
     rows = select_columns(df, list(dict.fromkeys([*columns, fold_col])))
     if layout == "assigned":
-        # Rebalancing gathers a fold in few tasks, so few files, and splits a large one.
-        rows.hint("rebalance", F.col(fold_col)).write.mode("overwrite").partitionBy(fold_col).parquet(path)
+        _dealt(rows, [fold_col]).write.mode("overwrite").partitionBy(fold_col).parquet(path)
         return path
     if n_splits is None:
         raise ValueError("the exploded layout needs n_splits")
@@ -60,11 +63,30 @@ def write_folds(
         F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold"),
     )
     side = F.when(F.col("fold") == F.col("__own"), "test").otherwise("train")
-    sides = spread.withColumn("split", side).drop("__own").hint("rebalance", F.col("fold"), F.col("split"))
+    sides = _dealt(spread.withColumn("split", side).drop("__own"), ["fold", "split"])
     sides.write.mode("overwrite").partitionBy("fold", "split").parquet(path)
     return path
 
 
+def _dealt(rows: DataFrame, sides: Sequence[str]) -> DataFrame:
+    """``rows`` with every side in as few tasks as take ``TASK_BYTES`` each, so in few files.
+
+    Shuffled bytes say little about what a task sorts, as ascending keys and repeated
+    folds shrink to a fraction, so sizes are summed beforehand: one row per side comes
+    to the driver.  Inside a side rows are dealt by a hash of their columns.
+    """
+    sizes = rows.groupBy(*sides).agg(total_bytes(rows).alias("__size")).collect()
+    hashed = [c for c, kind in rows.dtypes if c not in sides and "map<" not in kind and "variant" not in kind]
+    mixed = F.xxhash64(*hashed) if hashed else F.lit(0)
+    place, tasks = F, 0
+    for found in sizes:
+        parts = -(-found["__size"] // TASK_BYTES) or 1
+        here = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.lit(found[s])) for s in sides])
+        place = place.when(here, F.lit(tasks) + F.pmod(mixed, F.lit(parts)).cast("int"))
+        tasks += parts
+    return rows.repartitionById(tasks, place.otherwise(0)) if sizes else rows
+
+
 def read_fold(
     spark: SparkSession, path: str, fold: int, split: str, fold_col: str = "fold"
 ) -> DataFrame:

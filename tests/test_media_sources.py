@@ -466,3 +466,21 @@ def test_csv_directory_has_its_own_file_for_every_remainder(spark, tmp_path):
     found = queries()["s3_csv_directory"](spark, str(tmp_path))
     assert compare(db, found, oracle_sql()["s3_csv_directory"]) == []
     assert found.count() == 6000
+
+
+def test_fold_tasks_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    """A side larger than a task's share is dealt to several, whatever it compresses to."""
+    from foldwise.sources import writers
+
+    monkeypatch.setattr(writers, "TASK_BYTES", 24 * 3 * 100)
+    df = spark.range(900).coalesce(1).select("id", F.when(F.col("id") < 850, F.col("id") % 2).cast("int").alias("fold"))
+    for layout, sides in (("assigned", ["fold"]), ("exploded", ["fold", "split"])):
+        path = write_folds(df, str(tmp_path), layout, ["id"], layout=layout, n_splits=2)
+        rows = spark.read.parquet(path)
+        files = rows.groupBy(*sides, F.input_file_name().alias("file")).count().collect()
+        assert max(r["count"] for r in files) <= 250 and len(files) >= 7
+        assert rows.count() == 900 * (2 if layout == "exploded" else 1)
+        assert {r.id for r in rows.where("fold = 1").collect()} >= {i for i in range(850) if i % 2}
+    assert spark.read.parquet(f"{tmp_path}/assigned").where("fold IS NULL").count() == 50
+    empty = write_folds(df.where("id < 0"), str(tmp_path), "none", ["id"], layout="exploded", n_splits=2)
+    assert spark.read.schema("id long, fold int, split string").parquet(empty).count() == 0
