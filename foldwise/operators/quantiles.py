@@ -52,6 +52,47 @@ def value_counts_long(
     return rows.groupBy(*groups, "column", "value", "gap").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _near_counts(df: DataFrame, columns: Sequence[str], brackets: Mapping[str, Sequence[Bracket]]) -> DataFrame:
+    """``value_counts_long`` of the whole table with brackets as numbers, melting few of its rows.
+
+    One aggregate counts what lies before and up to the end of each bracket: that gives
+    the gaps, and brackets of a single value.  Only rows with a value inside a wider
+    bracket are melted; they are written first, as counting them takes long code that
+    would be run for every row of the table otherwise.
+    """
+    present_ = {c: present(df, c).cast("double") for c in columns if brackets[c]}
+    kind = "column string, value double, gap int, n long"
+    if not present_:
+        return df.sparkSession.createDataFrame([], kind)
+    aggs, near, open_ = [], F.lit(False), {}
+    for i, (c, x) in enumerate(present_.items()):
+        aggs.append(F.count(x).alias(f"n{i}"))
+        for j, (low, high) in enumerate(brackets[c]):
+            aggs += [F.count_if(x < low).alias(f"b{i}_{j}"), F.count_if(x <= high).alias(f"e{i}_{j}")]
+        wide = [b for b in brackets[c] if b[0] < b[1]]
+        if wide:
+            open_[c] = wide
+        for low, high in wide:
+            near = near | x.between(low, high)
+    found = df.agg(*aggs).first()
+    rows = []
+    for i, c in enumerate(present_):
+        done = 0
+        for j, (low, high) in enumerate(brackets[c]):
+            before, upto = found[f"b{i}_{j}"], found[f"e{i}_{j}"]
+            last = brackets[c][j - 1][1] if j else low
+            rows.append((c, last, 1 if j else -1, before - done))
+            if low == high:
+                rows.append((c, low, 0, upto - before))
+            done = upto
+        rows.append((c, brackets[c][-1][1], 1, found[f"n{i}"] - done))
+    counts = df.sparkSession.createDataFrame([r for r in rows if r[3]], kind)
+    if not open_:
+        return counts
+    inside = cut_lineage(df.select(*open_).where(near))
+    return counts.unionByName(value_counts_long(inside, list(open_), (), open_).where("gap = 0"))
+
+
 def present_counts(
     df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()
 ) -> DataFrame:
@@ -139,7 +180,7 @@ def _bracketed(
         located = attach(df.select(*groups, *columns), _settled(ends, places), groups, list(places.values()))
         counts = value_counts_long(located, columns, groups, places)
     else:
-        counts = value_counts_long(df, columns, (), quantile_brackets(df, values, wanted))
+        counts = _near_counts(df, columns, quantile_brackets(df, values, wanted))
     found = cut_lineage(_read_ranks(df, counts, columns, quantiles, groups, interpolation))
     # One row per group and column.  A rank in a gap would mean the sketch missed it.
     if not found.where("__gap > 0").isEmpty():

@@ -175,8 +175,6 @@ def test_rows_at_ranks(skewed, spark, kind):
 
 
 def test_missed_brackets_fall_back_to_the_full_count(skewed, spark, monkeypatch):
-    from foldwise.operators import quantiles
-    from foldwise.plans import brackets
 
     rows, df = skewed
     wrong = lambda df, columns, q: {c: [(3.0, 3.0)] for c in columns}
@@ -204,3 +202,18 @@ def test_running_totals_of_several_keys(skewed, parts):
             n, s = seen[name].get(key, (0, 0.0))
             assert (got[i][f"n_{name}"], got[i][f"s_{name}"]) == (n, s)
             seen[name][key] = (n + 1, s + v)
+
+
+def test_quantiles_melt_only_rows_near_a_rank(spark, monkeypatch):
+    """Of a whole table's rows only those inside a bracket are melted; the others are counted in place."""
+    melted, whole = [], quantiles.value_counts_long
+    monkeypatch.setattr(quantiles, "value_counts_long", lambda df, *a: melted.append(df.count()) or whole(df, *a))
+    n = 60_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 7 > 0, F.col("id")).alias("x"), (F.col("id") % 5).alias("few"),
+        F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id") * F.lit(-0.5)).alias("y"), F.lit(None).cast("int").alias("none"),
+    )
+    got = {r["column"]: (r.a, r.b) for r in quantiles.exact_quantiles(df, df.columns, {"a": 0.3, "b": 0.9}).collect()}
+    columns = {"x": [i for i in range(n) if i % 7], "few": [i % 5 for i in range(n)], "y": [i * -0.5 for i in range(n) if i % 2]}
+    assert got == {c: tuple(pytest.approx(v, rel=1e-12) for v in np.quantile(x, [0.3, 0.9])) for c, x in columns.items()}
+    assert len(melted) == 1 and melted[0] < n / 100
